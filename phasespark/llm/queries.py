@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasespark.llm import langid
+from phasespark.llm import bpe, langid
 from phasespark.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.filter(~held_out))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.margin", "language.rejected")
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of every document."""
+    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("bpe.ids").cast("array<string>"), " ")
+    return docs.select(
+        "doc_id",
+        F.size("bpe.ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2(F.col("bpe.decoded"), 256).alias("decoded_sha256"),
+    )
