@@ -42,3 +42,8 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: inside a lambda a plain column expression is evaluated again for each element."""
+    return F.transform(F.array(value), body)[0]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasespark.llm import bpe, langid, simhash
+from phasespark.llm import bpe, decontaminate, langid, simhash
 from phasespark.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digits = F.lower(F.lpad(F.hex(F.col("words")[0]), 16, "0"))
     return rows.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that contain at least 0.8 of the five-word shingles of a benchmark item, with the items."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
+#: All pairs by plain joins on the shingles themselves.
+ORACLE_SQL["op10_decontaminate"] = r"""
+WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') w FROM benchmark),
+     iq AS (SELECT item_id, w, least(5, len(w)) n FROM i WHERE len(w) > 0),
+     si AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') s FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) k FROM iq)),
+     total AS (SELECT item_id, count(*) q FROM si GROUP BY item_id),
+     d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') w FROM documents),
+     sd AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') s
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) k FROM d, (SELECT DISTINCT n FROM iq) WHERE len(w) >= n))
+SELECT sd.doc_id, si.item_id, any_value(q)::INT n_shingles, count(*)::INT n_found, count(*) / any_value(q) containment
+FROM sd JOIN si USING (n, s) JOIN total USING (item_id)
+GROUP BY sd.doc_id, si.item_id HAVING 5 * count(*) >= 4 * any_value(q)
+"""
