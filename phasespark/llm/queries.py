@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasespark.llm import bpe, decontaminate, langid, simhash
+from phasespark.llm import bpe, decontaminate, langid, simhash, warc
 from phasespark.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,10 @@ SELECT sd.doc_id, si.item_id, any_value(q)::INT n_shingles, count(*)::INT n_foun
 FROM sd JOIN si USING (n, s) JOIN total USING (item_id)
 GROUP BY sd.doc_id, si.item_id HAVING 5 * count(*) >= 4 * any_value(q)
 """
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written as a WARC record to ZIP-packaged archives and read back."""
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
