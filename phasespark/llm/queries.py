@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasespark.llm import bpe, decontaminate, langid, simhash, warc
+from phasespark.llm import bpe, decontaminate, langid, simhash, suffixtree, warc
 from phasespark.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written as a WARC record to ZIP-packaged archives and read back."""
     records = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffix tree's and the unigram base's log10 probability of every document."""
+    scored = suffixtree.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
