@@ -206,7 +206,7 @@ def near_links(
     *,
     wide_limit: int = 0,
     min_ratio: float = 0.0,
-    shard_codes: int = 16384,
+    shard_codes: int = 65536,
     max_sample: int = 50_000,
 ) -> DataFrame:
     """A forest (a, b) that joins all codes linked directly or through others. ``codes``: distinct (id, words, n_shingles).
