@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasespark.llm import bpe, decontaminate, langid, simhash, suffixtree, warc
+from phasespark.llm import bpe, decontaminate, langid, pii, simhash, suffixtree, warc
 from phasespark.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,17 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suffix tree's and the unigram base's log10 probability of every document."""
     scored = suffixtree.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document."""
+    rows = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    label = lambda k: F.transform(k, lambda x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string")))
+    base = F.concat(*map(label, pii.KINDS))
+    return rows.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, label("id")), ",").alias("spans"),
+    )
