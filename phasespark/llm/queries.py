@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasespark.llm import bpe, decontaminate, langid, pii, simhash, suffixtree, warc
+from phasespark.llm import bpe, decontaminate, langid, pii, simhash, suffixtree, warc, winnow
 from phasespark.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, label("id")), ",").alias("spans"),
     )
+
+
+@query
+def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    rows = winnow.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.shown(F.col("entries")).alias("fingerprint"),
+        winnow.shown(F.col("edited_entries")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
