@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasespark.llm import bpe, decontaminate, langid, pii, simhash, suffixes, suffixtree, warc, winnow
+from phasespark.llm import bpe, decontaminate, langid, pii, quality, simhash, suffixes, suffixtree, warc, winnow
 from phasespark.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document keeps when 50-byte strings of earlier documents are removed."""
     rows = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, its language's threshold, and whether the document is kept."""
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted)
