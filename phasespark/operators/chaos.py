@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasespark.functions.maps import FLOWS, SYSTEMS, flow_step, matrix
-from phasespark.operators.embedding import BY_TIME
+from phasespark.operators.embedding import by_time
 
 
 def lyapunov_logistic(params: DataFrame, n: int, transient: int = 0, x0: float = 0.1) -> DataFrame:
@@ -122,7 +122,7 @@ def zero_one(signals: DataFrame, c_values: list[float], n_cut: int) -> DataFrame
     walked = s.select("series_id", "c", "t", F.sum(F.col("x") * F.cos(angle)).over(by).alias("p"), F.sum(F.col("x") * F.sin(angle)).over(by).alias("q"))
     centred = walked.select("series_id", "c", "t", (F.col("p") - F.avg("p").over(whole)).alias("p"), (F.col("q") - F.avg("q").over(whole)).alias("q"))
     ahead = F.collect_list(F.struct("p", "q")).over(by.rowsBetween(0, n_cut - 1))
-    terms = centred.select("series_id", "c", "p", "q", F.posexplode(ahead).alias("lag", "b"))
+    terms = centred.select("series_id", "c", "p", "q", ahead.alias("ahead")).select("series_id", "c", "p", "q", F.posexplode("ahead").alias("lag", "b"))
     acov = terms.groupBy("series_id", "c", "lag").agg(F.avg(F.col("p") * F.col("b.p") + F.col("q") * F.col("b.q")).alias("a"))
     d = acov.select("series_id", "c", "lag", (2 * (F.max(F.when(F.col("lag") == 0, F.col("a"))).over(whole) - F.col("a"))).alias("d"))
     flat = F.max(F.abs("d")) <= 1e-15
@@ -141,4 +141,4 @@ def exponent_of_series(signals: DataFrame, slope: Column) -> DataFrame:
 
 def increments(signals: DataFrame) -> DataFrame:
     """(series_id, t, x): first differences."""
-    return signals.select("series_id", "t", (F.lead("x").over(BY_TIME) - F.col("x")).alias("x")).filter("x is not null")
+    return signals.select("series_id", "t", (F.lead("x").over(by_time()) - F.col("x")).alias("x")).filter("x is not null")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("series_id").orderBy("t")
+def by_time():
+    """The window of a series in time order. Made when asked for: workers import this module without a session."""
+    return Window.partitionBy("series_id").orderBy("t")
 
 
 def lagged(signals: DataFrame, lags: list[int]) -> DataFrame:
     """signals with columns p0, p1, ... of the values ``lags`` later; rows without all of them are dropped. One window, one shuffle."""
     if not lags:
         raise ValueError("no lags")
-    out = signals.select("series_id", "t", *(F.lead("x", lag).over(BY_TIME).alias(f"p{j}") if lag else F.col("x").alias(f"p{j}") for j, lag in enumerate(lags)))
+    out = signals.select("series_id", "t", *(F.lead("x", lag).over(by_time()).alias(f"p{j}") if lag else F.col("x").alias(f"p{j}") for j, lag in enumerate(lags)))
     last = max(range(len(lags)), key=lambda j: lags[j])
     return out.filter(F.col(f"p{last}").isNotNull())
 
@@ -67,7 +69,7 @@ def average_mutual_information(signals: DataFrame, tau_max: int = 100, n_bins: i
     taus = F.explode(F.sequence(F.lit(1), F.lit(tau_max))).alias("tau")
     # the window gathers the next tau_max bins of a point, so no self-join is needed
     ahead = F.collect_list("b").over(Window.partitionBy("series_id").orderBy("t").rowsBetween(1, tau_max))
-    later = binned.select("series_id", "b", F.posexplode(ahead).alias("k", "later")).select("series_id", (F.col("k") + 1).alias("tau"), "b", "later")
+    later = binned.select("series_id", "b", ahead.alias("ahead")).select("series_id", "b", F.posexplode("ahead").alias("k", "later")).select("series_id", (F.col("k") + 1).alias("tau"), "b", "later")
     joint = later.groupBy("series_id", "tau", "b", "later").agg(F.count("*").alias("c"))
     by = Window.partitionBy("series_id", "tau")
     n = F.sum("c").over(by)

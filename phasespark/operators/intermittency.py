@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasespark.operators.embedding import BY_TIME
+from phasespark.operators.embedding import by_time
 
-LAST = Window.partitionBy("series_id").orderBy("t")
 
 
 def positive_percentile(values: DataFrame, column: str, percentile: float) -> DataFrame:
@@ -19,18 +18,18 @@ def positive_percentile(values: DataFrame, column: str, percentile: float) -> Da
 
 def laminar_by_period(signals: DataFrame, period: int, percentile: float = 5.0) -> DataFrame:
     """(series_id, t, laminar): |x(t) - x(t - period)| at or under its percentile; the first ``period`` samples aren't laminar."""
-    gap = signals.select("series_id", "t", F.abs(F.col("x") - F.lag("x", period).over(BY_TIME)).alias("gap"))
+    gap = signals.select("series_id", "t", F.abs(F.col("x") - F.lag("x", period).over(by_time())).alias("gap"))
     eps = positive_percentile(gap, "gap", percentile)
     return gap.join(eps, "series_id", "left").select("series_id", "t", F.coalesce(F.col("gap") <= F.coalesce("eps", F.lit(0.0)), F.lit(False)).alias("laminar"))
 
 
 def laminar_by_variance(signals: DataFrame, window: int, percentile: float = 5.0) -> DataFrame:
     """(series_id, t, laminar): samples of any window of ``window`` whose deviation is at or under its percentile."""
-    ahead = BY_TIME.rowsBetween(0, window - 1)
+    ahead = by_time().rowsBetween(0, window - 1)
     spread = signals.select("series_id", "t", F.when(F.count("x").over(ahead) == window, F.stddev_pop("x").over(ahead)).alias("s"))
     eps = positive_percentile(spread, "s", percentile)
     low = spread.join(eps, "series_id", "left").withColumn("low", F.coalesce(F.col("s") <= F.coalesce("eps", F.lit(0.0)), F.lit(False)))
-    return low.select("series_id", "t", F.max("low").over(BY_TIME.rowsBetween(1 - window, 0)).alias("laminar"))
+    return low.select("series_id", "t", F.max("low").over(by_time().rowsBetween(1 - window, 0)).alias("laminar"))
 
 
 def laminar_by_recurrence(points: DataFrame, v_min: int = 2, **parameters) -> DataFrame:
@@ -46,7 +45,7 @@ def laminar_by_recurrence(points: DataFrame, v_min: int = 2, **parameters) -> Da
 def run_lengths(mask: DataFrame, laminar: bool = True, drop_final_censored: bool = False) -> DataFrame:
     """(series_id, start, length) of the runs of a mask; optionally without the run that the series' end cuts off."""
     cells = mask.filter(F.col("laminar") == laminar)
-    out = cells.select("series_id", "t", (F.col("t") - F.row_number().over(LAST)).alias("island")).groupBy("series_id", "island").agg(F.min("t").alias("start"), F.count("*").alias("length")).drop("island")
+    out = cells.select("series_id", "t", (F.col("t") - F.row_number().over(by_time())).alias("island")).groupBy("series_id", "island").agg(F.min("t").alias("start"), F.count("*").alias("length")).drop("island")
     if drop_final_censored:
         end = mask.groupBy("series_id").agg(F.max("t").alias("end"))
         out = out.join(end, "series_id").filter(F.col("start") + F.col("length") - 1 < F.col("end")).drop("end")
@@ -143,7 +142,7 @@ def power_law_bootstrap(observations: DataFrame, n_bootstrap: int = 100, min_tai
     """
     runs = observations.select("run_id", "value").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap))))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         run, boot = key
         x = np.sort(pdf["value"].to_numpy(np.float64))
         ks, low, alpha, n_tail = _fit(x, min_tail, discrete)
@@ -197,7 +196,7 @@ def mean_laminar_scaling(points: DataFrame) -> DataFrame:
 
 def reinjection(signals: DataFrame, mask: DataFrame) -> DataFrame:
     """(series_id, n, slope, alpha): entry points into laminar runs, their running mean M(x) against x, and (2m - 1)/(1 - m)."""
-    rows = signals.join(mask, ["series_id", "t"]).select("series_id", "t", "x", "laminar", F.lag("laminar").over(BY_TIME).alias("before"))
+    rows = signals.join(mask, ["series_id", "t"]).select("series_id", "t", "x", "laminar", F.lag("laminar").over(by_time()).alias("before"))
     entries = rows.filter("laminar and not before")
     up = Window.partitionBy("series_id").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
     m = entries.select("series_id", "x", F.avg("x").over(up).alias("m"))
@@ -222,8 +221,8 @@ def laminar_burst_symmetry(mask: DataFrame) -> DataFrame:
 def extrema(signals: DataFrame, kind: str = "max") -> DataFrame:
     """(series_id, t, x) of local extrema; a plateau counts once, at its middle (rounded down)."""
     x = F.col("x") if kind == "max" else -F.col("x")
-    marked = signals.select("series_id", "t", "x", x.alias("v")).withColumn("new", (F.lag("v").over(BY_TIME).isNull() | (F.lag("v").over(BY_TIME) != F.col("v"))).cast("int"))
-    flat = marked.withColumn("g", F.sum("new").over(BY_TIME)).groupBy("series_id", "g").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("v").alias("v"), F.min("x").alias("x"))
+    marked = signals.select("series_id", "t", "x", x.alias("v")).withColumn("new", (F.lag("v").over(by_time()).isNull() | (F.lag("v").over(by_time()) != F.col("v"))).cast("int"))
+    flat = marked.withColumn("g", F.sum("new").over(by_time())).groupBy("series_id", "g").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("v").alias("v"), F.min("x").alias("x"))
     by = Window.partitionBy("series_id").orderBy("lo")
     peaks = flat.withColumn("l", F.lag("v").over(by)).withColumn("r", F.lead("v").over(by)).filter("v > l and v > r")
     return peaks.select("series_id", F.floor((F.col("lo") + F.col("hi")) / 2).alias("t"), "x")
@@ -231,7 +230,7 @@ def extrema(signals: DataFrame, kind: str = "max") -> DataFrame:
 
 def return_map(signals: DataFrame, lag: int = 1) -> DataFrame:
     """(series_id, t, x, y): each value with the one ``lag`` later."""
-    return signals.select("series_id", "t", "x", F.lead("x", lag).over(BY_TIME).alias("y")).filter("y is not null")
+    return signals.select("series_id", "t", "x", F.lead("x", lag).over(by_time()).alias("y")).filter("y is not null")
 
 
 def extrema_return_map(signals: DataFrame, kind: str = "max") -> DataFrame:

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from phasespark.functions.maps import logistic, logistic_slope
 
-SITES = Window.partitionBy("run_id", "t").orderBy("site")
 GOLDEN = (5**0.5 - 1.0) / 2.0
 
 
+def by_site():
+    """The window of a lattice state in order of site."""
+    return Window.partitionBy("run_id", "t").orderBy("site")
+
+
 def model_a(x: Column, a: float = -0.01) -> Column:
     """The piecewise map with a weakly stable laminar branch."""
     return F.when(x < GOLDEN, x + x * x + a).otherwise(-3.0 * (x - GOLDEN) + 1.0 + a)
@@ -31,8 +35,8 @@ def model_c(x: Column, a: float = 1.752) -> Column:
 
 def _around(c: str) -> tuple[Column, Column]:
     """The neighbours' values on a ring, from one window over the sites."""
-    ring = SITES.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.coalesce(F.lag(c).over(SITES), F.last(c).over(ring)), F.coalesce(F.lead(c).over(SITES), F.first(c).over(ring))
+    ring = by_site().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(F.lag(c).over(by_site()), F.last(c).over(ring)), F.coalesce(F.lead(c).over(by_site()), F.first(c).over(ring))
 
 
 def cml_step(states: DataFrame, f: Callable[[Column], Column], g: Callable[[Column], Column], eps: float) -> DataFrame:
@@ -74,7 +78,7 @@ def periodic_runs(mask: DataFrame) -> DataFrame:
     """(run_id, t, length): runs of true sites on a ring, one across the seam counting once; a full ring is one run."""
     by = ["run_id", "t"]
     size = mask.groupBy(*by).agg(F.count("*").alias("n"))
-    on = mask.filter("burst").select(*by, "site", (F.col("site") - F.row_number().over(SITES)).alias("island"))
+    on = mask.filter("burst").select(*by, "site", (F.col("site") - F.row_number().over(by_site())).alias("island"))
     runs = on.groupBy(*by, "island").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count("*").alias("length")).join(size, by)
     seam = (F.col("lo") == 0) | (F.col("hi") == F.col("n") - 1)
     edge = F.count(F.when(seam, 1)).over(Window.partitionBy(*by)) == 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasespark.operators.embedding import BY_TIME
+from phasespark.operators.embedding import by_time
 
 #: The largest parameter grid of a nearest-parameter lookup.
 NEAREST_ROWS = 2000
@@ -19,7 +19,7 @@ def crossings(signals: DataFrame, fs: float = 1.0, direction: str = "up", delay:
     """
     mean = F.avg("x").over(Window.partitionBy("series_id"))
     s = signals.select("series_id", "t", "x", (F.col("x") - mean).alias("s"))
-    nxt = lambda c, k=1: F.lead(c, k).over(BY_TIME)
+    nxt = lambda c, k=1: F.lead(c, k).over(by_time())
     rows = s.select("series_id", "t", "s", nxt("s").alias("s1"), *(nxt("x", k * delay + j).alias(f"x{k}{j}") for k in (1, 2) for j in (0, 1)))
     up, down = (F.col("s") <= 0) & (F.col("s1") > 0), (F.col("s") >= 0) & (F.col("s1") < 0)
     hit = {"up": up, "down": down, "both": up | down}[direction]
@@ -41,8 +41,8 @@ def section_quality(found: DataFrame) -> DataFrame:
 def autocovariance(signals: DataFrame, max_lag: int) -> DataFrame:
     """(series_id, lag, acov): unbiased, for lags 0..max_lag. One window gathers the later values of a point; no self-join."""
     centred = signals.select("series_id", "t", (F.col("x") - F.avg("x").over(Window.partitionBy("series_id"))).alias("c"))
-    ahead = F.collect_list("c").over(BY_TIME.rowsBetween(0, max_lag))
-    terms = centred.select("series_id", "c", F.posexplode(ahead).alias("lag", "later"))
+    ahead = F.collect_list("c").over(by_time().rowsBetween(0, max_lag))
+    terms = centred.select("series_id", "c", ahead.alias("ahead")).select("series_id", "c", F.posexplode("ahead").alias("lag", "later"))
     return terms.groupBy("series_id", "lag").agg(F.avg(F.col("c") * F.col("later")).alias("acov"))
 
 
@@ -69,7 +69,7 @@ def spectrum(signals: DataFrame, max_frequency: int) -> DataFrame:
 def is_map_like(signals: DataFrame) -> DataFrame:
     """(series_id, map_like): lag-1 autocorrelation under 0.2 in absolute value."""
     mean = F.avg("x").over(Window.partitionBy("series_id"))
-    c = signals.select("series_id", "t", (F.col("x") - mean).alias("c")).withColumn("d", F.lead("c").over(BY_TIME))
+    c = signals.select("series_id", "t", (F.col("x") - mean).alias("c")).withColumn("d", F.lead("c").over(by_time()))
     r = F.try_divide(F.sum(F.col("c") * F.col("d")), F.sum(F.col("c") * F.col("c")))
     return c.groupBy("series_id").agg(F.coalesce(F.abs(r) < 0.2, F.lit(False)).alias("map_like"))
 
@@ -104,7 +104,7 @@ def sustained(signals: DataFrame, threshold: float = 0.02, min_run: int = 4) ->
 def longest_plateau(signals: DataFrame, target: float, tol: float) -> DataFrame:
     """(series_id, start, length) of the longest run of values within ``tol`` of the target; the first of equal ones."""
     near = signals.filter(F.abs(F.col("x") - target) <= tol)
-    island = F.col("t") - F.row_number().over(BY_TIME)
+    island = F.col("t") - F.row_number().over(by_time())
     found = near.select("series_id", "t", island.alias("i")).groupBy("series_id", "i").agg(F.min("t").alias("start"), F.count("*").alias("length"))
     best = found.groupBy("series_id").agg(F.max_by(F.struct("start", "length"), F.struct("length", -F.col("start"))).alias("b"))
     return best.select("series_id", "b.start", "b.length")

@@ -28,8 +28,8 @@ def orders_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series: revenue by ship date, rounded to cents so that the order of summation doesn't show."""
-    days = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("v"))
+    """One series: revenue by ship date, summed as decimals so that the order of summation doesn't show."""
+    days = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("v"))
     return as_signals(days, None, [F.col("day")], F.col("v"))
 
 
