@@ -201,7 +201,7 @@ def units(x: np.ndarray, lengths: np.ndarray, keys: np.ndarray, width: int, k: i
     start, count, doc = begin[cut], np.diff(np.r_[cut, len(begin)]), doc[cut]
     at = start + ((least[cut] & low).astype(np.int64) - start) % (1 << 24)
     top = U(64 - BITS)
-    anchor = gram[at] >> top
+    anchor = _mix(gram[at] + U(STEP)) >> top  # hashed anew: being minima, the hashes themselves crowd at the low end
     stop = start + count + width - 1
     content = _mix((prefix[stop] - prefix[start]) * back[start] + count.astype(U)) >> top
     owner = keys[doc]
