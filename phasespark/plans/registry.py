@@ -279,7 +279,7 @@ def map_like(spark, sf_dir):
 
 # --- multifractals ------------------------------------------------------------------------------------------------------------------
 
-FIELD = """pp AS (SELECT 0 AS f, l_partkey % 64 y, l_suppkey % 64 x, l_quantity m FROM lineitem), fld AS (SELECT f field_id, y, x, sum(m) mass FROM pp GROUP BY 1, 2, 3),
+FIELD = """pp AS (SELECT 0 AS f, l_partkey % 64 y, (l_suppkey * 13 + l_orderkey) % 64 x, l_quantity m FROM lineitem), fld AS (SELECT f field_id, y, x, sum(m) mass FROM pp GROUP BY 1, 2, 3),
  shp AS (SELECT field_id, max(y) + 1 ny, max(x) + 1 nx FROM fld GROUP BY 1),
  bx AS (SELECT field_id, box, y // box v, x // box u, sum(mass) m FROM fld JOIN shp USING (field_id), (SELECT unnest([2, 4, 8, 16]) box) WHERE (y // box + 1) * box <= ny AND (x // box + 1) * box <= nx GROUP BY 1, 2, 3, 4 HAVING sum(mass) > 0),
  pr AS (SELECT field_id, box, m / sum(m) OVER (PARTITION BY field_id, box) p FROM bx),
@@ -287,7 +287,7 @@ FIELD = """pp AS (SELECT 0 AS f, l_partkey % 64 y, l_suppkey % 64 x, l_quantity
 
 
 def quantity_field(spark, sf_dir) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 64).alias("y"), (F.col("l_suppkey") % 64).alias("x")).agg(F.sum("l_quantity").alias("mass"))
+    cells = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 64).alias("y"), ((F.col("l_suppkey") * 13 + F.col("l_orderkey")) % 64).alias("x")).agg(F.sum("l_quantity").alias("mass"))
     return cells.select(F.lit(0).alias("field_id"), "y", "x", "mass")
 
 
