@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasespark.operators import chaos, correlation, entropy, intermittency, lattice, multifractal, ordinal, recurrence, sections
+from phasespark.operators import chaos, correlation, entropy, intermittency, lattice, multifractal, ordinal, recurrence, sections, sweeps
 from phasespark.operators.embedding import average_mutual_information, cao, embed, false_nearest_neighbors, optimal_delay, select_dimension_cao
 from phasespark.sources import signals as src
 from phasespark.sources import simulate
@@ -652,3 +652,79 @@ def basin_grid(spark, sf_dir):
 def nearest_parameter(spark, sf_dir):
     grid = table(spark, sf_dir, "supplier").filter("s_suppkey < 40").select((F.col("s_suppkey") / 10.0).alias("q"), F.col("s_acctbal").alias("value"))
     return rounded(sections.nearest_parameter(table(spark, sf_dir, "part").select((F.col("p_size") / 7.0).alias("p")).distinct(), grid))
+
+
+# --- sweeps and composites ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""{LOG.format(n=120)}, sig AS (SELECT param_id, k - 21 t, x FROM walk WHERE k > 20), pts AS (SELECT * FROM (SELECT param_id, x p0, lead(x) OVER w p1, lead(x, 2) OVER w p2 FROM sig WINDOW w AS (PARTITION BY param_id ORDER BY t)) WHERE p2 IS NOT NULL),
+ pat AS (SELECT param_id, list_sort([{{'v': p0, 'i': 0}}, {{'v': p1, 'i': 1}}, {{'v': p2, 'i': 2}}]) s FROM pts), c AS (SELECT param_id, s[1].i * 9 + s[2].i * 3 + s[3].i k, count(*) n FROM pat GROUP BY 1, 2), p AS (SELECT param_id, n / sum(n) OVER (PARTITION BY param_id) p FROM c)
+ SELECT CAST(param_id AS BIGINT) param_id, 1.5 + 0.05 * param_id::DOUBLE a, round(-sum(p * ln(p)) / ln(6), 6) + 0.0 entropy FROM p GROUP BY param_id""")
+def permutation_entropy_of_logistic(spark, sf_dir):
+    out = sweeps.sweep(logistic_grid(spark), "logistic", 100, 20, lambda s: ordinal.permutation_entropy(s, 3))
+    return rounded(out)
+
+
+@query()
+def rqa_of_delayed_logistic(spark, sf_dir):
+    return rounded(sweeps.sweep(simulate.grid(spark, D=[1.3, 1.5]), "delayed_logistic", 150, 100, lambda s: recurrence.rqa(embed(s, 2, 1), percentile=5)))
+
+
+@query()
+def zero_one_of_logistic(spark, sf_dir):
+    return rounded(sweeps.sweep(logistic_grid(spark), "logistic", 200, 50, lambda s: chaos.zero_one_statistic(s, chaos.frequencies(10), 20)))
+
+
+@query("""RECURSIVE w(param_id, k, x) AS (SELECT k, 0, CAST(0 AS DOUBLE) FROM range(4) r(k) UNION ALL SELECT param_id, k + 1, x + 0.01 * (param_id + 1) + 1.0 * x * x FROM w WHERE k < 200 AND abs(x) < 1)
+ SELECT CAST(param_id AS BIGINT) param_id, CAST(min(k) FILTER (WHERE abs(x) >= 1) AS BIGINT) length FROM w GROUP BY param_id""")
+def escape_lengths(spark, sf_dir):
+    params = spark.range(4).select(F.col("id").alias("param_id"), (0.01 * (F.col("id") + 1)).alias("eps"), F.lit(0.0).alias("modulo"))
+    return sweeps.escape_lengths(params, "type_i", 1.0)
+
+
+@query()
+def spiral_escape_lengths(spark, sf_dir):
+    params = spark.range(5).select(F.col("id").alias("param_id"), F.lit(0.01).alias("eps"), F.lit(1.0).alias("a"), (0.05 * (F.col("id") + 1)).alias("x0"))
+    return sweeps.escape_lengths(params, "type_ii", 1.0)
+
+
+@query()
+def mean_off_lengths(spark, sf_dir):
+    params = simulate.grid(spark, eps=[0.45, 0.49], x0=[0.123 + 0.02 * k for k in range(10)])
+    lengths = sweeps.first_passage(simulate.trajectories(params, "on_off_skew", 200), "p1", 1e-6)
+    return rounded(params.join(lengths, "param_id").groupBy("eps").agg(F.avg("length").alias("length")))
+
+
+@query()
+def correlation_length(spark, sf_dir):
+    runs = lattice.simulate(simulate.grid(spark, a=[1.72], eps=[0.4]), 64, 50, 200)
+    return rounded(sweeps.correlation_length(lattice.spatial_autocorrelation(runs, 10)))
+
+
+@query(f"""{SIG}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 r, count(*) OVER (PARTITION BY series_id) n FROM sig)
+ SELECT series_id, t, x FROM r WHERE n <= 10 OR r = 0 OR (r * 9) // greatest(n - 1, 1) > ((r - 1) * 9) // greatest(n - 1, 1)""")
+def even_sample(spark, sf_dir):
+    return sweeps.even_sample(src.events_by_user(spark, sf_dir), "t", 10)
+
+
+@query(f"""{SIG}, r AS (SELECT * FROM (SELECT series_id, t, x, lead(x) OVER (PARTITION BY series_id ORDER BY t) y FROM sig) WHERE y IS NOT NULL)
+ SELECT series_id, t, x x0, x y0, x x1, y y1 FROM r UNION ALL SELECT series_id, t, x, y, y, y FROM r""")
+def cobweb(spark, sf_dir):
+    return sweeps.cobweb(src.events_by_user(spark, sf_dir))
+
+
+@query(f"{SIG}, m AS (SELECT *, min(x) OVER w lo, max(x) OVER w hi FROM sig WINDOW w AS (PARTITION BY series_id)) SELECT series_id, t, round(coalesce((x - lo) / nullif(hi - lo, 0), 0.5), 6) x FROM m")
+def min_max_normalised(spark, sf_dir):
+    return rounded(sweeps.min_max_normalised(src.events_by_user(spark, sf_dir), ["x"]))
+
+
+@query()
+def robust_dimension(spark, sf_dir):
+    signal = sweeps.series_of(_one(spark), "henon", 700, 100)
+    return rounded(sweeps.robust_dimension(signal, (2, 3, 4, 5), n_r=30))
+
+
+@query(f"{RING}, p AS (SELECT t f, CAST(x * 1000 AS BIGINT) u, site v FROM st), g AS (SELECT f, (u - min(u) OVER w) / nullif(max(u) OVER w - min(u) OVER w, 0) a, (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) b FROM p WINDOW w AS (PARTITION BY f)) SELECT f field_id, CAST(least(floor(coalesce(b, 0.5) * 8), 7) AS BIGINT) y, CAST(least(floor(coalesce(a, 0.5) * 8), 7) AS BIGINT) x, CAST(count(*) AS DOUBLE) mass FROM g GROUP BY ALL")
+def gridded_points(spark, sf_dir):
+    points = ring(spark, sf_dir).select(F.col("t").alias("field_id"), F.round(F.col("x") * 1000).cast("long").alias("u"), F.col("site").alias("v"))
+    return multifractal.gridded(points, "u", "v", 8)
