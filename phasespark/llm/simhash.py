@@ -3,12 +3,15 @@
 Fingerprints are compared by Hamming distance. A small tree of vantage points, grown on a bounded sample, deals the distinct
 fingerprints out: each has a home shard, and also visits the shards that the triangle inequality says may hold a neighbour across a
 boundary. Inside a shard the same kind of tree prunes further down to blocks that are compared whole. Of the links found, a shard
-returns a spanning forest, never all pairs; the forests are joined by distributed connected components.
+returns a spanning forest, never all pairs; the forests are joined by distributed connected components. With ``min_jaccard`` such groups
+are candidates only, and a pair in one links if the exact similarity of its shingle sets allows it.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,9 @@ from phasespark.llm.common import materialise
 from phasespark.llm.components import components
 
 CODE = T.StructType([T.StructField("words", T.ArrayType(T.LongType())), T.StructField("n_shingles", T.LongType())])
+SET_CODE = T.StructType([*CODE.fields, T.StructField("digest", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+#: Pairs whose smaller set has so many shingles at most become candidates by a shared shingle, whatever their fingerprints.
+SHORT = 12
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -37,19 +43,29 @@ def simhash(text: str | None, shingle_words: int = 4, words: int = 1, repeats: b
     A bit is 1 if it is set in over half of the shingle hashes, with or without ``repeats`` of a shingle. Fewer words than a shingle's: the whole sequence is
     the only shingle. No words, or null: all bits 0 and no shingle. Further 64-bit words vote with further hashes of each shingle.
     """
+    h = shingles(text, shingle_words, seed)
+    if not repeats:
+        h = np.unique(h)
+    return voted(h, words), len(h)
+
+
+def shingles(text: str | None, shingle_words: int, seed: int = 42) -> np.ndarray:
+    """The hashes of all shingles of a text, in order."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return [0] * words, 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))) + np.arange(len(tokens))
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(tokens) - shingle_words + 1)
     of, digest = memoryview(joined), xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[min(shingle_words, len(tokens)) - 1 :].tolist(), strict=True)
-    h = np.array([digest(of[a:b], seed) for a, b in spans], dtype=np.uint64)
-    if not repeats:
-        h = np.unique(h)
-        n = len(h)
+    return np.array([digest(of[a:b], seed) for a, b in spans], dtype=np.uint64)
+
+
+def voted(h: np.ndarray, words: int) -> list[int]:
+    """The 64-bit words of the fingerprint of shingle hashes."""
+    n = len(h)
     out = []
     for k in range(words):
         votes = np.zeros(64, dtype=np.int64)
@@ -57,7 +73,7 @@ def simhash(text: str | None, shingle_words: int = 4, words: int = 1, repeats: b
             part = _mixed(h[i : i + 65536], k) if k else h[i : i + 65536]
             votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0]))
-    return out, n
+    return out
 
 
 def coded(text: Column, shingle_words: int = 4, words: int = 1, repeats: bool = True) -> Column:
@@ -71,6 +87,31 @@ def coded(text: Column, shingle_words: int = 4, words: int = 1, repeats: bool =
     return code(text)
 
 
+def coded_sets(text: Column, shingle_words: int, words: int, min_jaccard: float) -> Column:
+    """As ``coded`` without repeats, with a digest of the set of shingles, and for short texts the prefix of the sorted set.
+
+    Of n shingles the prefix has n - ceil(min_jaccard n) + 1: sets that are similar enough share a shingle of both prefixes.
+    """
+    share = Fraction(str(min_jaccard))
+
+    @F.arrow_udf(SET_CODE)
+    def code(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            h = np.unique(shingles(t.as_py(), shingle_words))
+            short = h[: len(h) + 1 - math.ceil(share * len(h))] if 0 < len(h) <= SHORT / share else h[:0]
+            out.append({"words": voted(h, words), "n_shingles": len(h), "digest": digest_of(h), "prefix": short.view(np.int64).tolist()})
+        kinds = [("words", pa.list_(pa.int64())), ("n_shingles", pa.int64()), ("digest", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+        return pa.array(out, pa.struct(kinds))
+
+    return code(text)
+
+
+def digest_of(h: np.ndarray) -> int:
+    """A 64-bit sum that tells sets of shingle hashes apart."""
+    return int(_mixed(h, 99).sum(dtype=np.uint64).astype(np.int64)) if len(h) else 0
+
+
 @dataclass
 class VantageTree:
     """Arrays of a tree over 64-bit codes: inner nodes hold a vantage code and a median distance, leaves are shards."""
@@ -143,9 +184,11 @@ class Linker:
     def _accept(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of candidate pairs, those that hold on the further words and sizes."""
         if self.codes.shape[1] > 1 and len(i):
-            d = sum(np.bitwise_count(self.codes[i, k] ^ self.codes[j, k]).astype(np.int64) for k in range(self.codes.shape[1]))
             lo, hi = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
-            keep = (d <= self.wide_limit) & (lo >= self.min_ratio * hi)
+            keep = lo >= self.min_ratio * hi
+            i, j = i[keep], j[keep]
+            d = sum(np.bitwise_count(self.codes[i, k] ^ self.codes[j, k]).astype(np.int64) for k in range(self.codes.shape[1]))
+            keep = d <= self.wide_limit
             i, j = i[keep], j[keep]
         return i, j
 
@@ -280,6 +323,94 @@ def _deal_guests(tree: VantageTree, codes: np.ndarray, radius: int):
 VantageTree.deal_guests = staticmethod(_deal_guests)
 
 
+def short_links(codes: DataFrame) -> DataFrame:
+    """(a, b): each short code with the smallest id that has a shingle of its prefix. A star a shingle, never all pairs."""
+    held = codes.select("id", F.explode("prefix").alias("h"))
+    least = held.groupBy("h").agg(F.min("id").alias("least"))
+    return held.join(least, "h").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+
+
+def exact_links(codes: np.ndarray, sets: list[np.ndarray], guest: np.ndarray, cross: bool, wide_limit: int, min_jaccard: float) -> np.ndarray:
+    """The group of each position, after all pairs that hold exactly have been joined; of ``cross``, only those of a guest and another.
+
+    Pairs that are in one group already need no check. Others are checked if their fingerprints or their shortness make them candidates.
+    """
+    share = Fraction(str(min_jaccard))
+    p, q = share.numerator, share.denominator
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    order = np.argsort(size, kind="stable")
+    group = np.arange(len(sets))
+    right = order[guest[order]] if cross else order
+    right_size = size[right]
+    for k, i in enumerate(order if not cross else order[~guest[order]]):
+        lo = np.searchsorted(right_size, -(-size[i] * p // q), "left") if cross else k + 1
+        j = right[lo : np.searchsorted(right_size, size[i] * q // p, "right")]
+        j = j[group[j] != group[i]]
+        if not len(j):
+            continue
+        d = np.bitwise_count(codes[j] ^ codes[i]).sum(axis=1, dtype=np.int64)
+        j = j[(d <= wide_limit) | (np.minimum(size[j], size[i]) <= SHORT)]
+        if not len(j) or not size[i]:
+            continue
+        flat = np.concatenate([sets[x] for x in j])
+        at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+        shared = np.add.reduceat(sets[i][at] == flat, np.r_[0, np.cumsum(size[j])[:-1]], dtype=np.int64)
+        j = j[shared * (p + q) >= p * (size[i] + size[j])]
+        if len(j):
+            joined = np.unique(np.r_[group[i], group[j]])
+            group[np.isin(group, joined)] = joined[0]
+    return group
+
+
+def verified_links(docs: DataFrame, candidates: DataFrame, shingle_words: int, wide_limit: int, min_jaccard: float, tile_shingles: int) -> DataFrame:
+    """A forest (a, b) of the pairs of ``candidates`` (id, root, words, n_shingles, digest) whose shingle sets are similar enough.
+
+    ``docs``: (key, text). Pairs are sought within a root. Small groups share a tile; a group over ``tile_shingles`` is cut into blocks,
+    and a tile is a pair of blocks, so that no task holds more than two blocks.
+    """
+    weight = F.col("n_shingles") + 8
+    groups = materialise(candidates.groupBy("root").agg(F.sum(weight).alias("weight")), "groups")
+    total = groups.agg(F.sum("weight")).first()[0] or 0
+    tiles = max(64, -(-total // tile_shingles))
+    groups = groups.select("root", F.ceil(F.col("weight") / tile_shingles).cast("int").alias("blocks"))
+    members = candidates.join(groups, "root").withColumn("block", F.pmod(F.xxhash64("id", "digest"), F.col("blocks")).cast("int"))
+    members = members.select("id", "root", "words", "digest", "blocks", "block")
+    texts = docs.filter("key is not null").join(members.select(F.col("id").alias("key")).distinct(), "key").select("key", "text")
+
+    def sets(batches):
+        for batch in batches:
+            h = [np.unique(shingles(t.as_py(), shingle_words)) for t in batch.column("text")]
+            found = [pa.array([digest_of(x) for x in h], pa.int64()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *found], names=["id", "digest", "shingles"])
+
+    held = texts.mapInArrow(sets, "id long, digest long, shingles array<long>").dropDuplicates(["id", "digest"]).join(members, ["id", "digest"])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = held.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tiles))).otherwise(F.col("root"))
+    held = held.select(tile.alias("tile"), (F.col("blocks") > 1).alias("large"), "lo", "hi", (F.col("block") > F.col("lo")).alias("guest"), "id", "root", "words", "shingles")
+
+    def verify(tile: pa.Table) -> pa.Table:
+        ids, roots = np.asarray(tile.column("id").combine_chunks()), np.asarray(tile.column("root").combine_chunks())
+        guest = np.asarray(tile.column("guest").combine_chunks().cast(pa.int8())).astype(bool)
+        codes = np.asarray(tile.column("words").combine_chunks().flatten()).view(np.uint64).reshape(len(ids), -1)
+        lists = tile.column("shingles").combine_chunks()
+        flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.cumsum(np.asarray(lists.value_lengths()))
+        cross = tile.column("lo")[0] != tile.column("hi")[0]
+        order = np.argsort(roots, kind="stable")
+        a, b = [ids[:0]], [ids[:0]]
+        for at in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            group = exact_links(codes[at], [flat[ends[k - 1] if k else 0 : ends[k]] for k in at], guest[at], cross, wide_limit, min_jaccard)
+            smallest = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(smallest, group, ids[at])
+            root = smallest[group]
+            apart = root != ids[at]
+            a.append(ids[at][apart])
+            b.append(root[apart])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return held.groupBy("tile", "large", "lo", "hi").applyInArrow(verify, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -292,6 +423,8 @@ def near_duplicates(
     wide_limit: int = 0,
     min_ratio: float = 0.0,
     shard_codes: int = 65536,
+    min_jaccard: float = 0.0,
+    tile_shingles: int = 2_000_000,
 ) -> DataFrame:
     """One row (key, words, n_shingles, component_id) per row of ``docs``.
 
@@ -299,7 +432,12 @@ def near_duplicates(
     most ``wide_limit`` bits and the numbers of shingles by no more than ``min_ratio``. component_id is the smallest key reachable,
     the row's own included. Null and empty texts share the zero fingerprint. Rows with a null key keep their fingerprint and take the
     component of the other rows that have it, if any; repeated rows stay. An empty table gives no rows.
+
+    With ``min_jaccard`` (sets of shingles, so without ``repeats``) the links by fingerprints, and those of short texts that share a
+    shingle, only make candidates: a pair links if the exact Jaccard similarity of its sets is ``min_jaccard`` or more.
     """
+    if min_jaccard:
+        return _verified_duplicates(docs, key, text, shingle_words, radius, words, wide_limit, min_ratio, shard_codes, min_jaccard, tile_shingles)
     rows = docs.select(F.col(key).alias("key"), coded(F.col(text), shingle_words, words, repeats).alias("code"))
     rows = materialise(rows.select("key", "code.words", "code.n_shingles"), "codes")
     same = ["words"] if not min_ratio else ["words", "n_shingles"]
@@ -314,9 +452,25 @@ def near_duplicates(
     return rows.join(classes, same, "left").select(F.col("key").alias(key), "words", "n_shingles", "component_id")
 
 
-#: SimHash similarity of five-word shingles of about 0.8 or more. Sets of likeness J differ in a share p of the bits with
-#: cos(pi p) = 2 J / (1 + J): 0.152 at 0.8, with a deviation of 8 in 512 bits; the limits stand one deviation above.
-SIMILAR = {"shingle_words": 5, "words": 8, "repeats": False, "wide_limit": 86, "radius": 18, "min_ratio": 0.76, "shard_codes": 262_144}
+def _verified_duplicates(docs, key, text, shingle_words, radius, words, wide_limit, min_ratio, shard_codes, min_jaccard, tile_shingles) -> DataFrame:
+    """``near_duplicates`` with ``min_jaccard``: rows are alike as they have the same set of shingles, not the same fingerprint."""
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select("key", coded_sets(F.col("text"), shingle_words, words, min_jaccard).alias("code"))
+    rows = materialise(rows.select("key", "code.*"), "codes")
+    same = ["words", "n_shingles", "digest"]
+    codes = materialise(rows.filter("key is not null").groupBy(*same).agg(F.min("key").alias("id"), F.first("prefix").alias("prefix")), "distinct")
+    near = near_links(codes, radius, wide_limit=wide_limit, min_ratio=min_ratio, shard_codes=shard_codes)
+    near = materialise(components(near.unionByName(short_links(codes))), "candidates")
+    candidates = materialise(codes.join(near, codes["id"] == near["node"]).select("id", "root", *same), "candidates")
+    found = components(verified_links(docs, candidates, shingle_words, wide_limit, min_jaccard, tile_shingles))
+    classes = codes.join(found, codes["id"] == found["node"], "left").select(*same, F.coalesce("root", "id").alias("component_id"))
+    return rows.join(classes, same, "left").select(F.col("key").alias(key), "words", "n_shingles", "component_id")
+
+
+#: Exact similarity of five-word shingles of 0.8 or more. Sets of likeness J differ in a share p of the bits with
+#: cos(pi p) = 2 J / (1 + J): 0.152 at 0.8, with a deviation of 8 in 512 bits and 2.9 in 64; the limits for candidates stand over seven and
+#: four deviations above. Sets of up to SHORT shingles, where p is up to 0.19, don't depend on them.
+SIMILAR = {"shingle_words": 5, "words": 8, "repeats": False, "wide_limit": 140, "radius": 22, "min_ratio": 0.76, "shard_codes": 262_144, "min_jaccard": 0.8}
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
