@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasespark.operators.embedding import by_time
 
-#: The largest parameter grid of a nearest-parameter lookup.
-NEAREST_ROWS = 2000
-
 
 def crossings(signals: DataFrame, fs: float = 1.0, direction: str = "up", delay: int = 1) -> DataFrame:
     """(series_id, k, time, u, v): crossings of the series' mean, in seconds by linear interpolation, with the value ``delay`` and twice
@@ -117,16 +115,31 @@ def cluster_labels(states: DataFrame, tol: float = 1e-6) -> DataFrame:
     return states.withColumn("new", new).select("run_id", "t", "site", F.sum("new").over(by).alias("label"))
 
 
-def nearest_parameter(queries: DataFrame, grid: DataFrame) -> DataFrame:
+def nearest_parameter(queries: DataFrame, grid: DataFrame, range_rows: int = 100_000) -> DataFrame:
     """(p, q, value): for each p of ``queries`` the row of ``grid`` (q, value) with the nearest q; the smaller of two equally near.
 
-    ``grid`` is a parameter grid, small whatever the queries: it is checked against ``NEAREST_ROWS`` and packed in one sorted array.
+    Both are cut into ranges of about ``range_rows`` keys. Within a range the last lower and the next higher q come from windows; only the
+    ends of the ranges go to the driver, to fill in for ranges that hold no such q. A null p takes the smallest q; null q are left out.
     """
-    if grid.limit(NEAREST_ROWS + 1).count() > NEAREST_ROWS:
-        raise ValueError(f"a parameter grid has at most {NEAREST_ROWS} rows")
-    packed = grid.agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("g"))
-    row = packed.first()["g"]
-    if not row:
-        return queries.select("p", F.lit(None).cast("double").alias("q"), F.lit(None).cast("double").alias("value"))
-    near = F.array_min(F.transform(F.array(*[F.struct(F.lit(r["q"]).alias("q"), F.lit(r["value"]).alias("value")) for r in row]), lambda g: F.struct(F.abs(g["q"] - F.col("p")).alias("d"), g["q"].alias("q"), g["value"].alias("value"))))
-    return queries.select("p", near.alias("n")).select("p", "n.q", "n.value")
+    rows = grid.groupBy("q").agg(F.min("value").alias("value")).select(F.col("q").cast("double").alias("x"), F.when(F.col("q").isNotNull(), F.struct("q", "value")).alias("g"))
+    kind = rows.schema["g"].dataType
+    keys = queries.select("p").distinct().withColumn("x", F.coalesce(F.col("p").cast("double"), F.lit(float("-inf"))))
+    both = rows.join(keys.withColumn("asked", F.lit(True)), "x", "full").select("x", "p", "g", "asked")
+    ranges = max(1, -(-both.count() // range_rows))
+    cuts = both.approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
+    both = both.withColumn("range", place)
+    ends = both.groupBy("range").agg(F.min("g").alias("first"), F.max("g").alias("last")).collect()
+    ends = {r["range"]: r for r in ends if r["first"] is not None}
+    below, above = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for k in range(1, len(cuts) + 1):
+        below[k] = ends[k - 1]["last"] if k - 1 in ends else below[k - 1]
+        above[-1 - k] = ends[len(cuts) + 1 - k]["first"] if len(cuts) + 1 - k in ends else above[-k]
+    held = T.StructType([T.StructField(name, t, True) for name, t in (("range", T.IntegerType()), ("below", kind), ("above", kind))])
+    beside = queries.sparkSession.createDataFrame([(k, below[k], above[k]) for k in range(len(cuts) + 1)], held)
+    last = lambda x: F.last("g", ignorenulls=True).over(Window.partitionBy("range").orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumn("lo", last(F.col("x"))).withColumn("hi", last(F.col("x").desc())).filter("asked")
+    both = both.join(F.broadcast(beside), "range").withColumn("lo", F.coalesce("lo", "below")).withColumn("hi", F.coalesce("hi", "above"))
+    lower = F.col("hi").isNull() | (F.col("p") - F.col("lo.q") <= F.col("hi.q") - F.col("p"))
+    near = both.select(F.col("p").alias("_p"), F.when(lower, F.col("lo")).otherwise(F.col("hi")).alias("n"))
+    return queries.join(near, F.col("p").eqNullSafe(F.col("_p")), "left").select("p", "n.q", "n.value")
