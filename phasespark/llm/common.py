@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lower-casing of A-Z only, so that results don't depend on a Unicode version.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,12 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a local one is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a master on this machine gets a temporary folder, which goes
+    when the process ends; any other master is an error, as its executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -37,13 +45,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a broadcast side may hold, as counted by ``fits``.
+BROADCAST_BYTES = 32 << 20
+
+
+def _bytes(df: DataFrame, name: str) -> Column:
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = (lambda x: F.octet_length(x) + 16) if isinstance(kind.elementType, (T.StringType, T.BinaryType)) else (lambda x: F.lit(32))
+        return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda acc, x: acc + F.coalesce(inner(x), F.lit(0))), F.lit(0))
+    return F.lit(16)
+
+
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` take ``most`` bytes at most, counted over all of them."""
+    size = sum((_bytes(df, c) for c in df.columns), F.lit(32).cast("long"))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= most
+
+
+def side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it fits; a larger one is joined as Spark sees fit, that is by shuffle."""
+    return F.broadcast(df) if fits(df, most) else df
+
+
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``, is ``remainder``. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once: inside a lambda a plain column expression is evaluated again for each element."""
     return F.transform(F.array(value), body)[0]

@@ -13,12 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from phasespark.llm.common import let
+from phasespark.llm.common import let, materialise, side
 
 SPACES = " \t\n\x0b\f\r"
-#: Index rows that may be broadcast (some 50 bytes each); a larger index is joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -65,10 +64,9 @@ def contaminated(
     own = own.withColumn("n", F.least(F.col("n"), F.lit(shingle_words)))
     lengths = [r["n"] for r in own.select("n").distinct().collect()]  # shingle_words values at most
     if not lengths:
-        return docs.select(F.col(doc_id).alias(doc_id)).limit(0).join(
-            items.select(F.col(item_id).alias(item_id), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment")).limit(0),
-            F.lit(True),
-        )
+        kinds = {doc_id: docs.schema[doc_id].dataType, item_id: items.schema[item_id].dataType}
+        kinds |= {"n_shingles": T.IntegerType(), "n_found": T.IntegerType(), "containment": T.DoubleType()}
+        return docs.sparkSession.createDataFrame([], T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
     missable = lambda q: F.floor(q * F.lit(share.denominator - share.numerator) / F.lit(share.denominator)).cast("int")
     rows = []
     for n in lengths:
@@ -77,21 +75,20 @@ def contaminated(
         q = q.withColumn("k", F.least(F.size("h"), missable(upper) + 1)).withColumn("need", F.col("k") - missable(F.size("h")))
         sketch = F.slice(F.array_sort("h"), F.lit(1), F.col("k"))
         rows.append(q.select("item", "n", "need", F.explode(sketch).alias("h")))
-    index = reduce(DataFrame.unionByName, rows)
-    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda df: df)
+    index = materialise(reduce(DataFrame.unionByName, rows), "index")
+    index = side(index)
 
     read = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     hits = [
-        read.select("doc", F.explode(_hashes(F.col("t"), n)).alias("h")).join(side(index.filter(F.col("n") == n)), "h").select("doc", "item", "need")
+        read.select("doc", F.explode(_hashes(F.col("t"), n)).alias("h")).join(index.filter(F.col("n") == n), "h").select("doc", "item", "need")
         for n in lengths
     ]
     found = reduce(DataFrame.unionByName, hits).groupBy("doc", "item", "need").count().filter(F.col("count") >= F.col("need"))
-    found = found.select("doc", "item")
+    found = materialise(found.select(F.col("doc").alias("d"), F.col("item").alias("i")), "candidates")
 
-    tests = own.select("item", _shingles(F.col("t"), F.col("n")).alias("s"))
-    pairs = found.join(side(tests), found["item"].eqNullSafe(tests["item"])).drop(tests["item"])
-    pairs = pairs.join(read.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d")))
+    # The candidates go to the texts, not the texts to the candidates: those without one never leave their scan.
+    tests = materialise(own.select("item", _shingles(F.col("t"), F.col("n")).alias("s")), "tests")
+    pairs = read.join(side(found), F.col("doc").eqNullSafe(F.col("d"))).join(side(tests), F.col("i").eqNullSafe(F.col("item")))
     joined = F.concat(F.lit(" "), F.array_join(words(F.col("t")), " "), F.lit(" "))
     n_found = let(joined, lambda t: F.size(F.filter("s", lambda s: F.contains(t, s))))
     out = pairs.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.size("s").alias("n_shingles"), n_found.alias("n_found"))

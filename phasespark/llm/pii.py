@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasespark.llm.common import let, materialise
+from phasespark.llm.common import let, materialise, side
 
 # Fixed patterns, each with the same leftmost, greedy, non-overlapping matches as the plain form; possessive, so that they take linear
 # time and no stack on long runs.
@@ -184,7 +184,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **parameter
 
         return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
 
-    joined = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = joined.join(spans, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h0") == F.col("_h")), "left")
-    new = F.when(F.col("spans").isNull(), F.col(text)).otherwise(let(F.col(text), lambda t: cut(t, F.col("spans"))))
-    return joined.withColumn(text, new).select(*docs.columns)
+    row = docs.select(F.struct("*").alias("row"))  # so that no name of the rows meets those of the spans
+    t, k = F.col("row")[text], F.col("row")[key]
+    same = k.eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("_h"))
+    joined = row.join(side(materialise(spans, "spans")), same, "left")
+    new = F.when(F.col("spans").isNull(), t).otherwise(let(t, lambda t: cut(t, F.col("spans"))))
+    return joined.select(*((new if c == text else F.col("row")[c]).alias(c) for c in docs.columns))

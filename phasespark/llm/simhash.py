@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phasespark.llm.common import materialise
+from phasespark.llm.common import materialise, side
 from phasespark.llm.components import components
 
 CODE = T.StructType([T.StructField("words", T.ArrayType(T.LongType())), T.StructField("n_shingles", T.LongType())])
@@ -481,7 +481,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **para
     rows = near_duplicates(docs, key=key, text=text, **(parameters or SIMILAR))
     rows = materialise(rows.select(F.col(key).alias("_k"), "component_id"), "classes")
     n, distinct = rows.filter("_k is not null").agg(F.count("*"), F.countDistinct("_k")).first()
-    out = docs.join(rows.filter("component_id <> _k").select("_k").distinct(), F.col(key) == F.col("_k"), "left_anti")
+    out = docs.join(side(rows.filter("component_id <> _k").select("_k").distinct()), F.col(key) == F.col("_k"), "left_anti")
     if n != distinct:
         out = out.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
     return out

@@ -1,57 +1,77 @@
 """Document fingerprints by winnowing, in DataFrame operations.
 
-A text is cut into pieces: up to ``PIECE`` letters of a word, or a single sign of a script without word spaces. Every run of k pieces is
-hashed; of every window of w consecutive hashes the smallest is kept, the rightmost among equal ones, with its position. Two texts that
-share a run of k + w - 1 pieces therefore share a fingerprint entry.
+Every run of k characters (code points) is hashed; of every window of w consecutive hashes the smallest is kept, the rightmost among
+equal ones, with its position. Two texts that share a run of k + w - 1 characters therefore share a hash, wherever the run stands.
+
+SQL functions keep no state along an array, so hashes aren't rolled from one place to the next but taken of k characters of the text in
+UTF-32, where places are found at once; the window minima are rolled by doubling, over 2, 4, 8.. places.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasespark.llm.common import let
 
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-PIECE = 4
-PIECES = rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,{PIECE}}}"
-#: The low bits of an entry hold the position, counted down so that the rightmost of equal hashes is the smallest entry.
-POSITION_BITS = 24
-LAST = (1 << POSITION_BITS) - 1
+#: Windows of a text taken at a time; bounds the memory of a very long text and changes no result.
+BLOCK = 1 << 16
+ENTRY = "array<struct<h:bigint,at:bigint>>"
+
+
+def _hashes(block: Column, k: int) -> Column:
+    """The hashes of the runs of k characters of a block in UTF-32; of a shorter one, the hash of all of it."""
+    last = F.greatest(F.octet_length(block) / 4 - k, F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(block, i * 4 + 1, F.lit(4 * k))))
+
+
+def _minima(h: Column, w: int) -> Column:
+    """The places of the rightmost smallest hash of each window, or of the only window if there are fewer than w hashes."""
+    smaller = lambda a, b: F.when(h[b] <= h[a], b).otherwise(a)  # noqa: E731  b stands to the right
+
+    def wider(places: Column, step: int) -> Column:
+        return let(places, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - step), F.slice(p, 1 + step, F.size(p) - step), smaller))
 
+    places = F.sequence(F.lit(0), F.size(h) - 1)
+    span = 1
+    while span < w:
+        places, span = wider(places, min(span, w - span)), min(2 * span, w)
+    only = F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), F.lit(0), smaller)
+    return F.when(F.size(h) < w, F.array(only)).otherwise(F.array_distinct(places))
 
-def entries(text: Column, k: int = 4, w: int = 10) -> Column:
-    """The distinct window minima of a text as longs, hash and position in one, in order of position.
 
-    Fewer than k pieces: one hash of all of them; fewer than w hashes: one window. Null, empty and blank texts have no entries. The
-    position wraps at 2**24 pieces, which only affects which of equal hashes in the same window is kept.
+def entries(text: Column, k: int = 8, w: int = 16) -> Column:
+    """The window minima of a text as structs (h: 64-bit hash, at: position in code points), by position.
+
+    Fewer than k characters: one hash of all of them; fewer than w hashes: one window. Null and empty texts have no entries. Texts are
+    taken in blocks of windows, so that memory is bounded whatever their length.
     """
 
-    def keys(pieces: Column) -> Column:
-        n = F.greatest(F.size(pieces) - k + 1, F.lit(1))
-        h = F.transform(pieces, lambda p: F.xxhash64(p))
-        place = lambda i: F.lit(LAST) - F.pmod(i, F.lit(LAST + 1))
-        key = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(place(i).cast("long"))
-        return let(h, lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(F.xxhash64(*[F.get(h, i + j) for j in range(k)]), i)))
+    def of(points: Column) -> Column:
+        windows = F.greatest(F.octet_length(points) / 4 - (k + w - 2), F.lit(1)).cast("long")
+
+        def block(start: Column) -> Column:
+            part = F.substring(points, (start * 4 + 1).cast("int"), (F.least(windows - start, F.lit(BLOCK)) * 4 + 4 * (k + w - 2)).cast("int"))
+            named = lambda h: F.transform(_minima(h, w), lambda p: F.struct(h[p].alias("h"), (start + p).alias("at")))
+            return let(let(part, lambda b: _hashes(b, k)), named)
 
-    def minima(keys: Column) -> Column:
-        windows = F.sequence(F.lit(1), F.greatest(F.size(keys) - w + 1, F.lit(1)))
-        return F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(keys, i, w))))
+        blocks = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), windows - 1, F.lit(BLOCK).cast("long")), block))
+        # windows on both sides of a border may have chosen the same place
+        once = let(blocks, lambda e: F.filter(e, lambda x, i: (i == 0) | (x["at"] != F.get(e, i - 1)["at"])))
+        return F.when(F.octet_length(points) == 0, F.array().cast(ENTRY)).otherwise(once)
 
-    none = F.array().cast("array<long>")
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0))
-    return let(found, lambda p: F.when(F.size(p) == 0, none).otherwise(let(keys(p), minima)))
+    return let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), of)
 
 
 def hashes(found: Column) -> Column:
     """The set of an entry array's hashes."""
-    return F.array_distinct(F.transform(found, lambda e: F.shiftrightunsigned(e, POSITION_BITS)))
+    return F.array_distinct(F.transform(found, lambda e: e["h"]))
 
 
 def shown(found: Column) -> Column:
     """Entries as text: hash in hexadecimal, colon, position; joined by spaces."""
-    position = lambda e: (F.lit(LAST) - e.bitwiseAND(F.lit(LAST))).cast("string")
-    return F.array_join(F.transform(found, lambda e: F.concat(F.lower(F.hex(F.shiftrightunsigned(e, POSITION_BITS))), F.lit(":"), position(e))), " ")
+    return F.array_join(F.transform(found, lambda e: F.concat(F.lower(F.hex(e["h"])), F.lit(":"), e["at"].cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,46 +83,85 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), ratio)
 
 
+def _replaced(text: Column) -> Column:
+    return F.floor(F.length(text) / 4).cast("int")
+
+
 def edited(text: Column, following: Column) -> Column:
     """``text`` with its last quarter (rounded down, code points) replaced by as much of the beginning of ``following``, or all of it."""
-    m = F.floor(F.length(text) / 4).cast("int")
+    m = _replaced(text)
     return F.concat(F.substring(text, F.lit(1), F.length(text) - m), F.substring(following, F.lit(1), m))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], rows_per_bucket: int = 4096, max_buckets: int = 20_000) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the next row by (key, first of ``columns``), the first row's after the last.
+def edited_entries(text: Column, found: Column, new: Column, k: int = 8, w: int = 16) -> Column:
+    """The entries of the edited text ``new`` from those of ``text``: only windows that reach the edit are taken anew.
+
+    Chosen places never go back from one window to the next. So those before the first choice of the new windows were chosen by older
+    windows, which both texts have.
+    """
+    kept = F.length(text) - _replaced(text)
+    start = F.greatest(kept - (k + w - 1), F.lit(0))
+
+    def join(late: Column) -> Column:
+        moved = F.transform(late, lambda e: F.struct(e["h"].alias("h"), (e["at"] + start).alias("at")))
+        return F.concat(F.filter(found, lambda e: e["at"] < late[0]["at"] + start), moved)
+
+    late = entries(F.substring(new, start + 1, F.length(new)), k, w)
+    return F.when(kept < k + w - 1, late).otherwise(let(late, join))
+
+
+def _bucket(rank: Column, bounds: list[int]) -> Column:
+    """The number of the last of the sorted ``bounds`` that is not over ``rank``, by binary search."""
+    steps = max(1, (len(bounds) - 1).bit_length())
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        over = (middle > acc["lo"]) & (F.get(edges, middle) > rank)
+        return F.struct(F.when(over, acc["lo"]).otherwise(middle).alias("lo"), F.when(over, middle).otherwise(acc["hi"]).alias("hi"))
+
+    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: acc["lo"])
+
+
+def with_next(docs: DataFrame, key: str, columns: dict[str, Column], rows_per_bucket: int = 4096, max_buckets: int = 20_000) -> DataFrame:
+    """(key, text) rows with ``columns``, and ``next_text`` and ``next_<column>`` of the next row by (key, text), the first row's after the last.
 
     The order is dealt into buckets by quantiles of the key, so that no task holds it all; a bucket's first row is also sent to the
-    bucket before. Null keys come first. One row is its own next; rows with one and the same key share a bucket.
+    bucket before. ``columns`` are computed after that, so that only texts are moved. Null keys come first. One row is its own next;
+    rows with one and the same key share a bucket, which is sorted on disk if need be.
     """
     rank = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     n = docs.count()
     buckets = max(1, min(max_buckets, n // rows_per_bucket))
     shares = [i / buckets for i in range(1, buckets)]
     ends = docs.select(rank.alias("r")).agg(F.min("r"), *([F.percentile_approx("r", shares, 10 * buckets + 10_000)] if shares else [])).first()
-    if ends[0] is None:
-        bounds = [0]
-    else:
-        bounds = sorted({ends[0], *(ends[1] if shares else [])})  # values of the key, each the least of its bucket
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    own = F.size(F.filter(edges, lambda b: b <= rank)) - 1
-    before = F.pmod(own - 1, F.lit(len(bounds)))
-    copies = F.when(F.array_contains(edges, rank), F.array(F.struct(own.alias("b"), F.lit(0).alias("late")), F.struct(before.alias("b"), F.lit(1).alias("late"))))
-    dealt = docs.withColumn("_to", F.explode(copies.otherwise(F.array(F.struct(own.alias("b"), F.lit(0).alias("late"))))))
-    order = Window.partitionBy("_to.b").orderBy("_to.late", F.col(key).asc_nulls_first(), F.col(columns[0]).asc_nulls_first())
-    led = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return led.filter("_to.late = 0").drop("_to")
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, w: int = 10) -> DataFrame:
+    bounds = [0] if ends[0] is None else sorted({ends[0], *(ends[1] if shares else [])})  # keys, each the least of its bucket
+    own = _bucket(rank, bounds)
+    placed = docs.withColumn("_b", own).withColumn("_first", F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("_b")) == rank)
+    place = lambda b, late: F.struct(b.cast("int").alias("b"), F.lit(late).alias("late"))
+    before = F.pmod(F.col("_b") - 1, F.lit(len(bounds)))
+    to = F.when(F.col("_first"), F.array(place(F.col("_b"), 0), place(before, 1))).otherwise(F.array(place(F.col("_b"), 0)))
+    dealt = placed.select("*", F.explode(to).alias("_to")).select(key, "text", F.col("_to.b").alias("_b"), F.col("_to.late").alias("_late"))
+    order = ["_late", F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first()]
+    dealt = dealt.repartition("_b").sortWithinPartitions("_b", *order).withColumns(columns)
+    by = Window.partitionBy("_b").orderBy(*order)
+    led = dealt.withColumns({f"next_{c}": F.lead(c).over(by) for c in ("text", *columns)})
+    return led.filter("_late = 0").drop("_b", "_late")
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 8, w: int = 16) -> DataFrame:
     """One row per row of ``docs``: key, n_chars, edited text, entries of the text and of the edited text, and their likenesses.
 
-    The edited text ends with the beginning of the next document by ascending key. Extra columns are dropped.
+    The edited text ends with the beginning of the next document by ascending key, which must be of an integer type. A null text is an
+    empty one; a repeated row is the next of its copy. Extra columns are dropped; an empty table gives no rows.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be of an integer type")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("entries", entries(F.col("text"), k, w)), "key", ["text", "entries"])
+    rows = with_next(rows, "key", {"entries": entries(F.col("text"), k, w)})
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("edited_entries", entries(F.col("edited"), k, w)).withColumn("own", hashes(F.col("entries")))
+    rows = rows.withColumn("edited_entries", edited_entries(F.col("text"), F.col("entries"), F.col("edited"), k, w)).withColumn("own", hashes(F.col("entries")))
     near = lambda other: let(F.col("own"), lambda own: let(hashes(F.col(other)), lambda o: likeness(own, o)))
     return rows.select(
         F.col("key").alias(key),

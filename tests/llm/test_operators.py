@@ -77,21 +77,17 @@ def test_language_edges(spark, edge, empty, docs):
 # --- op2 ------------------------------------------------------------------------------------------------------------------------------
 
 
-def winnowed(text, k=4, w=10):
-    pieces = regex.findall(winnow.PIECES.replace(r"\p{Is", r"\p{"), text or "")
-    if not pieces:
+def winnowed(text):
+    """Runs of 8 characters, windows of 16 hashes, written out; signed 64-bit hashes of the run in UTF-32."""
+    text = text or ""
+    if not text:
         return []
-    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in pieces]
-    grams = []
-    for i in range(max(1, len(h) - k + 1)):
-        seed = 42
-        for x in h[i : i + k]:
-            seed = xxhash.xxh64_intdigest(struct.pack("<Q", x), seed)
-        grams.append(seed >> 25)
+    runs = [text[i : i + 8] for i in range(max(1, len(text) - 8 + 1))]
+    grams = [struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(r.encode("utf-32-be"), 42)))[0] for r in runs]
     out = []
-    for i in range(max(1, len(grams) - w + 1)):
-        least = min((g, -p) for p, g in enumerate(grams[i : i + w], i))
-        if (least[0], -least[1]) not in out:
+    for i in range(max(1, len(grams) - 16 + 1)):
+        least = min((g, -p) for p, g in enumerate(grams[i : i + 16], i))
+        if not out or out[-1] != (least[0], -least[1]):
             out.append((least[0], -least[1]))
     return out
 
@@ -102,11 +98,12 @@ def jaccard(a, b):
 
 
 def check_winnow(row, own, following):
-    m, low = len(own) // 4, (1 << 24) - 1
+    m = len(own) // 4
     changed = own[: len(own) - m] + following[:m]
     fp = winnowed(own)
     assert row["n_chars"] == len(own) and row["edited"] == changed
-    assert [(e >> 24, low - (e & low)) for e in row["entries"]] == fp
+    assert [(e["h"], e["at"]) for e in row["entries"]] == fp
+    assert [(e["h"], e["at"]) for e in row["edited_entries"]] == winnowed(changed)
     assert math.isclose(row["near_edited"], jaccard(fp, winnowed(changed))) and math.isclose(row["near_next"], jaccard(fp, winnowed(following)))
 
 
@@ -114,15 +111,36 @@ def test_winnowing(docs, texts):
     got = {r["doc_id"]: r for r in winnow.fingerprints(docs).collect()}
     assert len(got) == len(texts)
     order = sorted(got)
-    for k in [*range(40), len(order) - 1]:
-        i, j = order[k], order[(k + 1) % len(order)]
-        check_winnow(got[i], texts[i], texts[j])
+    for k, i in enumerate(order):
+        check_winnow(got[i], texts[i], texts[order[(k + 1) % len(order)]])
+
+
+def test_winnowing_of_odd_texts_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "BLOCK", 7)
+    letters = random.Random(5)
+    odd = ["a" * n for n in (1, 7, 8, 22, 23, 24, 30, 31, 200)] + ["ab" * 40, "", "漢字かな交じり文😀" * 9, "Zaß!"]
+    odd += ["".join(letters.choice("ab ") for _ in range(n)) for n in (5, 20, 29, 30, 31, 32, 33, 60, 400)]
+    got = {r["doc_id"]: r for r in winnow.fingerprints(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(odd):
+        check_winnow(got[i], text, odd[(i + 1) % len(odd)])
+
+
+def test_winnowing_of_a_shifted_unspaced_text(spark):
+    letters = random.Random(6)
+    text = "".join(letters.choice("abcdefghij") for _ in range(4000))
+    row = winnow.fingerprints(spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")).filter("doc_id = 1").first()
+    assert row["near_next"] > 0.98
+
+
+def test_winnowing_takes_integer_keys(spark):
+    with pytest.raises(TypeError):
+        winnow.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_next_document_across_buckets(spark):
     rows = [(i * i % 101, f"text {i}") for i in range(50)]
-    df = spark.createDataFrame(sorted(set(rows)), "k long, v string")
-    got = {(r["k"], r["v"]): r["next_v"] for r in winnow.with_next(df, "k", ["v"], rows_per_bucket=3).collect()}
+    df = spark.createDataFrame(sorted(set(rows)), "k long, text string")
+    got = {(r["k"], r["text"]): r["next_text"] for r in winnow.with_next(df, "k", {}, rows_per_bucket=3).collect()}
     order = sorted(set(rows))
     assert got == {a: order[(i + 1) % len(order)][1] for i, a in enumerate(order)}
 
@@ -130,7 +148,7 @@ def test_next_document_across_buckets(spark):
 def test_winnowing_edges(edge, empty):
     got = winnow.fingerprints(edge).collect()
     assert len(got) == len(EDGES) + 2
-    assert {len(r["entries"]) for r in got if r["doc_id"] in (0, 1, 2)} == {0}
+    assert {len(r["entries"]) for r in got if r["doc_id"] in (0, 1)} == {0}
     assert winnow.fingerprints(empty).count() == 0
 
 
