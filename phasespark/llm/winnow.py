@@ -99,15 +99,17 @@ def edited_entries(text: Column, found: Column, new: Column, k: int = 8, w: int
     Chosen places never go back from one window to the next. So those before the first choice of the new windows were chosen by older
     windows, which both texts have.
     """
-    kept = F.length(text) - _replaced(text)
-    start = F.greatest(kept - (k + w - 1), F.lit(0))
+    reach = k + w - 1
+
+    def late(start: Column) -> Column:
+        new_ones = entries(F.substring(new, start + 1, F.length(new)), k, w)
+        return let(new_ones, lambda e: F.transform(e, lambda x: F.struct(x["h"].alias("h"), (x["at"] + start).alias("at"))))
 
     def join(late: Column) -> Column:
-        moved = F.transform(late, lambda e: F.struct(e["h"].alias("h"), (e["at"] + start).alias("at")))
-        return F.concat(F.filter(found, lambda e: e["at"] < late[0]["at"] + start), moved)
+        return let(late[0]["at"], lambda first: F.concat(F.filter(found, lambda e: e["at"] < first), late))
 
-    late = entries(F.substring(new, start + 1, F.length(new)), k, w)
-    return F.when(kept < k + w - 1, late).otherwise(let(late, join))
+    start = F.length(text) - _replaced(text) - reach
+    return let(start, lambda start: F.when(start < 0, late(F.lit(0))).otherwise(let(late(start), join)))
 
 
 def _bucket(rank: Column, bounds: list[int]) -> Column:
