@@ -58,19 +58,24 @@ class CompressionClassifier:
         )
 
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
-        """(language, score, margin, rejected). Null, letterless text or no dictionary: ('und', 0, 0, True)."""
+        """(language, score, margin, rejected). Null, letterless text or no dictionary: ('und', 0, 0, True).
+
+        A narrow margin is rejected. A text so short that the margin is less than a byte takes the more frequent of tied languages, with
+        a score that shows the tie, and isn't rejected.
+        """
         if text is None or not self.dictionaries or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0, True
         raw = text.lower().encode("utf-8", "replace")
         blocks = [raw[i : i + self.block_bytes] for i in range(0, len(raw), self.block_bytes)]
         sizes = self._sizes(blocks, self.level)
-        if len(sizes) > 1 and sizes[1][0] - sizes[0][0] <= 2 and len(blocks) == 1:
-            sizes = self._sizes(blocks, self.strong_level)  # short texts: shorter matches count
+        if len(sizes) > 1 and sizes[1][0] - sizes[0][0] <= 2:
+            sizes = self._sizes(blocks, self.strong_level)  # all but a tie, whatever the length: shorter matches count
         best = sizes[0][0]
         lead = sizes[1][0] - best if len(sizes) > 1 else best
         score = 1.0 / sum(2.0 ** -min(size - best, 60) for size, _, _ in sizes)
         margin = lead / max(1, best + lead)
-        return sizes[0][2], score, margin, margin < self.reject_margin
+        measurable = (best + lead) * self.reject_margin >= 1  # else a single byte is over the margin, and a tie says nothing
+        return sizes[0][2], score, margin, measurable and margin < self.reject_margin
 
 
 def learn(
@@ -81,30 +86,35 @@ def learn(
     *,
     sample_docs: int = 128,
     sample_chars: int = 1024,
-    dict_bytes: int = 65536,
+    max_languages: int = 1000,
     **parameters,
 ) -> CompressionClassifier:
-    """Fit on at most ``sample_docs`` rows of each language, at most ``sample_chars`` of each and ``dict_bytes`` in all.
+    """Fit on ``sample_docs`` rows of each language, and of a longer one a run of ``sample_chars`` characters at a hashed place.
 
     The sample is the rows with the smallest hash of the key, so it is the same on every run. Rows with null text or language, or
-    without text, are not used; a table without usable rows gives a classifier that answers 'und'.
+    without text, are not used; a table without usable rows gives a classifier that answers 'und'. More than ``max_languages`` values
+    of the language are an error, as each becomes a dictionary in every worker.
     """
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).cast("string").alias("k"))
     rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") > 0))
-    n_by_lang = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row a language
+    n_by_lang = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(n_by_lang) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not n_by_lang:
         return CompressionClassifier({}, {}, **parameters)
     grain = 1 << 40
     keep = {k: min(1.0, 4 * sample_docs / n) for k, n in n_by_lang.items()}
     bound = F.create_map(*[F.lit(x) for k, p in keep.items() for x in (k, int(p * grain))])
     h = F.pmod(F.xxhash64("k"), F.lit(grain))
-    drawn = rows.select("l", h.alias("h"), "k", F.substring("t", 1, sample_chars).alias("t")).filter(F.col("h") <= bound[F.col("l")])
+    spare = F.greatest(F.length("t") - sample_chars, F.lit(0))
+    start = F.pmod(F.xxhash64(F.lit("place"), "k"), spare + 1).cast("int") + 1
+    drawn = rows.select("l", h.alias("h"), "k", F.substring("t", start, F.lit(sample_chars)).alias("t")).filter(F.col("h") <= bound[F.col("l")])
     order = Window.partitionBy("l").orderBy("h", "k", "t")
     sample = drawn.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_docs).collect()
     found: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r["l"], r["r"])):
         found.setdefault(row["l"], []).append(row["t"])
-    dictionaries = {k: "\n".join(v).lower().encode("utf-8", "replace")[:dict_bytes] for k, v in found.items()}
+    dictionaries = {k: "\n".join(v).lower().encode("utf-8", "replace") for k, v in found.items()}
     total = sum(n_by_lang.values())
     return CompressionClassifier(dictionaries, {k: n / total for k, n in n_by_lang.items()}, **parameters)
 
