@@ -11,10 +11,10 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +26,30 @@ ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The same pattern where all characters are below U+0100: a quicker matcher can take it.
 LETTERS, NUMBERS = "a-zªµºà-öø-ÿÀ-ÖØ-Þß", "0-9²³¹¼-¾"
 LATIN_PIECES = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\t-\r\x20\x85\xa0{LETTERS}{NUMBERS}]+")
-PIECES = regex.compile(rf"{ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 NOT_LATIN = re.compile("[^\x00-\xff]")
+
+# Fixed values. The library's classes are those of Unicode 16, its lower case that of Unicode 17 and its composition older than both;
+# Python 3.13 has Unicode 15.1. First and last code points of what differs: letters and numbers of Unicode 16,
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# capitals (first, last, step from a capital to the next, distance to its small letter),
+NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 1, 1), (0xA7CB, 0xA7CB, 1, 0x264 - 0xA7CB), (0xA7CC, 0xA7CE, 2, 1), (0xA7D2, 0xA7D4, 2, 1), (0xA7DA, 0xA7DA, 1, 1),
+    (0xA7DC, 0xA7DC, 1, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 1, 0x20), (0x16EA0, 0x16EB8, 1, 0x1B),
+)
+# and marks that composition takes as signs of their own, as they came after its version.
+PLAIN_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x11938, 0x11938),
+    (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42),
+    (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE),
+    (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
 NONE = np.iinfo(np.int64).max
 
 
@@ -122,13 +144,35 @@ class Vocabulary:
         return " ".join([self.tokens[i] for i in ids])
 
 
+def _class(ranges) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+def _of_category(initial: str) -> list[tuple[int, int]]:
+    """The code points of the categories with an initial, as ranges."""
+    mine = np.array([unicodedata.category(chr(c))[0] == initial for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8)))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
+
+
+@cache
+def _pieces() -> re.Pattern:
+    letters, numbers = _class([*_of_category("L"), *NEW_LETTERS]), _class([*_of_category("N"), *NEW_NUMBERS])
+    return re.compile(rf"{ENDINGS}|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+
+
+MARKS = re.compile(f"([{_class(PLAIN_MARKS)}])")
+#: Small letters of capitals; sigma letter by letter, so that none becomes a final one.
+SMALL = {ord("Σ"): "σ"} | {c: chr(c + to) for a, b, step, to in NEW_CAPITALS for c in range(a, b + 1, step)}
+
+
 def split(text: str) -> list[str]:
     """The pieces of a text without special tokens: composed, lower case, white space dropped."""
-    if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
+    if not unicodedata.is_normalized("NFC", text) or MARKS.search(text):
+        text = "".join([part if i % 2 else unicodedata.normalize("NFC", part) for i, part in enumerate(MARKS.split(text))])
     if text.isascii() or NOT_LATIN.search(text) is None:
         return LATIN_PIECES.findall(text.lower())
-    return PIECES.findall(text.replace("Σ", "σ").lower())  # letter by letter: no final sigma
+    return _pieces().findall(text.translate(SMALL).lower())
 
 
 @dataclass

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import unicodedata
 import zipfile
 import zlib
 from collections import Counter
@@ -14,7 +15,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -193,6 +193,30 @@ def test_bpe_frames(edge, empty):
     assert bpe.encode(empty, PATH).count() == 0
 
 
+def test_bpe_on_every_code_point():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    encoder = bpe.Encoder(bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")))
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}a 1{c}1 {c}{c} A\u0301{c}\u0316\u0301 {c}\u0301" for c in signs]
+    for i in range(0, len(texts), 100_000):
+        part = texts[i : i + 100_000]
+        ids, offsets, _ = encoder.encode(part)
+        for k, want in enumerate(library.encode_batch(part, add_special_tokens=False)):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == want.ids, hex(ord(signs[i + k]))
+
+
+def test_bpe_on_signs_that_compose():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = bpe.Encoder(bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(11)
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or unicodedata.decomposition(chr(c)))]
+    texts = ["".join(rng.choices(signs, k=6)) + "".join(rng.choices("aeoΣσİ\U00011935\U00011930\U00011938", k=6)) for _ in range(30_000)]
+    ids, offsets, _ = encoder.encode(texts)
+    for k, want in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == want.ids, ascii(texts[k])
+
+
 # --- op4 ------------------------------------------------------------------------------------------------------------------------------
 
 
