@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def by_time():
     """The window of a series in time order. Made when asked for: workers import this module without a session."""
     return Window.partitionBy("series_id").orderBy("t")
@@ -126,11 +127,48 @@ def false_nearest_neighbors(signals: DataFrame, tau: int, d_max: int = 15, r_tol
     return levels.select("series_id", "d", "f1", "f2", "f3")
 
 
-def select_dimension_cao(e1: DataFrame, lower: float = 0.95, upper: float = 1.05, tol: float = 0.02, span: int = 3, min_dim: int = 2) -> DataFrame:
-    """(series_id, dimension): the onset of the first plateau of ``span`` values near 1; else the first value over ``lower``; else the last d."""
-    by = Window.partitionBy("series_id").orderBy("d").rowsBetween(0, span - 1)
-    whole = e1.withColumn("n", F.count("e1").over(by)).withColumn("lo", F.min("e1").over(by)).withColumn("hi", F.max("e1").over(by))
-    flat = (F.col("n") == span) & (F.col("lo") >= lower) & (F.col("hi") <= upper) & (F.col("hi") - F.col("lo") <= 1.5 * tol)
-    first = F.min(F.when(flat & (F.col("d") >= min_dim), F.col("d")))
-    near = F.min(F.when((F.col("e1") >= lower) & (F.col("d") >= min_dim), F.col("d")))
-    return whole.groupBy("series_id").agg(F.coalesce(first, near, F.max("d")).alias("dimension"))
+def smoothed(rows: DataFrame, value: str, window: int) -> DataFrame:
+    """``value`` as the centred mean of ``window`` neighbours by d, the ends repeated outwards; a window of 1 or less changes nothing."""
+    if window <= 1:
+        return rows
+    left = window // 2
+    by = Window.partitionBy("series_id")
+    inner = by.orderBy("d").rowsBetween(-left, window - 1 - left)
+    place, n = F.row_number().over(by.orderBy("d")) - 1, F.count("*").over(by)
+    ends = F.min_by(value, "d").over(by) * F.greatest(F.lit(left) - place, F.lit(0)) + F.max_by(value, "d").over(by) * F.greatest(place + window - left - n, F.lit(0))
+    return rows.withColumn(value, (F.sum(value).over(inner) + ends) / window)
+
+
+def select_dimension_cao(
+    e1: DataFrame, lower: float = 0.95, upper: float = 1.05, tol: float = 0.02, span: int = 3, min_dim: int = 2, window: int = 1, max_dim: int | None = None
+) -> DataFrame:
+    """(series_id, dimension) from curves (series_id, d, e1), d from 1: the onset of the first plateau of ``span`` values between ``lower``
+    and ``upper`` that range over 1.5 ``tol`` at most or step by ``tol`` at most; else the first value over ``lower``; else the d whose value
+    is nearest to 1; else one more than the last d. It is kept between ``min_dim`` and ``max_dim``."""
+    span, lower, upper = max(2, span), min(lower, upper), max(lower, upper)
+    rows = smoothed(e1, "e1", window).withColumn("e1", F.when(F.isnan("e1") | (F.abs("e1") == float("inf")), None).otherwise(F.col("e1")))
+    order = Window.partitionBy("series_id").orderBy("d")
+    ahead = order.rowsBetween(0, span - 1)
+    rows = rows.withColumn("step", F.abs(F.lead("e1").over(order) - F.col("e1")))
+    whole = rows.withColumns({"n": F.count("e1").over(ahead), "lo": F.min("e1").over(ahead), "hi": F.max("e1").over(ahead), "jump": F.max("step").over(order.rowsBetween(0, span - 2))})
+    flat = (F.col("n") == span) & (F.col("lo") >= lower) & (F.col("hi") <= upper) & ((F.col("hi") - F.col("lo") <= 1.5 * tol) | (F.col("jump") <= tol))
+    allowed = (F.col("d") >= min_dim) & F.col("e1").isNotNull()
+    onset = F.min(F.when(flat & allowed, F.col("d")))
+    over = F.min(F.when(allowed & (F.col("e1") >= lower), F.col("d")))
+    nearest = F.min_by(F.when(allowed, F.col("d")), F.when(allowed, F.struct(F.abs(F.col("e1") - 1.0), F.col("d"))))
+    found = whole.groupBy("series_id").agg(F.coalesce(onset, over, nearest, F.max("d") + 1).alias("found"), (F.max("d") + 1).alias("last"))
+    most = F.col("last") if max_dim is None else F.lit(max_dim)
+    return found.select("series_id", F.greatest(F.least("found", most), F.lit(min_dim)).cast("int").alias("dimension"))
+
+
+def optimal_dimension(signals: DataFrame, tau: int, d_max: int = 15, method: str = "cao", theiler: int = 0) -> DataFrame:
+    """(series_id, dimension): by the plateau of Cao's ratios (cao), their first value over 0.95 (cao_legacy) or the first share of false
+    neighbours under 0.01 (fnn); ``d_max`` if the last two find none."""
+    if d_max < (1 if method == "fnn" else 2):
+        raise ValueError("d_max is too small")
+    if method == "cao":
+        return select_dimension_cao(cao(signals, tau, d_max, theiler).select("series_id", "d", "e1"), min_dim=2, max_dim=d_max)
+    if method not in ("cao_legacy", "fnn"):
+        raise ValueError(f"unknown method {method}")
+    rows, good = (cao(signals, tau, d_max, theiler), F.col("e1") > 0.95) if method == "cao_legacy" else (false_nearest_neighbors(signals, tau, d_max, theiler=theiler), F.col("f3") < 0.01)
+    return rows.groupBy("series_id").agg(F.coalesce(F.min(F.when(good, F.col("d"))), F.lit(d_max)).cast("int").alias("dimension"))

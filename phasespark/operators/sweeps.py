@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,13 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasespark.functions.maps import SYSTEMS
-from phasespark.operators.correlation import band, correlation_dimension
-from phasespark.operators.embedding import average_mutual_information, embed, optimal_delay
+from phasespark.operators.correlation import band, log_curve, takens_theiler_dimension
+from phasespark.operators.embedding import average_mutual_information, optimal_delay
 from phasespark.operators.sections import is_map_like
 from phasespark.sources.simulate import trajectories
 
 
-
 def series_of(params: DataFrame, system: str, n: int, transient: int, coordinate: int = 0) -> DataFrame:
     """One coordinate of every row's trajectory as signals; series_id is the parameter row's number."""
     walk = trajectories(params, system, n, transient)
@@ -100,26 +98,52 @@ def min_max_normalised(points: DataFrame, columns: list[str], key: str = "series
     return points.select(*[c for c in points.columns if c not in columns], *(unit(c).alias(c) for c in columns))
 
 
-def robust_dimension(signals: DataFrame, m_values: tuple[int, ...] = (2, 3, 4, 5, 6), theiler: int = 0, n_r: int = 40, min_vectors: int = 500, slope_tol: float = 0.04) -> DataFrame:
-    """(series_id, tau, d_c, slope, saturated, label): Takens-Theiler dimensions over embedding dimensions, and whether they settle.
+def robust_dimension(
+    signals: DataFrame,
+    m_values: tuple[int, ...] = (2, 3, 4, 5, 6),
+    theiler: int = 0,
+    n_r: int = 60,
+    min_vectors: int = 500,
+    slope_tol: float = 0.04,
+    tau_max: int = 20,
+    segments: int = 8,
+    segment_m: int = 3,
+    min_segment: int = 1000,
+) -> DataFrame:
+    """(series_id, tau, d_c, slope, saturated, label, sigma, segment_median, n_segments): Takens-Theiler dimensions over embedding
+    dimensions, whether they settle, and how much they vary between segments.
 
     Series are z-scored. The delay is 1 for map-like series, else the first minimum of the mutual information. d_c is the mean over the
-    upper half of the embedding dimensions, slope a straight line's over the same half; fewer than ``min_vectors`` vectors give nothing.
+    embedding dimensions from their median on, slope that of a straight line there; fewer than three such dimensions take all, fewer than
+    four in all don't settle. Embeddings of fewer than ``min_vectors`` vectors are left out. ``segments`` equal parts of a series are
+    embedded in ``segment_m`` dimensions; under three usable ones, or parts shorter than ``min_segment``, give no sigma.
+
+    All embedding dimensions and segments are series of one table, coordinates they lack being 0, so that one pass over pairs serves all.
     """
     by = Window.partitionBy("series_id")
-    z = signals.select("series_id", "t", F.coalesce(F.try_divide(F.col("x") - F.avg("x").over(by), F.stddev_pop("x").over(by)), F.lit(0.0)).alias("x"))
-    tau = optimal_delay(average_mutual_information(z, 20, 16)).join(is_map_like(z), "series_id").select("series_id", F.when(F.col("map_like"), 1).otherwise(F.col("tau")).alias("tau"))
-    found = []
-    for (delay,) in sorted(tau.select("tau").distinct().collect()):  # 20 delays at most
-        own = z.join(tau.filter(F.col("tau") == delay).select("series_id"), "series_id", "left_semi")
-        for m in m_values:
-            points = embed(own, m, delay)
-            enough = points.groupBy("series_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_vectors).select("series_id")
-            d = correlation_dimension(points.join(enough, "series_id", "left_semi"), n_r, theiler)
-            found.append(d.select("series_id", F.lit(m).alias("m"), F.col("d_tt").alias("d")))
-    curve = reduce(DataFrame.unionByName, found).filter(~F.isnan("d"))
-    upper = curve.withColumn("middle", F.percentile("m", 0.5).over(by)).withColumn("k", F.count("*").over(by)).filter("m >= middle")
-    fit = upper.groupBy("series_id").agg(F.avg("d").alias("d_c"), F.regr_slope("d", "m").alias("slope"), F.max("k").alias("k"))
-    saturated = F.coalesce((F.col("k") >= 4) & (F.abs("slope") < slope_tol), F.lit(False))
-    rows = tau.join(fit, "series_id", "left").withColumn("saturated", saturated)
-    return rows.select("series_id", "tau", "d_c", "slope", "saturated", band(F.col("d_c"), F.col("saturated")).alias("label"))
+    stats = signals.groupBy("series_id").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n"))
+    z = signals.join(stats, "series_id").select("series_id", "t", "n", F.coalesce(F.try_divide(F.col("x") - F.col("mean"), F.col("sd")), F.lit(0.0)).alias("x"))
+    tau = optimal_delay(average_mutual_information(z.drop("n"), tau_max, 16)).join(is_map_like(z.drop("n")), "series_id").select("series_id", F.when(F.col("map_like"), 1).otherwise(F.col("tau")).alias("tau"))
+    rows = z.join(tau, "series_id")
+    part = F.least(F.floor(F.col("t") / F.floor(F.col("n") / segments)), F.lit(segments)).cast("int")
+    whole = rows.select("series_id", "tau", F.lit(-1).alias("part"), "t", "x", F.array(*map(F.lit, m_values)).alias("ms"))
+    cut = rows.filter(F.floor(F.col("n") / segments) >= min_segment).withColumn("part", part).filter(F.col("part") < segments)
+    cut = cut.select("series_id", "tau", "part", "t", "x", F.array(F.lit(segment_m)).alias("ms"))
+    top = max(*m_values, segment_m)
+    later = F.collect_list("x").over(Window.partitionBy("series_id", "part").orderBy("t").rowsBetween(0, (top - 1) * tau_max))
+    vectors = whole.unionByName(cut).withColumn("later", later).withColumn("m", F.explode("ms")).filter(F.size("later") > (F.col("m") - 1) * F.col("tau"))
+    name = F.concat_ws("/", F.col("m").cast("string"), F.col("part").cast("string"), F.col("series_id"))
+    coordinate = lambda j: F.when(F.col("m") > j, F.get("later", j * F.col("tau"))).otherwise(F.lit(0.0))
+    points = vectors.select(name.alias("series_id"), "t", *(coordinate(j).alias(f"p{j}") for j in range(top)))
+    enough = points.groupBy("series_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_vectors).select("series_id")
+    found = takens_theiler_dimension(log_curve(points.join(enough, "series_id", "left_semi"), n_r, theiler))
+    pieces = F.split("series_id", "/", 3)
+    curve = found.select(pieces[0].cast("int").alias("m"), pieces[1].cast("int").alias("part"), pieces[2].alias("series_id"), F.col("d_tt").alias("d"))
+    full = curve.filter("part < 0").withColumns({"middle": F.percentile("m", 0.5).over(by), "k": F.count("*").over(by)}).withColumn("upper", (F.col("m") >= F.col("middle")) & (F.col("k") >= 4))
+    full = full.withColumn("few", F.sum(F.col("upper").cast("int")).over(by) < 3).filter("upper or few")
+    fit = full.groupBy("series_id").agg(F.avg("d").alias("d_c"), F.regr_slope("d", "m").alias("slope"), F.max("k").alias("k"))
+    spread = curve.filter("part >= 0").groupBy("series_id").agg(F.stddev_pop("d").alias("sigma"), F.percentile("d", 0.5).alias("segment_median"), F.count("*").alias("n_segments")).filter("n_segments >= 3")
+    settled = F.coalesce((F.col("k") >= 4) & (F.abs("slope") < slope_tol), F.lit(False))
+    out = tau.join(fit, "series_id", "left").join(spread, "series_id", "left").withColumn("saturated", settled)
+    slope = F.when(F.col("k") >= 4, F.col("slope")).alias("slope")
+    return out.select("series_id", "tau", "d_c", slope, "saturated", band(F.col("d_c"), F.col("saturated")).alias("label"), "sigma", "segment_median", F.coalesce("n_segments", F.lit(0)).alias("n_segments"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasespark.operators import chaos, correlation, entropy, intermittency, lattice, multifractal, ordinal, recurrence, sections, sweeps
-from phasespark.operators.embedding import average_mutual_information, cao, embed, false_nearest_neighbors, optimal_delay, select_dimension_cao
+from phasespark.operators.embedding import average_mutual_information, cao, embed, false_nearest_neighbors, optimal_delay, optimal_dimension, select_dimension_cao
 from phasespark.sources import signals as src
 from phasespark.sources import simulate
 from phasespark.sources.tables import table
@@ -114,12 +114,26 @@ def cao_dimension(spark, sf_dir):
     return rounded(cao(src.orders_by_customer(spark, sf_dir), 1, 3))
 
 
-@query(f"""{CAO}, r AS (SELECT series_id, d, round(e1, 9) e1 FROM cao), p AS (SELECT *, count(e1) OVER w n, min(e1) OVER w lo, max(e1) OVER w hi FROM r
- WINDOW w AS (PARTITION BY series_id ORDER BY d ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING))
- SELECT series_id, coalesce(min(d) FILTER (WHERE n = 2 AND lo >= 0.5 AND hi <= 1.5 AND hi - lo <= 0.3), min(d) FILTER (WHERE e1 >= 0.5), max(d)) dimension FROM p GROUP BY 1""")
+@query(f"""{CAO}, r AS (SELECT series_id, d, round(e1, 9) e1 FROM cao), st AS (SELECT *, abs(lead(e1) OVER (PARTITION BY series_id ORDER BY d) - e1) st FROM r),
+ p AS (SELECT *, count(e1) OVER w n, min(e1) OVER w lo, max(e1) OVER w hi FROM st WINDOW w AS (PARTITION BY series_id ORDER BY d ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING))
+ SELECT series_id, CAST(greatest(least(coalesce(min(d) FILTER (WHERE n = 2 AND lo >= 0.5 AND hi <= 1.5 AND (hi - lo <= 0.15 OR st <= 0.1)), min(d) FILTER (WHERE e1 >= 0.5),
+  min(d) FILTER (WHERE e1 IS NOT NULL AND abs(e1 - 1) = g), max(d) + 1), max(d) + 1), 1) AS INT) dimension
+ FROM (SELECT *, min(abs(e1 - 1)) OVER (PARTITION BY series_id) g FROM p) GROUP BY 1""")
 def select_dimension(spark, sf_dir):
     e1 = rounded(cao(src.orders_by_customer(spark, sf_dir), 1, 3), 9)
-    return select_dimension_cao(e1, 0.5, 1.5, 0.2, 2, 1)
+    return select_dimension_cao(e1.select("series_id", "d", "e1"), 0.5, 1.5, 0.1, 2, 1)
+
+
+@query(f"""{CAO}, r AS (SELECT series_id, d, round(e1, 9) e1 FROM cao) SELECT series_id, CAST(coalesce(min(d) FILTER (WHERE e1 > 0.95), 3) AS INT) dimension FROM r GROUP BY 1""")
+def optimal_dimension_legacy(spark, sf_dir):
+    return optimal_dimension(src.orders_by_customer(spark, sf_dir), 1, 3, "cao_legacy")
+
+
+@query(f"""{CAO}, r AS (SELECT series_id, d, round(e1, 9) e1 FROM cao), m AS (SELECT *, min(abs(e1 - 1)) OVER (PARTITION BY series_id) g FROM r WHERE d >= 2),
+ f AS (SELECT series_id, coalesce(min(d) FILTER (WHERE e1 >= 0.95), min(d) FILTER (WHERE abs(e1 - 1) = g)) f FROM m GROUP BY 1)
+ SELECT series_id, CAST(greatest(least(coalesce(f, l + 1), 3), 2) AS INT) dimension FROM (SELECT series_id, max(d) l FROM r GROUP BY 1) LEFT JOIN f USING (series_id)""")
+def optimal_dimension_cao(spark, sf_dir):
+    return optimal_dimension(src.orders_by_customer(spark, sf_dir), 1, 3, "cao")
 
 
 @query(f"""{ORD}, {", ".join(nearest_sql(d, "euclidean") for d in (1, 2))}, sg AS (SELECT series_id, stddev_pop(x) s FROM ord GROUP BY 1),
@@ -267,7 +281,38 @@ def correlation_integral(spark, sf_dir):
     return rounded(correlation.correlation_integral(embed(src.events_by_user(spark, sf_dir), 3, 1), RADII, theiler=1))
 
 
-@query()
+def flattest_sql(rows: str, value: str, width: str, name: str) -> str:
+    """The flattest run of ``width`` rows of ``rows`` (series_id, u, m, value)."""
+    return f"""{name}_w AS (SELECT DISTINCT series_id, u s, m, {width} width FROM {rows}), {name}_s AS (SELECT a.series_id, s, width, stddev_pop({value}) sd, quantile_cont({value}, 0.5) mid
+   FROM {name}_w a JOIN {rows} b ON a.series_id = b.series_id AND b.u BETWEEN s AND s + width - 1 WHERE s + width <= a.m GROUP BY 1, 2, 3),
+ {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(sd, 12), s) rk FROM {name}_s) WHERE rk = 1)"""
+
+
+def dimension_sql(pairs: str, n_r: int) -> str:
+    """``d2`` and ``dtt`` from CTEs ``pts`` and d (series_id, d): the distances of all pairs."""
+    return f"""{pairs}, bx AS (SELECT series_id, count(*) n, greatest(max(p0) - min(p0), max(p1) - min(p1)) hi FROM pts GROUP BY 1 HAVING count(*) > 1 AND hi > 0),
+ rd AS (SELECT series_id, n, k, CASE WHEN k = {n_r - 1} THEN hi ELSE exp(ln(hi / n) + (ln(hi) - ln(hi / n)) * k / {n_r - 1}.0) END r FROM bx, range({n_r}) g(k)),
+ cv AS (SELECT rd.series_id, k, r, count(d) / (n * (n - 1) / 2) c, 1 / sqrt(n * (n - 1) / 2) fl FROM rd LEFT JOIN d ON d.series_id = rd.series_id AND d < r GROUP BY rd.series_id, k, r, n),
+ lg AS (SELECT series_id, k, ln(r) x, ln(c) y, count(*) OVER (PARTITION BY series_id) n FROM cv WHERE c > fl),
+ sl AS (SELECT *, (coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y)) / (coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x)) slope FROM lg WHERE n >= 3 WINDOW w AS (PARTITION BY series_id ORDER BY k)),
+ sp AS (SELECT *, (max(x) OVER p - min(x) OVER p) / (n - 1) sp FROM sl WINDOW p AS (PARTITION BY series_id)),
+ us AS (SELECT *, sum((slope >= sp)::INT) OVER (PARTITION BY series_id) good FROM sp),
+ tk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY k) - 1 u, count(*) OVER (PARTITION BY series_id) m FROM us WHERE slope >= sp OR good < 3),
+ {flattest_sql("tk", "slope", "greatest(m // 4, 3)", "bst")},
+ fr AS (SELECT tk.*, s, width, abs(slope - mid) >= greatest(3 * sd, sp) far FROM tk JOIN bst USING (series_id)),
+ rg AS (SELECT *, max(u) FILTER (WHERE far AND u < s) OVER (PARTITION BY series_id) lo, min(u) FILTER (WHERE far AND u >= s + width) OVER (PARTITION BY series_id) hi FROM fr),
+ d2 AS (SELECT series_id, regr_slope(y, x) d2, sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / regr_sxx(y, x) / nullif(count(*) - 2, 0)) se FROM rg WHERE u > coalesce(lo, -1) AND u < coalesce(hi, m) GROUP BY 1 HAVING count(*) >= 3),
+ t0 AS (SELECT series_id, k, r, c, fl, count(*) OVER (PARTITION BY series_id) n, ln(lead(r) OVER w) - ln(r) dx, lead(c) OVER w c1 FROM cv WHERE c > fl WINDOW w AS (PARTITION BY series_id ORDER BY k)),
+ t1 AS (SELECT *, (ln(c1) - ln(c)) / dx a FROM t0 WHERE n >= 3),
+ t2 AS (SELECT series_id, coalesce(quantile_cont(a, 0.5) FILTER (WHERE a > 0.01 AND c < 0.1), quantile_cont(a, 0.5) FILTER (WHERE a > 0.01), 1) sl, arg_min(c, k) c0 FROM t1 GROUP BY 1),
+ t3 AS (SELECT t1.*, c / (c0 / sl + coalesce(sum(CASE WHEN abs(a) > 1e-12 THEN (c1 - c) / a ELSE c * dx END) OVER (PARTITION BY series_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) dd FROM t1 JOIN t2 USING (series_id)),
+ t4 AS (SELECT *, sum((c > 5 * fl AND c < 0.1)::INT) OVER (PARTITION BY series_id) >= 4 enough FROM t3),
+ t5 AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY k) - 1 u, count(*) OVER (PARTITION BY series_id) m FROM t4 WHERE CASE WHEN enough THEN c > 5 * fl AND c < 0.1 ELSE c > 2 * fl AND c < 0.3 END),
+ t6 AS (SELECT * FROM t5 WHERE m >= 3), {flattest_sql("t6", "dd", "least(m, greatest(m // 2, 4))", "dtt")}"""
+
+
+@query(f"""{dimension_sql(f"{SIG}, {emb(2)}, d AS (SELECT a.series_id, {cheb(2)} d FROM pts a JOIN pts b ON a.series_id = b.series_id AND b.t > a.t)", 30)}
+ SELECT i.series_id, round(d2, 6) + 0.0 d2, round(CASE WHEN d2 IS NULL THEN NULL ELSE coalesce(se, 0) END, 6) + 0.0 stderr, round(mid, 6) + 0.0 d_tt FROM (SELECT DISTINCT series_id FROM pts) i LEFT JOIN d2 USING (series_id) LEFT JOIN dtt USING (series_id)""")
 def correlation_dimension(spark, sf_dir):
     return rounded(correlation.correlation_dimension(embed(src.events_by_user(spark, sf_dir), 2, 1), 30))
 
@@ -588,11 +633,11 @@ def zero_one_series(spark, sf_dir):
 
 def ring(spark, sf_dir) -> DataFrame:
     """Embedding vectors as lattice states: one run, a vector as the sites of a time."""
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select(F.lit(0).alias("run_id"), F.col("vec_id").alias("t"), F.posexplode("embedding").alias("site", "v"))
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("run_id"), F.col("vec_id").alias("t"), F.posexplode("embedding").alias("site", "v"))
     return rows.select("run_id", "t", "site", F.col("v").cast("double").alias("x"))
 
 
-RING = "st AS (SELECT 0 run_id, vec_id t, CAST(i AS INT) site, CAST(embedding[i + 1] AS DOUBLE) x FROM embeddings, range(0, 64) r(i) WHERE vec_id < 100)"
+RING = "st AS (SELECT 0 run_id, vec_id t, CAST(i AS INT) site, CAST(embedding[i + 1] AS DOUBLE) x FROM embeddings, range(0, 64) r(i))"
 
 
 @query(f"{RING}, f AS (SELECT *, 1.0 - 1.7 * x * x f FROM st) SELECT a.run_id, a.t + 1 t, a.site, round(a.f + 0.2 * (l.f + r.f - 2 * a.f), 6) + 0.0 x FROM f a JOIN f l ON l.t = a.t AND l.site = (a.site + 63) % 64 JOIN f r ON r.t = a.t AND r.site = (a.site + 1) % 64")
@@ -647,10 +692,10 @@ def basin_grid(spark, sf_dir):
     return lattice.basin(params, 200, [(0.2, 0.6), (0.5, 0.1)])
 
 
-@query("""g AS (SELECT s_suppkey / 10.0 q, s_acctbal AS value FROM supplier WHERE s_suppkey < 40), p AS (SELECT DISTINCT p_size / 7.0 p FROM part)
+@query("""g AS (SELECT s_suppkey / 10.0 q, s_acctbal AS value FROM supplier), p AS (SELECT DISTINCT p_size / 7.0 p FROM part)
  SELECT round(p, 6) p, round(q, 6) q, value FROM (SELECT p, q, value, row_number() OVER (PARTITION BY p ORDER BY abs(q - p), q) r FROM p, g) WHERE r = 1""")
 def nearest_parameter(spark, sf_dir):
-    grid = table(spark, sf_dir, "supplier").filter("s_suppkey < 40").select((F.col("s_suppkey") / 10.0).alias("q"), F.col("s_acctbal").alias("value"))
+    grid = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") / 10.0).alias("q"), F.col("s_acctbal").alias("value"))
     return rounded(sections.nearest_parameter(table(spark, sf_dir, "part").select((F.col("p_size") / 7.0).alias("p")).distinct(), grid))
 
 
@@ -721,7 +766,7 @@ def min_max_normalised(spark, sf_dir):
 @query()
 def robust_dimension(spark, sf_dir):
     signal = sweeps.series_of(_one(spark), "henon", 700, 100)
-    return rounded(sweeps.robust_dimension(signal, (2, 3, 4, 5), n_r=30))
+    return rounded(sweeps.robust_dimension(signal, (2, 3, 4, 5), n_r=30, segments=3, min_segment=200, min_vectors=150))
 
 
 @query(f"{RING}, p AS (SELECT t f, CAST(x * 1000 AS BIGINT) u, site v FROM st), g AS (SELECT f, (u - min(u) OVER w) / nullif(max(u) OVER w - min(u) OVER w, 0) a, (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) b FROM p WINDOW w AS (PARTITION BY f)) SELECT f field_id, CAST(least(floor(coalesce(b, 0.5) * 8), 7) AS BIGINT) y, CAST(least(floor(coalesce(a, 0.5) * 8), 7) AS BIGINT) x, CAST(count(*) AS DOUBLE) mass FROM g GROUP BY ALL")
