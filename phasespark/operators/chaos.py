@@ -104,6 +104,49 @@ def alignment(params: DataFrame, system: str, n: int, transient: int = 0, k: int
     return params.mapInPandas(run, "param_id long, t long, sali double, gali double")
 
 
+def rotation_numbers(params: DataFrame, n: int, transient: int) -> DataFrame:
+    """(param_id, rho_theta, rho_phi) of the modulated circle map for each (param_id, A, C, D, eps): mean turns a step of both angles."""
+    own = SYSTEMS["modulated_circle"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            p = own.parameters({c: pdf[c].to_numpy() for c in pdf.columns}, len(pdf))
+            theta, phi = (np.full(len(pdf), v) for v in own.start)
+            for t in range(transient + n):
+                if t == transient:
+                    start = theta, phi
+                theta, phi = theta + p["A"] * np.sin(2 * np.pi * theta) + p["D"] + p["eps"] * np.sin(2 * np.pi * phi), phi + p["C"]
+            yield pd.DataFrame({"param_id": pdf["param_id"], "rho_theta": (theta - start[0]) / n, "rho_phi": (phi - start[1]) / n})
+
+    return params.mapInPandas(run, "param_id long, rho_theta double, rho_phi double")
+
+
+def lyapunov_max(params: DataFrame, system: str, n: int, transient: int = 0) -> DataFrame:
+    """(param_id, lyapunov): the largest exponent, from the growth of one tangent vector that is drawn back to unit length each step.
+
+    It starts as (1, 1, ..); one that vanishes counts -100 and starts anew.
+    """
+    own = SYSTEMS[system]
+    dim = len(own.start)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = len(pdf)
+            p = own.parameters({c: pdf[c].to_numpy() for c in pdf.columns}, m)
+            s, total = [np.full(m, v) for v in own.start], np.zeros(m)
+            v = np.full((m, dim), dim**-0.5)
+            for t in range(-transient, n):
+                if t >= 0:
+                    v = (matrix(own.jacobian(s, p), m) @ v[:, :, None])[:, :, 0]
+                    size = np.linalg.norm(v, axis=1)
+                    total += np.where(size > 0, np.log(np.where(size > 0, size, 1.0)), -100.0)
+                    v = np.where(size[:, None] > 0, v / np.where(size > 0, size, 1.0)[:, None], dim**-0.5)
+                s = own.step(s, p)
+            yield pd.DataFrame({"param_id": pdf["param_id"], "lyapunov": total / n})
+
+    return params.mapInPandas(run, "param_id long, lyapunov double")
+
+
 def frequencies(n_c: int, seed: int = 0) -> list[float]:
     """``n_c`` random angles in (pi/5, 4 pi/5)."""
     return np.random.default_rng(seed).uniform(np.pi / 5, 4 * np.pi / 5, n_c).tolist()

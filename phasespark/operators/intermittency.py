@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasespark.operators.embedding import by_time
 
 
-
 def positive_percentile(values: DataFrame, column: str, percentile: float) -> DataFrame:
     """(series_id, eps): the exact percentile of the positive values."""
     return values.filter(F.col(column) > 0).groupBy("series_id").agg(F.percentile(column, percentile / 100.0).alias("eps"))
@@ -59,17 +61,31 @@ def length_distribution(lengths: DataFrame) -> DataFrame:
     return counts.join(total, "series_id").select("series_id", "length", "n", (F.col("n") / F.col("total")).alias("p"))
 
 
-def histogram_edges(values: np.ndarray, max_bins: int = 512) -> np.ndarray:
-    """Freedman-Diaconis edges; geometric ones where those would be too many."""
-    lo, hi = float(values.min()), float(values.max())
-    if hi <= lo:
-        return np.array([lo - 0.5, lo + 0.5])
-    q1, q3 = np.percentile(values, [25, 75])
-    width = 2 * (q3 - q1) / len(values) ** (1 / 3)
-    bins = int(np.ceil((hi - lo) / width)) if width > 0 else int(np.ceil(np.log2(len(values)) + 1))
-    if bins <= max_bins:
-        return np.linspace(lo, hi, max(1, bins) + 1)
-    return np.geomspace(lo, hi, max_bins + 1) if lo > 0 else np.linspace(lo, hi, max_bins + 1)
+def pooled_lengths(lengths: DataFrame, pool=None) -> DataFrame:
+    """(series_id, start, length) with the runs of many series as those of one: all of them, or those with the same ``pool`` column."""
+    return lengths.withColumn("series_id", F.lit("pool") if pool is None else pool)
+
+
+def binned_distribution(values: DataFrame, value: str, key: str = "series_id", max_bins: int = 512) -> DataFrame:
+    """(key, bin, lo, hi, mass) over Freedman-Diaconis bins of each key's values; without quartile range, as many as the root of their number.
+
+    Over ``max_bins`` they become that many, of equal ratio if the values span over six decades. Equal values share one bin around them.
+    The last bin holds its upper edge; empty bins have rows.
+    """
+    stats = values.groupBy(key).agg(F.count(value).alias("n"), F.min(value).cast("double").alias("least"), F.max(value).cast("double").alias("most"), F.percentile(value, [0.25, 0.75]).alias("q"))
+    iqr, span = F.col("q")[1] - F.col("q")[0], F.col("most") - F.col("least")
+    wanted = F.when(iqr > 0, F.ceil(span / (2 * iqr / F.cbrt(F.col("n").cast("double"))))).otherwise(F.ceil(F.sqrt("n")))
+    ratio = (wanted > max_bins) & (F.col("least") > 0) & (F.col("most") / F.col("least") > 1e6)
+    stats = stats.filter("n > 0").withColumn("bins", F.when(span == 0, 1).otherwise(F.least(F.greatest(wanted, F.lit(1)), F.lit(max_bins))).cast("int")).withColumn("ratio", ratio)
+    half = F.when(F.col("least") != 0, F.abs("least") * 0.5).otherwise(0.5)
+    stats = stats.withColumn("from", F.when(span == 0, F.col("least") - half).otherwise(F.col("least"))).withColumn("to", F.when(span == 0, F.col("most") + half).otherwise(F.col("most"))).drop("q")
+    share = lambda x: F.when(F.col("ratio"), F.log(x / F.col("from")) / F.log(F.col("to") / F.col("from"))).otherwise((x - F.col("from")) / (F.col("to") - F.col("from")))
+    edge = lambda k: F.when(F.col("ratio"), F.col("from") * F.pow(F.col("to") / F.col("from"), k / F.col("bins"))).otherwise(F.col("from") + (F.col("to") - F.col("from")) * k / F.col("bins"))
+    placed = values.join(stats, key).select(key, F.least(F.floor(share(F.col(value)) * F.col("bins")), F.col("bins") - 1).cast("int").alias("bin"))
+    counts = placed.groupBy(key, "bin").agg(F.count("*").alias("c"))
+    grid = stats.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    rows = grid.join(counts, [key, "bin"], "left")
+    return rows.select(key, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), (F.coalesce("c", F.lit(0)) / F.col("n")).alias("mass"))
 
 
 def fit_power_law(observations: DataFrame, min_tail: int = 10) -> DataFrame:
@@ -99,42 +115,73 @@ def fit_exponential(observations: DataFrame, x_min: float | None = None) -> Data
     return rows.groupBy("run_id").agg(low.alias("x_min"), (F.avg("value") - low).alias("scale"), F.count("*").alias("n"))
 
 
-def zeta(alpha: float, q: float, terms: int = 24) -> float:
-    """Hurwitz zeta by direct terms and the Euler-Maclaurin remainder."""
+def zeta(alpha, q, terms: int = 24) -> np.ndarray:
+    """Hurwitz zeta by direct terms and the Euler-Maclaurin remainder, for arrays."""
+    alpha, q = np.asarray(alpha, dtype=np.float64), np.asarray(q, dtype=np.float64)
     head = sum((q + k) ** -alpha for k in range(terms))
     a = q + terms
     rest = a ** (1 - alpha) / (alpha - 1) + 0.5 * a**-alpha + alpha * a ** (-alpha - 1) / 12
-    rest -= alpha * (alpha + 1) * (alpha + 2) * a ** (-alpha - 3) / 720
-    return head + rest
+    return head + rest - alpha * (alpha + 1) * (alpha + 2) * a ** (-alpha - 3) / 720
 
 
-def discrete_alpha(values: np.ndarray, x_min: float) -> float:
-    """The exponent that maximises the discrete likelihood: golden-section search on its logarithm."""
-    mean = float(np.log(values).mean())
-    cost = lambda a: a * mean + np.log(zeta(a, x_min))
-    lo, hi, g = 1.0001, 12.0, (5**0.5 - 1) / 2
-    while hi - lo > 1e-9:
+def discrete_alphas(mean_log: np.ndarray, x_min: np.ndarray) -> np.ndarray:
+    """The exponents that maximise the discrete likelihood of tails, all at once: golden-section search on its logarithm."""
+    cost = lambda a: a * mean_log + np.log(zeta(a, x_min))
+    lo, hi, g = np.full(len(x_min), 1.0001), np.full(len(x_min), 20.0), (5**0.5 - 1) / 2
+    for _ in range(60):
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-        lo, hi = (lo, b) if cost(a) < cost(b) else (a, hi)
+        left = cost(a) < cost(b)
+        lo, hi = np.where(left, lo, a), np.where(left, b, hi)
     return (lo + hi) / 2
 
 
-def _fit(values: np.ndarray, min_tail: int, discrete: bool) -> tuple[float, float, float, int]:
-    x = np.sort(values[values > 0])
+def _fit(values: np.ndarray, counts: np.ndarray, min_tail: int, discrete: bool) -> tuple[float, float, float, int]:
+    """(ks, x_min, alpha, n_tail) of distinct ascending values with counts: each value's tail is tried, the nearest kept."""
+    n = counts[::-1].cumsum()[::-1]
+    log = np.log(values)
+    spread = (counts * log)[::-1].cumsum()[::-1] / n  # mean logarithm of each tail
+    usable = np.flatnonzero((n >= min_tail) & (spread - log > 1e-12))
+    if not len(usable):
+        return np.inf, np.nan, np.nan, 0
+    low = values[usable]
+    alpha = discrete_alphas(spread[usable], low) if discrete else 1 + 1 / (spread - log)[usable]
     best = (np.inf, np.nan, np.nan, 0)
-    for low in np.unique(x):
-        tail = x[np.searchsorted(x, low) :]
-        if len(tail) < min_tail or tail[-1] == tail[0]:
-            continue
-        alpha = discrete_alpha(tail, low) if discrete else 1 + len(tail) / np.log(tail / low).sum()
-        u, last = np.unique(tail, return_counts=True)
-        model = 1 - np.array([zeta(alpha, v + 1) for v in u]) / zeta(alpha, low) if discrete else 1 - (u / low) ** (1 - alpha)
-        ks = float(np.abs(np.cumsum(last) / len(tail) - model).max())
+    for i, x, a in zip(usable.tolist(), low.tolist(), alpha.tolist(), strict=True):
+        model = 1 - zeta(a, values[i:] + 1) / zeta(a, x) if discrete else 1 - (values[i:] / x) ** (1 - a)
+        ks = float(np.abs(counts[i:].cumsum() / n[i] - model).max())
         if ks < best[0]:
-            best = (ks, float(low), float(alpha), len(tail))
+            best = (ks, x, a, int(n[i]))
     return best
 
 
+def fit_power_law_discrete(observations: DataFrame, min_tail: int = 10) -> DataFrame:
+    """(run_id, x_min, alpha, ks, n_tail): the power law over integers from x_min on, by the zeta function.
+
+    As ``fit_power_law``, on distinct values with their counts; a run's distinct values have to fit a task.
+    """
+    counts = observations.filter("value > 0").groupBy("run_id", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value")
+        ks, low, alpha, n = _fit(pdf["value"].to_numpy(), pdf["c"].to_numpy(), min_tail, True)
+        return pd.DataFrame([{"run_id": key[0], "x_min": low, "alpha": alpha, "ks": ks, "n_tail": n}] if n else [], columns=["run_id", "x_min", "alpha", "ks", "n_tail"])
+
+    return counts.groupBy("run_id").applyInPandas(one, f"run_id {observations.schema['run_id'].dataType.simpleString()}, x_min double, alpha double, ks double, n_tail long")
+
+
+def _draw_discrete(rng: np.random.Generator, alpha: float, low: float, size: int) -> np.ndarray:
+    """Integers from ``low`` on by the zeta law: the smallest x with P(X <= x) over a uniform number, by doubling and halving."""
+    left = rng.random(size) * zeta(alpha, low)  # P(X > x) of the wanted x is at most this share
+    near, far = np.full(size, low), np.full(size, low)
+    while (over := zeta(alpha, far + 1) > left).any():
+        near, far = np.where(over, far + 1, near), np.where(over, 2 * far + 1, far)
+    while (near < far).any():
+        middle = np.floor((near + far) / 2)
+        over = zeta(alpha, middle + 1) > left
+        near, far = np.where(over, middle + 1, near), np.where(over, far, middle)
+    return near
+
+
 def power_law_bootstrap(observations: DataFrame, n_bootstrap: int = 100, min_tail: int = 10, confidence: float = 0.95, seed: int = 0, discrete: bool = False) -> DataFrame:
     """(run_id, alpha, x_min, ks, p_value, lower, upper): goodness of fit and exponent interval by resampling.
 
@@ -145,15 +192,16 @@ def power_law_bootstrap(observations: DataFrame, n_bootstrap: int = 100, min_tai
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         run, boot = key
         x = np.sort(pdf["value"].to_numpy(np.float64))
-        ks, low, alpha, n_tail = _fit(x, min_tail, discrete)
+        x = x[x > 0]
+        ks, low, alpha, n_tail = _fit(*np.unique(x, return_counts=True), min_tail, discrete)
         if boot and np.isfinite(alpha):
             rng = np.random.default_rng([seed, boot])
             from_tail = rng.random(len(x)) < n_tail / len(x)
-            drawn = low * (1 - rng.random(len(x))) ** (-1 / (alpha - 1))
+            drawn = _draw_discrete(rng, alpha, low, len(x)) if discrete else low * (1 - rng.random(len(x))) ** (-1 / (alpha - 1))
             below = x[x < low]
             other = rng.choice(below, len(x)) if len(below) else drawn
-            again = np.where(from_tail, np.floor(drawn) if discrete else drawn, other)
-            ks, low, alpha, n_tail = _fit(again, min_tail, discrete)
+            again = np.where(from_tail, drawn, other)
+            ks, low, alpha, n_tail = _fit(*np.unique(again, return_counts=True), min_tail, discrete)
         return pd.DataFrame([{"run_id": run, "boot": boot, "alpha": alpha, "x_min": low, "ks": ks}])
 
     fits = runs.groupBy("run_id", "boot").applyInPandas(one, f"run_id {observations.schema['run_id'].dataType.simpleString()}, boot int, alpha double, x_min double, ks double")
@@ -164,15 +212,27 @@ def power_law_bootstrap(observations: DataFrame, n_bootstrap: int = 100, min_tai
     return joined.select("run_id", "own.alpha", "own.x_min", "own.ks", p.alias("p_value"), F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))
 
 
-def compare_power_law_exponential(observations: DataFrame, min_tail: int = 10) -> DataFrame:
-    """(run_id, z): the normalised log-likelihood ratio of the continuous power law and the exponential over the power law's tail."""
-    fit = fit_power_law(observations, min_tail)
+def compare_power_law_exponential(observations: DataFrame, min_tail: int = 10, discrete: bool = False) -> DataFrame:
+    """(run_id, z, p): the normalised log-likelihood ratio of the power law and the exponential over the power law's tail, and how often
+    chance alone gives one as large; positive z speaks for the power law."""
+    fit = (fit_power_law_discrete if discrete else fit_power_law)(observations, min_tail)
+    log_norm = F.log((F.col("alpha") - 1) / F.col("x_min")) + F.col("alpha") * F.log("x_min")
+    if discrete:
+        log_norm = -F.arrow_udf(lambda a, q: pa.array(np.log(zeta(a.to_numpy(), q.to_numpy()))), "double")("alpha", "x_min")
+    fit = fit.withColumn("norm", log_norm)
     tail = observations.join(fit, "run_id").filter("value >= x_min")
-    scale = F.avg(F.col("value") - F.col("x_min")).over(Window.partitionBy("run_id"))
-    power = F.log((F.col("alpha") - 1) / F.col("x_min")) - F.col("alpha") * F.log(F.col("value") / F.col("x_min"))
+    scale = observations.join(fit, "run_id").filter("value >= x_min").groupBy("run_id").agg(F.avg(F.col("value") - F.col("x_min")).alias("scale"))
+    power = F.col("norm") - F.col("alpha") * F.log("value")
     expo = -F.log("scale") - (F.col("value") - F.col("x_min")) / F.col("scale")
-    ratio = tail.withColumn("scale", scale).select("run_id", (power - expo).alias("r"))
-    return ratio.groupBy("run_id").agg(F.try_divide(F.sum("r"), F.sqrt(F.count("*")) * F.stddev_samp("r")).alias("z"))
+    ratio = tail.join(scale, "run_id").select("run_id", (power - expo).alias("r"))
+    z = ratio.groupBy("run_id").agg(F.try_divide(F.sum("r"), F.sqrt(F.count("*")) * F.stddev_samp("r")).alias("z"))
+    return z.select("run_id", "z", _two_sided(F.col("z")).alias("p"))
+
+
+def _two_sided(z):
+    """The chance of a normal deviate of at least this size."""
+    erfc = np.vectorize(math.erfc, otypes=[float])
+    return F.arrow_udf(lambda c: pa.array(erfc(np.abs(c.to_numpy(zero_copy_only=False)) / math.sqrt(2.0)), from_pandas=True), "double")(z)
 
 
 def mean_laminar_scaling(points: DataFrame) -> DataFrame:
@@ -210,12 +270,16 @@ def burst_amplitudes(signals: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def laminar_burst_symmetry(mask: DataFrame) -> DataFrame:
-    """(series_id, ks): two-sample Kolmogorov-Smirnov distance of laminar and burst run lengths."""
+    """(series_id, ks, p): two-sample Kolmogorov-Smirnov distance of laminar and burst run lengths, and its chance by the limit law."""
     both = run_lengths(mask, True).withColumn("k", F.lit(1)).unionByName(run_lengths(mask, False).withColumn("k", F.lit(0)))
     at = both.groupBy("series_id", "length").agg(F.sum("k").alias("a"), F.sum(1 - F.col("k")).alias("b"))
     up, whole = Window.partitionBy("series_id").orderBy("length"), Window.partitionBy("series_id")
     share = lambda c: F.try_divide(F.sum(c).over(up).cast("double"), F.sum(c).over(whole).cast("double"))
-    return at.select("series_id", F.abs(share("a") - share("b")).alias("gap")).groupBy("series_id").agg(F.max("gap").alias("ks"))
+    gap = at.select("series_id", F.abs(share("a") - share("b")).alias("gap"), F.sum("a").over(whole).alias("n"), F.sum("b").over(whole).alias("m"))
+    out = gap.groupBy("series_id").agg(F.max("gap").alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
+    x = F.col("ks") * F.col("ks") * F.col("n") * F.col("m") / F.greatest(F.col("n") + F.col("m"), F.lit(1))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x))
+    return out.select("series_id", "ks", F.when(F.col("ks").isNotNull(), F.when(x < 0.04, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))).alias("p"))
 
 
 def extrema(signals: DataFrame, kind: str = "max") -> DataFrame:
@@ -233,10 +297,51 @@ def return_map(signals: DataFrame, lag: int = 1) -> DataFrame:
     return signals.select("series_id", "t", "x", F.lead("x", lag).over(by_time()).alias("y")).filter("y is not null")
 
 
-def extrema_return_map(signals: DataFrame, kind: str = "max") -> DataFrame:
-    """(series_id, k, x, y): successive extrema."""
+def spaced_extrema(signals: DataFrame, kind: str = "max", prominence: float | None = None, distance: int | None = None) -> DataFrame:
+    """(series_id, t, x, prominence) of local extrema that stand ``distance`` apart at least, higher ones first and later ones among equals,
+    and then those that rise by ``prominence`` over the higher of the two lowest points towards a higher sample on either side.
+
+    A series has to fit a task: heights all along it decide on an extremum.
+    """
+    if distance is not None and distance < 1 or prominence is not None and prominence < 0:
+        raise ValueError("distance must be at least 1, prominence not negative")
+    peaks = extrema(signals, kind).select("series_id", "t", F.lit(True).alias("peak"))
+    rows = signals.join(peaks, ["series_id", "t"], "left")
+    sign = 1.0 if kind == "max" else -1.0
+
+    def valleys(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """For wanted places: the lowest value since the last higher one. Places that a later one reaches over leave the stack with theirs."""
+        out, stack = np.zeros(len(x)), []
+        for i, v in enumerate(x.tolist()):
+            low = v
+            while stack and stack[-1][0] <= v:
+                low = min(low, stack.pop()[1])
+            stack.append((v, low))
+            out[i] = low
+        return out[wanted]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x, t, at = sign * pdf["x"].to_numpy(), pdf["t"].to_numpy(), np.flatnonzero(pdf["peak"].notna().to_numpy())
+        if distance is not None:
+            keep = np.ones(len(at), bool)
+            for i in np.argsort(x[at], kind="stable")[::-1]:
+                if keep[i]:
+                    near = slice(np.searchsorted(t[at], t[at[i]] - distance, "right"), np.searchsorted(t[at], t[at[i]] + distance, "left"))
+                    keep[near] = np.arange(len(at))[near] == i
+            at = at[keep]
+        rise = x[at] - np.maximum(valleys(x, at), valleys(x[::-1], len(x) - 1 - at))
+        keep = rise >= (prominence or 0.0)
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "t": t[at][keep], "x": sign * x[at][keep], "prominence": rise[keep]})
+
+    return rows.groupBy("series_id").applyInPandas(one, "series_id string, t long, x double, prominence double")
+
+
+def extrema_return_map(signals: DataFrame, kind: str = "max", prominence: float | None = None, distance: int | None = None) -> DataFrame:
+    """(series_id, k, x, y): successive extrema, if asked only prominent or distant ones."""
     by = Window.partitionBy("series_id").orderBy("t")
-    peaks = extrema(signals, kind).select("series_id", (F.row_number().over(by) - 1).cast("long").alias("k"), "x", F.lead("x").over(by).alias("y"))
+    found = extrema(signals, kind) if prominence is None and distance is None else spaced_extrema(signals, kind, prominence, distance)
+    peaks = found.select("series_id", (F.row_number().over(by) - 1).cast("long").alias("k"), "x", F.lead("x").over(by).alias("y"))
     return peaks.filter("y is not null")
 
 
@@ -250,3 +355,27 @@ def tangent_channel(points: DataFrame, percentile: float = 10.0, min_points: int
     ranked = gap.join(limit, "series_id").withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy("gap", "k")))
     kept = ranked.filter((F.col("gap") <= F.col("limit")) | (F.col("r") <= min_points))
     return kept.groupBy("series_id").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+
+
+def summary(signals: DataFrame, mask: DataFrame, min_tail: int = 10, channel_percentile: float = 10.0) -> DataFrame:
+    """One row a series of a signal and its laminar mask: share and lengths of laminar runs, the power law of the lengths and its match
+    against an exponential, reinjection, the bursts' power law, the symmetry of runs and the return map's tangent channel.
+
+    What a series is too short for is null. No kind of intermittency is named.
+    """
+    runs = run_lengths(mask)
+    lengths = runs.select(F.col("series_id").alias("run_id"), F.col("length").cast("double").alias("value"))
+    bursts = burst_amplitudes(signals, mask)
+    out = mask.groupBy("series_id").agg(F.avg(F.col("laminar").cast("double")).alias("laminar_share"))
+    parts = [
+        runs.groupBy("series_id").agg(F.count("*").alias("n_runs"), F.avg("length").alias("mean_length")),
+        fit_power_law_discrete(lengths, min_tail).select(F.col("run_id").alias("series_id"), F.col("alpha").alias("length_alpha"), F.col("x_min").alias("length_x_min"), F.col("ks").alias("length_ks")),
+        compare_power_law_exponential(lengths, min_tail, True).select(F.col("run_id").alias("series_id"), F.col("z").alias("length_z"), F.col("p").alias("length_p")),
+        reinjection(signals, mask).select("series_id", F.col("slope").alias("reinjection_slope"), F.col("alpha").alias("reinjection_alpha")),
+        fit_power_law(bursts, min_tail).select(F.col("run_id").alias("series_id"), F.col("alpha").alias("burst_alpha"), F.col("x_min").alias("burst_x_min")),
+        laminar_burst_symmetry(mask).select("series_id", F.col("ks").alias("symmetry_ks"), F.col("p").alias("symmetry_p")),
+        tangent_channel(extrema_return_map(signals), channel_percentile).select("series_id", F.col("slope").alias("channel_slope"), F.col("intercept").alias("channel_intercept")),
+    ]
+    for part in parts:
+        out = out.join(part, "series_id", "left")
+    return out

@@ -28,12 +28,79 @@ def crossings(signals: DataFrame, fs: float = 1.0, direction: str = "up", delay:
     return found.select("series_id", (F.row_number().over(order) - 1).cast("long").alias("k"), "time", "u", "v")
 
 
-def section_quality(found: DataFrame) -> DataFrame:
-    """(series_id, n, cv, label): variation of the intervals between crossings. Fewer than three crossings: insufficient_data."""
+def _gradient(c: str) -> Column:
+    """Central differences by time step, one-sided at the ends."""
+    nxt, last = F.lead(c).over(by_time()), F.lag(c).over(by_time())
+    return F.coalesce((nxt - last) / 2, nxt - F.col(c), F.col(c) - last)
+
+
+def section(signals: DataFrame, fs: float = 1.0, delay: int | None = None, level: float | None = None, direction: str = "up", interpolation: bool = True) -> DataFrame:
+    """(series_id, k, time, value, d1, d2, past, future): crossings of ``level`` (else the series' mean) with three planes' coordinates:
+    value and first derivative, first and second derivative, and the samples ``delay`` before and after (null beyond the series).
+
+    direction: up, down or both. Without ``interpolation`` a crossing stands at the sample before it. Without ``delay`` it is that of
+    ``auto_delay``. Samples within 1e-12 of the level count as on it; series of fewer than three samples have no crossings.
+    """
+    if fs <= 0 or direction not in ("up", "down", "both"):
+        raise ValueError("fs must be positive and direction up, down or both")
+    stats = signals.groupBy("series_id").agg(F.avg("x").alias("mean"), F.count("*").alias("n")).filter("n >= 3")
+    stats = stats.join(auto_delay(signals, 64), "series_id") if not delay or delay <= 0 else stats.withColumn("delay", F.lit(delay))
+    rows = signals.join(stats, "series_id").withColumn("s", F.col("x") - (F.col("mean") if level is None else F.lit(float(level))))
+    dt = 1.0 / fs
+    rows = rows.withColumn("d1", _gradient("x") / dt).withColumn("d2", _gradient("d1") / dt)
+    rows = rows.withColumns({f"{c}_next": F.lead(c).over(by_time()) for c in ("s", "x", "d1", "d2")})
+    tiny = 1e-12
+    up, down = (F.col("s") <= tiny) & (F.col("s_next") > tiny), (F.col("s") >= -tiny) & (F.col("s_next") < -tiny)
+    hit = rows.filter({"up": up, "down": down, "both": up | down}[direction])
+    if interpolation:
+        hit = hit.filter(F.abs(F.col("s_next") - F.col("s")) > tiny)
+    a = -F.col("s") / (F.col("s_next") - F.col("s")) if interpolation else F.lit(0.0)
+    at = lambda c: F.col(c) + a * (F.col(f"{c}_next") - F.col(c))
+    found = hit.select("series_id", "t", ((F.col("t") + a) / fs).alias("time"), at("x").alias("value"), at("d1").alias("d1"), at("d2").alias("d2"), "n", "delay")
+    sample = lambda name: signals.select("series_id", F.col("t").alias("at"), F.col("x").alias(name))
+    both = (F.col("t") >= F.col("delay")) & (F.col("t") + F.col("delay") < F.col("n"))
+    found = found.withColumn("at", F.when(both, F.col("t") - F.col("delay"))).join(sample("past"), ["series_id", "at"], "left")
+    found = found.withColumn("at", F.when(both, F.col("t") + F.col("delay"))).join(sample("future"), ["series_id", "at"], "left")
+    k = (F.row_number().over(Window.partitionBy("series_id").orderBy("time")) - 1).cast("long")
+    return found.select("series_id", k.alias("k"), "time", "value", "d1", "d2", "past", "future")
+
+
+def spectral_peak_ratio(signals: DataFrame) -> DataFrame:
+    """(series_id, ratio): the largest Fourier amplitude over the second largest; null for under four samples or a constant."""
+    by = Window.partitionBy("series_id").orderBy(F.desc("power"), "k")
+    ranked = spectrum(signals).withColumn("r", F.row_number().over(by))
+    top = ranked.groupBy("series_id").agg(F.max(F.when(F.col("r") == 1, F.col("power"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("power"))).alias("b"))
+    n = signals.groupBy("series_id").agg(F.count("*").alias("n"))
+    ratio = F.when((F.col("n") >= 4) & (F.col("a") > 0), F.when(F.col("b") > 0, F.sqrt(F.col("a") / F.col("b"))).otherwise(float("inf")))
+    return n.join(top, "series_id", "left").select("series_id", ratio.alias("ratio"))
+
+
+def dominant_period(signals: DataFrame) -> DataFrame:
+    """(series_id, period): samples a turn of the strongest frequency, at least 1. The highest frequency of an even series has no mirror
+    image and counts half."""
+    n = signals.groupBy("series_id").agg(F.count("*").alias("n"))
+    rows = n.join(spectrum(signals), "series_id", "left")
+    power = F.when(F.col("k") * 2 == F.col("n"), F.col("power") / 2).otherwise(F.col("power"))
+    best = rows.groupBy("series_id", "n").agg(F.min_by("k", F.struct(-F.coalesce(power, F.lit(0.0)), F.col("k"))).alias("k"))
+    return best.select("series_id", F.greatest(F.coalesce(F.bround(F.col("n") / F.col("k")), F.lit(1)), F.lit(1)).cast("long").alias("period"))
+
+
+# The labels of a section's regularity, and the bounds of variation and spectral ratio between them.
+QUALITY = (("highly_periodic", 0.05, 5.0), ("periodic", 0.2, 3.0), ("quasi_periodic", 0.6, 1.5))
+
+
+def section_quality(found: DataFrame, signals: DataFrame) -> DataFrame:
+    """(series_id, n, mean_period, cv, ratio, label) for every series: variation of the intervals between crossings, spectral ratio and what
+    both say. Fewer than three crossings: insufficient_data, and no figures."""
     gap = found.withColumn("gap", F.col("time") - F.lag("time").over(Window.partitionBy("series_id").orderBy("k")))
-    stats = gap.groupBy("series_id").agg(F.count("*").alias("n"), F.try_divide(F.stddev_pop("gap"), F.avg("gap")).alias("cv"))
-    label = F.when(F.col("n") < 3, "insufficient_data").when(F.col("cv") < 0.05, "periodic").when(F.col("cv") < 0.3, "quasi_periodic").otherwise("irregular")
-    return stats.select("series_id", "n", "cv", label.alias("label"))
+    stats = gap.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"))
+    rows = signals.select("series_id").distinct().join(stats, "series_id", "left").join(spectral_peak_ratio(signals), "series_id", "left")
+    few = F.coalesce(F.col("n") < 3, F.lit(True))
+    rows = rows.withColumn("cv", F.when(~few & (F.col("mean") > 0), F.col("sd") / F.col("mean"))).withColumn("ratio", F.when(~few, F.col("ratio")))
+    label = F.when(few, "insufficient_data").when(F.col("cv").isNull() | F.col("ratio").isNull(), "indeterminate")
+    for name, most, least in QUALITY:
+        label = label.when((F.col("cv") < most) & (F.col("ratio") >= least), name)
+    return rows.select("series_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(~few, F.col("mean")).alias("mean_period"), "cv", "ratio", label.otherwise("chaotic").alias("label"))
 
 
 def autocovariance(signals: DataFrame, max_lag: int) -> DataFrame:
@@ -44,20 +111,28 @@ def autocovariance(signals: DataFrame, max_lag: int) -> DataFrame:
     return terms.groupBy("series_id", "lag").agg(F.avg(F.col("c") * F.col("later")).alias("acov"))
 
 
-def auto_delay(signals: DataFrame, max_lag: int = 25) -> DataFrame:
-    """(series_id, delay): the first strict local minimum of the autocovariance, else a tenth of the series, at least 1."""
+def auto_delay(signals: DataFrame, max_lag: int = 64) -> DataFrame:
+    """(series_id, delay): the first strict local minimum of the autocorrelation (sums, not means) within a quarter of the series and
+    ``max_lag``, else a tenth of the series, at least 1; 1 for under four samples."""
     by = Window.partitionBy("series_id").orderBy("lag")
-    low = autocovariance(signals, max_lag).withColumn("low", (F.col("acov") < F.lag("acov").over(by)) & (F.col("acov") < F.lead("acov").over(by)))
-    first = low.groupBy("series_id").agg(F.min(F.when(F.col("low"), F.col("lag"))).alias("lag"))
-    n = signals.groupBy("series_id").agg(F.greatest(F.floor(F.count("*") / 10), F.lit(1)).alias("tenth"))
-    return n.join(first, "series_id", "left").select("series_id", F.coalesce("lag", "tenth").cast("long").alias("delay"))
+    n = signals.groupBy("series_id").agg(F.count("*").alias("n"))
+    sums = autocovariance(signals, max_lag + 1).join(n, "series_id").withColumn("sum", F.col("acov") * (F.col("n") - F.col("lag")))
+    low = sums.withColumn("low", (F.col("sum") < F.lag("sum").over(by)) & (F.col("sum") < F.lead("sum").over(by)))
+    limit = F.greatest(F.floor(F.col("n") / 4), F.lit(3)) - 1
+    first = low.filter((F.col("lag") < limit) & (F.col("n") >= 4)).groupBy("series_id").agg(F.min(F.when(F.col("low"), F.col("lag"))).alias("lag"))
+    tenth = F.when(F.col("n") < 4, F.lit(1)).otherwise(F.greatest(F.floor(F.col("n") / 10), F.lit(1)))
+    return n.join(first, "series_id", "left").select("series_id", F.coalesce("lag", tenth).cast("long").alias("delay"))
+
 
+def spectrum(signals: DataFrame, max_frequency: int | None = None) -> DataFrame:
+    """(series_id, k, power): discrete Fourier power at frequencies 1..max_frequency cycles a series, or all up to half a cycle a sample.
 
-def spectrum(signals: DataFrame, max_frequency: int) -> DataFrame:
-    """(series_id, k, power): discrete Fourier power at frequencies 1..max_frequency cycles a series."""
+    A direct sum: terms are samples times frequencies.
+    """
     whole = Window.partitionBy("series_id")
     c = signals.select("series_id", "t", (F.col("x") - F.avg("x").over(whole)).alias("c"), F.count("*").over(whole).alias("n"))
-    k = c.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_frequency)))).filter(F.col("k") * 2 <= F.col("n"))
+    most = F.floor(F.col("n") / 2).cast("int") if max_frequency is None else F.lit(max_frequency)
+    k = c.withColumn("k", F.explode(F.sequence(F.lit(0), most))).filter("k > 0").filter(F.col("k") * 2 <= F.col("n"))
     # the phase is reduced by whole turns first, so that long series keep their precision
     angle = 2 * F.pi() * F.pmod(F.col("k") * F.col("t"), F.col("n")) / F.col("n")
     sums = k.groupBy("series_id", "k").agg(F.sum(F.col("c") * F.cos(angle)).alias("re"), F.sum(F.col("c") * F.sin(angle)).alias("im"))

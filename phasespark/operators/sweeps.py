@@ -54,6 +54,29 @@ def escape_lengths(params: DataFrame, system: str, threshold: float, max_steps:
     return params.mapInPandas(run, "param_id long, length long")
 
 
+def escape_episodes(params: DataFrame, system: str, threshold: float, max_steps: int = 5000) -> DataFrame:
+    """(series_id, t, x, laminar): the sizes of each row's states until they reach ``threshold``, row after row by param_id in one series,
+    with a sample of 1.2 thresholds, not laminar, before the first row and after each."""
+    inside = escape_lengths(params, system, threshold, max_steps).filter("length is not null").withColumnRenamed("length", "n")
+    before = F.coalesce(F.sum(F.col("n") + 1).over(Window.orderBy("param_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = inside.withColumn("before", before)  # one row a reinjection
+    runs = trajectories(params, system, max_steps, record_first=True, escape=threshold).join(F.broadcast(starts), "param_id").filter("t < n")
+    size = F.sqrt(sum((F.col(c) * F.col(c) for c in runs.columns if c[0] == "p" and c[1:].isdigit()), F.lit(0.0)))
+    laminar = runs.select((F.col("before") + F.col("t") + 1).alias("t"), size.alias("x"), F.lit(True).alias("laminar"))
+    ends = starts.select((F.col("before") + F.col("n") + 1).alias("t"), F.lit(1.2 * threshold).alias("x"), F.lit(False).alias("laminar"))
+    first = params.sparkSession.range(1).select(F.col("id").alias("t"), F.lit(1.2 * threshold).alias("x"), F.lit(False).alias("laminar"))
+    return laminar.unionByName(ends).unionByName(first).select(F.lit("0").alias("series_id"), F.col("t").cast("long").alias("t"), "x", "laminar")
+
+
+def iterate_grid(spark, n: int, low: float, high: float, f: Callable, slope: Callable, times: int) -> DataFrame:
+    """(x, y, slope): a map's iterate and its derivative, by the chain rule, on ``n`` points in equal steps."""
+    rows = spark.range(n).select((F.lit(low) + F.lit(high - low) * F.col("id") / F.lit(float(n - 1))).alias("x"))
+    rows = rows.select("x", F.col("x").alias("y"), F.lit(1.0).alias("slope"))
+    for _ in range(times):
+        rows = rows.select("x", f(F.col("y")).alias("y"), (F.col("slope") * slope(F.col("y"))).alias("slope"))
+    return rows
+
+
 def first_passage(runs: DataFrame, value: str, threshold: float) -> DataFrame:
     """(param_id, length): the first sample whose ``value`` is under the threshold in size, counted from 1; all samples if none is."""
     hit = F.min(F.when(F.abs(value) < threshold, F.col("t") + 1))

@@ -350,11 +350,6 @@ def multifractal_spectrum(spark, sf_dir):
     return rounded(multifractal.spectrum(quantity_field(spark, sf_dir), [2, 4, 8, 16], QS))
 
 
-@query()
-def multifractal_tiles(spark, sf_dir):
-    return rounded(multifractal.local_multifractality(quantity_field(spark, sf_dir), 16, [1, 2, 4, 8]))
-
-
 # --- sections and series operations ---------------------------------------------------------------------------------------------------
 
 
@@ -442,7 +437,7 @@ def laminar_distribution(spark, sf_dir):
  c AS (SELECT series_id, sum(a) OVER w / nullif(sum(a) OVER p, 0) fa, sum(b) OVER w / nullif(sum(b) OVER p, 0) fb FROM l WINDOW w AS (PARTITION BY series_id ORDER BY length), p AS (PARTITION BY series_id))
  SELECT series_id, round(max(abs(fa - fb)), 6) ks FROM c GROUP BY 1""")
 def laminar_burst_symmetry(spark, sf_dir):
-    return rounded(intermittency.laminar_burst_symmetry(period_mask(spark, sf_dir)))
+    return rounded(intermittency.laminar_burst_symmetry(period_mask(spark, sf_dir)).select("series_id", "ks"))
 
 
 @query(f"{PERIOD} SELECT series_id run_id, abs(x) AS value FROM msk WHERE NOT laminar AND x <> 0")
@@ -484,7 +479,7 @@ def power_law_fit(spark, sf_dir):
 @query(f"""{PLAW}, tt AS (SELECT o.run_id, value, x_min, alpha, avg(value - x_min) OVER (PARTITION BY o.run_id) sc FROM o JOIN ft ON ft.run_id = o.run_id AND value >= x_min),
  lr AS (SELECT run_id, (ln((alpha - 1) / x_min) - alpha * ln(value / x_min)) - (-ln(sc) - (value - x_min) / sc) r FROM tt) SELECT run_id, round(sum(r) / (sqrt(count(*)) * stddev_samp(r)), 5) z FROM lr GROUP BY 1""")
 def power_law_vs_exponential(spark, sf_dir):
-    return rounded(intermittency.compare_power_law_exponential(account_values(spark, sf_dir)), 5)
+    return rounded(intermittency.compare_power_law_exponential(account_values(spark, sf_dir)).select("run_id", "z"), 5)
 
 
 @query(f"{ORDERS} SELECT run_id, min(value) x_min, round(avg(value) - min(value), 4) scale, count(*) n FROM o GROUP BY 1")
@@ -580,25 +575,6 @@ def _one(spark) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("param_id"))
 
 
-def _trajectory(system: str, n: int, transient: int, **more):
-    def run(spark, sf_dir):
-        return simulate.trajectories(_one(spark), system, n, transient, **more)
-
-    run.__name__ = f"trajectory_{system}"
-    return run
-
-
-for _name in ("circle", "modulated_circle", "coupled_logistic", "delayed_logistic", "coupled_delayed", "map_I", "map_IV", "standard", "type_i", "type_ii", "type_iii", "logistic_type_i"):
-    query()(_trajectory(_name, 200, 50))
-for _name in ("lorenz", "rossler"):
-    query()(_trajectory(_name, 200, 100, dt=0.02))
-
-
-@query()
-def mackey_glass(spark, sf_dir):
-    return simulate.mackey_glass(_one(spark).withColumn("tau", F.lit(17.0)), 300)
-
-
 @query()
 def on_off_runs(spark, sf_dir):
     return simulate.on_off(spark.range(4).select(F.col("id").alias("param_id"), F.col("id").alias("seed")), 200)
@@ -619,11 +595,6 @@ def alignment_indices(spark, sf_dir):
     return rounded(chaos.alignment(_one(spark), "standard", 50, 10))
 
 
-@query()
-def zero_one_test(spark, sf_dir):
-    return rounded(chaos.zero_one_statistic(src.events_by_user(spark, sf_dir), chaos.frequencies(15), 6))
-
-
 @query(f"""{SIG}, w AS (SELECT series_id, t, sum(x * cos((t + 1) * 1.1)) OVER s p, sum(x * sin((t + 1) * 1.1)) OVER s q FROM sig WINDOW s AS (PARTITION BY series_id ORDER BY t)),
  c AS (SELECT series_id, t, p - avg(p) OVER s p, q - avg(q) OVER s q FROM w WINDOW s AS (PARTITION BY series_id)), a AS (SELECT a.series_id, b.t - a.t lag, avg(a.p * b.p + a.q * b.q) v FROM c a JOIN c b ON a.series_id = b.series_id AND b.t - a.t BETWEEN 0 AND 5 GROUP BY 1, 2),
  d AS (SELECT series_id, lag, 2 * (max(v) FILTER (WHERE lag = 0) OVER (PARTITION BY series_id) - v) d FROM a) SELECT series_id, CAST(1.1 AS DOUBLE) c, round(corr(lag, d), 5) + 0.0 k FROM d GROUP BY 1""")
@@ -671,27 +642,11 @@ def jacobian_block(spark, sf_dir):
     return rounded(lattice.jacobian_block(ring(spark, sf_dir), 1.7, 0.4, 8))
 
 
-@query()
-def lattice_runs(spark, sf_dir):
-    return lattice.periodic_runs(lattice.burst_mask(ring(spark, sf_dir), 0.1))
-
-
 @query()
 def comoving_spectrum(spark, sf_dir):
     return rounded(lattice.comoving_exponent(simulate.grid(spark, a=[1.88], eps=[0.45]), 100, [0.0, 0.25, 0.5], 200, 100))
 
 
-@query()
-def lattice_simulation(spark, sf_dir):
-    return lattice.simulate(simulate.grid(spark, a=[1.5, 1.7], eps=[0.1, 0.3]), 16, 10, 50)
-
-
-@query()
-def basin_grid(spark, sf_dir):
-    params = simulate.grid(spark, A=[1.35344], D=[0.1], x=[-0.5 + 0.25 * k for k in range(5)], y=[-0.5 + 0.25 * k for k in range(5)])
-    return lattice.basin(params, 200, [(0.2, 0.6), (0.5, 0.1)])
-
-
 @query("""g AS (SELECT s_suppkey / 10.0 q, s_acctbal AS value FROM supplier), p AS (SELECT DISTINCT p_size / 7.0 p FROM part)
  SELECT round(p, 6) p, round(q, 6) q, value FROM (SELECT p, q, value, row_number() OVER (PARTITION BY p ORDER BY abs(q - p), q) r FROM p, g) WHERE r = 1""")
 def nearest_parameter(spark, sf_dir):
@@ -715,11 +670,6 @@ def rqa_of_delayed_logistic(spark, sf_dir):
     return rounded(sweeps.sweep(simulate.grid(spark, D=[1.3, 1.5]), "delayed_logistic", 150, 100, lambda s: recurrence.rqa(embed(s, 2, 1), percentile=5)))
 
 
-@query()
-def zero_one_of_logistic(spark, sf_dir):
-    return rounded(sweeps.sweep(logistic_grid(spark), "logistic", 200, 50, lambda s: chaos.zero_one_statistic(s, chaos.frequencies(10), 20)))
-
-
 @query("""RECURSIVE w(param_id, k, x) AS (SELECT k, 0, CAST(0 AS DOUBLE) FROM range(4) r(k) UNION ALL SELECT param_id, k + 1, x + 0.01 * (param_id + 1) + 1.0 * x * x FROM w WHERE k < 200 AND abs(x) < 1)
  SELECT CAST(param_id AS BIGINT) param_id, CAST(min(k) FILTER (WHERE abs(x) >= 1) AS BIGINT) length FROM w GROUP BY param_id""")
 def escape_lengths(spark, sf_dir):
@@ -727,25 +677,6 @@ def escape_lengths(spark, sf_dir):
     return sweeps.escape_lengths(params, "type_i", 1.0)
 
 
-@query()
-def spiral_escape_lengths(spark, sf_dir):
-    params = spark.range(5).select(F.col("id").alias("param_id"), F.lit(0.01).alias("eps"), F.lit(1.0).alias("a"), (0.05 * (F.col("id") + 1)).alias("x0"))
-    return sweeps.escape_lengths(params, "type_ii", 1.0)
-
-
-@query()
-def mean_off_lengths(spark, sf_dir):
-    params = simulate.grid(spark, eps=[0.45, 0.49], x0=[0.123 + 0.02 * k for k in range(10)])
-    lengths = sweeps.first_passage(simulate.trajectories(params, "on_off_skew", 200), "p1", 1e-6)
-    return rounded(params.join(lengths, "param_id").groupBy("eps").agg(F.avg("length").alias("length")))
-
-
-@query()
-def correlation_length(spark, sf_dir):
-    runs = lattice.simulate(simulate.grid(spark, a=[1.72], eps=[0.4]), 64, 50, 200)
-    return rounded(sweeps.correlation_length(lattice.spatial_autocorrelation(runs, 10)))
-
-
 @query(f"""{SIG}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 r, count(*) OVER (PARTITION BY series_id) n FROM sig)
  SELECT series_id, t, x FROM r WHERE n <= 10 OR r = 0 OR (r * 9) // greatest(n - 1, 1) > ((r - 1) * 9) // greatest(n - 1, 1)""")
 def even_sample(spark, sf_dir):
@@ -773,3 +704,6 @@ def robust_dimension(spark, sf_dir):
 def gridded_points(spark, sf_dir):
     points = ring(spark, sf_dir).select(F.col("t").alias("field_id"), F.round(F.col("x") * 1000).cast("long").alias("u"), F.col("site").alias("v"))
     return multifractal.gridded(points, "u", "v", 8)
+
+
+from phasespark.plans import systems  # noqa: E402, F401  registers the queries of simulated systems and of the composites

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phasespark.functions.maps import FLOWS, SYSTEMS, flow_step, matrix
-from phasespark.operators import chaos, correlation, entropy, intermittency, lattice, multifractal, ordinal, recurrence, sections
+from phasespark.operators import chaos, correlation, embedding, entropy, intermittency, lattice, multifractal, ordinal, recurrence, sections
 from phasespark.operators.embedding import embed, pairs
 from phasespark.plans import cache, workflow
 from phasespark.sources import signals as src
@@ -107,7 +107,49 @@ def test_crossings_of_a_sine(spark):
     gaps = np.diff([r["time"] for r in found])
     assert len(found) == 9 or len(found) == 10
     assert np.allclose(gaps, 4.0, atol=1e-3)
-    assert sections.section_quality(sections.crossings(signal(spark, [0.0, 1.0]))).count() in (0, 1)
+    short = signal(spark, [0.0, 1.0])
+    row = sections.section_quality(sections.section(short), short).first()
+    assert (row["n"], row["label"]) == (0, "insufficient_data")
+    sine = signal(spark, np.sin(2 * np.pi * t / 40))
+    assert sections.section_quality(sections.section(sine, 10.0, delay=10), sine).first()["label"] == "highly_periodic"
+    assert sections.dominant_period(sine).first()["period"] == 40
+
+
+def test_prominence_and_distance(spark):
+    x = [0, 2, 1, 3, 0, 1, 0.5, 1.5, 0, 5, 5, 0, 2, 0]
+    got = lambda **k: [(r["t"], r["prominence"]) for r in intermittency.spaced_extrema(signal(spark, x), **k).orderBy("t").collect()]
+    assert got() == [(1, 1.0), (3, 3.0), (5, 0.5), (7, 1.5), (9, 5.0), (12, 2.0)]
+    assert [t for t, _ in got(prominence=1.5)] == [3, 7, 9, 12] and [t for t, _ in got(distance=3)] == [3, 9, 12]
+    with pytest.raises(ValueError):
+        intermittency.spaced_extrema(signal(spark, x), distance=0)
+
+
+def test_takens_theiler_tail_takes_the_middle_slope(spark):
+    r = np.geomspace(0.01, 1.0, 20)
+    c = r**2
+    c[1] = c[0]
+    rows = [("s", k, float(a), float(b), 1e-9) for k, (a, b) in enumerate(zip(r, c, strict=True))]
+    d = [x["d"] for x in correlation.takens_theiler_curve(spark.createDataFrame(rows, "series_id string, k int, r double, c double, floor double")).orderBy("k").collect()]
+    assert abs(d[0] - 2) < 1e-6 and abs(d[-1] - 2) < 0.05
+
+
+def test_discrete_power_law_recovers_zipf(spark):
+    x = np.random.default_rng(2029).zipf(2.2, 5000).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"run_id": 0, "value": x}))
+    row = intermittency.fit_power_law_discrete(df, 1000).first()
+    assert abs(row["alpha"] - 2.2) < 0.1 and row["x_min"] == 1.0
+    again = intermittency._draw_discrete(np.random.default_rng(1), 2.2, 3.0, 20_000)
+    assert again.min() == 3 and abs((again == 3).mean() - 3**-2.2 / intermittency.zeta(2.2, 3.0)) < 0.01
+
+
+def test_cao_rules(spark):
+    pick = lambda e, **k: embedding.select_dimension_cao(spark.createDataFrame([("s", i + 1, float(v)) for i, v in enumerate(e)], "series_id string, d int, e1 double"), **k).first()["dimension"]
+    assert pick([0.2, 0.5, 0.96, 0.98, 0.99, 1.0]) == 3
+    assert pick([0.2, 0.5, 0.955, 0.975, 0.994, 0.8]) == 3 and pick([0.2, 0.5, 0.96, 1.04, 0.96, 1.2]) == 3
+    assert pick([0.2, 0.5, 0.9, 0.7]) == 3 and pick([0.2, 0.5, 0.9, 0.7], max_dim=2) == 2
+    assert pick([0.0, 3.0, 0.0, 3.0, 0.0], window=3) in (2, 4)
+    with pytest.raises(ValueError):
+        embedding.optimal_dimension(signal(spark, [1.0, 2.0]), 1, 1)
 
 
 @pytest.mark.parametrize("name", sorted(SYSTEMS))
