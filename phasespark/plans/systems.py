@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import sqrt
+from math import pi, sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -387,16 +387,16 @@ def correlation_length(spark, sf_dir):
 
 # --- sections -----------------------------------------------------------------------------------------------------------------------
 
-SECTION = f"""{SIG}, mn AS (SELECT series_id, avg(x) m, count(*) n FROM sig GROUP BY 1 HAVING count(*) >= 3), g1 AS (SELECT series_id, t, x, x - 60 s, n, coalesce((lead(x) OVER w - lag(x) OVER w) / 2, lead(x) OVER w - x, x - lag(x) OVER w) * 7 d1 FROM sig JOIN mn USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY t)),
- g2 AS (SELECT *, coalesce((lead(d1) OVER w - lag(d1) OVER w) / 2, lead(d1) OVER w - d1, d1 - lag(d1) OVER w) * 7 d2 FROM g1 WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+SECTION = f"""{SIG}, mn AS (SELECT series_id, avg(x) m, count(*) n FROM sig GROUP BY 1 HAVING count(*) >= 3), g1 AS (SELECT series_id, t, x, x - 60 s, n, coalesce((lead(x) OVER w - lag(x) OVER w) / 2, lead(x) OVER w - x, x - lag(x) OVER w) * 2 * pi() d1 FROM sig JOIN mn USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+ g2 AS (SELECT *, coalesce((lead(d1) OVER w - lag(d1) OVER w) / 2, lead(d1) OVER w - d1, d1 - lag(d1) OVER w) * 2 * pi() d2 FROM g1 WINDOW w AS (PARTITION BY series_id ORDER BY t)),
  g3 AS (SELECT *, lead(s) OVER w s1, lead(x) OVER w x1, lead(d1) OVER w e1, lead(d2) OVER w e2, lag(x, 2) OVER w past, lead(x, 2) OVER w future FROM g2 WINDOW w AS (PARTITION BY series_id ORDER BY t)),
  cx AS (SELECT series_id, t, n, -s / (s1 - s) a, x, x1, d1, e1, d2, e2, past, future FROM g3 WHERE (s <= 1e-12 AND s1 > 1e-12 OR s >= -1e-12 AND s1 < -1e-12) AND abs(s1 - s) > 1e-12)"""
 
 
-@query(f"""{SECTION} SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY (t + a) / 7) - 1 AS k, round((t + a) / 7, 6) AS "time", round(x + a * (x1 - x), 6) AS "value", round(d1 + a * (e1 - d1), 6) + 0.0 d1, round(d2 + a * (e2 - d2), 6) + 0.0 d2,
+@query(f"""{SECTION} SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY (t + a) / (2 * pi())) - 1 AS k, round((t + a) / (2 * pi()), 6) AS "time", round(x + a * (x1 - x), 6) AS "value", round(d1 + a * (e1 - d1), 6) + 0.0 d1, round(d2 + a * (e2 - d2), 6) + 0.0 d2,
  CASE WHEN t >= 2 AND t + 2 < n THEN past END past, CASE WHEN t >= 2 AND t + 2 < n THEN future END future FROM cx""")
 def section_planes(spark, sf_dir):
-    return rounded(sections.section(src.events_by_user(spark, sf_dir), 7.0, delay=2, level=60.0, direction="both"))
+    return rounded(sections.section(src.events_by_user(spark, sf_dir), 2 * pi, delay=2, level=60.0, direction="both"))
 
 
 SPECTRUM = f"""{SIG}, ms AS (SELECT series_id, t, x - avg(x) OVER s c, count(*) OVER s n FROM sig WINDOW s AS (PARTITION BY series_id)),
@@ -409,13 +409,13 @@ def dominant_period(spark, sf_dir):
 
 
 @query(f"""{SPECTRUM}, rk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY power DESC, k) r FROM pw), sr AS (SELECT series_id, sqrt(max(power) FILTER (WHERE r = 1) / max(power) FILTER (WHERE r = 2)) ratio FROM rk GROUP BY 1),
- {SECTION.split(", mn AS", 1)[1].join(["mn AS", ""])}, tm AS (SELECT series_id, (t + a) / 7 tt, (t + a) / 7 - lag((t + a) / 7) OVER (PARTITION BY series_id ORDER BY t) gap FROM cx),
+ {SECTION.split(", mn AS", 1)[1].join(["mn AS", ""])}, tm AS (SELECT series_id, (t + a) / (2 * pi()) tt, (t + a) / (2 * pi()) - lag((t + a) / (2 * pi())) OVER (PARTITION BY series_id ORDER BY t) gap FROM cx),
  qs AS (SELECT series_id, count(*) n, avg(gap) m, stddev_pop(gap) / avg(gap) cv FROM tm GROUP BY 1), al AS (SELECT i.series_id, coalesce(n, 0) n, m, cv, ratio FROM (SELECT DISTINCT series_id FROM sig) i LEFT JOIN qs USING (series_id) LEFT JOIN sr USING (series_id))
  SELECT series_id, n, CASE WHEN n >= 3 THEN round(m, 6) END mean_period, CASE WHEN n >= 3 THEN round(cv, 6) END cv, CASE WHEN n >= 3 THEN round(ratio, 6) END ratio,
  CASE WHEN n < 3 THEN 'insufficient_data' WHEN cv < 0.05 AND ratio >= 5 THEN 'highly_periodic' WHEN cv < 0.2 AND ratio >= 3 THEN 'periodic' WHEN cv < 0.6 AND ratio >= 1.5 THEN 'quasi_periodic' ELSE 'chaotic' END AS "label" FROM al""")
 def section_quality(spark, sf_dir):
     signals = src.events_by_user(spark, sf_dir)
-    return rounded(sections.section_quality(sections.section(signals, 7.0, delay=2, level=60.0, direction="both"), signals))
+    return rounded(sections.section_quality(sections.section(signals, 2 * pi, delay=2, level=60.0, direction="both"), signals))
 
 
 @query(f"""{SIG}, m AS (SELECT series_id, t, x - avg(x) OVER (PARTITION BY series_id) c, count(*) OVER (PARTITION BY series_id) n FROM sig), a AS (SELECT a.series_id, a.n, b.t - a.t lag, round(sum(a.c * b.c), 6) s FROM m a JOIN m b ON a.series_id = b.series_id AND b.t - a.t BETWEEN 0 AND 65 GROUP BY 1, 2, 3),
