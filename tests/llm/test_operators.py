@@ -290,11 +290,88 @@ def test_contexts_discover_identifiers(spark):
     assert hidden[0][1][s:e] == "AB-44550667"
 
 
+def plain_discovery(texts, rounds=2, confidence=0.7, support=3, share=0.3):
+    """The rounds over words in plain loops: {row: spans}."""
+    signs = pii.PUNCTUATION
+    rows = []  # (row, start, end, instance, seed, patterns)
+    for n, text in enumerate(texts):
+        base = sorted({s for spans in plain_pii(text).values() for s in spans})
+        inside = {i for s, e in base for i in range(s, e)}
+        found = []
+        for m in re.finditer(r"[^\s]+", "".join("x" if i in inside else c for i, c in enumerate(text)), re.ASCII):
+            s, e = m.span()
+            while s < e and s not in inside and text[s] in signs:
+                s += 1
+            while e > s and e - 1 not in inside and text[e - 1] in signs:
+                e -= 1
+            if s < e:
+                found.append((s, e, text[s:e], any(i in inside for i in range(s, e))))
+        for k, (s, e, m, seed) in enumerate(found):
+            left = [found[k - j] if k >= j else None for j in (1, 2)]
+            right = found[k + 1] if k + 1 < len(found) else None
+            word = lambda x: x[2].lower() if x and not x[3] else None
+            p = {("L", word(left[0])), ("R", word(right)), ("B", word(left[1]), word(left[0]))}
+            rows.append((n, s, e, (m, seed), seed, {x for x in p if None not in x}))
+
+    def induced(known):
+        around = {}
+        for *_, m, _, ps in rows:
+            if m in known:
+                for p in ps:
+                    around.setdefault(p, set()).add(m)
+        return {p for p, ms in around.items() if len(ms) >= support}
+
+    known = {r[3] for r in rows if r[4]}
+    seeds, patterns, accepted, sure = set(known), induced(known), set(), set()
+    for _ in range(rounds):
+        held = {}
+        for *_, m, _, ps in rows:
+            for p in ps & patterns:
+                held.setdefault(p, set()).add(m)
+        sure = {p for p, ms in held.items() if len(ms & (seeds | accepted)) >= support and len(ms & (seeds | accepted)) / (len(ms) + 1) >= confidence}
+        reached = {m for p in sure for m in held[p]} - seeds
+        if not reached:
+            return {}
+        before, accepted = accepted, set()
+        for m in reached:
+            own = [bool(r[5] & sure) for r in rows if r[3] == m]
+            if sum(own) / len(own) >= share:
+                accepted.add(m)
+        if before and len(before) == len(accepted):
+            break
+        patterns = patterns | induced(accepted)
+    out = {}
+    for n, s, e, m, _, ps in rows:
+        if m in accepted and ps & sure:
+            out.setdefault(n, []).append((s, e))
+    return out
+
+
+def test_discovery_matches_plain_loops(spark):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "the", "of"]
+    noise = lambda n: " ".join(rng.choices(words, k=n))
+    texts = []
+    for i in range(60):
+        seed = rng.choice([f"user{i}@mail.example.org", f"10.1.{i}.7", "4111 1111 1111 1111", f"+44 20 7946 0{i:03d}"])
+        texts.append(f"{noise(3)} please contact {seed}, or\n{noise(2)}")
+    texts += [f"{noise(2)} please contact EMP-{i:03d}. or {noise(1)}" for i in range(9)]
+    texts += [f"badge EMP-{i:03d} expired  {noise(2)}" for i in range(9)] + [f"badge {x} expired" for x in ("AB12345", "Smith")]
+    texts += [f"{noise(2)} please contact the or"] + [noise(30), "", "the the"]
+    got = {r["doc_id"]: [tuple(s) for s in r["id"]] for r in pii.find(frame(spark, enumerate(texts))).collect()}
+    want = plain_discovery(texts)
+    assert {k: v for k, v in got.items() if v} == want
+    found = {texts[k][s:e] for k, v in want.items() for s, e in v}
+    assert {f"EMP-{i:03d}" for i in range(9)} | {"AB12345", "Smith"} <= found and "the" not in found
+
+
 def test_redaction(spark, edge, empty):
     df = frame(spark, [(0, "mail x@y.zz now"), (1, None), (2, "no data"), (3, "10.0.0.1 and +1 (482) 555-7163"), (3, "10.0.0.1 and +1 (482) 555-7163")])
     out = pii.redact(df)
     assert out.columns == df.columns
     assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["text"]) == [(0, "mail [email] now"), (2, "no data"), (3, "[ip] and [phone]"), (3, "[ip] and [phone]")]
+    clash = df.withColumnRenamed("words", "spans").withColumnRenamed("t", "masked").withColumnRenamed("h", "id").withColumnRenamed("source", "row")
+    assert pii.redact(clash).columns == clash.columns and pii.redact(clash).filter("text like '%[email]%'").count() == 1
     assert pii.redact(edge).count() == len(EDGES) + 2 and pii.redact(empty).count() == 0
 
 
