@@ -5,6 +5,10 @@ windows of one anchor occurrence form a unit. Units are gathered by anchor, over
 each distinct unit once. A unit whose whole text occurs in an earlier document is settled by that. Where units of one anchor differ,
 their texts are gathered in a shard and sorted: suffixes smaller than their successors directly, all others induced from them by bucket
 scans; adjacent common prefixes of at least ``width`` bytes give the repeated windows and the smallest document that has each.
+
+An anchor of very many different units (a short phrase that many texts share) would fill one task. A batch that has more than
+``hot_units`` of them offers a mark in their place, and the windows of such an anchor, as of one with more than ``hot_anchor`` units in
+all, are dealt one by one by their own hash and sorted there: equal windows meet, whatever stands around them.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasespark.llm.common import materialise
 
@@ -260,6 +265,39 @@ def _rows(batch: pa.RecordBatch, *names: str):
 # --- the distributed steps ------------------------------------------------------------------------------------------------------
 
 
+HOT = -1  #: in place of a content: the batch has more units of the anchor than it offers
+
+
+@dataclass
+class Windows:
+    """The distinct windows of a batch's hot anchors, by shard of their hash."""
+
+    start: np.ndarray  #: of each occurrence
+    doc: np.ndarray
+    which: np.ndarray  #: position of an occurrence's window among the distinct ones
+    text: np.ndarray  #: the distinct windows, a row each
+    least: np.ndarray  #: smallest key among their documents
+    cut: np.ndarray  #: first distinct window of each shard
+
+
+def hot_windows(b: Batch, u: Units, anchors: np.ndarray, width: int, shards: int) -> Windows:
+    at = np.flatnonzero(np.isin(u.anchor[u.pair], anchors))
+    start = np.repeat(u.start[at], u.count[at]) + np.arange(u.count[at].sum()) - np.repeat(np.cumsum(u.count[at]) - u.count[at], u.count[at])
+    doc = np.repeat(u.doc[at], u.count[at])
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b.x, width)[start]) if len(start) else np.zeros((0, width), np.uint8)
+    _, first, which = np.unique(rows.view(f"V{width}").ravel(), return_index=True, return_inverse=True)
+    text, h = rows[first], np.full(len(first), STEP, dtype=U)
+    for j in range(width):
+        h = _mix((h + LETTER[text[:, j]]) * U(STEP))
+    least = np.full(len(first), NO_ID)
+    np.minimum.at(least, which, b.keys[doc])
+    shard = ((h >> U(32)).astype(np.int64) * shards) >> 32
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Windows(start, doc, place[which], text[order], least[order], np.searchsorted(shard[order], np.arange(shards + 1)))
+
+
 def remove_repeats(
     docs: DataFrame,
     key: str = "doc_id",
@@ -269,13 +307,17 @@ def remove_repeats(
     k: int = 20,
     batch_bytes: int = 2 << 20,
     shard_bytes: int = 16 << 20,
+    hot_units: int = 16,
+    hot_anchor: int = 4096,
 ) -> DataFrame:
     """One row (key, n_bytes, n_removed, n_spans, kept binary) per row of ``docs``.
 
     A byte goes if some ``width``-byte string over it also starts in a row with a smaller key; strings are judged on the input. Null and
     empty texts keep nothing and lose nothing. Rows of one and the same key don't take from each other; a null key is larger than all
-    others. Extra columns are dropped; an empty table gives no rows.
+    others. Keys are integers. Extra columns are dropped; an empty table gives no rows.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be of an integer type")
 
     def pack(batches):
         from pyspark import TaskContext
@@ -315,27 +357,36 @@ def remove_repeats(
             for number, head, body in _rows(batch, "batch", "head", "body"):
                 _, u, cut = found(head, body)
                 some = np.flatnonzero(np.diff(cut))
-                blobs = [_packed(u.anchor[cut[s] : cut[s + 1]], u.content[cut[s] : cut[s + 1]], u.least[cut[s] : cut[s + 1]]) for s in some.tolist()]
+                new = np.flatnonzero(np.r_[True, u.anchor[1:] != u.anchor[:-1]]) if len(u.anchor) else np.zeros(0, np.int64)
+                size = np.diff(np.r_[new, len(u.anchor)])
+                many = np.repeat(size > hot_units, size)
+                content = np.where(many, HOT, u.content.astype(np.int64))
+                offered = ~many
+                offered[new] = True
+                blobs = []
+                for s in some.tolist():
+                    index = np.flatnonzero(offered[cut[s] : cut[s + 1]])
+                    at = cut[s] + index
+                    blobs.append(_packed(index, u.anchor[at], content[at], u.least[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), number)), pa.array(blobs, pa.binary())], names=["shard", "batch", "blob"])
 
     def settle(shard: pa.Table) -> pa.Table:
-        numbers, parts = np.asarray(shard.column("batch").combine_chunks()), [_unpacked(b, 3) for b in shard.column("blob").to_pylist()]
+        numbers, parts = np.asarray(shard.column("batch").combine_chunks()), [_unpacked(b, 4) for b in shard.column("blob").to_pylist()]
         source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        index = np.concatenate([np.arange(len(p[0])) for p in parts])
-        anchor, content, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        index, anchor, content, least = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((least, content, anchor))
         a, c, m = anchor[order], content[order], least[order]
         new_a = np.r_[True, a[1:] != a[:-1]]
         new_pair = new_a | np.r_[True, c[1:] != c[:-1]]
         first = np.flatnonzero(new_pair)
         smallest = np.repeat(m[first], np.diff(np.r_[first, len(m)]))
-        settled = m > smallest
         group = np.cumsum(new_a) - 1
-        varied = np.bincount(group[first]) > 1  # anchors with several contents
-        asked = np.zeros(len(m), bool)
-        asked[first] = varied[group[first]]
+        contents = np.bincount(group[first])
+        hot = ((contents > hot_anchor) | (np.bincount(group, c == HOT) > 0))[group]
+        settled = (m > smallest) & ~hot
+        asked = (m == smallest) & ~hot & (contents > 1)[group]  # anchors with several contents
         out = []
-        for kind, chosen in ((0, settled), (1, asked)):
+        for kind, chosen in ((0, settled), (1, asked), (3, hot)):
             at = order[chosen]
             values = smallest[chosen]
             by = np.lexsort((index[at], source[at]))
@@ -390,16 +441,62 @@ def remove_repeats(
     shown = asks.mapInArrow(show, "shard long, batch long, blob binary, texts binary")
     partial = materialise(shown.groupBy("shard").applyInArrow(compare, "kind int, batch long, shard long, blob binary"), "partial")
 
+    def hot_anchors(u: Units, cut: np.ndarray, told) -> np.ndarray:
+        own = [u.anchor[cut[entry["shard"]] + _unpacked(entry["blob"], 2)[0]] for entry in told or []]
+        return np.unique(np.concatenate(own)) if own else u.anchor[:0]
+
+    def show_windows(batches):
+        for batch in batches:
+            for number, head, body, told in _rows(batch, "batch", "head", "body", "told3"):
+                b, u, cut = found(head, body)
+                w = hot_windows(b, u, hot_anchors(u, cut, told), width, shards)
+                for s in np.flatnonzero(np.diff(w.cut)).tolist():
+                    part = slice(w.cut[s], w.cut[s + 1])
+                    blob = _packed(w.least[part])
+                    text = zstandard.ZstdCompressor(level=1).compress(w.text[part].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([number]), pa.array([blob], pa.binary()), pa.array([text], pa.binary())], names=["shard", "batch", "blob", "texts"])
+
+    def compare_windows(shard: pa.Table) -> pa.Table:
+        numbers, least = shard.column("batch").to_pylist(), [_unpacked(b, 1)[0] for b in shard.column("blob").to_pylist()]
+        raw = b"".join(zstandard.ZstdDecompressor().decompress(t) for t in shard.column("texts").to_pylist())
+        _, which = np.unique(np.frombuffer(raw, dtype=f"V{width}"), return_inverse=True)
+        own = np.concatenate(least)
+        smallest = np.full(which.max() + 1, NO_ID)
+        np.minimum.at(smallest, which, own)
+        out, at = [], 0
+        for number, mine in zip(numbers, least, strict=True):
+            before = smallest[which[at : at + len(mine)]]
+            index = np.flatnonzero(before < mine)
+            at += len(mine)
+            if len(index):
+                out.append((4, number, shard.column("shard")[0].as_py(), _packed(index, before[index])))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["kind", "batch", "shard", "blob"])
+
+    hot = packed.select("batch", "head", "body").join(gathered(3, replies), "batch")
+    split = hot.mapInArrow(show_windows, "shard long, batch long, blob binary, texts binary")
+    single = materialise(split.groupBy("shard").applyInArrow(compare_windows, "kind int, batch long, shard long, blob binary"), "windows")
+
     def cut_out(batches):
         for batch in batches:
-            for head, body, told0, told2 in _rows(batch, "head", "body", "told0", "told2"):
+            for head, body, told0, told2, told3, told4 in _rows(batch, "head", "body", "told0", "told2", "told3", "told4"):
                 b, u, cut = found(head, body)
+                w = hot_windows(b, u, hot_anchors(u, cut, told3), width, shards) if told3 else None
                 least, bits = u.least.copy(), np.zeros(len(u.anchor), np.int64)
                 for told, into in ((told0, least), (told2, bits)):
                     for entry in told or []:
                         index, values = _unpacked(entry["blob"], 2)
                         into[cut[entry["shard"]] + index] = values
                 mark = np.zeros(len(b.x) + 1, np.int64)
+                if w is not None:
+                    smallest = w.least.copy()
+                    for entry in told4 or []:
+                        index, values = _unpacked(entry["blob"], 2)
+                        smallest[w.cut[entry["shard"]] + index] = values
+                    s = w.start[smallest[w.which] < b.keys[w.doc]]
+                    np.add.at(mark, s, 1)
+                    np.add.at(mark, s + width, -1)
+                    least[np.isin(u.anchor, hot_anchors(u, cut, told3))] = NO_ID
                 whole = least[u.pair] < b.keys[u.doc]
                 for s, n in ((u.start[whole], u.count[whole]),):
                     np.add.at(mark, s, 1)
@@ -420,5 +517,6 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
 
     told = packed.select("batch", "head", "body").join(gathered(0, replies), "batch", "left").join(gathered(2, partial), "batch", "left")
+    told = told.join(gathered(3, replies), "batch", "left").join(gathered(4, single), "batch", "left")
     return told.mapInArrow(cut_out, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -564,17 +564,35 @@ def test_suffix_order(text):
     assert all(padded[a:] <= padded[b:] or padded[a : a + 100] == padded[b : b + 100] for a, b in zip(order, order[1:], strict=False))
 
 
-@pytest.mark.parametrize("sizes", [(2 << 20, 16 << 20), (3000, 4000)])
+@pytest.mark.parametrize("sizes", [(2 << 20, 16 << 20, 16, 4096), (3000, 4000, 16, 4096), (3000, 4000, 1, 4096), (3000, 4000, 2, 1)])
 def test_removal_matches_brute_force(spark, sizes):
     rng = random.Random(11)
     pool = ["".join(rng.choices("abc ", k=rng.randint(45, 130))) for _ in range(8)]
     rows = [(i, "".join(rng.choice([rng.choice(pool), "".join(rng.choices("abcdefgh ", k=rng.randint(0, 60)))]) for _ in range(rng.randint(0, 6)))) for i in range(60)]
     rows += [(60, "é" * 40), (61, "é" * 60), (62, "z" * 49), (63, "z" * 49), (64, "q" * 50), (65, "q" * 200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in suffixes.remove_repeats(df, batch_bytes=sizes[0], shard_bytes=sizes[1]).collect())
+    got = sorted(tuple(r) for r in suffixes.remove_repeats(df, batch_bytes=sizes[0], shard_bytes=sizes[1], hot_units=sizes[2], hot_anchor=sizes[3]).collect())
     assert [(*r[:4], bytes(r[4])) for r in got] == plain_removal([(i, t.encode()) for i, t in rows])
 
 
+def test_removal_with_one_short_phrase_in_all_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = [(i, " ".join([*(word() for _ in range(8)), "all rights are reserved by the publisher", *(word() for _ in range(8))])) for i in range(1500)]
+    rows += [(1500 + i, rows[i * 7][1][20:]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in suffixes.remove_repeats(df, batch_bytes=20_000, shard_bytes=20_000).collect())
+    assert [(*r[:4], bytes(r[4])) for r in got] == plain_removal([(i, t.encode()) for i, t in rows])
+
+
+def test_removal_of_rows_with_one_key_in_several_batches(spark):
+    text = "x" * 30 + "the same passage of more than fifty bytes stands in all of them" + "y" * 30
+    rows = [(1, "q" * 20 + text[10:100]), (None, text), (None, text), (2, text), (2, text)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), batch_bytes=10).collect()
+    for k in (None, 2):
+        assert len({tuple(r) for r in got if r["doc_id"] == k}) == 1
+
+
 def test_removal_edges(edge, empty):
     got = suffixes.remove_repeats(edge).collect()
     assert len(got) == len(EDGES) + 2 and all(r["n_removed"] == 0 for r in got)
