@@ -2,7 +2,10 @@
 
 Fingerprints are compared by Hamming distance. A small tree of vantage points, grown on a bounded sample, deals the distinct
 fingerprints out: each has a home shard, and also visits the shards that the triangle inequality says may hold a neighbour across a
-boundary. Inside a shard the same kind of tree prunes further down to blocks that are compared whole. Of the links found, a shard
+boundary. Over whole fingerprints most would lie near a boundary at every level of the tree, so the bits are cut into blocks with a tree
+each: of b blocks one differs in no more than radius // b bits, and with more blocks than the radius there is one without any
+difference. Then no boundary is in reach, and every fingerprint goes to one shard a block, however many there are. Inside a shard, those
+that agree on the block are compared, by the same kind of tree down to runs that are compared whole. Of the links found, a shard
 returns a spanning forest, never all pairs; the forests are joined by distributed connected components. With ``min_jaccard`` such groups
 are candidates only, and a pair in one links if the exact similarity of its shingle sets allows it.
 """
@@ -170,6 +173,19 @@ class VantageTree:
             todo.append((self.outside[node], at[right], home[right] & ~near[right]))
         return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
+    def deal_guests(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position of a code, shard) as ``deal``, with all codes as visitors only."""
+        out, todo = [], [(0 if len(self.vantage) else -1, np.arange(len(codes)))]
+        while todo:
+            node, at = todo.pop()
+            if node < 0:
+                out.append((at, np.full(len(at), -1 - node)))
+                continue
+            d = np.bitwise_count(codes[at] ^ self.vantage[node]).astype(np.int64)
+            todo.append((self.inside[node], at[d <= self.median[node] + radius]))
+            todo.append((self.outside[node], at[d > self.median[node] - radius]))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(2))
+
 
 class Linker:
     """Links within a shard: a union-find that takes whole blocks of pairs."""
@@ -246,21 +262,33 @@ class Linker:
             todo.append((home[~near], guests[dg > middle - self.radius]))
 
 
+def block_masks(blocks: int) -> list[np.uint64]:
+    """The 64 bits in ``blocks`` runs of nearly one length."""
+    ends = [64 * j // blocks for j in range(blocks + 1)]
+    return [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def near_links(
     codes: DataFrame,
     radius: int,
     *,
     wide_limit: int = 0,
     min_ratio: float = 0.0,
-    shard_codes: int = 65536,
+    blocks: int | None = None,
+    shard_codes: int = 16384,
+    most_codes: int = 131_072,
     max_sample: int = 50_000,
 ) -> DataFrame:
     """A forest (a, b) that joins all codes linked directly or through others. ``codes``: distinct (id, words, n_shingles).
 
-    With ``min_ratio`` codes are also dealt into bands of size, and meet codes of the same and of the next band: sizes outside the
-    ratio never meet. The sample that shapes the tree is the ``max_sample`` smallest hashes at most and changes the speed only.
+    ``blocks`` of the first word have a tree each, by default one more than the radius. With ``min_ratio`` codes are also dealt into bands
+    of size, and meet codes of the same and of the next band: sizes outside the ratio never meet. A shard of over ``most_codes`` is cut
+    into pieces, and a task takes a pair of pieces. The sample that shapes the trees is the ``max_sample`` smallest hashes at most and
+    changes the speed only.
     """
     spark = codes.sparkSession
+    blocks = radius + 1 if blocks is None else blocks
+    reach, masks = radius // blocks, block_masks(blocks)
     n = codes.count()
     leaves = max(1, -(-n // shard_codes))
     wanted = min(max_sample, 64 * leaves)
@@ -268,7 +296,7 @@ def near_links(
     share = min(1.0, 2 * wanted / max(1, n))
     drawn = codes.filter(F.pmod(F.xxhash64(first), F.lit(1 << 30)) <= int(share * (1 << 30))).select(first.alias("w")).orderBy(F.xxhash64("w")).limit(wanted)
     sample = np.array([r["w"] for r in drawn.collect()], dtype=np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(VantageTree.grow(sample, leaves))
+    trees = spark.sparkContext.broadcast([VantageTree.grow(sample & mask, leaves) for mask in masks])
     width = np.log(1 / min_ratio) if min_ratio else 0.0
 
     def deal(batches):
@@ -276,18 +304,21 @@ def near_links(
             if not len(batch):
                 continue
             words = batch.column("words")
-            flat = np.asarray(words.flatten()).reshape(len(batch), -1)
+            flat = np.asarray(words.flatten()).reshape(len(batch), -1)[:, 0].copy().view(np.uint64)
             sizes = np.asarray(batch.column("n_shingles"))
             band = np.floor(np.log(np.maximum(sizes, 1)) / width).astype(np.int64) if width else np.zeros(len(batch), np.int64)
-            at, leaf, home = tree.value.deal(flat[:, 0].copy().view(np.uint64), radius)
-            if width:  # all of them visit the next band as well
-                at2, leaf2, _ = VantageTree.deal_guests(tree.value, flat[:, 0].copy().view(np.uint64), radius)
-                leaf = np.r_[band[at] * tree.value.leaves + leaf, (band[at2] + 1) * tree.value.leaves + leaf2]
-                at, home = np.r_[at, at2], np.r_[home, np.zeros(len(at2), bool)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf), pa.array(home), batch.column("id").take(pa.array(at)), words.take(pa.array(at)), pa.array(sizes[at])],
-                names=["shard", "home", "id", "words", "n_shingles"],
-            )
+            for j, (tree, mask) in enumerate(zip(trees.value, masks, strict=True)):
+                at, leaf, home = tree.deal(flat & mask, reach)
+                leaf = band[at] * tree.leaves + leaf
+                if width:  # all of them visit the next band as well
+                    at2, leaf2 = tree.deal_guests(flat & mask, reach)
+                    leaf = np.r_[leaf, (band[at2] + 1) * tree.leaves + leaf2]
+                    at, home = np.r_[at, at2], np.r_[home, np.zeros(len(at2), bool)]
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(leaf), pa.array(np.full(len(at), j, np.int32)), pa.array(home), batch.column("id").take(take), words.take(take), pa.array(sizes[at])],
+                    names=["shard", "part", "home", "id", "words", "n_shingles"],
+                )
 
     def join(shard: pa.Table) -> pa.Table:
         home = np.asarray(shard.column("home").combine_chunks().cast(pa.int8())).astype(bool)
@@ -295,32 +326,28 @@ def near_links(
         lists = shard.column("words").combine_chunks()
         flat = np.asarray(lists.flatten()).view(np.uint64).reshape(len(ids), -1)
         linker = Linker(flat, np.asarray(shard.column("n_shingles").combine_chunks()), radius, wide_limit, min_ratio)
-        linker.link(np.flatnonzero(home), np.arange(len(ids)))
+        if reach:
+            linker.link(np.flatnonzero(home), np.arange(len(ids)))
+        else:  # a pair within the radius agrees on a block: only those that agree on this one meet here
+            value = flat[:, 0] & masks[shard.column("part")[0].as_py()]
+            order = np.argsort(value, kind="stable")
+            for same in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+                if len(same) > 1:
+                    linker.link(same[home[same]], same)
         smallest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(smallest, linker.group, ids)
         root = smallest[linker.group]
         apart = root != ids
         return pa.table({"a": ids[apart], "b": root[apart]})
 
-    dealt = codes.select("id", "words", "n_shingles").mapInArrow(deal, "shard long, home boolean, id long, words array<long>, n_shingles long")
-    return dealt.groupBy("shard").applyInArrow(join, "a long, b long")
-
-
-def _deal_guests(tree: VantageTree, codes: np.ndarray, radius: int):
-    """As ``deal``, with all codes as visitors only."""
-    out, todo = [], [(0 if len(tree.vantage) else -1, np.arange(len(codes)))]
-    while todo:
-        node, at = todo.pop()
-        if node < 0:
-            out.append((at, np.full(len(at), -1 - node)))
-            continue
-        d = np.bitwise_count(codes[at] ^ tree.vantage[node]).astype(np.int64)
-        todo.append((tree.inside[node], at[d <= tree.median[node] + radius]))
-        todo.append((tree.outside[node], at[d > tree.median[node] - radius]))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), None
-
-
-VantageTree.deal_guests = staticmethod(_deal_guests)
+    dealt = codes.select("id", "words", "n_shingles").mapInArrow(deal, "shard long, part int, home boolean, id long, words array<long>, n_shingles long")
+    dealt = materialise(dealt, "dealt")
+    large = dealt.groupBy("part", "shard").agg(F.count("*").alias("n")).filter(F.col("n") > most_codes)
+    pieces = side(materialise(large.select("part", "shard", F.ceil(F.col("n") * 2 / most_codes).cast("int").alias("pieces")), "large"))
+    held = dealt.join(pieces, ["part", "shard"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    held = held.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    held = held.withColumn("lo", F.least("piece", "other")).withColumn("hi", F.greatest("piece", "other"))
+    return held.groupBy("part", "shard", "lo", "hi").applyInArrow(join, "a long, b long")
 
 
 def short_links(codes: DataFrame) -> DataFrame:
@@ -422,7 +449,8 @@ def near_duplicates(
     repeats: bool = True,
     wide_limit: int = 0,
     min_ratio: float = 0.0,
-    shard_codes: int = 65536,
+    blocks: int | None = None,
+    shard_codes: int = 16384,
     min_jaccard: float = 0.0,
     tile_shingles: int = 2_000_000,
 ) -> DataFrame:
@@ -431,13 +459,16 @@ def near_duplicates(
     Rows link when the first 64-bit words of their fingerprints differ in at most ``radius`` bits and, with more words, all words in at
     most ``wide_limit`` bits and the numbers of shingles by no more than ``min_ratio``. component_id is the smallest key reachable,
     the row's own included. Null and empty texts share the zero fingerprint. Rows with a null key keep their fingerprint and take the
-    component of the other rows that have it, if any; repeated rows stay. An empty table gives no rows.
+    component of the other rows that have it, if any; repeated rows stay. Keys are integers. An empty table gives no rows.
 
     With ``min_jaccard`` (sets of shingles, so without ``repeats``) the links by fingerprints, and those of short texts that share a
     shingle, only make candidates: a pair links if the exact Jaccard similarity of its sets is ``min_jaccard`` or more.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be of an integer type")
+    shape = {"wide_limit": wide_limit, "min_ratio": min_ratio, "blocks": blocks, "shard_codes": shard_codes}
     if min_jaccard:
-        return _verified_duplicates(docs, key, text, shingle_words, radius, words, wide_limit, min_ratio, shard_codes, min_jaccard, tile_shingles)
+        return _verified_duplicates(docs, key, text, shingle_words, radius, words, min_jaccard, tile_shingles, shape)
     rows = docs.select(F.col(key).alias("key"), coded(F.col(text), shingle_words, words, repeats).alias("code"))
     rows = materialise(rows.select("key", "code.words", "code.n_shingles"), "codes")
     same = ["words"] if not min_ratio else ["words", "n_shingles"]
@@ -445,24 +476,24 @@ def near_duplicates(
     by_code = rows.select("key", "words", size.alias("n_shingles"))
     codes = by_code.filter("key is not null").groupBy("words", "n_shingles").agg(F.min("key").alias("id"))
     codes = materialise(codes, "distinct")
-    found = components(near_links(codes, radius, wide_limit=wide_limit, min_ratio=min_ratio, shard_codes=shard_codes))
+    found = components(near_links(codes, radius, **shape))
     classes = codes.join(found, codes["id"] == found["node"], "left").select("words", "n_shingles", F.coalesce("root", "id").alias("component_id"))
     if not min_ratio:
         classes = classes.drop("n_shingles")
     return rows.join(classes, same, "left").select(F.col("key").alias(key), "words", "n_shingles", "component_id")
 
 
-def _verified_duplicates(docs, key, text, shingle_words, radius, words, wide_limit, min_ratio, shard_codes, min_jaccard, tile_shingles) -> DataFrame:
+def _verified_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int, radius: int, words: int, min_jaccard: float, tile_shingles: int, shape: dict) -> DataFrame:
     """``near_duplicates`` with ``min_jaccard``: rows are alike as they have the same set of shingles, not the same fingerprint."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = docs.select("key", coded_sets(F.col("text"), shingle_words, words, min_jaccard).alias("code"))
     rows = materialise(rows.select("key", "code.*"), "codes")
     same = ["words", "n_shingles", "digest"]
     codes = materialise(rows.filter("key is not null").groupBy(*same).agg(F.min("key").alias("id"), F.first("prefix").alias("prefix")), "distinct")
-    near = near_links(codes, radius, wide_limit=wide_limit, min_ratio=min_ratio, shard_codes=shard_codes)
+    near = near_links(codes, radius, **shape)
     near = materialise(components(near.unionByName(short_links(codes))), "candidates")
     candidates = materialise(codes.join(near, codes["id"] == near["node"]).select("id", "root", *same), "candidates")
-    found = components(verified_links(docs, candidates, shingle_words, wide_limit, min_jaccard, tile_shingles))
+    found = components(verified_links(docs, candidates, shingle_words, shape["wide_limit"], min_jaccard, tile_shingles))
     classes = codes.join(found, codes["id"] == found["node"], "left").select(*same, F.coalesce("root", "id").alias("component_id"))
     return rows.join(classes, same, "left").select(F.col("key").alias(key), "words", "n_shingles", "component_id")
 
@@ -470,7 +501,7 @@ def _verified_duplicates(docs, key, text, shingle_words, radius, words, wide_lim
 #: Exact similarity of five-word shingles of 0.8 or more. Sets of likeness J differ in a share p of the bits with
 #: cos(pi p) = 2 J / (1 + J): 0.152 at 0.8, with a deviation of 8 in 512 bits and 2.9 in 64; the limits for candidates stand over seven and
 #: four deviations above. Sets of up to SHORT shingles, where p is up to 0.19, don't depend on them.
-SIMILAR = {"shingle_words": 5, "words": 8, "repeats": False, "wide_limit": 140, "radius": 22, "min_ratio": 0.76, "shard_codes": 262_144, "min_jaccard": 0.8}
+SIMILAR = {"shingle_words": 5, "words": 8, "repeats": False, "wide_limit": 140, "radius": 22, "min_ratio": 0.76, "blocks": 1, "shard_codes": 262_144, "min_jaccard": 0.8}
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:

@@ -489,15 +489,15 @@ def test_simhash_bits():
     assert simhash.simhash(None) == ([0], 0) and simhash.simhash("one two")[1] == 1
 
 
-@pytest.mark.parametrize("shard", [7, 40, 1000])
-def test_links_match_all_pairs(spark, shard):
+@pytest.mark.parametrize(("shard", "blocks", "most"), [(7, None, 131_072), (40, None, 16), (1000, None, 20), (7, 1, 131_072), (40, 1, 50), (40, 2, 131_072), (30, 3, 25)])
+def test_links_match_all_pairs(spark, shard, blocks, most):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 60, dtype=np.int64)
     codes = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 6), replace=False)) for b in base for _ in range(4)]
     codes = list(dict.fromkeys(codes))
     links = [(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if bin(codes[i] ^ codes[j]).count("1") <= 4]
     df = spark.createDataFrame([(i, [c], 0) for i, c in enumerate(codes)], "id long, words array<long>, n_shingles long")
-    found = {r["node"]: r["root"] for r in components(simhash.near_links(df, 4, shard_codes=shard)).collect()}
+    found = {r["node"]: r["root"] for r in components(simhash.near_links(df, 4, blocks=blocks, shard_codes=shard, most_codes=most)).collect()}
     assert [found.get(i, i) for i in range(len(codes))] == plain_groups(links, len(codes))
 
 
