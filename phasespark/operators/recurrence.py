@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ def thresholds(points: DataFrame, percentile: float = 5.0, metric: str = "euclid
 
 def recurrences(points: DataFrame, eps: float | None = None, metric: str = "euclidean", percentile: float = 5.0, theiler: int = 0) -> DataFrame:
     """(series_id, i, j), j > i + theiler: the pairs at or under eps; eps is given or each series' percentile."""
+    _check(eps, percentile, theiler)
     d = distance("a", "b", dimensions(points), metric)
     near = pairs(points, theiler)
     if eps is not None:
@@ -46,10 +49,75 @@ def vertical_lines(cells: DataFrame, points: DataFrame, v_min: int = 2, theiler:
     return runs(full, ["series_id", "j"], "i").filter(F.col("length") >= v_min)
 
 
-def rqa(points: DataFrame, eps: float | None = None, metric: str = "euclidean", percentile: float = 5.0, l_min: int = 2, v_min: int = 2, theiler: int = 0) -> DataFrame:
-    """(series_id, n, rr, det, lam, l, tt, entr, lmax), zeros where there is nothing to count."""
+def _check(eps: float | None, percentile: float, theiler: int) -> None:
+    if eps is not None and not eps >= 0 or not 0 <= percentile <= 100 or theiler < 0:
+        raise ValueError("eps and theiler must not be negative, percentile lies from 0 to 100")
+
+
+def _distances(x: np.ndarray, metric: str) -> np.ndarray:
+    """All distances of the rows of x, terms added in the order of the coordinates as in the joined form."""
+    gaps = [np.abs(c[:, None] - c[None, :]) for c in x.T]
+    if metric == "chebyshev":
+        return np.maximum.reduce(gaps)
+    if metric in ("cityblock", "manhattan"):
+        return sum(gaps[1:], gaps[0])
+    squares = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+    return squares if metric == "sqeuclidean" else np.sqrt(squares)
+
+
+def _run_lengths(cells: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of true cells along the last axis."""
+    flat = np.pad(cells, ((0, 0), (1, 1))).ravel().astype(np.int8)
+    edges = np.flatnonzero(np.diff(flat))
+    return edges[1::2] - edges[::2]
+
+
+COUNTS = ("upper", "dpoints", "dlines", "entr", "lmax", "vpoints", "vlines")
+
+
+def _counts(x: np.ndarray, eps: float | None, metric: str, percentile: float, l_min: int, v_min: int, theiler: int) -> tuple:
+    """The counts of one series that fits a tile."""
+    n = len(x)
+    d = _distances(x, metric)
+    i, k = np.arange(n)[None, :], np.arange(1, n)[:, None]
+    pairs = np.where(i + k < n, d[i, np.minimum(i + k, n - 1)], np.inf)  # a row for each diagonal above the main one
+    if eps is None:
+        positive = pairs[(pairs > 0) & np.isfinite(pairs)]
+        eps = float(np.percentile(np.repeat(positive, 2), percentile)) if len(positive) else -1.0
+    lines = _run_lengths((pairs <= eps)[theiler:])
+    upper, lines = int(lines.sum()), lines[lines >= l_min]
+    p = np.unique(lines, return_counts=True)[1] / max(1, len(lines))
+    full = d <= eps
+    full[np.abs(np.arange(n)[:, None] - np.arange(n)[None, :]) <= theiler] = not theiler  # the main diagonal counts without a window
+    walls = _run_lengths(full)
+    walls = walls[walls >= v_min]
+    return upper, int(lines.sum()), len(lines), float(-(p * np.log(p)).sum()) + 0.0, int(lines.max(initial=0)), int(walls.sum()), len(walls)
+
+
+def _short_counts(points: DataFrame, sizes: DataFrame, eps, metric, percentile, l_min, v_min, theiler) -> DataFrame:
+    """(series_id, COUNTS) of series within a tile: some of them are taken together, and each is one matrix in numpy."""
+    columns = dimensions(points)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    dealt = points.join(sizes.select("series_id"), "series_id").select("series_id", "t", *columns).withColumn("deal", F.pmod(F.xxhash64("series_id"), F.lit(max(16, total // 20_000))))
+
+    def count(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("series_id", "ascending"), ("t", "ascending")])
+        names = part.column("series_id").combine_chunks().dictionary_encode()
+        code = np.asarray(names.indices)
+        x = np.stack([np.asarray(part.column(c).combine_chunks()) for c in columns], axis=1)
+        cuts = np.r_[0, np.flatnonzero(np.diff(code)) + 1, len(code)]
+        out = [_counts(x[a:b], eps, metric, percentile, l_min, v_min, theiler) for a, b in zip(cuts, cuts[1:], strict=False)]
+        kinds = [pa.float64() if c == "entr" else pa.int64() for c in COUNTS]
+        own = names.dictionary.take(pa.array(code[cuts[:-1]]))
+        return pa.table([own, *(pa.array([o[j] for o in out], t) for j, t in enumerate(kinds))], names=["series_id", *COUNTS])
+
+    kind = points.schema["series_id"].dataType.simpleString()
+    return dealt.groupBy("deal").applyInArrow(count, f"series_id {kind}, " + ", ".join(f"{c} {'double' if c == 'entr' else 'long'}" for c in COUNTS))
+
+
+def _long_counts(points: DataFrame, eps, metric, percentile, l_min, v_min, theiler) -> DataFrame:
+    """(series_id, COUNTS) by tiles of pairs and gaps and islands, for series of any length."""
     cells = recurrences(points, eps, metric, percentile, theiler)
-    n = points.groupBy("series_id").agg(F.count("*").alias("n"))
     upper = cells.groupBy("series_id").agg(F.count("*").alias("upper"))
     lengths = diagonal_lines(cells, l_min).groupBy("series_id", "length").agg(F.count("*").alias("c"))
     total = F.sum("c").over(Window.partitionBy("series_id"))
@@ -58,7 +126,33 @@ def rqa(points: DataFrame, eps: float | None = None, metric: str = "euclidean",
         F.sum(F.col("length") * F.col("c")).alias("dpoints"), F.sum("c").alias("dlines"), (-F.sum(p * F.log(p))).alias("entr"), F.max("length").alias("lmax")
     )
     vert = vertical_lines(cells, points, v_min, theiler).groupBy("series_id").agg(F.sum("length").alias("vpoints"), F.count("*").alias("vlines"))
-    rows = n.join(upper, "series_id", "left").join(diag, "series_id", "left").join(vert, "series_id", "left").fillna(0)
+    rows = points.select("series_id").distinct().join(upper, "series_id", "left").join(diag, "series_id", "left").join(vert, "series_id", "left").fillna(0)
+    return rows.select("series_id", *COUNTS)
+
+
+def rqa(
+    points: DataFrame,
+    eps: float | None = None,
+    metric: str = "euclidean",
+    percentile: float = 5.0,
+    l_min: int = 2,
+    v_min: int = 2,
+    theiler: int = 0,
+    block: int = 1024,
+) -> DataFrame:
+    """(series_id, n, rr, det, lam, l, tt, entr, lmax), zeros where there is nothing to count.
+
+    Series of up to ``block`` points without gaps in t are matrices in numpy, many to a task; longer ones are spread over tiles of pairs.
+    Both give the same counts.
+    """
+    _check(eps, percentile, theiler)
+    sizes = points.groupBy("series_id").agg(F.count("*").alias("n"), (F.max("t") - F.min("t") + 1).alias("span"))
+    short = (F.col("n") <= block) & (F.col("span") == F.col("n"))
+    how = (eps, metric, percentile, l_min, v_min, theiler)
+    counts = _short_counts(points, sizes.filter(short), *how)
+    if not sizes.filter(~short).isEmpty():
+        counts = counts.unionByName(_long_counts(points.join(sizes.filter(~short).select("series_id"), "series_id"), *how))
+    rows = sizes.select("series_id", "n").join(counts, "series_id", "left").fillna(0)
     everything = 2 * F.col("upper") + (F.lit(0) if theiler else F.col("n"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     return rows.select(

@@ -72,6 +72,19 @@ def test_circle_has_dimension_one(spark):
     assert 0.9 < row["d2"] < 1.1
 
 
+@pytest.mark.parametrize("how", [{"eps": 0.5}, {"percentile": 10}, {"percentile": 20, "theiler": 2}, {"eps": 0.7, "metric": "chebyshev", "l_min": 3, "v_min": 3}, {"eps": 0.0}, {"eps": 0.6, "metric": "cityblock", "theiler": 1}])
+def test_short_and_long_series_count_alike(spark, how):
+    rng = np.random.default_rng(4)
+    frames = [signal(spark, np.round(rng.normal(size=n), 1), str(n)) for n in (1, 2, 3, 30, 61)] + [signal(spark, [1.0] * 9, "flat")]
+    s = frames[0]
+    for f in frames[1:]:
+        s = s.unionByName(f)
+    got = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in recurrence.rqa(embed(s, 2, 1), block=b, **how).collect()) for b in (1024, 0)]
+    assert got[0] == got[1]
+    with pytest.raises(ValueError):
+        recurrence.rqa(embed(s, 2, 1), eps=-1.0)
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(1.0, True), (2.0, True), (1.5, True), (3.0, True), (1.0, False)], "d double, s boolean")
     got = [r[0] for r in df.select(correlation.band(F.col("d"), F.col("s"))).collect()]
