@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phasespark.llm.blobs import packed, unpacked
 from phasespark.llm.common import materialise
 
 NO_ID = np.iinfo(np.int64).max  #: stands for a null key: earlier than nothing
@@ -219,24 +220,6 @@ def units(x: np.ndarray, lengths: np.ndarray, keys: np.ndarray, width: int, k: i
     return Units(start, count, doc, pair, anchor[first], content[first], owner[first], first)
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Integer columns of one length, by differences for the first and in byte planes, compressed."""
-    parts = [len(columns[0]).to_bytes(8, "little")]
-    for i, c in enumerate(columns):
-        c = c.astype(np.int64)
-        c = np.diff(c, prepend=0) if i == 0 else c
-        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
-
-
-def _unpacked(raw: bytes, columns: int) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(raw, dtype=np.uint8, offset=8).reshape(columns, 8, n)
-    out = [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
-    return [np.cumsum(out[0]), *out[1:]]
-
-
 @dataclass
 class Batch:
     """Documents packed in one row: their keys and bytes."""
@@ -248,11 +231,11 @@ class Batch:
     @staticmethod
     def pack(keys: list[int | None], texts: list[bytes]) -> tuple[bytes, bytes]:
         own = np.array([NO_ID if k is None else k for k in keys], dtype=np.int64)
-        return _packed(own, np.array([len(t) for t in texts])), zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        return packed(own, np.array([len(t) for t in texts])), zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
 
     @classmethod
     def unpack(cls, head: bytes, body: bytes) -> Batch:
-        keys, lengths = _unpacked(head, 2)
+        keys, lengths = unpacked(head, 2)
         return cls(keys, lengths, np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype=np.uint8))
 
 
@@ -341,8 +324,8 @@ def remove_repeats(
             yield row()
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    packed = materialise(source.mapInArrow(pack, "batch long, size long, head binary, body binary"), "batches")
-    total = packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    batches_ = materialise(source.mapInArrow(pack, "batch long, size long, head binary, body binary"), "batches")
+    total = batches_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, min(1 << 20, total // shard_bytes))
 
     def found(head: bytes, body: bytes) -> tuple[Batch, Units, np.ndarray]:
@@ -367,11 +350,11 @@ def remove_repeats(
                 for s in some.tolist():
                     index = np.flatnonzero(offered[cut[s] : cut[s + 1]])
                     at = cut[s] + index
-                    blobs.append(_packed(index, u.anchor[at], content[at], u.least[at]))
+                    blobs.append(packed(index, u.anchor[at], content[at], u.least[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), number)), pa.array(blobs, pa.binary())], names=["shard", "batch", "blob"])
 
     def settle(shard: pa.Table) -> pa.Table:
-        numbers, parts = np.asarray(shard.column("batch").combine_chunks()), [_unpacked(b, 4) for b in shard.column("blob").to_pylist()]
+        numbers, parts = np.asarray(shard.column("batch").combine_chunks()), [unpacked(b, 4) for b in shard.column("blob").to_pylist()]
         source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         index, anchor, content, least = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((least, content, anchor))
@@ -394,11 +377,11 @@ def remove_repeats(
             cut = np.searchsorted(source[at], np.arange(len(parts) + 1))
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[s], cut[s + 1])
-                out.append((kind, int(numbers[s]), shard.column("shard")[0].as_py(), _packed(index[at[part]], values[part])))
+                out.append((kind, int(numbers[s]), shard.column("shard")[0].as_py(), packed(index[at[part]], values[part])))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["kind", "batch", "shard", "blob"])
 
-    offered = packed.select("batch", "head", "body").mapInArrow(offer, "shard long, batch long, blob binary")
+    offered = batches_.select("batch", "head", "body").mapInArrow(offer, "shard long, batch long, blob binary")
     replies = materialise(offered.groupBy("shard").applyInArrow(settle, "kind int, batch long, shard long, blob binary"), "replies")
 
     def gathered(kind: int, of: DataFrame) -> DataFrame:
@@ -410,17 +393,17 @@ def remove_repeats(
             for number, head, body, told in _rows(batch, "batch", "head", "body", "told1"):
                 b, u, cut = found(head, body)
                 for entry in told:
-                    index, _ = _unpacked(entry["blob"], 2)
+                    index, _ = unpacked(entry["blob"], 2)
                     at = u.first[cut[entry["shard"]] + index]
                     texts = [b.x[s:e].tobytes() for s, e in zip(u.start[at].tolist(), (u.start[at] + u.count[at] + width - 1).tolist(), strict=True)]
-                    blob = _packed(index, b.keys[u.doc[at]], np.array([len(t) for t in texts]))
+                    blob = packed(index, b.keys[u.doc[at]], np.array([len(t) for t in texts]))
                     body_blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
                     yield pa.RecordBatch.from_arrays([pa.array([entry["shard"]]), pa.array([number]), pa.array([blob], pa.binary()), pa.array([body_blob], pa.binary())], names=["shard", "batch", "blob", "texts"])
 
     def compare(shard: pa.Table) -> pa.Table:
         numbers, heads, owners, texts = shard.column("batch").to_pylist(), [], [], []
         for blob, raw in zip(shard.column("blob").to_pylist(), shard.column("texts").to_pylist(), strict=True):
-            index, own, lengths = _unpacked(blob, 3)
+            index, own, lengths = unpacked(blob, 3)
             raw, ends = zstandard.ZstdDecompressor().decompress(raw), np.cumsum(lengths)
             heads.append(index)
             owners.append(own)
@@ -433,16 +416,16 @@ def remove_repeats(
             at += len(index)
             some = own != 0
             if some.any():
-                out.append((2, number, shard.column("shard")[0].as_py(), _packed(index[some], own[some])))
+                out.append((2, number, shard.column("shard")[0].as_py(), packed(index[some], own[some])))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["kind", "batch", "shard", "blob"])
 
-    asks = packed.select("batch", "head", "body").join(gathered(1, replies), "batch")
+    asks = batches_.select("batch", "head", "body").join(gathered(1, replies), "batch")
     shown = asks.mapInArrow(show, "shard long, batch long, blob binary, texts binary")
     partial = materialise(shown.groupBy("shard").applyInArrow(compare, "kind int, batch long, shard long, blob binary"), "partial")
 
     def hot_anchors(u: Units, cut: np.ndarray, told) -> np.ndarray:
-        own = [u.anchor[cut[entry["shard"]] + _unpacked(entry["blob"], 2)[0]] for entry in told or []]
+        own = [u.anchor[cut[entry["shard"]] + unpacked(entry["blob"], 2)[0]] for entry in told or []]
         return np.unique(np.concatenate(own)) if own else u.anchor[:0]
 
     def show_windows(batches):
@@ -452,12 +435,12 @@ def remove_repeats(
                 w = hot_windows(b, u, hot_anchors(u, cut, told), width, shards)
                 for s in np.flatnonzero(np.diff(w.cut)).tolist():
                     part = slice(w.cut[s], w.cut[s + 1])
-                    blob = _packed(w.least[part])
+                    blob = packed(w.least[part])
                     text = zstandard.ZstdCompressor(level=1).compress(w.text[part].tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([number]), pa.array([blob], pa.binary()), pa.array([text], pa.binary())], names=["shard", "batch", "blob", "texts"])
 
     def compare_windows(shard: pa.Table) -> pa.Table:
-        numbers, least = shard.column("batch").to_pylist(), [_unpacked(b, 1)[0] for b in shard.column("blob").to_pylist()]
+        numbers, least = shard.column("batch").to_pylist(), [unpacked(b, 1)[0] for b in shard.column("blob").to_pylist()]
         raw = b"".join(zstandard.ZstdDecompressor().decompress(t) for t in shard.column("texts").to_pylist())
         _, which = np.unique(np.frombuffer(raw, dtype=f"V{width}"), return_inverse=True)
         own = np.concatenate(least)
@@ -469,11 +452,11 @@ def remove_repeats(
             index = np.flatnonzero(before < mine)
             at += len(mine)
             if len(index):
-                out.append((4, number, shard.column("shard")[0].as_py(), _packed(index, before[index])))
+                out.append((4, number, shard.column("shard")[0].as_py(), packed(index, before[index])))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["kind", "batch", "shard", "blob"])
 
-    hot = packed.select("batch", "head", "body").join(gathered(3, replies), "batch")
+    hot = batches_.select("batch", "head", "body").join(gathered(3, replies), "batch")
     split = hot.mapInArrow(show_windows, "shard long, batch long, blob binary, texts binary")
     single = materialise(split.groupBy("shard").applyInArrow(compare_windows, "kind int, batch long, shard long, blob binary"), "windows")
 
@@ -485,13 +468,13 @@ def remove_repeats(
                 least, bits = u.least.copy(), np.zeros(len(u.anchor), np.int64)
                 for told, into in ((told0, least), (told2, bits)):
                     for entry in told or []:
-                        index, values = _unpacked(entry["blob"], 2)
+                        index, values = unpacked(entry["blob"], 2)
                         into[cut[entry["shard"]] + index] = values
                 mark = np.zeros(len(b.x) + 1, np.int64)
                 if w is not None:
                     smallest = w.least.copy()
                     for entry in told4 or []:
-                        index, values = _unpacked(entry["blob"], 2)
+                        index, values = unpacked(entry["blob"], 2)
                         smallest[w.cut[entry["shard"]] + index] = values
                     s = w.start[smallest[w.which] < b.keys[w.doc]]
                     np.add.at(mark, s, 1)
@@ -516,7 +499,7 @@ def remove_repeats(
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    told = packed.select("batch", "head", "body").join(gathered(0, replies), "batch", "left").join(gathered(2, partial), "batch", "left")
+    told = batches_.select("batch", "head", "body").join(gathered(0, replies), "batch", "left").join(gathered(2, partial), "batch", "left")
     told = told.join(gathered(3, replies), "batch", "left").join(gathered(4, single), "batch", "left")
     return told.mapInArrow(cut_out, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept binary")
 

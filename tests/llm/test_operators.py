@@ -18,6 +18,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from phasespark.llm import bpe, decontaminate, langid, pii, quality, queries, simhash, suffixes, suffixtree, warc, winnow
@@ -378,8 +379,73 @@ def test_redaction(spark, edge, empty):
 # --- op6 ------------------------------------------------------------------------------------------------------------------------------
 
 
+def plain_suffix_tree(texts, trained, *, depth, min_count, min_divergence, smoothing, classes):
+    """Scores by the tree written out: contexts as tuples, oldest symbol last, distributions as dictionaries over all symbols."""
+    words = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    count = Counter(w for ws, own in zip(words, trained, strict=True) if own for w in ws)
+    kind = lambda w: xxhash.xxh32_intdigest(w[-2:]) % classes
+    symbol = lambda w: w if count[w] >= min_count else kind(w)
+    rare = [w for w in count if count[w] < min_count]
+    in_class = [(sum(count[w] for w in rare if kind(w) == k), sum(kind(w) == k for w in rare)) for k in range(classes)]
+    z = sum(count.values()) + 0.5 * (len(count) + classes)
+    root = {w: (count[w] + 0.5) / z for w in count if count[w] >= min_count} | {k: (c + 0.5 * (v + 1)) / z for k, (c, v) in enumerate(in_class)}
+    assert math.isclose(sum(root.values()), 1)
+    runs = [[symbol(w) for w in ws] for ws in words]
+    after = {}
+    for s, own in zip(runs, trained, strict=True):
+        padded = [s[-1], *s]
+        for i in range(1, len(padded) if own else 0):
+            for d in range(1, min(depth, i) + 1):
+                after.setdefault(tuple(padded[i - 1 : i - d - 1 if i - d - 1 >= 0 else None : -1]), Counter())[padded[i]] += 1
+    tree = {(): root}
+
+    def longest(context):
+        return next(tree[context[:d]] for d in range(len(context), -1, -1) if context[:d] in tree)
+
+    for context in sorted(after, key=len):
+        n = sum(after[context].values())
+        if n < min_count:
+            continue
+        q = longest(context[:-1])
+        p = {x: (after[context][x] + smoothing * q[x]) / (n + smoothing) for x in q}
+        assert math.isclose(sum(p.values()), 1)
+        if sum(p[x] * math.log(p[x] / q[x]) for x in q) >= min_divergence:
+            tree[context] = p
+    out = []
+    for ws, s in zip(words, runs, strict=True):
+        padded, total = [s[-1], *s], 0.0
+        for i in range(1, len(padded)):
+            context = tuple(padded[max(0, i - depth) : i][::-1])
+            total += math.log10(longest(context)[padded[i]])
+            if count[ws[i - 1]] < min_count:
+                c, v = in_class[kind(ws[i - 1])]
+                total += math.log10((count[ws[i - 1]] + 0.5) / (c + 0.5 * (v + 1)))
+        out.append(total)
+    return out, max(map(len, tree))
+
+
+def test_suffix_tree_matches_a_plain_one(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(12)]
+    def made(n):
+        out = ["w0"]
+        for _ in range(n):
+            i = int(out[-1][1:])
+            out.append(f"w{(i * 5 + len(out) % 3) % 12}" if rng.random() < 0.7 else rng.choice(vocabulary) if rng.random() < 0.8 else f"w{rng.randint(12, 90)}")
+        return " ".join(out)
+    texts = [made(rng.randint(0, 80)) for _ in range(120)] + ["", None, "  ", "never seen words", "w1"]
+    trained = [i % 5 != 1 for i in range(len(texts))]
+    how = {"depth": 3, "min_count": 12, "min_divergence": 0.05, "smoothing": 3.0, "classes": 4}
+    want, deepest = plain_suffix_tree(texts, trained, **how)
+    assert deepest == 3
+    df = spark.createDataFrame([(i, t, own) for i, (t, own) in enumerate(zip(texts, trained, strict=True))], "doc_id long, text string, own boolean").repartition(3)
+    for sizes in ({}, {"batch_bytes": 500, "shard_bytes": 900}):
+        got = {r["doc_id"]: r["score"] for r in suffixtree.score(df, F.col("own"), **how, **sizes).collect()}
+        assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
+
+
 def test_suffix_tree_base_and_score(spark, docs, texts):
-    got = {r["doc_id"]: r for r in suffixtree.score_documents(docs.select("doc_id", "text"), known_words=500).collect()}
+    got = {r["doc_id"]: r for r in suffixtree.score_documents(docs.select("doc_id", "text")).collect()}
     words = {i: [*t.encode().lower().split(), b"\n"] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     c = Counter(w for i, ws in words.items() if not held[i] for w in ws)
@@ -392,11 +458,6 @@ def test_suffix_tree_base_and_score(spark, docs, texts):
     assert sum(got[i]["score"] for i in outside) > sum(got[i]["base_score"] for i in outside)
 
 
-def test_suffix_tree_is_a_distribution(docs):
-    tree, _ = suffixtree.grow(docs.select("text"))
-    assert tree.depth >= 1 and np.allclose(tree.probability.sum(axis=1), 1)
-
-
 def test_suffix_tree_edges(edge, empty):
     got = suffixtree.score_documents(edge).collect()
     assert len(got) == len(EDGES) + 2 and {r["n_tokens"] for r in got if r["doc_id"] in (0, 1, 2)} == {1}
