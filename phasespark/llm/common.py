@@ -45,6 +45,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """As ``materialise``, in as many buckets of ``column`` as there are shuffle partitions: joins on it don't move the rows again.
+
+    The table's name goes at once, its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortBy(column).saveAsTable(own)
+    out = spark.table(own)
+    out.schema  # resolved, so that the name is no longer needed
+    spark.sql(f"DROP TABLE {own}")
+    return out
+
+
 #: Bytes that a broadcast side may hold, as counted by ``fits``.
 BROADCAST_BYTES = 32 << 20
 

@@ -446,7 +446,9 @@ def plain_suffix_tree(texts, trained, *, depth, min_count, min_divergence, smoot
         padded = [s[-1], *s]
         for i in range(1, len(padded) if own else 0):
             for d in range(1, min(depth, i) + 1):
-                after.setdefault(tuple(padded[i - 1 : i - d - 1 if i - d - 1 >= 0 else None : -1]), Counter())[padded[i]] += 1
+                context = tuple(padded[i - 1 : i - d - 1 if i - d - 1 >= 0 else None : -1])
+                if not any(isinstance(x, int) for x in context):  # a class is no context
+                    after.setdefault(context, Counter())[padded[i]] += 1
     tree = {(): root}
 
     def longest(context):
