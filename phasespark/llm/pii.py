@@ -87,20 +87,22 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _masked(text: Column, spans: Column) -> Column:
-    """The text with its spans in private characters, of the same length."""
+    """A text with its spans in private characters, of the same length."""
     part = lambda t, x: F.substring(t, x["s"] + 1, x["e"] - x["s"])
     write = lambda t, x: F.overlay(t, F.translate(part(t, x), PLAIN, PRIVATE), x["s"] + 1, x["e"] - x["s"])
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, text, write))
+    return F.aggregate(spans, text, write)
 
 
 def _scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, h, kinds.., masked): every row with its base spans, written once and scanned by all rounds."""
+    """(row, key, h, kinds.., masked): every row with its base spans, written once and scanned by all rounds; the masked text as far as a
+    text has spans."""
     t = F.col("row")[text]
     rows = docs.select(F.struct("*").alias("row"))
     plain = lambda v: F.transform(v, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     found = rows.select("row", F.col("row")[key].alias("key"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"), *(plain(v).alias(k) for k, v in base_spans(t).items()))
-    masked = _masked(F.coalesce(F.col("row")[text], F.lit("")), F.concat(*KINDS))
-    return materialise(found.withColumn("masked", masked), "scanned")
+    spans = F.concat(*KINDS)
+    found = materialise(found.withColumn("masked", F.when(F.size(spans) > 0, _masked(t, spans))), "scanned")
+    return found.withColumn("masked", F.coalesce("masked", t, F.lit("")))
 
 
 def _occurrences(scanned: DataFrame) -> DataFrame:
@@ -150,9 +152,11 @@ def _discovered(scanned: DataFrame, rounds: int, min_confidence: float, min_supp
     """
     everywhere = _occurrences(scanned)
     is_seed = F.col("m").rlike(SEED)
-    near = _around(_occurrences(scanned.filter(F.size(F.concat(*KINDS)) > 0))).groupBy("p")
-    near = near.agg(F.sum(is_seed.cast("int")).alias("seeds"), F.count("*").alias("least")).filter(F.col("seeds") >= min_support)
-    near = materialise(near, "patterns")
+    seeded = _occurrences(scanned.filter(F.size(F.concat(*KINDS)) > 0))
+    seeds = _around(seeded.filter(is_seed)).groupBy("p").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_support)
+    seeds = materialise(seeds, "seeds")
+    least = _in_patterns(seeded, seeds).select("p", "m").distinct().groupBy("p").agg(F.count("*").alias("least"))
+    near = materialise(seeds.join(least, "p"), "patterns")
     accepted, found, n_accepted = None, None, 0
     for _ in range(rounds):
         possible = (F.col("seeds") + n_accepted) / (F.col("least") + 1) >= min_confidence
