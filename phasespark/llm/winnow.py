@@ -20,32 +20,39 @@ BLOCK = 1 << 16
 ENTRY = "array<struct<h:bigint,at:bigint>>"
 
 
-def _hashes(block: Column, k: int) -> Column:
-    """The hashes of the runs of k characters of a block in UTF-32; of a shorter one, the hash of all of it."""
+#: Low bits of a key that hold the place, counted down so that the rightmost of equal hashes is the smallest key. A block has fewer places.
+PLACE_BITS = 17
+LAST = (1 << PLACE_BITS) - 1
+
+
+def _hash(block: Column, k: int, i: Column) -> Column:
+    return F.xxhash64(F.substring(block, i * 4 + 1, F.lit(4 * k)))
+
+
+def _keys(block: Column, k: int) -> Column:
+    """For each run of k characters of a block in UTF-32, or the only shorter one, the leading bits of its hash and its place in one long."""
     last = F.greatest(F.octet_length(block) / 4 - k, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(block, i * 4 + 1, F.lit(4 * k))))
+    key = lambda i: F.shiftleft(F.shiftright(_hash(block, k, i), PLACE_BITS), PLACE_BITS).bitwiseOR((F.lit(LAST) - i).cast("long"))
+    return F.transform(F.sequence(F.lit(0), last), key)
 
 
-def _minima(h: Column, w: int) -> Column:
-    """The places of the rightmost smallest hash of each window, or of the only window if there are fewer than w hashes."""
-    smaller = lambda a, b: F.when(h[b] <= h[a], b).otherwise(a)  # noqa: E731  b stands to the right
+def _minima(keys: Column, w: int) -> Column:
+    """The smallest key of each window, or of the only window if there are fewer than w keys."""
 
-    def wider(places: Column, step: int) -> Column:
-        return let(places, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - step), F.slice(p, 1 + step, F.size(p) - step), smaller))
+    def wider(keys: Column, step: int) -> Column:
+        return let(keys, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - step), F.slice(p, 1 + step, F.size(p) - step), lambda a, b: F.least(a, b)))
 
-    places = F.sequence(F.lit(0), F.size(h) - 1)
-    span = 1
+    found, span = keys, 1
     while span < w:
-        places, span = wider(places, min(span, w - span)), min(2 * span, w)
-    only = F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), F.lit(0), smaller)
-    return F.when(F.size(h) < w, F.array(only)).otherwise(F.array_distinct(places))
+        found, span = wider(found, min(span, w - span)), min(2 * span, w)
+    return F.when(F.size(keys) < w, F.array(F.array_min(keys))).otherwise(F.array_distinct(found))
 
 
 def entries(text: Column, k: int = 8, w: int = 16) -> Column:
     """The window minima of a text as structs (h: 64-bit hash, at: position in code points), by position.
 
-    Fewer than k characters: one hash of all of them; fewer than w hashes: one window. Null and empty texts have no entries. Texts are
-    taken in blocks of windows, so that memory is bounded whatever their length.
+    Hashes are ordered by their leading 47 bits, as signed numbers. Fewer than k characters: one hash of all of them; fewer than w hashes:
+    one window. Null and empty texts have no entries. Texts are taken in blocks of windows, so that memory is bounded whatever their length.
     """
 
     def of(points: Column) -> Column:
@@ -53,8 +60,13 @@ def entries(text: Column, k: int = 8, w: int = 16) -> Column:
 
         def block(start: Column) -> Column:
             part = F.substring(points, (start * 4 + 1).cast("int"), (F.least(windows - start, F.lit(BLOCK)) * 4 + 4 * (k + w - 2)).cast("int"))
-            named = lambda h: F.transform(_minima(h, w), lambda p: F.struct(h[p].alias("h"), (start + p).alias("at")))
-            return let(let(part, lambda b: _hashes(b, k)), named)
+
+            def named(b: Column) -> Column:
+                place = lambda key: (F.lit(LAST) - key.bitwiseAND(F.lit(LAST))).cast("int")
+                entry = lambda key: F.struct(_hash(b, k, place(key)).alias("h"), (start + place(key)).alias("at"))
+                return F.transform(let(_keys(b, k), lambda keys: _minima(keys, w)), entry)
+
+            return let(part, named)
 
         blocks = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), windows - 1, F.lit(BLOCK).cast("long")), block))
         # windows on both sides of a border may have chosen the same place
@@ -66,12 +78,13 @@ def entries(text: Column, k: int = 8, w: int = 16) -> Column:
 
 def hashes(found: Column) -> Column:
     """The set of an entry array's hashes."""
-    return F.array_distinct(F.transform(found, lambda e: e["h"]))
+    return F.array_distinct(found["h"])
 
 
 def shown(found: Column) -> Column:
-    """Entries as text: hash in hexadecimal, colon, position; joined by spaces."""
-    return F.array_join(F.transform(found, lambda e: F.concat(F.lower(F.hex(e["h"])), F.lit(":"), e["at"].cast("string"))), " ")
+    """Entries as text: all hashes and then all positions, joined by spaces, a semicolon between; nothing for none."""
+    joined = lambda c: F.array_join(found[c].cast("array<string>"), " ")
+    return F.when(F.size(found) == 0, "").otherwise(F.concat(joined("h"), F.lit(";"), joined("at")))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -87,9 +87,9 @@ def winnowed(text):
     grams = [struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(r.encode("utf-32-be"), 42)))[0] for r in runs]
     out = []
     for i in range(max(1, len(grams) - 16 + 1)):
-        least = min((g, -p) for p, g in enumerate(grams[i : i + 16], i))
-        if not out or out[-1] != (least[0], -least[1]):
-            out.append((least[0], -least[1]))
+        at = -min((g >> 17, -p) for p, g in enumerate(grams[i : i + 16], i))[1]
+        if not out or out[-1] != (grams[at], at):
+            out.append((grams[at], at))
     return out
 
 
