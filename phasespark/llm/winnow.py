@@ -83,8 +83,8 @@ def hashes(found: Column) -> Column:
 
 def shown(found: Column) -> Column:
     """Entries as text: all hashes and then all positions, joined by spaces, a semicolon between; nothing for none."""
-    joined = lambda c: F.array_join(found[c].cast("array<string>"), " ")
-    return F.when(F.size(found) == 0, "").otherwise(F.concat(joined("h"), F.lit(";"), joined("at")))
+    joined = lambda e, c: F.array_join(e[c].cast("array<string>"), " ")
+    return let(found, lambda e: F.when(F.size(e) == 0, "").otherwise(F.concat(joined(e, "h"), F.lit(";"), joined(e, "at"))))
 
 
 def likeness(a: Column, b: Column) -> Column:
