@@ -15,8 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -180,7 +179,7 @@ class Encoder:
     """A vocabulary with the words met so far; ``max_words`` bounds a worker's memory, not what is encoded."""
 
     vocabulary: Vocabulary
-    max_words: int = 400_000
+    max_words: int = 200_000
     batch_bytes: int = 2_000_000
     _index: dict[str, int] = field(default_factory=dict, repr=False)
     _ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32), repr=False)
@@ -242,26 +241,21 @@ class Encoder:
         return flat, before[bounds], [" ".join([decoded[i] for i in d]) for d in docs]
 
 
-def encoded(text: Column, path: str) -> Column:
-    """A struct (ids, decoded) for a text column, by the vocabulary file at ``path`` (read by the driver)."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(Encoder(Vocabulary.load(path)))
+def encode(docs: DataFrame, path: str, text: str = "text", rows: int = 500) -> DataFrame:
+    """``docs`` with a struct column ``bpe`` (ids, decoded), by the vocabulary file at ``path`` (read by the driver).
 
-    @F.arrow_udf(ENCODED)
-    def encode(texts: pa.Array) -> pa.Array:
-        flats, lengths, decoded = [], [np.zeros(1, np.int64)], []
-        for i in range(0, len(texts), 500):  # the pieces of a few texts at a time
-            flat, offsets, out = shared.value.encode(texts.slice(i, 500).to_pylist())
-            flats.append(flat)
-            lengths.append(np.diff(offsets))
-            decoded += out
-        ids = np.concatenate(flats) if flats else np.zeros(0, np.int32)
-        offsets = np.cumsum(np.concatenate(lengths)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+    Every row and column stays (one named ``bpe`` is replaced); null and empty texts give no ids. ``rows`` texts are in hand at a time.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(Vocabulary.load(path)))
+    own = [f for f in docs.schema.fields if f.name != "bpe"]
 
-    return encode(text)
+    def run(batches):
+        for batch in batches:
+            for i in range(0, len(batch), rows):
+                part = batch.slice(i, rows)
+                flat, offsets, decoded = shared.value.encode(part.column(text).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+                found = pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in own), found], names=[*(f.name for f in own), "bpe"])
 
-
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``bpe`` (ids, decoded). Every row and column stays; null and empty texts give no ids."""
-    return docs.withColumn("bpe", encoded(F.col(text), path))
+    return docs.mapInArrow(run, T.StructType([*own, T.StructField("bpe", ENCODED)]))
