@@ -82,7 +82,7 @@ def load_signal(spark: SparkSession, document: dict[str, Any], folder: Path) ->
     """(signals, source) by ``input.path`` or ``input.generated``, one of which has to be there."""
     given = _object(document, "input", {})
     if ("path" in given) == ("generated" in given):
-        raise WorkflowError("input must set either path or generated")
+        raise WorkflowError("give one of input.path and input.generated")
     if "path" in given:
         path = (folder / str(given["path"])).resolve()
         if not path.exists():
@@ -155,9 +155,11 @@ def run_workflow(spark: SparkSession, path: str | Path) -> dict[str, Any]:
     if len(set(names)) != len(names):
         raise WorkflowError("a diagnostic is named twice")
     limits = _object(document, "scale_limits", {})
-    allow = limits.get("allow_dense_rqa", False)
+    allow = limits.get("allow_dense_rqa_beyond_envelope", False)
     if not isinstance(allow, bool):
-        raise WorkflowError("scale_limits.allow_dense_rqa must be true or false")
+        raise WorkflowError("scale_limits.allow_dense_rqa_beyond_envelope must be true or false")
+    if "dir" not in _object(document, "output"):
+        raise WorkflowError("output.dir says where to write, and is missing")
     signals, source = load_signal(spark, document, path.parent)
     length = signals.count()
     done = {s["name"]: diagnostic(signals, s, length, int(limits.get("dense_rqa_max_bytes", DENSE_LIMIT_BYTES)), allow) for s in specs}
