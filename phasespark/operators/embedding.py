@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasespark.operators.tiles import BLOCK, Tile, check_metric, each, tiles
+
 
 def by_time():
     """The window of a series in time order. Made when asked for: workers import this module without a session."""
     return Window.partitionBy("series_id").orderBy("t")
 
 
-def lagged(signals: DataFrame, lags: list[int]) -> DataFrame:
-    """signals with columns p0, p1, ... of the values ``lags`` later; rows without all of them are dropped. One window, one shuffle."""
+#: Samples of a time block.
+SPAN = 1 << 16
+
+
+def in_time_blocks(signals: DataFrame, before: int = 0, after: int = 0, span: int = SPAN) -> DataFrame:
+    """signals with ``_block`` and ``_own``: consecutive stretches of a series, each with copies (not its own) of the ``before`` samples
+    before and the ``after`` samples after it. Windows within a block then need no other, and one long series is spread over many tasks.
+
+    t has to count the samples of a series without gaps.
+    """
+    span = max(span, before, after)
+    at, place = F.floor(F.col("t") / span), F.col("t") % span
+    copies = F.array(F.when(place < after, at - 1), at, F.when(place >= span - before, at + 1))
+    out = signals.withColumn("_block", F.explode(F.filter(copies, lambda b: b >= 0)))
+    return out.withColumn("_own", F.col("_block") == at)
+
+
+def in_block():
+    """The window of a time block in time order."""
+    return Window.partitionBy("series_id", "_block").orderBy("t")
+
+
+def lagged(signals: DataFrame, lags: list[int], whole: bool = True, span: int = SPAN) -> DataFrame:
+    """signals with columns p0, p1, ... of the values ``lags`` later. Rows without all of them are dropped, or have NaN there if not ``whole``.
+
+    One shuffle, by time blocks with the samples of the longest lag after them.
+    """
     if not lags:
         raise ValueError("no lags")
-    out = signals.select("series_id", "t", *(F.lead("x", lag).over(by_time()).alias(f"p{j}") if lag else F.col("x").alias(f"p{j}") for j, lag in enumerate(lags)))
+    ahead = in_time_blocks(signals.select("series_id", "t", "x"), after=max(lags), span=span)
+    out = ahead.select("series_id", "t", "_own", *(F.lead("x", lag).over(in_block()).alias(f"p{j}") if lag else F.col("x").alias(f"p{j}") for j, lag in enumerate(lags)))
     last = max(range(len(lags)), key=lambda j: lags[j])
-    return out.filter(F.col(f"p{last}").isNotNull())
+    out = out.filter("_own").drop("_own")
+    return out.filter(F.col(f"p{last}").isNotNull()) if whole else out.fillna(float("nan"), [f"p{j}" for j in range(len(lags))])
 
 
 def embed(signals: DataFrame, d: int, tau: int) -> DataFrame:
@@ -27,40 +57,6 @@ def embed(signals: DataFrame, d: int, tau: int) -> DataFrame:
     return lagged(signals, [j * tau for j in range(d)])
 
 
-def dimensions(points: DataFrame) -> list[str]:
-    return sorted((c for c in points.columns if c[0] == "p" and c[1:].isdigit()), key=lambda c: int(c[1:]))
-
-
-def distance(a: str, b: str, columns: list[str], metric: str) -> Column:
-    """Distance of the points of two aliases, in wide columns so that it stays in generated code."""
-    gaps = [F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in columns]
-    if metric == "chebyshev":
-        return F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
-    if metric in ("cityblock", "manhattan"):
-        return sum(gaps[1:], gaps[0])
-    squares = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
-    if metric == "sqeuclidean":
-        return squares
-    if metric == "euclidean":
-        return F.sqrt(squares)
-    raise ValueError(f"unknown metric {metric}")
-
-
-def pairs(points: DataFrame, theiler: int = 0, block: int = 1024, ordered: bool = False) -> DataFrame:
-    """Each pair of points of a series once, as structs a and b with b.t > a.t + theiler (with ``ordered``: both ways round).
-
-    A series is cut into blocks of ``block`` points and the pairs into tiles of two blocks, joined on the tile: one long series is spread
-    over many tasks, and no task sees more than two blocks at a time.
-    """
-    last = points.groupBy("series_id").agg((F.floor(F.max("t") / block)).alias("last"))
-    rows = points.join(last, "series_id").withColumn("own", F.floor(F.col("t") / block))
-    row = F.struct("t", *dimensions(points))
-    left = rows.select("series_id", F.col("own").alias("ba"), F.explode(F.sequence("own", "last")).alias("bb"), row.alias("a"))
-    right = rows.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("ba"), F.col("own").alias("bb"), row.alias("b"))
-    found = left.join(right, ["series_id", "ba", "bb"]).filter(F.col("b.t") > F.col("a.t") + theiler).select("series_id", "a", "b")
-    return found.unionByName(found.select("series_id", F.col("b").alias("a"), F.col("a").alias("b"))) if ordered else found
-
-
 def average_mutual_information(signals: DataFrame, tau_max: int = 100, n_bins: int = 64) -> DataFrame:
     """(series_id, tau, ami) in nats, from a joint histogram over equal bins of the series' range. Constant or too short series: 0."""
     whole = Window.partitionBy("series_id")
@@ -88,26 +84,49 @@ def optimal_delay(ami: DataFrame) -> DataFrame:
     return low.groupBy("series_id").agg(F.coalesce(F.min(F.when(F.col("low"), F.col("tau"))), F.lit(1)).alias("tau"))
 
 
-def _nearest(signals: DataFrame, d: int, tau: int, theiler: int, metric: str) -> DataFrame:
-    """(series_id, t, d0..dd: gaps to the nearest neighbour in each coordinate of d + 1, dist). Ties: the earliest neighbour."""
-    points = embed(signals, d + 1, tau)
-    found = pairs(points, theiler, ordered=True)
-    columns = [f"p{j}" for j in range(d)]
-    near = found.groupBy("series_id", F.col("a.t").alias("t"), "a").agg(F.min_by("b", F.struct(distance("a", "b", columns, metric), F.col("b.t"))).alias("b"))
-    gaps = [F.abs(F.col(f"a.p{j}") - F.col(f"b.p{j}")).alias(f"d{j}") for j in range(d + 1)]
-    return near.select("series_id", "t", *gaps, distance("a", "b", columns, metric).alias("dist"))
+def nearest(signals: DataFrame, d_max: int, tau: int, theiler: int, metric: str, block: int = BLOCK) -> DataFrame:
+    """(series_id, d, t, dist, gap) for d = 1..d_max: the distance of each delay vector to its nearest one among those that go on for another
+    coordinate, and how far apart the two are in that. Ties: the earliest neighbour.
+
+    One pass over the tiles serves all dimensions: distances grow coordinate by coordinate. A tile gives each of its points its nearest in
+    the tile, the least of them is the nearest in the series.
+    """
+    if d_max < 1 or tau < 1:
+        raise ValueError("d_max and tau must be at least 1")
+    check_metric(metric)
+    points = lagged(signals, [j * tau for j in range(d_max + 1)], whole=False)
+
+    def kernel(tile: Tile) -> dict[str, np.ndarray]:
+        apart = np.abs(tile.tb[None, :] - tile.ta[:, None]) > theiler
+        out, so_far = [], None
+        for d in range(1, d_max + 1):
+            gap = tile.gaps(d - 1)
+            gap = gap if metric == "chebyshev" else gap * gap
+            so_far = gap if so_far is None else np.maximum(so_far, gap) if metric == "chebyshev" else so_far + gap
+            dist = np.sqrt(so_far) if metric == "euclidean" else so_far
+            here, there = ~np.isnan(tile.a[d]), ~np.isnan(tile.b[d])  # those that have the next coordinate
+            dist = np.where(apart & here[:, None] & there[None, :], dist, np.inf)
+            for times, mine, others, other_times, m in ((tile.ta, tile.a[d], tile.b[d], tile.tb, dist), (tile.tb, tile.b[d], tile.a[d], tile.ta, dist.T))[: 1 if tile.same else 2]:
+                if m.size:
+                    best = m.argmin(axis=1)
+                    value = m[np.arange(len(best)), best]
+                    ok = np.isfinite(value)
+                    out.append((np.full(ok.sum(), d), times[ok], value[ok], other_times[best[ok]], np.abs(mine[ok] - others[best[ok]])))
+        names = ("d", "t", "dist", "other", "gap")
+        return {n: np.concatenate([o[j] for o in out]) if out else np.empty(0) for j, n in enumerate(names)}
+
+    if metric not in ("chebyshev", "euclidean"):
+        raise ValueError("the metric is chebyshev or euclidean")
+    found = each(tiles(points, block=block), kernel, "d int, t long, dist double, other long, gap double")
+    return found.groupBy("series_id", "d", "t").agg(F.min(F.struct("dist", "other", "gap")).alias("b")).select("series_id", "d", "t", "b.dist", "b.gap")
 
 
 def cao(signals: DataFrame, tau: int, d_max: int = 15, theiler: int = 0) -> DataFrame:
     """(series_id, d, e1, e2) for d = 1..d_max-1: ratios of mean growths to the nearest Chebyshev neighbour; a zero distance counts 1."""
-    levels = None
-    for d in range(1, d_max + 1):
-        n = _nearest(signals, d, tau, theiler, "chebyshev")
-        further = F.greatest(F.col("dist"), F.col(f"d{d}"))
-        row = n.groupBy("series_id").agg(
-            F.avg(F.when(F.col("dist") > 0, further / F.col("dist")).otherwise(1.0)).alias("e"), F.avg(f"d{d}").alias("s")
-        ).withColumn("d", F.lit(d))
-        levels = row if levels is None else levels.unionByName(row)
+    further = F.greatest("dist", "gap")
+    levels = nearest(signals, d_max, tau, theiler, "chebyshev").groupBy("series_id", "d").agg(
+        F.avg(F.when(F.col("dist") > 0, F.try_divide(further, F.col("dist"))).otherwise(1.0)).alias("e"), F.avg("gap").alias("s")
+    )
     by = Window.partitionBy("series_id").orderBy("d")
     out = levels.select("series_id", "d", F.try_divide(F.lead("e").over(by), F.col("e")).alias("e1"), F.try_divide(F.lead("s").over(by), F.col("s")).alias("e2"))
     return out.filter(F.col("d") < d_max)
@@ -116,15 +135,11 @@ def cao(signals: DataFrame, tau: int, d_max: int = 15, theiler: int = 0) -> Data
 def false_nearest_neighbors(signals: DataFrame, tau: int, d_max: int = 15, r_tol: float = 15.0, a_tol: float = 2.0, theiler: int = 0) -> DataFrame:
     """(series_id, d, f1, f2, f3): shares of neighbours that are false by distance growth, by size against the series, and by either."""
     sigma = signals.groupBy("series_id").agg(F.stddev_pop("x").alias("sigma"))
-    levels = None
-    for d in range(1, d_max + 1):
-        n = _nearest(signals, d, tau, theiler, "euclidean").join(sigma, "series_id").filter("dist > 0")
-        grows = F.col(f"d{d}") > r_tol * F.col("dist")
-        far = F.sqrt(F.col("dist") * F.col("dist") + F.col(f"d{d}") * F.col(f"d{d}")) > a_tol * F.col("sigma")
-        share = lambda c: F.avg(c.cast("double"))
-        row = n.groupBy("series_id").agg(share(grows).alias("f1"), share(far).alias("f2"), share(grows | far).alias("f3")).withColumn("d", F.lit(d))
-        levels = row if levels is None else levels.unionByName(row)
-    return levels.select("series_id", "d", "f1", "f2", "f3")
+    n = nearest(signals, d_max, tau, theiler, "euclidean").join(sigma, "series_id").filter("dist > 0")
+    grows = F.col("gap") > r_tol * F.col("dist")
+    far = F.sqrt(F.col("dist") * F.col("dist") + F.col("gap") * F.col("gap")) > a_tol * F.col("sigma")
+    share = lambda c: F.avg(c.cast("double"))
+    return n.groupBy("series_id", "d").agg(share(grows).alias("f1"), share(far).alias("f2"), share(grows | far).alias("f3"))
 
 
 def smoothed(rows: DataFrame, value: str, window: int) -> DataFrame:

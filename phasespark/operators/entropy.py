@@ -1,11 +1,13 @@
-"""Template-matching entropies as tiled pair joins."""
+"""Template-matching entropies as kernels over tiles of pairs."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasespark.operators.embedding import distance, embed, pairs
+from phasespark.operators.embedding import embed, lagged
+from phasespark.operators.tiles import BLOCK, Tile, each, tiles
 
 
 def tolerance(signals: DataFrame, share: float, r: float | None) -> DataFrame:
@@ -14,52 +16,86 @@ def tolerance(signals: DataFrame, share: float, r: float | None) -> DataFrame:
     return signals.groupBy("series_id").agg(F.count("*").alias("n"), own.alias("r"))
 
 
-def sample_entropy(signals: DataFrame, m: int = 2, r: float | None = None, share: float = 0.2) -> DataFrame:
-    """(series_id, entropy): -ln(A/B) over the templates of m + 1, strictly within r in the largest gap.
-
-    No match of m: NaN; none of m + 1, or fewer than two templates: infinite.
-    """
-    r_of = tolerance(signals, share, r)
-    near = pairs(embed(signals, m + 1, 1)).join(r_of, "series_id")
-    short = distance("a", "b", [f"p{j}" for j in range(m)], "chebyshev") < F.col("r")
-    full = short & (F.abs(F.col(f"a.p{m}") - F.col(f"b.p{m}")) < F.col("r"))
-    hits = near.groupBy("series_id").agg(F.count(F.when(full, 1)).alias("a"), F.count(F.when(short, 1)).alias("b"))
-    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
-    value = F.when(F.col("a").isNull(), inf).when(F.col("b") == 0, nan).when(F.col("a") == 0, inf).otherwise(-F.log(F.try_divide("a", "b")))
-    return r_of.join(hits, "series_id", "left").select("series_id", value.alias("entropy"))
-
+def _matches(points: DataFrame, r_of: DataFrame, m: int, block: int) -> DataFrame:
+    """(series_id, a, b): pairs of templates strictly within r over m + 1 and over m samples. Pairs out of r are mostly never met."""
 
-def _phi(signals: DataFrame, r_of: DataFrame, m: int) -> DataFrame:
-    points = embed(signals, m, 1)
-    near = pairs(points, ordered=True).join(r_of, "series_id").filter(distance("a", "b", [f"p{j}" for j in range(m)], "chebyshev") <= F.col("r"))
-    counts = near.groupBy("series_id", F.col("a.t").alias("t")).agg(F.count("*").alias("c"))
-    n = r_of.select("series_id", (F.col("n") - (m - 1)).alias("k"))
-    rows = points.select("series_id", "t").join(counts, ["series_id", "t"], "left").join(n, "series_id")
-    return rows.groupBy("series_id").agg(F.avg(F.log((F.coalesce("c", F.lit(0)) + 1) / F.col("k"))).alias(f"phi{m}"))
+    def kernel(tile: Tile) -> dict[str, np.ndarray]:
+        r = tile.limits["r"]
+        r = np.nan if r is None else r
+        short = np.zeros((len(tile.ta), len(tile.tb)), dtype=bool)
+        short[tile.once()] = True
+        short &= tile.distances("chebyshev", m) < r
+        return {"a": [np.count_nonzero(short & (tile.gaps(m) < r))], "b": [np.count_nonzero(short)]}
 
+    found = each(tiles(points, r_of.select("series_id", "r"), "r", block), kernel, "a long, b long")
+    return found.groupBy("series_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
-def approximate_entropy(signals: DataFrame, m: int = 2, r: float | None = None) -> DataFrame:
-    """(series_id, entropy): phi(m) - phi(m + 1), matches within or at r, each template matching itself."""
-    r_of = tolerance(signals, 0.2, r)
-    both = _phi(signals, r_of, m).join(_phi(signals, r_of, m + 1), "series_id")
-    return both.select("series_id", (F.col(f"phi{m}") - F.col(f"phi{m + 1}")).alias("entropy"))
 
+def _entropy() -> Column:
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    return F.when(F.col("a").isNull(), inf).when(F.col("b") == 0, nan).when(F.col("a") == 0, inf).otherwise(-F.log(F.try_divide("a", "b")))
 
-def _membership(width: int, exponent: float) -> Column:
-    """exp(-(gap/r)^exponent) of two templates of ``width`` samples, each about its own mean."""
-    mean = lambda s: sum((F.col(f"{s}.p{j}") for j in range(1, width)), F.col(f"{s}.p0")) / width
-    ma, mb = mean("a"), mean("b")
-    gap = F.greatest(*[F.abs((F.col(f"a.p{j}") - ma) - (F.col(f"b.p{j}") - mb)) for j in range(width)])
-    return F.exp(-F.pow(gap / F.col("r"), F.lit(float(exponent))))
 
+def sample_entropy(signals: DataFrame, m: int = 2, r: float | None = None, share: float = 0.2, block: int = BLOCK) -> DataFrame:
+    """(series_id, entropy): -ln(A/B) over the templates of m + 1, strictly within r in the largest gap.
 
-def fuzzy_entropy(signals: DataFrame, m: int = 2, r: float | None = None, exponent: float = 2.0) -> DataFrame:
-    """(series_id, entropy): ln of the ratio of summed memberships of m and of m + 1, over the same templates; the exponent is real."""
+    No match of m: NaN; none of m + 1, or fewer than two templates: infinite.
+    """
+    if m < 1:
+        raise ValueError("m must be at least 1")
+    r_of, points = tolerance(signals, share, r), embed(signals, m + 1, 1)
+    pairs = points.groupBy("series_id").agg(F.count("*").alias("k")).filter("k > 1").select("series_id")
+    hits = _matches(points, r_of, m, block).join(pairs, "series_id")
+    return r_of.join(hits, "series_id", "left").select("series_id", _entropy().alias("entropy"))
+
+
+def approximate_entropy(signals: DataFrame, m: int = 2, r: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(series_id, entropy): phi(m) - phi(m + 1), matches within or at r, each template matching itself. One pass serves both lengths."""
+    if m < 1:
+        raise ValueError("m must be at least 1")
+    r_of = tolerance(signals, 0.2, r)
+    points = lagged(signals, list(range(m + 1)), whole=False)
+    points = points.filter(~F.isnan(f"p{m - 1}"))  # the last template of m has no further sample: NaN, which matches nothing
+
+    def kernel(tile: Tile) -> dict[str, np.ndarray]:
+        r = tile.limits["r"]
+        r = np.nan if r is None else r
+        short = tile.distances("chebyshev", m) <= r
+        if tile.same:
+            np.fill_diagonal(short, False)
+        long = short & (tile.gaps(m) <= r)
+        sides = ((tile.ta, 1),) if tile.same else ((tile.ta, 1), (tile.tb, 0))
+        return {"t": np.concatenate([t for t, _ in sides]), "short": np.concatenate([short.sum(axis=x) for _, x in sides]), "long": np.concatenate([long.sum(axis=x) for _, x in sides])}
+
+    counts = each(tiles(points, r_of.select("series_id", "n", "r"), block=block), kernel, "t long, short long, long long")
+    rows = counts.groupBy("series_id", "t").agg(F.sum("short").alias("short"), F.sum("long").alias("long")).join(r_of.select("series_id", "n"), "series_id")
+    k = F.col("n") - (m - 1)
+    phi = [F.avg(F.log((F.col("short") + 1) / k)), F.avg(F.when(F.col("t") < k - 1, F.log(F.try_divide(F.col("long") + 1, k - 1))))]
+    return rows.groupBy("series_id").agg(phi[0].alias("phi"), phi[1].alias("next")).filter("next is not null").select("series_id", (F.col("phi") - F.col("next")).alias("entropy"))
+
+
+def fuzzy_entropy(signals: DataFrame, m: int = 2, r: float | None = None, exponent: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """(series_id, entropy): ln of the ratio of summed memberships of m and of m + 1, over the same templates; the exponent is real.
+
+    The membership of two templates is exp(-(gap / r)^exponent), each about its own mean.
+    """
     if m < 2:
         raise ValueError("m must be at least 2: a centred template of one sample is always 0")
     r_of = tolerance(signals, 0.2, r)
-    near = pairs(embed(signals, m + 1, 1)).join(r_of, "series_id")
-    sums = near.groupBy("series_id").agg(F.sum(_membership(m, exponent)).alias("b"), F.sum(_membership(m + 1, exponent)).alias("a"))
+
+    def kernel(tile: Tile) -> dict[str, np.ndarray]:
+        r, once, out = tile.limits["r"], tile.once(), {}
+        for name, width in (("b", m), ("a", m + 1)):
+            centred = [[p - sum(side[1:width], side[0]) / width for p in side[:width]] for side in (tile.a, tile.b)]
+            gap = Tile(tile.ta, centred[0], tile.tb, centred[1], tile.same, {}).distances("chebyshev")[once]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[name] = [np.exp(-((gap / (np.nan if r is None else r)) ** exponent)).sum()]
+        return out
+
+    points = embed(signals, m + 1, 1)
+    pairs = points.groupBy("series_id").agg(F.count("*").alias("k")).filter("k > 1").select("series_id")
+    found = each(tiles(points, r_of.select("series_id", "r"), block=block), kernel, "b double, a double")
+    sums = found.groupBy("series_id").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).join(pairs, "series_id")
     return sums.select("series_id", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.log(F.try_divide("a", "b"))).otherwise(F.lit(float("nan"))).alias("entropy"))
 
 
@@ -72,10 +108,7 @@ def multiscale_entropy(signals: DataFrame, scales: list[int] | None = None, m: i
     coarse = cut.groupBy("series_id", "scale", "k").agg(F.avg("x").alias("x"))
     keyed = coarse.select(F.concat_ws("\x1f", "series_id", F.col("scale").cast("string")).alias("key"), "series_id", "scale", "k", "x")
     ids = keyed.select("key", "series_id", "scale").distinct().join(r_of.select("series_id", "r"), "series_id")
-    near = pairs(embed(keyed.select(F.col("key").alias("series_id"), F.col("k").alias("t"), "x"), m + 1, 1)).withColumnRenamed("series_id", "key").join(ids.select("key", "r"), "key")
-    short = distance("a", "b", [f"p{j}" for j in range(m)], "chebyshev") < F.col("r")
-    full = short & (F.abs(F.col(f"a.p{m}") - F.col(f"b.p{m}")) < F.col("r"))
-    hits = near.groupBy("key").agg(F.count(F.when(full, 1)).alias("a"), F.count(F.when(short, 1)).alias("b"))
-    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
-    value = F.when(F.col("a").isNull(), inf).when(F.col("b") == 0, nan).when(F.col("a") == 0, inf).otherwise(-F.log(F.try_divide("a", "b")))
-    return ids.join(hits, "key", "left").select("series_id", "scale", value.alias("entropy"))
+    points = embed(keyed.select(F.col("key").alias("series_id"), F.col("k").alias("t"), "x"), m + 1, 1)
+    several = points.groupBy("series_id").agg(F.count("*").alias("k")).filter("k > 1").select("series_id")
+    hits = _matches(points, ids.select(F.col("key").alias("series_id"), "r"), m, BLOCK).join(several, "series_id").withColumnRenamed("series_id", "key")
+    return ids.join(hits, "key", "left").select("series_id", "scale", _entropy().alias("entropy"))

@@ -4,29 +4,96 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasespark.operators.embedding import dimensions, distance, pairs
+from phasespark.operators.tiles import BLOCK, Tile, check_metric, dimensions, each, tiles
+from phasespark.sources.shared import settled
 
 
-def thresholds(points: DataFrame, percentile: float = 5.0, metric: str = "euclidean") -> DataFrame:
-    """(series_id, eps): the percentile of positive distances, each pair counted both ways."""
-    d = distance("a", "b", dimensions(points), metric)
-    all_pairs = pairs(points).select("series_id", d.alias("d")).filter("d > 0")
-    return all_pairs.groupBy("series_id").agg(F.percentile("d", percentile / 100.0, 2).alias("eps"))
+BINS = 4096
 
 
-def recurrences(points: DataFrame, eps: float | None = None, metric: str = "euclidean", percentile: float = 5.0, theiler: int = 0) -> DataFrame:
-    """(series_id, i, j), j > i + theiler: the pairs at or under eps; eps is given or each series' percentile."""
+def _rank(n: Column | int, share: float) -> tuple:
+    """Places among n ascending values, each taken twice, between which a percentile lies, as places of single values, and its share between."""
+    at = share * (2 * n - 1)
+    low = F.floor(at) if isinstance(n, Column) else np.floor(at)
+    high = F.ceil(at) if isinstance(n, Column) else np.ceil(at)
+    if isinstance(n, Column):
+        return F.floor(low / 2), F.floor(high / 2), at - low
+    return int(low) // 2, int(high) // 2, at - low
+
+
+def thresholds(points: DataFrame, percentile: float = 5.0, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """(series_id, eps): the percentile of positive distances, each pair counted both ways, between the two nearest by proportion.
+
+    Exact at any length, and no distances are gathered: each pass over the tiles counts distances in 4,096 bins of a range, with the least
+    and the greatest of each bin, and goes on in the bin that holds the wanted place; by the third pass mostly, that one is known.
+    """
+    _check(None, percentile, 0)
+    check_metric(metric)
+    share = percentile / 100.0
+    sides = [F.max(c) - F.min(c) for c in dimensions(points)]
+    wide = sum(sides[1:], sides[0]) * 1.000001
+    state = points.groupBy("series_id").agg(F.count("*").alias("n"), (wide * wide if metric == "sqeuclidean" else wide).alias("hi")).filter("n > 1 and hi > 0")
+    state = state.select("series_id", F.lit(0.0).alias("lo"), "hi", F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("n"))
+    done = None
+
+    def kernel(tile: Tile) -> dict[str, np.ndarray]:
+        lo, hi = tile.limits["lo"], tile.limits["hi"]
+        d = tile.distances(metric)[tile.once()].ravel()
+        d = d[(d > 0) & (d >= lo) & (d <= hi)]
+        if not len(d):
+            return {"bin": [], "c": [], "least": [], "most": []}
+        bins = np.minimum((d - lo) * (BINS / (hi - lo)), BINS - 1).astype(np.int64) if hi > lo else np.zeros(len(d), np.int64)
+        c = np.bincount(bins, minlength=BINS)
+        least, most = np.full(BINS, np.inf), np.full(BINS, -np.inf)
+        np.minimum.at(least, bins, d)
+        np.maximum.at(most, bins, d)
+        used = np.flatnonzero(c)
+        return {"bin": used, "c": c[used], "least": least[used], "most": most[used]}
+
+    by = Window.partitionBy("series_id").orderBy("bin")
+    while True:
+        near = tiles(points, state, block=block)
+        counts = each(near.drop("below", "n"), kernel, "bin int, c long, least double, most double")
+        counts = counts.groupBy("series_id", "bin").agg(F.sum("c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+        counts = counts.join(state.select("series_id", "below", "n"), "series_id")
+        counts = counts.withColumn("n", F.coalesce("n", F.sum("c").over(Window.partitionBy("series_id"))))
+        counts = counts.withColumn("from", F.col("below") + F.sum("c").over(by) - F.col("c"))
+        first, second, _ = _rank(F.col("n"), share)
+        place = lambda rank: (F.col("from") <= rank) & (rank < F.col("from") + F.col("c"))
+        known = lambda rank: F.when(F.col("least") == F.col("most"), F.col("least")).when(rank == F.col("from"), F.col("least")).when(rank == F.col("from") + F.col("c") - 1, F.col("most"))
+        found = counts.groupBy("series_id", "n").agg(
+            F.max(F.when(place(first), known(first))).alias("a"), F.max(F.when(place(second), known(second))).alias("b"),
+            F.min(F.when(place(first), F.col("least"))).alias("lo"), F.max(F.when(place(second), F.col("most"))).alias("hi"), F.min(F.when(place(first), F.col("from"))).alias("below"),
+        )
+        found = settled(found)
+        closed = found.filter("a is not null and b is not null").select("series_id", "n", "a", "b")
+        done = closed if done is None else done.unionByName(closed)
+        state = found.filter("a is null or b is null").select("series_id", "lo", "hi", "below", "n")
+        if state.isEmpty():
+            _, _, part = _rank(F.col("n"), share)
+            return done.select("series_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part).alias("eps"))
+
+
+def recurrences(points: DataFrame, eps: float | None = None, metric: str = "euclidean", percentile: float = 5.0, theiler: int = 0, block: int = BLOCK) -> DataFrame:
+    """(series_id, i, j), j > i + theiler: the pairs at or under eps; eps is given or each series' percentile. Pairs out of reach are mostly
+    never met."""
     _check(eps, percentile, theiler)
-    d = distance("a", "b", dimensions(points), metric)
-    near = pairs(points, theiler)
-    if eps is not None:
-        near = near.filter(d <= eps)
-    else:
-        near = near.join(thresholds(points, percentile, metric), "series_id").filter(d <= F.col("eps"))
-    return near.select("series_id", F.col("a.t").alias("i"), F.col("b.t").alias("j"))
+    check_metric(metric)
+    limits = thresholds(points, percentile, metric, block) if eps is None else points.select("series_id").distinct().withColumn("eps", F.lit(float(eps)))
+    limits = limits.withColumn("reach", F.sqrt("eps") if metric == "sqeuclidean" else F.col("eps"))
+
+    def kernel(tile: Tile) -> dict[str, np.ndarray]:
+        near = np.zeros((len(tile.ta), len(tile.tb)), dtype=bool)
+        near[tile.once(theiler)] = True
+        near &= tile.distances(metric) <= tile.limits["eps"]
+        a, b = np.nonzero(near)
+        a, b = tile.ta[a], tile.tb[b]
+        return {"i": np.minimum(a, b), "j": np.maximum(a, b)}
+
+    return each(tiles(points, limits, "reach", block), kernel, "i long, j long")
 
 
 def runs(cells: DataFrame, line: list[str], at: str) -> DataFrame:
@@ -83,7 +150,11 @@ def _counts(x: np.ndarray, eps: float | None, metric: str, percentile: float, l_
     pairs = np.where(i + k < n, d[i, np.minimum(i + k, n - 1)], np.inf)  # a row for each diagonal above the main one
     if eps is None:
         positive = pairs[(pairs > 0) & np.isfinite(pairs)]
-        eps = float(np.percentile(np.repeat(positive, 2), percentile)) if len(positive) else -1.0
+        eps = -1.0
+        if len(positive):
+            first, second, share = _rank(len(positive), percentile / 100.0)
+            low, high = np.partition(positive, (first, second))[[first, second]].tolist()
+            eps = low if low == high else low + (high - low) * share
     lines = _run_lengths((pairs <= eps)[theiler:])
     upper, lines = int(lines.sum()), lines[lines >= l_min]
     p = np.unique(lines, return_counts=True)[1] / max(1, len(lines))
