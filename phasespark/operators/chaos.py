@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasespark.functions.maps import FLOWS, SYSTEMS, flow_step, matrix
-from phasespark.operators.embedding import by_time
 
 
 def lyapunov_logistic(params: DataFrame, n: int, transient: int = 0, x0: float = 0.1) -> DataFrame:
@@ -175,13 +174,3 @@ def zero_one(signals: DataFrame, c_values: list[float], n_cut: int) -> DataFrame
 def zero_one_statistic(signals: DataFrame, c_values: list[float], n_cut: int) -> DataFrame:
     """(series_id, k): the median over all angles."""
     return zero_one(signals, c_values, n_cut).groupBy("series_id").agg(F.percentile("k", 0.5).alias("k"))
-
-
-def exponent_of_series(signals: DataFrame, slope: Column) -> DataFrame:
-    """(series_id, lyapunov): mean log of a slope expression in ``x`` along recorded series, floored at 1e-300."""
-    return signals.groupBy("series_id").agg(F.avg(F.log(F.greatest(F.abs(slope), F.lit(1e-300)))).alias("lyapunov"))
-
-
-def increments(signals: DataFrame) -> DataFrame:
-    """(series_id, t, x): first differences."""
-    return signals.select("series_id", "t", (F.lead("x").over(by_time()) - F.col("x")).alias("x")).filter("x is not null")

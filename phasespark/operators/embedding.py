@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasespark.operators.tiles import BLOCK, Tile, check_metric, each, tiles
 
 
-def by_time():
-    """The window of a series in time order. Made when asked for: workers import this module without a session."""
-    return Window.partitionBy("series_id").orderBy("t")
-
-
 #: Samples of a time block.
 SPAN = 1 << 16
 
@@ -36,6 +32,24 @@ def in_block():
     return Window.partitionBy("series_id", "_block").orderBy("t")
 
 
+def consecutive(cells: DataFrame, line: list[str], flags: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """(line..., start, length, flags...) of the runs of consecutive t within each line; a flag is true if it is anywhere in the run.
+
+    Runs are found within time blocks; only those that touch the edge of a block are looked at again, by series, and joined: at most two a
+    block.
+    """
+    cut = cells.select(*line, "t", F.floor(F.col("t") / span).alias("_block"), *flags)
+    island = F.col("t") - F.row_number().over(Window.partitionBy(*line, "_block").orderBy("t"))
+    ends = lambda first, last: [F.min(first).alias("start"), F.max(last).alias("_end"), *(F.max(f).alias(f) for f in flags)]
+    pieces = cut.withColumn("_i", island).groupBy(*line, "_block", "_i").agg(*ends("t", "t"))
+    edge = (F.col("start") % span == 0) | ((F.col("_end") + 1) % span == 0)
+    by = Window.partitionBy(*line).orderBy("start")
+    new = F.coalesce((F.col("start") != F.lag("_end").over(by) + 1).cast("int"), F.lit(1))
+    joined = pieces.filter(edge).withColumn("_new", new).withColumn("_i", F.sum("_new").over(by)).groupBy(*line, "_i").agg(*ends("start", "_end"))
+    found = pieces.filter(~edge).drop("_block", "_i").unionByName(joined.drop("_i"))
+    return found.select(*line, "start", (F.col("_end") - F.col("start") + 1).alias("length"), *flags)
+
+
 def lagged(signals: DataFrame, lags: list[int], whole: bool = True, span: int = SPAN) -> DataFrame:
     """signals with columns p0, p1, ... of the values ``lags`` later. Rows without all of them are dropped, or have NaN there if not ``whole``.
 
@@ -57,23 +71,41 @@ def embed(signals: DataFrame, d: int, tau: int) -> DataFrame:
     return lagged(signals, [j * tau for j in range(d)])
 
 
-def average_mutual_information(signals: DataFrame, tau_max: int = 100, n_bins: int = 64) -> DataFrame:
-    """(series_id, tau, ami) in nats, from a joint histogram over equal bins of the series' range. Constant or too short series: 0."""
-    whole = Window.partitionBy("series_id")
-    lo, hi = F.min("x").over(whole), F.max("x").over(whole)
-    width = (hi + 1e-10 * (hi - lo)) - lo
-    binned = signals.select("series_id", "t", F.when(width > 0, F.least(F.floor((F.col("x") - lo) / width * n_bins), F.lit(n_bins - 1))).otherwise(0).alias("b"), F.count("*").over(whole).alias("n"))
-    taus = F.explode(F.sequence(F.lit(1), F.lit(tau_max))).alias("tau")
-    # the window gathers the next tau_max bins of a point, so no self-join is needed
-    ahead = F.collect_list("b").over(Window.partitionBy("series_id").orderBy("t").rowsBetween(1, tau_max))
-    later = binned.select("series_id", "b", ahead.alias("ahead")).select("series_id", "b", F.posexplode("ahead").alias("k", "later")).select("series_id", (F.col("k") + 1).alias("tau"), "b", "later")
-    joint = later.groupBy("series_id", "tau", "b", "later").agg(F.count("*").alias("c"))
+def average_mutual_information(signals: DataFrame, tau_max: int = 100, n_bins: int = 64, span: int = SPAN) -> DataFrame:
+    """(series_id, tau, ami) in nats, from a joint histogram over equal bins of the series' range. Constant or too short series: 0.
+
+    A time block with the ``tau_max`` samples after it is one array, whose pairs of bins are counted for all delays in numpy.
+    """
+    ends = signals.groupBy("series_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    width = (F.col("hi") + 1e-10 * (F.col("hi") - F.col("lo"))) - F.col("lo")
+    own = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width * n_bins), F.lit(n_bins - 1))).otherwise(0)
+    rows = in_time_blocks(signals.join(ends, "series_id").select("series_id", "t", own.cast("int").alias("b")), after=tau_max, span=span)
+    blocks = rows.groupBy("series_id", "_block").agg(F.sort_array(F.collect_list(F.struct("t", "b"))).alias("a"), F.sum(F.col("_own").cast("int")).alias("n"))
+    blocks = blocks.select("series_id", F.col("a.b").alias("b"), "n")
+
+    def count(batches):
+        for batch in batches:
+            values, offsets = np.asarray(batch.column("b").values), np.asarray(batch.column("b").offsets)
+            row, out = [], []
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                b = values[offsets[i] : offsets[i + 1]].astype(np.int64)
+                for tau in range(1, min(tau_max, len(b) - 1) + 1):
+                    c = np.bincount(b[:n][: len(b) - tau] * n_bins + b[tau : tau + n], minlength=n_bins * n_bins)
+                    used = np.flatnonzero(c)
+                    out.append(np.stack([np.full(len(used), tau), used // n_bins, used % n_bins, c[used]]))
+                    row.append(np.full(len(used), i))
+            found = np.concatenate(out, axis=1) if out else np.empty((4, 0), np.int64)
+            series = batch.column("series_id").take(pa.array(np.concatenate(row) if row else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([series, *(pa.array(c, k) for c, k in zip(found, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True))], names=["series_id", "tau", "b", "later", "c"])
+
+    kind = signals.schema["series_id"].dataType.simpleString()
+    joint = blocks.mapInArrow(count, f"series_id {kind}, tau int, b int, later int, c long").groupBy("series_id", "tau", "b", "later").agg(F.sum("c").alias("c"))
     by = Window.partitionBy("series_id", "tau")
     n = F.sum("c").over(by)
     mine, theirs = F.sum("c").over(Window.partitionBy("series_id", "tau", "b")), F.sum("c").over(Window.partitionBy("series_id", "tau", "later"))
     terms = joint.select("series_id", "tau", (F.col("c") / n * F.log(F.col("c") * n / (mine * theirs))).alias("term"))
     found = terms.groupBy("series_id", "tau").agg(F.sum("term").alias("ami"))
-    grid = signals.select("series_id").distinct().select("series_id", taus)
+    grid = ends.select("series_id", F.explode(F.sequence(F.lit(1), F.lit(tau_max))).alias("tau"))
     return grid.join(found, ["series_id", "tau"], "left").select("series_id", "tau", F.greatest(F.coalesce("ami", F.lit(0.0)), F.lit(0.0)).alias("ami"))
 
 

@@ -31,9 +31,9 @@ def _matches(points: DataFrame, r_of: DataFrame, m: int, block: int) -> DataFram
     return found.groupBy("series_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _entropy() -> Column:
+def _entropy(m: int) -> Column:
     inf, nan = F.lit(float("inf")), F.lit(float("nan"))
-    return F.when(F.col("a").isNull(), inf).when(F.col("b") == 0, nan).when(F.col("a") == 0, inf).otherwise(-F.log(F.try_divide("a", "b")))
+    return F.when(F.col("a").isNull() | (F.col("n") - m < 2), inf).when(F.col("b") == 0, nan).when(F.col("a") == 0, inf).otherwise(-F.log(F.try_divide("a", "b")))
 
 
 def sample_entropy(signals: DataFrame, m: int = 2, r: float | None = None, share: float = 0.2, block: int = BLOCK) -> DataFrame:
@@ -44,9 +44,7 @@ def sample_entropy(signals: DataFrame, m: int = 2, r: float | None = None, share
     if m < 1:
         raise ValueError("m must be at least 1")
     r_of, points = tolerance(signals, share, r), embed(signals, m + 1, 1)
-    pairs = points.groupBy("series_id").agg(F.count("*").alias("k")).filter("k > 1").select("series_id")
-    hits = _matches(points, r_of, m, block).join(pairs, "series_id")
-    return r_of.join(hits, "series_id", "left").select("series_id", _entropy().alias("entropy"))
+    return r_of.join(_matches(points, r_of, m, block), "series_id", "left").select("series_id", _entropy(m).alias("entropy"))
 
 
 def approximate_entropy(signals: DataFrame, m: int = 2, r: float | None = None, block: int = BLOCK) -> DataFrame:
@@ -92,10 +90,9 @@ def fuzzy_entropy(signals: DataFrame, m: int = 2, r: float | None = None, expone
                 out[name] = [np.exp(-((gap / (np.nan if r is None else r)) ** exponent)).sum()]
         return out
 
-    points = embed(signals, m + 1, 1)
-    pairs = points.groupBy("series_id").agg(F.count("*").alias("k")).filter("k > 1").select("series_id")
-    found = each(tiles(points, r_of.select("series_id", "r"), block=block), kernel, "b double, a double")
-    sums = found.groupBy("series_id").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).join(pairs, "series_id")
+    own = r_of.filter(F.col("n") - m > 1).select("series_id", "r")  # two templates at least
+    found = each(tiles(embed(signals, m + 1, 1), own, block=block), kernel, "b double, a double")
+    sums = found.groupBy("series_id").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     return sums.select("series_id", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.log(F.try_divide("a", "b"))).otherwise(F.lit(float("nan"))).alias("entropy"))
 
 
@@ -108,7 +105,7 @@ def multiscale_entropy(signals: DataFrame, scales: list[int] | None = None, m: i
     coarse = cut.groupBy("series_id", "scale", "k").agg(F.avg("x").alias("x"))
     keyed = coarse.select(F.concat_ws("\x1f", "series_id", F.col("scale").cast("string")).alias("key"), "series_id", "scale", "k", "x")
     ids = keyed.select("key", "series_id", "scale").distinct().join(r_of.select("series_id", "r"), "series_id")
+    coarse_n = keyed.groupBy("key").agg(F.count("*").alias("n"))
     points = embed(keyed.select(F.col("key").alias("series_id"), F.col("k").alias("t"), "x"), m + 1, 1)
-    several = points.groupBy("series_id").agg(F.count("*").alias("k")).filter("k > 1").select("series_id")
-    hits = _matches(points, ids.select(F.col("key").alias("series_id"), "r"), m, BLOCK).join(several, "series_id").withColumnRenamed("series_id", "key")
-    return ids.join(hits, "key", "left").select("series_id", "scale", _entropy().alias("entropy"))
+    hits = _matches(points, ids.select(F.col("key").alias("series_id"), "r"), m, BLOCK).withColumnRenamed("series_id", "key")
+    return ids.join(coarse_n, "key").join(hits, "key", "left").select("series_id", "scale", _entropy(m).alias("entropy"))

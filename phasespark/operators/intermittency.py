@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasespark.operators.embedding import by_time
+from phasespark.operators.embedding import SPAN, consecutive, in_block, in_time_blocks, lagged
+from phasespark.operators.fourier import arrays
+from phasespark.sources.shared import settled
 
 
 def positive_percentile(values: DataFrame, column: str, percentile: float) -> DataFrame:
@@ -18,20 +20,23 @@ def positive_percentile(values: DataFrame, column: str, percentile: float) -> Da
     return values.filter(F.col(column) > 0).groupBy("series_id").agg(F.percentile(column, percentile / 100.0).alias("eps"))
 
 
-def laminar_by_period(signals: DataFrame, period: int, percentile: float = 5.0) -> DataFrame:
+def laminar_by_period(signals: DataFrame, period: int, percentile: float = 5.0, span: int = SPAN) -> DataFrame:
     """(series_id, t, laminar): |x(t) - x(t - period)| at or under its percentile; the first ``period`` samples aren't laminar."""
-    gap = signals.select("series_id", "t", F.abs(F.col("x") - F.lag("x", period).over(by_time())).alias("gap"))
+    rows = in_time_blocks(signals.select("series_id", "t", "x"), before=period, span=span)
+    gap = rows.withColumn("gap", F.abs(F.col("x") - F.lag("x", period).over(in_block()))).filter("_own").select("series_id", "t", "gap")
     eps = positive_percentile(gap, "gap", percentile)
     return gap.join(eps, "series_id", "left").select("series_id", "t", F.coalesce(F.col("gap") <= F.coalesce("eps", F.lit(0.0)), F.lit(False)).alias("laminar"))
 
 
-def laminar_by_variance(signals: DataFrame, window: int, percentile: float = 5.0) -> DataFrame:
+def laminar_by_variance(signals: DataFrame, window: int, percentile: float = 5.0, span: int = SPAN) -> DataFrame:
     """(series_id, t, laminar): samples of any window of ``window`` whose deviation is at or under its percentile."""
-    ahead = by_time().rowsBetween(0, window - 1)
-    spread = signals.select("series_id", "t", F.when(F.count("x").over(ahead) == window, F.stddev_pop("x").over(ahead)).alias("s"))
+    ahead = in_block().rowsBetween(0, window - 1)
+    rows = in_time_blocks(signals.select("series_id", "t", "x"), after=window - 1, span=span)
+    spread = rows.withColumn("s", F.when(F.count("x").over(ahead) == window, F.stddev_pop("x").over(ahead))).filter("_own").select("series_id", "t", "s")
     eps = positive_percentile(spread, "s", percentile)
-    low = spread.join(eps, "series_id", "left").withColumn("low", F.coalesce(F.col("s") <= F.coalesce("eps", F.lit(0.0)), F.lit(False)))
-    return low.select("series_id", "t", F.max("low").over(by_time().rowsBetween(1 - window, 0)).alias("laminar"))
+    low = spread.join(eps, "series_id", "left").select("series_id", "t", F.coalesce(F.col("s") <= F.coalesce("eps", F.lit(0.0)), F.lit(False)).alias("low"))
+    low = in_time_blocks(low, before=window - 1, span=span).withColumn("laminar", F.max("low").over(in_block().rowsBetween(1 - window, 0)))
+    return low.filter("_own").select("series_id", "t", "laminar")
 
 
 def laminar_by_recurrence(points: DataFrame, v_min: int = 2, **parameters) -> DataFrame:
@@ -46,8 +51,7 @@ def laminar_by_recurrence(points: DataFrame, v_min: int = 2, **parameters) -> Da
 
 def run_lengths(mask: DataFrame, laminar: bool = True, drop_final_censored: bool = False) -> DataFrame:
     """(series_id, start, length) of the runs of a mask; optionally without the run that the series' end cuts off."""
-    cells = mask.filter(F.col("laminar") == laminar)
-    out = cells.select("series_id", "t", (F.col("t") - F.row_number().over(by_time())).alias("island")).groupBy("series_id", "island").agg(F.min("t").alias("start"), F.count("*").alias("length")).drop("island")
+    out = consecutive(mask.filter(F.col("laminar") == laminar), ["series_id"])
     if drop_final_censored:
         end = mask.groupBy("series_id").agg(F.max("t").alias("end"))
         out = out.join(end, "series_id").filter(F.col("start") + F.col("length") - 1 < F.col("end")).drop("end")
@@ -88,26 +92,126 @@ def binned_distribution(values: DataFrame, value: str, key: str = "series_id", m
     return rows.select(key, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), (F.coalesce("c", F.lit(0)) / F.col("n")).alias("mass"))
 
 
-def fit_power_law(observations: DataFrame, min_tail: int = 10) -> DataFrame:
-    """(run_id, x_min, alpha, ks, n_tail): continuous power law, x_min being the value with the smallest Kolmogorov-Smirnov distance.
+#: Distinct values of a block, and knots of a run, about.
+VALUES, KNOTS = 4096, 4096
 
-    ``observations``: (run_id, value). Suffix counts and suffix sums of logarithms come from one sorted window; the distances come from
-    joining each candidate with its tail, on distinct values only. Candidates without log spread are skipped; ties take the smallest x_min.
-    """
-    values = observations.filter("value > 0").groupBy("run_id", "value").agg(F.count("*").alias("c"))
+
+def _value_blocks(observations: DataFrame) -> DataFrame:
+    """(run_id, block, own): the distinct positive values of a run in blocks of ``VALUES``, ascending, as structs of the value, its count c,
+    and over all values from it on their number n and sum of logarithms s. One sorted window, then a row a block."""
+    values = observations.filter("value > 0").groupBy("run_id", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+    return _blocks_of_counts(values)
+
+
+def _blocks_of_counts(values: DataFrame) -> DataFrame:
     down = Window.partitionBy("run_id").orderBy(F.desc("value"))
-    tails = values.select("run_id", "value", "c", F.sum("c").over(down).alias("n"), F.sum(F.col("c") * F.log("value")).over(down).alias("s"))
-    spread = F.col("s") - F.col("n") * F.log("value")
-    candidates = tails.filter(F.col("n") >= min_tail).withColumn("spread", spread).filter("spread > 1e-12")
-    candidates = candidates.select("run_id", F.col("value").alias("x_min"), F.col("n").alias("n_tail"), (1 + F.col("n") / F.col("spread")).alias("alpha"))
-    pairs = candidates.join(tails.select("run_id", "value", "c", "n"), "run_id").filter("value >= x_min")
-    upto = (F.col("n_tail") - F.col("n") + F.col("c")) / F.col("n_tail")
-    model = 1 - F.pow(F.col("value") / F.col("x_min"), 1 - F.col("alpha"))
-    ks = pairs.groupBy("run_id", "x_min", "n_tail", "alpha").agg(F.max(F.abs(upto - model)).alias("ks"))
+    tails = values.select("run_id", "value", "c", F.sum("c").over(down).alias("n"), F.sum(F.col("c") * F.log("value")).over(down).alias("s"), F.row_number().over(down).alias("k"))
+    packed = tails.repartition("run_id", F.floor((F.col("k") - 1) / VALUES)).groupBy("run_id", F.floor((F.col("k") - 1) / VALUES).alias("block"))
+    return packed.agg(F.sort_array(F.collect_list(F.struct("value", "c", "n", "s"))).alias("own"))
+
+
+def _cdf(values: np.ndarray, low: np.ndarray, alpha: np.ndarray, discrete: bool) -> np.ndarray:
+    """The share of each power law (a row) at or under each value (a column)."""
+    if discrete:
+        return 1 - zeta(alpha[:, None], values[None, :] + 1) / zeta(alpha, low)[:, None]
+    return 1 - (values[None, :] / low[:, None]) ** (1 - alpha[:, None])
+
+
+def _bounds(low, n_tail, alpha, knots, above, discrete: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest distance that tails may have from their laws, from some of the values and the numbers ``above`` them.
+
+    At a knot the distance is known. Between two, the shares of the tail and of the law both lie between theirs at the knots.
+    """
+    inside = knots[None, :] >= low[:, None]
+    with np.errstate(all="ignore"):
+        model = np.where(inside, _cdf(knots, low, alpha, discrete), 0.0)
+    tail = np.where(inside, 1 - above[None, :] / n_tail[:, None], 0.0)
+    least = np.where(inside, np.abs(tail - model), 0.0).max(axis=1)
+    before = np.zeros((len(low), 1))
+    most = np.maximum(tail - np.hstack([before, model[:, :-1]]), model - np.hstack([before, tail[:, :-1]]))
+    return least, np.maximum(np.where(inside, most, 0.0).max(axis=1), least)
+
+
+def _structs(column: pa.Array, *names: str) -> list[list[np.ndarray]]:
+    """The lists of structs of a column, as arrays of their fields."""
+    offsets, fields = np.asarray(column.offsets), [np.asarray(column.values.field(n)) for n in names]
+    return [[f[a:b] for f in fields] for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def _kept(run: pa.Array, row: list[int], found: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    """Rows of arrays, each with the run of its batch row."""
+    series = run.take(pa.array(np.repeat(row, [len(f[0]) for f in found]).astype(np.int64), pa.int64()))
+    columns = [pa.array(np.concatenate([f[j] for f in found]) if found else [], k) for j, k in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([series, *columns], names=["run_id", *names])
+
+
+def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
+    """(run_id, x_min, alpha, ks, n_tail) from ``_value_blocks``.
+
+    Each value is a candidate. A block of candidates first meets some ``KNOTS`` values of its run, the coarse ones before the others: that
+    bounds their distances from below and above, and those whose least is over the least greatest of their run go. Only the few left meet
+    the whole tail, block by block.
+    """
+    kind = blocks.schema["run_id"].dataType.simpleString()
+    sizes = blocks.groupBy("run_id").agg(F.sum(F.size("own")).alias("m"))
+    step = F.greatest(F.floor(F.col("m") / KNOTS), F.lit(1))
+    some = F.filter("own", lambda x, i: (i % F.col("step") == 0) | (i == F.size("own") - 1))
+    knots = blocks.join(sizes, "run_id").withColumn("step", step.cast("int")).select("run_id", F.inline(some))
+    knots = knots.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("value", (F.col("n") - F.col("c")).alias("above")))).alias("knots"))
+    dealt = blocks.join(knots, "run_id").repartition("run_id", "block")
+
+    def bound(batches):
+        for batch in batches:
+            row, found = [], []
+            for i, ((value, n, s), (at, above)) in enumerate(zip(_structs(batch.column("own"), "value", "n", "s"), _structs(batch.column("knots"), "value", "above"), strict=True)):
+                mean = s / n
+                ok = (n >= min_tail) & (mean - np.log(value) > 1e-12)
+                low, n, mean = value[ok], n[ok], mean[ok]
+                if not len(low):
+                    continue
+                alpha = discrete_alphas(mean, low) if discrete else 1 + 1 / (mean - np.log(low))
+                lower, upper = np.zeros(len(low)), np.full(len(low), np.inf)
+                keep = np.arange(len(low))
+                for stride in (64, 1):
+                    some = np.unique(np.r_[np.arange(0, len(at), stride), len(at) - 1])
+                    for part in np.array_split(keep, max(1, len(keep) * len(some) >> 20)):
+                        lower[part], upper[part] = _bounds(low[part], n[part], alpha[part], at[some], above[some], discrete)
+                    keep = keep[lower[keep] <= upper[keep].min()]
+                row.append(i)
+                found.append((low[keep], n[keep], alpha[keep], lower[keep], upper[keep]))
+            yield _kept(batch.column("run_id"), row, found, ["x_min", "n_tail", "alpha", "lower", "upper"], [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])
+
+    bounded = settled(dealt.select("run_id", "own", "knots").mapInArrow(bound, f"run_id {kind}, x_min double, n_tail long, alpha double, lower double, upper double"))
+    most = bounded.groupBy("run_id").agg(F.min("upper").alias("most"))
+    left = bounded.join(most, "run_id").filter("lower <= most")
+    left = left.withColumn("part", F.floor(F.row_number().over(Window.partitionBy("run_id").orderBy("x_min")) / 1024))
+    left = left.groupBy("run_id", "part").agg(F.collect_list(F.struct("x_min", "n_tail", "alpha")).alias("left"), F.min("x_min").alias("low"))
+    met = left.join(blocks.withColumn("high", F.element_at("own.value", -1)), "run_id").filter("high >= low").repartition("run_id", "part", "block")
+
+    def exact(batches):
+        for batch in batches:
+            row, found = [], []
+            for i, ((low, n, alpha), (value, count, total)) in enumerate(zip(_structs(batch.column("left"), "x_min", "n_tail", "alpha"), _structs(batch.column("own"), "value", "c", "n"), strict=True)):
+                ks = np.concatenate([_bounds(low[p], n[p], alpha[p], value, total - count, discrete)[0] for p in np.array_split(np.arange(len(low)), max(1, len(low) * len(value) >> 20))])
+                row.append(i)
+                found.append((low, n, alpha, ks))
+            yield _kept(batch.column("run_id"), row, found, ["x_min", "n_tail", "alpha", "ks"], [pa.float64(), pa.int64(), pa.float64(), pa.float64()])
+
+    ks = met.select("run_id", "left", "own").mapInArrow(exact, f"run_id {kind}, x_min double, n_tail long, alpha double, ks double")
+    ks = ks.groupBy("run_id", "x_min", "n_tail", "alpha").agg(F.max("ks").alias("ks"))
     best = ks.groupBy("run_id").agg(F.min_by(F.struct("x_min", "alpha", "ks", "n_tail"), F.struct("ks", "x_min")).alias("b"))
     return best.select("run_id", "b.x_min", "b.alpha", "b.ks", "b.n_tail")
 
 
+def fit_power_law(observations: DataFrame, min_tail: int = 10, discrete: bool = False) -> DataFrame:
+    """(run_id, x_min, alpha, ks, n_tail): power law over real numbers, or with ``discrete`` over integers by the zeta function; x_min is the
+    value with the smallest Kolmogorov-Smirnov distance.
+
+    ``observations``: (run_id, value). Candidates without log spread are skipped; ties take the smallest x_min. See ``_fit_blocks``.
+    """
+    return _fit_blocks(_value_blocks(observations), min_tail, discrete)
+
+
 def fit_exponential(observations: DataFrame, x_min: float | None = None) -> DataFrame:
     """(run_id, x_min, scale, n): shifted exponential; the shift is the smallest value unless given."""
     low = F.min("value") if x_min is None else F.lit(float(x_min))
@@ -135,38 +239,9 @@ def discrete_alphas(mean_log: np.ndarray, x_min: np.ndarray) -> np.ndarray:
     return (lo + hi) / 2
 
 
-def _fit(values: np.ndarray, counts: np.ndarray, min_tail: int, discrete: bool) -> tuple[float, float, float, int]:
-    """(ks, x_min, alpha, n_tail) of distinct ascending values with counts: each value's tail is tried, the nearest kept."""
-    n = counts[::-1].cumsum()[::-1]
-    log = np.log(values)
-    spread = (counts * log)[::-1].cumsum()[::-1] / n  # mean logarithm of each tail
-    usable = np.flatnonzero((n >= min_tail) & (spread - log > 1e-12))
-    if not len(usable):
-        return np.inf, np.nan, np.nan, 0
-    low = values[usable]
-    alpha = discrete_alphas(spread[usable], low) if discrete else 1 + 1 / (spread - log)[usable]
-    best = (np.inf, np.nan, np.nan, 0)
-    for i, x, a in zip(usable.tolist(), low.tolist(), alpha.tolist(), strict=True):
-        model = 1 - zeta(a, values[i:] + 1) / zeta(a, x) if discrete else 1 - (values[i:] / x) ** (1 - a)
-        ks = float(np.abs(counts[i:].cumsum() / n[i] - model).max())
-        if ks < best[0]:
-            best = (ks, x, a, int(n[i]))
-    return best
-
-
 def fit_power_law_discrete(observations: DataFrame, min_tail: int = 10) -> DataFrame:
-    """(run_id, x_min, alpha, ks, n_tail): the power law over integers from x_min on, by the zeta function.
-
-    As ``fit_power_law``, on distinct values with their counts; a run's distinct values have to fit a task.
-    """
-    counts = observations.filter("value > 0").groupBy("run_id", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("value")
-        ks, low, alpha, n = _fit(pdf["value"].to_numpy(), pdf["c"].to_numpy(), min_tail, True)
-        return pd.DataFrame([{"run_id": key[0], "x_min": low, "alpha": alpha, "ks": ks, "n_tail": n}] if n else [], columns=["run_id", "x_min", "alpha", "ks", "n_tail"])
-
-    return counts.groupBy("run_id").applyInPandas(one, f"run_id {observations.schema['run_id'].dataType.simpleString()}, x_min double, alpha double, ks double, n_tail long")
+    """``fit_power_law`` over integers."""
+    return fit_power_law(observations, min_tail, True)
 
 
 def _draw_discrete(rng: np.random.Generator, alpha: float, low: float, size: int) -> np.ndarray:
@@ -182,40 +257,85 @@ def _draw_discrete(rng: np.random.Generator, alpha: float, low: float, size: int
     return near
 
 
+#: Values that a task draws at a time for a resample's tail.
+DRAWS = 1 << 16
+
+
+def _resamples(blocks: DataFrame, fit: DataFrame, n_bootstrap: int, seed: int, discrete: bool) -> DataFrame:
+    """(run_id, boot, value, c): resamples of the runs of ``blocks`` as counts.
+
+    A resample has as many values as its run. Each comes from the fitted tail with the tail's share, or else is one of the run's values under
+    it. How many come from the tail and from each block of values is drawn first, once a resample; then each block draws the counts of its
+    values by themselves, and the tail is drawn in pieces of ``DRAWS``.
+    """
+    run_kind = blocks.schema["run_id"].dataType.simpleString()
+    own = blocks.join(fit, "run_id").withColumn("under", F.filter("own", lambda x: x["value"] < F.col("x_min")))
+    own = own.withColumn("u", F.aggregate("under", F.lit(0).cast("long"), lambda acc, x: acc + x["c"]))
+    shape = own.groupBy("run_id", "x_min", "alpha", "n_tail").agg(F.sort_array(F.collect_list(F.struct("block", "u"))).alias("parts"))
+    key = F.xxhash64(F.col("run_id").cast("string"))
+    asked = shape.select("run_id", "x_min", "alpha", "n_tail", "parts", F.pmod(key, F.lit(1 << 62)).alias("key"), F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("boot"))
+
+    def deal(batches):
+        for batch in batches:
+            rows = []
+            for run, low, alpha, n_tail, parts, key, boot in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                u = np.array([p["u"] for p in parts], dtype=np.int64)
+                rng = np.random.default_rng([seed, key, boot])
+                n = n_tail + int(u.sum())
+                tail = int(rng.binomial(n, n_tail / n)) if u.sum() else n
+                rows += [(run, boot, -1 - k, low, alpha, min(DRAWS, tail - k * DRAWS)) for k in range(-(-tail // DRAWS))]
+                if u.sum():
+                    rows += [(run, boot, p["block"], low, alpha, int(k)) for p, k in zip(parts, rng.multinomial(n - tail, u / u.sum()), strict=True) if k]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("run_id").type, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["run_id", "boot", "block", "x_min", "alpha", "k"])
+
+    drawn = asked.repartition("run_id", "boot").mapInArrow(deal, f"run_id {run_kind}, boot int, block long, x_min double, alpha double, k long")
+    pieces = drawn.join(own.select("run_id", "block", "under"), ["run_id", "block"], "left").repartition("run_id", "boot", "block")
+    pieces = pieces.select("run_id", "boot", "block", "x_min", "alpha", "k", F.pmod(key, F.lit(1 << 62)).alias("key"), F.coalesce(F.col("under.value"), F.array().cast("array<double>")).alias("v"), F.coalesce(F.col("under.c"), F.array().cast("array<long>")).alias("c"))
+
+    def draw(batches):
+        for batch in batches:
+            plain = {c: batch.column(c).to_pylist() for c in ("boot", "block", "x_min", "alpha", "k", "key")}
+            values, counts = (arrays(batch.column(c)) for c in ("v", "c"))
+            row, found = [], []
+            for i, (boot, block, low, alpha, k, key) in enumerate(zip(*plain.values(), strict=True)):
+                rng = np.random.default_rng([seed, key, boot, block + (1 << 40)])
+                if block < 0:
+                    x = _draw_discrete(rng, alpha, low, k) if discrete else low * (1 - rng.random(k)) ** (-1 / (alpha - 1))
+                    v, c = np.unique(x, return_counts=True)
+                else:
+                    c = rng.multinomial(k, counts[i] / counts[i].sum())
+                    v, c = values[i][c > 0], c[c > 0]
+                row.append(i)
+                found.append((np.full(len(v), boot), v, c))
+            yield _kept(batch.column("run_id"), row, found, ["boot", "value", "c"], [pa.int32(), pa.float64(), pa.int64()])
+
+    return pieces.mapInArrow(draw, f"run_id {run_kind}, boot int, value double, c long")
+
+
 def power_law_bootstrap(observations: DataFrame, n_bootstrap: int = 100, min_tail: int = 10, confidence: float = 0.95, seed: int = 0, discrete: bool = False) -> DataFrame:
     """(run_id, alpha, x_min, ks, p_value, lower, upper): goodness of fit and exponent interval by resampling.
 
-    Every resample is a group of its own, so they spread over the cluster; one run's observations have to fit a task.
+    Resamples are drawn and fitted as counts of distinct values, block by block: neither a run nor a resample has to fit a task. Draws depend
+    on the seed, the run, the resample and the block only. Runs without a fit have nulls.
     """
-    runs = observations.select("run_id", "value").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap))))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        run, boot = key
-        x = np.sort(pdf["value"].to_numpy(np.float64))
-        x = x[x > 0]
-        ks, low, alpha, n_tail = _fit(*np.unique(x, return_counts=True), min_tail, discrete)
-        if boot and np.isfinite(alpha):
-            rng = np.random.default_rng([seed, boot])
-            from_tail = rng.random(len(x)) < n_tail / len(x)
-            drawn = _draw_discrete(rng, alpha, low, len(x)) if discrete else low * (1 - rng.random(len(x))) ** (-1 / (alpha - 1))
-            below = x[x < low]
-            other = rng.choice(below, len(x)) if len(below) else drawn
-            again = np.where(from_tail, drawn, other)
-            ks, low, alpha, n_tail = _fit(*np.unique(again, return_counts=True), min_tail, discrete)
-        return pd.DataFrame([{"run_id": run, "boot": boot, "alpha": alpha, "x_min": low, "ks": ks}])
-
-    fits = runs.groupBy("run_id", "boot").applyInPandas(one, f"run_id {observations.schema['run_id'].dataType.simpleString()}, boot int, alpha double, x_min double, ks double")
-    own = F.max_by(F.struct("alpha", "x_min", "ks"), F.when(F.col("boot") == 0, 1).otherwise(0))
-    tails = F.percentile(F.when(F.col("boot") > 0, F.col("alpha")), [(1 - confidence) / 2, (1 + confidence) / 2])
-    joined = fits.groupBy("run_id").agg(own.alias("own"), tails.alias("q"), F.collect_list(F.when(F.col("boot") > 0, F.col("ks"))).alias("all"))
-    p = F.size(F.filter("all", lambda k: k >= F.col("own.ks"))) / F.size("all")
-    return joined.select("run_id", "own.alpha", "own.x_min", "own.ks", p.alias("p_value"), F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))
+    blocks = settled(_value_blocks(observations))
+    fit = settled(_fit_blocks(blocks, min_tail, discrete))
+    again = _resamples(blocks, fit.select("run_id", "x_min", "alpha", "n_tail"), n_bootstrap, seed, discrete)
+    again = again.groupBy(F.struct("run_id", "boot").alias("run_id"), "value").agg(F.sum("c").alias("c"))
+    fits = _fit_blocks(settled(_blocks_of_counts(again.select(F.to_json("run_id").alias("run_id"), "value", "c"))), min_tail, discrete)
+    kind = observations.schema["run_id"].dataType.simpleString()
+    fits = fits.select(F.from_json("run_id", f"run_id {kind}, boot int").alias("r"), "alpha", "ks").select("r.run_id", "alpha", "ks")
+    tails = F.percentile("alpha", [(1 - confidence) / 2, (1 + confidence) / 2])
+    joined = fits.join(fit.select("run_id", F.col("ks").alias("own")), "run_id").groupBy("run_id").agg(tails.alias("q"), F.avg((F.col("ks") >= F.col("own")).cast("double")).alias("p_value"))
+    rows = observations.select("run_id").distinct().join(fit, "run_id", "left").join(joined, "run_id", "left")
+    return rows.select("run_id", "alpha", "x_min", "ks", "p_value", F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))
 
 
 def compare_power_law_exponential(observations: DataFrame, min_tail: int = 10, discrete: bool = False) -> DataFrame:
     """(run_id, z, p): the normalised log-likelihood ratio of the power law and the exponential over the power law's tail, and how often
     chance alone gives one as large; positive z speaks for the power law."""
-    fit = (fit_power_law_discrete if discrete else fit_power_law)(observations, min_tail)
+    fit = fit_power_law(observations, min_tail, discrete)
     log_norm = F.log((F.col("alpha") - 1) / F.col("x_min")) + F.col("alpha") * F.log("x_min")
     if discrete:
         log_norm = -F.arrow_udf(lambda a, q: pa.array(np.log(zeta(a.to_numpy(), q.to_numpy()))), "double")("alpha", "x_min")
@@ -256,8 +376,8 @@ def mean_laminar_scaling(points: DataFrame) -> DataFrame:
 
 def reinjection(signals: DataFrame, mask: DataFrame) -> DataFrame:
     """(series_id, n, slope, alpha): entry points into laminar runs, their running mean M(x) against x, and (2m - 1)/(1 - m)."""
-    rows = signals.join(mask, ["series_id", "t"]).select("series_id", "t", "x", "laminar", F.lag("laminar").over(by_time()).alias("before"))
-    entries = rows.filter("laminar and not before")
+    rows = in_time_blocks(signals.select("series_id", "t", "x").join(mask, ["series_id", "t"]), before=1)
+    entries = rows.withColumn("before", F.lag("laminar").over(in_block())).filter("_own and laminar and not before")
     up = Window.partitionBy("series_id").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
     m = entries.select("series_id", "x", F.avg("x").over(up).alias("m"))
     fit = m.groupBy("series_id").agg(F.count("*").alias("n"), F.regr_slope("m", "x").alias("slope"))
@@ -282,19 +402,21 @@ def laminar_burst_symmetry(mask: DataFrame) -> DataFrame:
     return out.select("series_id", "ks", F.when(F.col("ks").isNotNull(), F.when(x < 0.04, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))).alias("p"))
 
 
-def extrema(signals: DataFrame, kind: str = "max") -> DataFrame:
+def extrema(signals: DataFrame, kind: str = "max", span: int = SPAN) -> DataFrame:
     """(series_id, t, x) of local extrema; a plateau counts once, at its middle (rounded down)."""
-    x = F.col("x") if kind == "max" else -F.col("x")
-    marked = signals.select("series_id", "t", "x", x.alias("v")).withColumn("new", (F.lag("v").over(by_time()).isNull() | (F.lag("v").over(by_time()) != F.col("v"))).cast("int"))
-    flat = marked.withColumn("g", F.sum("new").over(by_time())).groupBy("series_id", "g").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("v").alias("v"), F.min("x").alias("x"))
-    by = Window.partitionBy("series_id").orderBy("lo")
-    peaks = flat.withColumn("l", F.lag("v").over(by)).withColumn("r", F.lead("v").over(by)).filter("v > l and v > r")
-    return peaks.select("series_id", F.floor((F.col("lo") + F.col("hi")) / 2).alias("t"), "x")
+    v = F.col("x") if kind == "max" else -F.col("x")
+    rows = in_time_blocks(signals.select("series_id", "t", "x", v.alias("v")), before=1, after=1, span=span)
+    rows = rows.withColumns({"l": F.lag("v").over(in_block()), "r": F.lead("v").over(in_block())}).filter("_own")
+    peaks = rows.filter("v > l and v > r").select("series_id", "t", "x")
+    # the first sample of a plateau that rises to it, the last of one that falls from it
+    level = rows.filter("v = l or v = r").select("series_id", "x", "t", F.coalesce(F.col("v") > F.col("l"), F.lit(False)).alias("rises"), F.coalesce(F.col("v") > F.col("r"), F.lit(False)).alias("falls"))
+    flat = consecutive(level, ["series_id", "x"], ("rises", "falls"), span).filter("rises and falls")
+    return peaks.unionByName(flat.select("series_id", (F.col("start") + F.floor((F.col("length") - 1) / 2)).alias("t"), "x"))
 
 
 def return_map(signals: DataFrame, lag: int = 1) -> DataFrame:
     """(series_id, t, x, y): each value with the one ``lag`` later."""
-    return signals.select("series_id", "t", "x", F.lead("x", lag).over(by_time()).alias("y")).filter("y is not null")
+    return lagged(signals, [0, lag]).toDF("series_id", "t", "x", "y")
 
 
 def spaced_extrema(signals: DataFrame, kind: str = "max", prominence: float | None = None, distance: int | None = None) -> DataFrame:

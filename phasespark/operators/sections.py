@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phasespark.operators.embedding import by_time
+from phasespark.operators import fourier
+from phasespark.operators.embedding import SPAN, consecutive, in_block, in_time_blocks
 
 
 def crossings(signals: DataFrame, fs: float = 1.0, direction: str = "up", delay: int = 1) -> DataFrame:
@@ -15,10 +18,10 @@ def crossings(signals: DataFrame, fs: float = 1.0, direction: str = "up", delay:
 
     direction: up, down or both. A crossing lies between two samples, the first at or under the mean (up) and the second over it.
     """
-    mean = F.avg("x").over(Window.partitionBy("series_id"))
-    s = signals.select("series_id", "t", "x", (F.col("x") - mean).alias("s"))
-    nxt = lambda c, k=1: F.lead(c, k).over(by_time())
-    rows = s.select("series_id", "t", "s", nxt("s").alias("s1"), *(nxt("x", k * delay + j).alias(f"x{k}{j}") for k in (1, 2) for j in (0, 1)))
+    s = in_time_blocks(centred(signals), after=2 * delay + 1)
+    nxt = lambda c, k=1: F.lead(c, k).over(in_block())
+    rows = s.select("series_id", "t", "_own", F.col("c").alias("s"), nxt("c").alias("s1"), *(nxt("x", k * delay + j).alias(f"x{k}{j}") for k in (1, 2) for j in (0, 1)))
+    rows = rows.filter("_own")
     up, down = (F.col("s") <= 0) & (F.col("s1") > 0), (F.col("s") >= 0) & (F.col("s1") < 0)
     hit = {"up": up, "down": down, "both": up | down}[direction]
     a = F.col("s") / (F.col("s") - F.col("s1"))
@@ -28,9 +31,15 @@ def crossings(signals: DataFrame, fs: float = 1.0, direction: str = "up", delay:
     return found.select("series_id", (F.row_number().over(order) - 1).cast("long").alias("k"), "time", "u", "v")
 
 
+def centred(signals: DataFrame) -> DataFrame:
+    """signals with c, the deviation from the mean of the series: an aggregate and a join, no window over a whole series."""
+    mean = signals.groupBy("series_id").agg(F.avg("x").alias("_mean"))
+    return signals.select("series_id", "t", "x").join(mean, "series_id").select("series_id", "t", "x", (F.col("x") - F.col("_mean")).alias("c"))
+
+
 def _gradient(c: str) -> Column:
-    """Central differences by time step, one-sided at the ends."""
-    nxt, last = F.lead(c).over(by_time()), F.lag(c).over(by_time())
+    """Central differences by time step, one-sided at the ends; within a time block, where two more samples stand at either end."""
+    nxt, last = F.lead(c).over(in_block()), F.lag(c).over(in_block())
     return F.coalesce((nxt - last) / 2, nxt - F.col(c), F.col(c) - last)
 
 
@@ -47,8 +56,8 @@ def section(signals: DataFrame, fs: float = 1.0, delay: int | None = None, level
     stats = stats.join(auto_delay(signals, 64), "series_id") if not delay or delay <= 0 else stats.withColumn("delay", F.lit(delay))
     rows = signals.join(stats, "series_id").withColumn("s", F.col("x") - (F.col("mean") if level is None else F.lit(float(level))))
     dt = 1.0 / fs
-    rows = rows.withColumn("d1", _gradient("x") / dt).withColumn("d2", _gradient("d1") / dt)
-    rows = rows.withColumns({f"{c}_next": F.lead(c).over(by_time()) for c in ("s", "x", "d1", "d2")})
+    rows = in_time_blocks(rows, before=3, after=4).withColumn("d1", _gradient("x") / dt).withColumn("d2", _gradient("d1") / dt)
+    rows = rows.withColumns({f"{c}_next": F.lead(c).over(in_block()) for c in ("s", "x", "d1", "d2")}).filter("_own")
     tiny = 1e-12
     up, down = (F.col("s") <= tiny) & (F.col("s_next") > tiny), (F.col("s") >= -tiny) & (F.col("s_next") < -tiny)
     hit = rows.filter({"up": up, "down": down, "both": up | down}[direction])
@@ -67,10 +76,11 @@ def section(signals: DataFrame, fs: float = 1.0, delay: int | None = None, level
 
 def spectral_peak_ratio(signals: DataFrame) -> DataFrame:
     """(series_id, ratio): the largest Fourier amplitude over the second largest; null for under four samples or a constant."""
-    by = Window.partitionBy("series_id").orderBy(F.desc("power"), "k")
-    ranked = spectrum(signals).withColumn("r", F.row_number().over(by))
-    top = ranked.groupBy("series_id").agg(F.max(F.when(F.col("r") == 1, F.col("power"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("power"))).alias("b"))
     n = signals.groupBy("series_id").agg(F.count("*").alias("n"))
+    # the two largest of parts of the spectrum first, so that a long one isn't sorted in one task
+    part, whole = Window.partitionBy("series_id", "part").orderBy(F.desc("power"), "k"), Window.partitionBy("series_id").orderBy(F.desc("power"), "k")
+    ranked = spectrum(signals).withColumn("part", F.col("k") % 64).withColumn("r", F.row_number().over(part)).filter("r <= 2").withColumn("r", F.row_number().over(whole))
+    top = ranked.groupBy("series_id").agg(F.max(F.when(F.col("r") == 1, F.col("power"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("power"))).alias("b"))
     ratio = F.when((F.col("n") >= 4) & (F.col("a") > 0), F.when(F.col("b") > 0, F.sqrt(F.col("a") / F.col("b"))).otherwise(float("inf")))
     return n.join(top, "series_id", "left").select("series_id", ratio.alias("ratio"))
 
@@ -103,12 +113,28 @@ def section_quality(found: DataFrame, signals: DataFrame) -> DataFrame:
     return rows.select("series_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(~few, F.col("mean")).alias("mean_period"), "cv", "ratio", label.otherwise("chaotic").alias("label"))
 
 
-def autocovariance(signals: DataFrame, max_lag: int) -> DataFrame:
-    """(series_id, lag, acov): unbiased, for lags 0..max_lag. One window gathers the later values of a point; no self-join."""
-    centred = signals.select("series_id", "t", (F.col("x") - F.avg("x").over(Window.partitionBy("series_id"))).alias("c"))
-    ahead = F.collect_list("c").over(by_time().rowsBetween(0, max_lag))
-    terms = centred.select("series_id", "c", ahead.alias("ahead")).select("series_id", "c", F.posexplode("ahead").alias("lag", "later"))
-    return terms.groupBy("series_id", "lag").agg(F.avg(F.col("c") * F.col("later")).alias("acov"))
+def autocovariance(signals: DataFrame, max_lag: int, span: int = SPAN) -> DataFrame:
+    """(series_id, lag, acov): unbiased, for lags 0..max_lag. A time block with the ``max_lag`` samples after it is one array; its products
+    are summed in numpy, many lags by a transform."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def products(c: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for x, own in zip(fourier.arrays(c), n.to_pylist(), strict=True):
+            lags = min(max_lag, len(x) - 1) + 1
+            if lags <= 64:
+                sums = [float(x[:own][: len(x) - k] @ x[k : k + own]) for k in range(lags)]
+            else:
+                size = 1 << (len(x) + own).bit_length()
+                sums = np.fft.irfft(np.conj(np.fft.rfft(x[:own], size)) * np.fft.rfft(x, size), size)[:lags].tolist()
+            out.append(sums)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    rows = in_time_blocks(centred(signals), after=max_lag, span=span)
+    blocks = rows.groupBy("series_id", "_block").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("b"), F.sum(F.col("_own").cast("int")).alias("n"))
+    terms = blocks.select("series_id", "n", F.size("b").alias("m"), F.posexplode(products(F.col("b.c"), F.col("n"))).alias("lag", "s"))
+    terms = terms.groupBy("series_id", "lag").agg(F.sum("s").alias("s"), F.sum(F.least("n", F.col("m") - F.col("lag"))).alias("k"))
+    return terms.select("series_id", "lag", (F.col("s") / F.col("k")).alias("acov"))
 
 
 def auto_delay(signals: DataFrame, max_lag: int = 64) -> DataFrame:
@@ -125,24 +151,15 @@ def auto_delay(signals: DataFrame, max_lag: int = 64) -> DataFrame:
 
 
 def spectrum(signals: DataFrame, max_frequency: int | None = None) -> DataFrame:
-    """(series_id, k, power): discrete Fourier power at frequencies 1..max_frequency cycles a series, or all up to half a cycle a sample.
-
-    A direct sum: terms are samples times frequencies.
-    """
-    whole = Window.partitionBy("series_id")
-    c = signals.select("series_id", "t", (F.col("x") - F.avg("x").over(whole)).alias("c"), F.count("*").over(whole).alias("n"))
-    most = F.floor(F.col("n") / 2).cast("int") if max_frequency is None else F.lit(max_frequency)
-    k = c.withColumn("k", F.explode(F.sequence(F.lit(0), most))).filter("k > 0").filter(F.col("k") * 2 <= F.col("n"))
-    # the phase is reduced by whole turns first, so that long series keep their precision
-    angle = 2 * F.pi() * F.pmod(F.col("k") * F.col("t"), F.col("n")) / F.col("n")
-    sums = k.groupBy("series_id", "k").agg(F.sum(F.col("c") * F.cos(angle)).alias("re"), F.sum(F.col("c") * F.sin(angle)).alias("im"))
-    return sums.select("series_id", "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    """(series_id, k, power): discrete Fourier power at frequencies 1..max_frequency cycles a series, or all up to half a cycle a sample."""
+    found = fourier.transform(centred(signals).select("series_id", "t", F.col("c").alias("x"))).filter("k > 0 and k * 2 <= n")
+    found = found if max_frequency is None else found.filter(F.col("k") <= max_frequency)
+    return found.select("series_id", F.col("k").cast("int").alias("k"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
 
 
 def is_map_like(signals: DataFrame) -> DataFrame:
     """(series_id, map_like): lag-1 autocorrelation under 0.2 in absolute value."""
-    mean = F.avg("x").over(Window.partitionBy("series_id"))
-    c = signals.select("series_id", "t", (F.col("x") - mean).alias("c")).withColumn("d", F.lead("c").over(by_time()))
+    c = in_time_blocks(centred(signals), after=1).withColumn("d", F.lead("c").over(in_block())).filter("_own")
     r = F.try_divide(F.sum(F.col("c") * F.col("d")), F.sum(F.col("c") * F.col("c")))
     return c.groupBy("series_id").agg(F.coalesce(F.abs(r) < 0.2, F.lit(False)).alias("map_like"))
 
@@ -160,25 +177,22 @@ def decimate_min_max(signals: DataFrame, bin_size: int) -> DataFrame:
     return bins.select("series_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p")).select("series_id", "p.t", "p.x")
 
 
-def significant(x: Column, figures: int) -> Column:
-    """x rounded to a number of significant figures; 0 stays 0."""
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (figures - 1))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / scale) * scale)
+def sustained(signals: DataFrame, threshold: float = 0.02, min_run: int = 4, span: int = SPAN) -> DataFrame:
+    """(series_id, t, sustained): samples in runs of at least ``min_run`` values over the threshold.
 
-
-def sustained(signals: DataFrame, threshold: float = 0.02, min_run: int = 4) -> DataFrame:
-    """(series_id, t, sustained): samples in runs of at least ``min_run`` values over the threshold."""
-    over = signals.select("series_id", "t", (F.col("x") > threshold).alias("over"))
-    island = F.col("t") - F.row_number().over(Window.partitionBy("series_id", "over").orderBy("t"))
-    size = F.count("*").over(Window.partitionBy("series_id", "over", "island"))
-    return over.withColumn("island", island).select("series_id", "t", (F.col("over") & (size >= min_run)).alias("sustained"))
+    A sample is in such a run if ``min_run`` values over the threshold stand around it: no run is looked at further.
+    """
+    min_run = max(1, min_run)
+    rows = in_time_blocks(signals.select("series_id", "t", "x"), before=min_run - 1, after=min_run - 1, span=span)
+    starts = F.min((F.col("x") > threshold).cast("int")).over(in_block().rowsBetween(0, min_run - 1)) + F.when(F.count("*").over(in_block().rowsBetween(0, min_run - 1)) == min_run, 0)
+    rows = rows.withColumn("_full", F.coalesce(starts, F.lit(0)))
+    inside = F.max("_full").over(in_block().rowsBetween(1 - min_run, 0)) == 1
+    return rows.withColumn("sustained", inside).filter("_own").select("series_id", "t", "sustained")
 
 
 def longest_plateau(signals: DataFrame, target: float, tol: float) -> DataFrame:
     """(series_id, start, length) of the longest run of values within ``tol`` of the target; the first of equal ones."""
-    near = signals.filter(F.abs(F.col("x") - target) <= tol)
-    island = F.col("t") - F.row_number().over(by_time())
-    found = near.select("series_id", "t", island.alias("i")).groupBy("series_id", "i").agg(F.min("t").alias("start"), F.count("*").alias("length"))
+    found = consecutive(signals.filter(F.abs(F.col("x") - target) <= tol), ["series_id"])
     best = found.groupBy("series_id").agg(F.max_by(F.struct("start", "length"), F.struct("length", -F.col("start"))).alias("b"))
     return best.select("series_id", "b.start", "b.length")
 

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 BLOCK = 1024
 #: A cell is this much wider than the reach, and coordinates are at most so many reaches from 0, so that rounding loses no pair.
 SLACK, FARTHEST = 1e-6, 1e9
@@ -25,49 +26,50 @@ def dimensions(points: DataFrame) -> list[str]:
     return sorted((c for c in points.columns if c[0] == "p" and c[1:].isdigit()), key=lambda c: int(c[1:]))
 
 
-def _packed(rows: DataFrame, keys: list[str], columns: list[str], carried: list[str]) -> DataFrame:
-    """One row a block: arrays of t and of each coordinate, in time order."""
-    own = F.sort_array(F.collect_list(F.struct("t", *columns)))
-    out = rows.groupBy("series_id", *keys).agg(own.alias("_own"), *(F.first(c).alias(c) for c in carried))
-    return out.select("series_id", *keys, *carried, *(F.col(f"_own.{c}").alias(c) for c in ("t", *columns)))
+def _packed(rows: DataFrame, keys: list[str], columns: list[str], carried: list[str] = ()) -> DataFrame:
+    """One row a block: a struct ``_own`` of arrays, t and each coordinate, in time order."""
+    keys = ["series_id", *keys]
+    # a long series' blocks go to many tasks, also where its rows come in one
+    out = rows.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", *columns))).alias("_own"), *(F.first(c).alias(c) for c in carried))
+    return out.withColumn("_own", F.struct(*(F.col(f"_own.{c}").alias(c) for c in ("t", *columns))))
 
 
-def _sides(blocks: DataFrame, columns: list[str]) -> tuple[list[Column], list[Column], list[Column]]:
-    """The columns of a block as the left, the right and the missing right side of a tile."""
-    names = ["t", *columns]
-    return [F.col(c).alias(f"a_{c}") for c in names], [F.col(c).alias(f"b_{c}") for c in names], [F.lit(None).cast(blocks.schema[c].dataType).alias(f"b_{c}") for c in names]
+def _named(rows: DataFrame, columns: list[str], carried: list[str]) -> DataFrame:
+    """The columns of a tile from its two blocks ``_a`` and ``_b``."""
+    return rows.select("series_id", *carried, *(F.col(f"_{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("t", *columns)))
 
 
-def _all_pairs(points: DataFrame, columns: list[str], carried: list[str], block: int) -> DataFrame:
-    blocks = _packed(points.withColumn("_x", F.floor(F.col("t") / block)), ["_x"], columns, carried)
-    blocks = blocks.withColumn("_last", F.max("_x").over(Window.partitionBy("series_id")))
-    left, right, none = _sides(blocks, columns)
-    later = F.when(F.col("_x") < F.col("_last"), F.sequence(F.col("_x") + 1, F.col("_last")))
-    earlier = F.when(F.col("_x") > 0, F.sequence(F.lit(0).cast("long"), F.col("_x") - 1))
-    a = blocks.select("series_id", "_x", F.explode(later).alias("_y"), *carried, *left)
-    b = blocks.select("series_id", F.explode(earlier).alias("_x"), F.col("_x").alias("_y"), *right)
-    names = ["series_id", *carried, *(f"{s}_{c}" for s in "ab" for c in ("t", *columns))]
-    return blocks.select("series_id", *carried, *left, *none).unionByName(a.join(b, ["series_id", "_x", "_y"]).select(*names))
+def _all_pairs(blocks: DataFrame, columns: list[str], carried: list[str]) -> DataFrame:
+    """All tiles of series whose last block is ``_last``. Each block is dealt to the tiles that it is in."""
+    dealt = blocks.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
+    tile = [F.least("_x", "_with").alias("_i"), F.greatest("_x", "_with").alias("_j")]
+    dealt = dealt.select("series_id", *tile, "_x", "_own", *carried).repartition("series_id", "_i", "_j")
+    both = dealt.groupBy("series_id", "_i", "_j").agg(F.sort_array(F.collect_list(F.struct("_x", "_own"))).alias("_both"), *(F.first(c).alias(c) for c in carried))
+    first, second = F.get("_both._own", F.lit(0)), F.get("_both._own", F.lit(1))
+    both = both.filter((F.col("_i") == F.col("_j")) | (F.size("_both") == 2))  # a stretch of a series may have no points
+    return _named(both.select("series_id", *carried, first.alias("_a"), second.alias("_b")), columns, carried)
 
 
-def _near_pairs(points: DataFrame, columns: list[str], carried: list[str], block: int, reach: str) -> DataFrame:
+def _near_pairs(blocks: DataFrame, columns: list[str], carried: list[str], block: int, reach: str) -> DataFrame:
+    """The tiles of neighbouring cells."""
+    rows = blocks.select("series_id", *carried, F.inline(F.arrays_zip(*(F.col(f"_own.{c}").alias(c) for c in ("t", *columns)))))
+    rows = rows.toDF("series_id", *carried, "t", *columns)
     grid = columns[:2]
     cells = [f"_c{j}" for j in range(len(grid))]
-    rows = points.withColumns({c: F.floor(F.col(p) / (F.col(reach) * (1 + SLACK))) for c, p in zip(cells, grid, strict=True)})
+    rows = rows.withColumns({c: F.floor(F.col(p) / (F.col(reach) * (1 + SLACK))) for c, p in zip(cells, grid, strict=True)})
     dense = rows.groupBy("series_id", *cells).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
     dense = dense.select("series_id", *cells, F.ceil(F.col("_n") / block).alias("_pieces"))
     rows = rows.join(dense, ["series_id", *cells], "left").withColumn("_x", F.pmod(F.xxhash64("t"), F.coalesce("_pieces", F.lit(1))))
     blocks = _packed(rows, [*cells, "_x"], columns, carried)
-    left, right, none = _sides(blocks, columns)
     # every two neighbouring cells once: the cell itself and those that come after it
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)] if len(grid) == 2 else [(0,), (1,)]
     step = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"s{j}") for j, v in enumerate(s))) for s in steps)))
-    a = blocks.withColumn("_s", step).select("series_id", *((F.col(c) + F.col(f"_s.s{j}")).alias(c) for j, c in enumerate(cells)), "_s", F.col("_x").alias("_xa"), *carried, *left)
-    b = blocks.select("series_id", *cells, F.col("_x").alias("_xb"), *right)
+    beside = [(F.col(c) + F.col(f"_s.s{j}")).alias(c) for j, c in enumerate(cells)]
+    a = blocks.withColumn("_s", step).select("series_id", *beside, "_s", F.col("_x").alias("_xa"), *carried, F.col("_own").alias("_a"))
+    b = blocks.select("series_id", *cells, F.col("_x").alias("_xb"), F.col("_own").alias("_b"))
     own = F.greatest(*(F.abs(f"_s.s{j}") for j in range(len(grid))), F.lit(0)) == 0
-    names = ["series_id", *carried, *(f"{s}_{c}" for s in "ab" for c in ("t", *columns))]
-    met = a.join(b, ["series_id", *cells]).filter(~own | (F.col("_xa") < F.col("_xb"))).select(*names)
-    return blocks.select("series_id", *carried, *left, *none).unionByName(met)
+    found = a.join(b, ["series_id", *cells]).filter(~own | (F.col("_xa") <= F.col("_xb")))
+    return _named(found.withColumn("_b", F.when(~own | (F.col("_xa") < F.col("_xb")), F.col("_b"))), columns, carried)
 
 
 def tiles(points: DataFrame, limits: DataFrame | None = None, reach: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -76,22 +78,27 @@ def tiles(points: DataFrame, limits: DataFrame | None = None, reach: str | None
     Every pair of points of a series stands in exactly one tile, or with ``reach`` at least every pair that is not farther apart than that
     in any coordinate: ``reach`` names a column of ``limits`` (series_id, ...). Series without a row in ``limits`` are left out. Cells are
     only used for series of over ``block`` points that are over four reaches wide; others are cheaper whole.
+
+    Points are packed into blocks by one shuffle; what follows moves a row a block.
     """
     columns = dimensions(points)
-    points = points.select("series_id", "t", *columns)
-    if limits is None:
-        return _all_pairs(points, columns, [], block)
-    carried = [c for c in limits.columns if c != "series_id"]
+    carried = [] if limits is None else [c for c in limits.columns if c != "series_id"]
+    blocks = _packed(points.select("series_id", "t", *columns).withColumn("_x", F.floor(F.col("t") / block)), ["_x"], columns)
     if reach is None:
-        return _all_pairs(points.join(limits, "series_id"), columns, carried, block)
-    grid = columns[:2]
-    far, wide = F.greatest(*(F.max(F.abs(c)) for c in grid), F.lit(0.0)), F.greatest(*(F.max(c) - F.min(c) for c in grid), F.lit(0.0))
-    stats = points.groupBy("series_id").agg(F.count("*").alias("_n"), far.alias("_far"), wide.alias("_wide")).join(limits, "series_id")
+        stats = blocks.groupBy("series_id").agg(F.max("_x").alias("_last"))
+        blocks = blocks.join(stats if limits is None else stats.join(limits, "series_id"), "series_id")
+        return _all_pairs(blocks, columns, carried)
+    axes = range(len(columns[:2]))
+    ends = blocks.select("series_id", "_x", F.size("_own.t").alias("_k"), *(f(f"_own.p{j}").alias(f"_{n}{j}") for n, f in (("lo", F.array_min), ("hi", F.array_max)) for j in axes))
+    ends = ends.groupBy("series_id").agg(F.max("_x").alias("_last"), F.sum("_k").alias("_n"), *(F.min(f"_lo{j}").alias(f"_lo{j}") for j in axes), *(F.max(f"_hi{j}").alias(f"_hi{j}") for j in axes))
     r = F.col(reach)
-    cut = (F.col("_n") > block) & (r > 0) & (r < float("inf")) & (F.col("_far") < r * FARTHEST) & (F.col("_wide") > 4 * r)
-    stats = stats.withColumn("_cut", F.coalesce(cut, F.lit(False))).select("series_id", "_cut", *carried)
-    rows = points.join(stats, "series_id")
-    return _all_pairs(rows.filter(~F.col("_cut")), columns, carried, block).unionByName(_near_pairs(rows.filter("_cut"), columns, carried, block, reach))
+    far = F.greatest(*(F.greatest(-F.col(f"_lo{j}"), F.col(f"_hi{j}")) for j in axes), F.lit(0.0))
+    wide = F.greatest(*(F.col(f"_hi{j}") - F.col(f"_lo{j}") for j in axes), F.lit(0.0))
+    cut = (F.col("_n") > block) & (r > 0) & (r < float("inf")) & (far < r * FARTHEST) & (wide > 4 * r)
+    stats = ends.join(limits, "series_id").select("series_id", "_last", F.coalesce(cut, F.lit(False)).alias("_cut"), *carried)
+    blocks = blocks.join(stats, "series_id")
+    near = _near_pairs(blocks.filter("_cut"), columns, carried, block, reach)
+    return _all_pairs(blocks.filter(~F.col("_cut")), columns, carried).unionByName(near)
 
 
 def met(tile_rows: DataFrame) -> DataFrame:

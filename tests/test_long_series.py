@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from phasespark.operators import correlation, embedding, entropy, recurrence
+from phasespark.operators import correlation, embedding, entropy, fourier, intermittency, recurrence, sections
 from phasespark.operators.tiles import each, met, tiles
 
 
@@ -160,3 +160,89 @@ def test_a_series_of_100_000_points(spark):
     assert met(tiles(p, limits, "r")).first()["pairs"] < 99_999 * 99_998 / 2 / 1000
     row = recurrence.rqa(p, eps=0.002, metric="chebyshev", theiler=1).first()
     assert row["rr"] == pytest.approx(0.004**2, rel=0.05) and row["n"] == 99_999
+
+
+@pytest.mark.parametrize("whole", [1 << 16, 50])
+def test_transforms_of_any_length(spark, whole):
+    rng = np.random.default_rng(8)
+    series = {"prime": rng.normal(size=97), "even": rng.normal(size=120), "short": rng.normal(size=16), "one": rng.normal(size=1), "square": rng.normal(size=121)}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"series_id": k, "t": np.arange(len(v)), "x": v}) for k, v in series.items()]))
+    got = fourier.transform(df, whole).toPandas().sort_values("k")
+    for name, x in series.items():
+        own = got[got.series_id == name]
+        assert list(own.k) == list(range(len(x))) and set(own.n) == {len(x)}
+        assert np.allclose(own.re + 1j * own.im, np.fft.fft(x), atol=1e-11)
+    assert fourier.transform(df.limit(0), whole).count() == 0
+
+
+def test_period_and_autocovariance_of_a_long_series(spark):
+    t = np.arange(200_000)
+    x = np.sin(2 * np.pi * t / 80) + 0.1 * np.random.default_rng(1).normal(size=len(t))
+    s = signal(spark, x)
+    assert sections.dominant_period(s).first()["period"] == 80
+    c = x - x.mean()
+    for max_lag, span in ((5, 1 << 16), (200, 1 << 14)):
+        got = {r["lag"]: r["acov"] for r in sections.autocovariance(s, max_lag, span).collect()}
+        assert got == pytest.approx({k: (c[: len(c) - k] * c[k:]).mean() for k in range(max_lag + 1)}, abs=1e-9)
+
+
+def runs_of(mask):
+    out, start = [], None
+    for t, m in enumerate([*mask, False]):
+        if m and start is None:
+            start = t
+        if not m and start is not None:
+            out.append((start, t - start))
+            start = None
+    return out
+
+
+@pytest.mark.parametrize("span", [4, 7, 1000])
+@pytest.mark.parametrize("share", [0.2, 0.9, 1.0])
+def test_runs_over_time_blocks(spark, span, share):
+    mask = np.random.default_rng(span).uniform(size=90) < share
+    cells = signal(spark, mask).withColumn("odd", F.col("t") % 13 == 0)
+    got = embedding.consecutive(cells.filter("x > 0"), ["series_id"], ("odd",), span).orderBy("start").collect()
+    want = runs_of(mask)
+    assert [(r["start"], r["length"]) for r in got] == want
+    assert [r["odd"] for r in got] == [any(t % 13 == 0 for t in range(a, a + n)) for a, n in want]
+
+
+@pytest.mark.parametrize("span", [5, 1000])
+def test_masks_and_extrema_over_time_blocks(spark, span):
+    x = np.round(np.random.default_rng(9).normal(size=150), 0)
+    s = signal(spark, x)
+    got = {r["t"] for r in sections.sustained(s, -0.5, 3, span).collect() if r["sustained"]}
+    assert got == {t for a, n in runs_of(x > -0.5) if n >= 3 for t in range(a, a + n)}
+    gap = np.abs(x[4:] - x[:-4])
+    eps = np.percentile(gap[gap > 0], 60)
+    got = {r["t"] for r in intermittency.laminar_by_period(s, 4, 60, span).collect() if r["laminar"]}
+    assert got == {t + 4 for t in range(146) if gap[t] <= eps}
+    fine = x + np.random.default_rng(2).normal(size=150)  # no two windows of equal deviation
+    sd = np.array([fine[i : i + 5].std() for i in range(146)])
+    eps = np.percentile(sd[sd > 0], 30)
+    got = {r["t"] for r in intermittency.laminar_by_variance(signal(spark, fine), 5, 30, span).collect() if r["laminar"]}
+    assert got == {t for i in range(146) if sd[i] <= eps + 1e-12 for t in range(i, i + 5)}
+    for kind, sign in (("max", 1), ("min", -1)):
+        v, want, i = sign * x, [], 0
+        while i < 150:
+            j = i
+            while j + 1 < 150 and v[j + 1] == v[i]:
+                j += 1
+            if i > 0 and j < 149 and v[i - 1] < v[i] > v[j + 1]:
+                want.append(((i + j) // 2, x[i]))
+            i = j + 1
+        assert sorted(tuple(r)[1:] for r in intermittency.extrema(s, kind, span).collect()) == want
+
+
+@pytest.mark.parametrize("span", [10, 1 << 16])
+def test_mutual_information_over_time_blocks(spark, span):
+    x = np.random.default_rng(10).normal(size=200)
+    got = {r["tau"]: r["ami"] for r in embedding.average_mutual_information(signal(spark, x), 7, 8, span).collect()}
+    lo, hi = x.min(), x.max()
+    b = np.minimum(np.floor((x - lo) / (hi + 1e-10 * (hi - lo) - lo) * 8), 7).astype(int)
+    for tau in range(1, 8):
+        p = np.zeros((8, 8))
+        np.add.at(p, (b[:-tau], b[tau:]), 1 / (200 - tau))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            assert got[tau] == pytest.approx(np.nansum(p * np.log(p / np.outer(p.sum(1), p.sum(0)))))
