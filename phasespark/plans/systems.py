@@ -179,10 +179,32 @@ def zero_one_of_logistic(spark, sf_dir):
  mo AS (SELECT field_id, ty, tx, box, ln(box) lb, ln(count(*)) z0, ln(sum(p * p)) z2 FROM pr GROUP BY 1, 2, 3, 4), ph AS (SELECT field_id, ty, tx, -regr_slope(z0, lb) - regr_slope(z2, lb) phi FROM mo GROUP BY 1, 2, 3)
  SELECT field_id, CAST(ty AS BIGINT) ty, CAST(tx AS BIGINT) tx, round(phi, 6) + 0.0 phi FROM ph""")
 def multifractal_tiles(spark, sf_dir):
-    out = multifractal.local_multifractality(quantity_field(spark, sf_dir), 16, [1, 2, 4, 8])
+    out = multifractal.local_multifractality(quantity_field(spark, sf_dir), 16, [1, 2, 4, 8], [0.0, 2.0]).select("field_id", "ty", "tx", "phi")
     return rounded(out.withColumns({"ty": F.col("ty").cast("long"), "tx": F.col("tx").cast("long")}))
 
 
+#: Rectangular tiles of 16 rows and 8 columns: range, mean, spread and the median fit over five exponents.
+TILES = f"""{FIELD.split(" bx AS")[0].rstrip().rstrip(",")}, tl AS (SELECT field_id, y // 16 ty, x // 8 tx, y % 16 y, x % 8 x, mass FROM fld JOIN shp USING (field_id) WHERE (y // 16 + 1) * 16 <= ny AND (x // 8 + 1) * 8 <= nx),
+ st AS (SELECT field_id, ty, tx, max(mass) - CASE WHEN count(*) < 128 THEN 0 ELSE min(mass) END delta, sum(mass) / 128 mean FROM tl GROUP BY 1, 2, 3),
+ bx AS (SELECT field_id, ty, tx, box, sum(mass) m FROM tl, (SELECT unnest([2, 4]) box) GROUP BY field_id, ty, tx, box, y // box, x // box HAVING sum(mass) > 0), pr AS (SELECT *, m / sum(m) OVER (PARTITION BY field_id, ty, tx, box) p FROM bx),
+ mo AS (SELECT field_id, ty, tx, q, ln(box) lb, ln(sum(pow(p, q))) lz FROM pr, (SELECT unnest([-2.0, 0.0, 2.0, 3.0, 4.0]::DOUBLE[]) q) GROUP BY 1, 2, 3, 4, 5),
+ ft AS (SELECT field_id, ty, tx, q, regr_slope(lz, lb) sl, coalesce(regr_r2(lz, lb), 1) r2 FROM (SELECT field_id, ty, tx, q, lb, round(lz, 10) lz FROM mo) GROUP BY 1, 2, 3, 4),
+ ph AS (SELECT field_id, ty, tx, -max(sl) FILTER (WHERE q = 0) - max(sl) FILTER (WHERE q = 2) phi FROM ft GROUP BY 1, 2, 3),
+ tiles AS (SELECT field_id, ty, tx, coalesce(phi, 'nan'::DOUBLE) phi, delta, mean FROM st LEFT JOIN ph USING (field_id, ty, tx))"""
+
+
+@query(f"{TILES} SELECT field_id, CAST(ty AS BIGINT) ty, CAST(tx AS BIGINT) tx, round(phi, 6) + 0.0 phi, round(delta, 6) delta, round(mean, 6) mean FROM tiles")
+def multifractal_tile_statistics(spark, sf_dir):
+    out = multifractal.local_multifractality(quantity_field(spark, sf_dir), (16, 8), None, [-2.0, 0.0, 2.0, 3.0, 4.0]).drop("r2_tau")
+    return rounded(out.withColumns({"ty": F.col("ty").cast("long"), "tx": F.col("tx").cast("long")}))
+
+
+@query(f"""{TILES} SELECT field_id, count(phi) FILTER (WHERE NOT isnan(phi) AND delta > 0) n, round(regr_slope(phi, ln(delta)) FILTER (WHERE NOT isnan(phi) AND delta > 0), 6) slope,
+ round(regr_intercept(phi, ln(delta)) FILTER (WHERE NOT isnan(phi) AND delta > 0), 6) intercept, round(regr_r2(phi, ln(delta)) FILTER (WHERE NOT isnan(phi) AND delta > 0), 6) r2 FROM tiles WHERE delta > 0 GROUP BY 1""")
+def multifractal_tile_scaling(spark, sf_dir):
+    return rounded(multifractal.tile_scaling(multifractal.local_multifractality(quantity_field(spark, sf_dir), (16, 8), None, [0.0, 2.0])))
+
+
 @query(f"""RECURSIVE w(p, k, s0, s1) AS (SELECT i, 0, CAST(0.05 * (i + 1) AS DOUBLE), CAST(0 AS DOUBLE) FROM range(5) r(i) UNION ALL
  SELECT p, k + 1, ({TURN.replace("1e-3 - (", "0.01 + (")}) * (cos({ANGLE!r}) * s0 - sin({ANGLE!r}) * s1), ({TURN.replace("1e-3 - (", "0.01 + (")}) * (sin({ANGLE!r}) * s0 + cos({ANGLE!r}) * s1) FROM w WHERE k < 5000 AND sqrt(s0 * s0 + s1 * s1) < 1)
  SELECT CAST(p AS BIGINT) param_id, CAST(min(k) FILTER (WHERE sqrt(s0 * s0 + s1 * s1) >= 1) AS BIGINT) length FROM w GROUP BY 1""")

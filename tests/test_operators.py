@@ -89,6 +89,34 @@ def test_uniform_field_has_dimension_two(spark):
         assert math.isclose(r["d_q"], 2.0, abs_tol=1e-9) and math.isclose(r["r2"], 1.0)
 
 
+def test_boxes_of_any_sizes_by_a_pyramid(spark):
+    rng = np.random.default_rng(4)
+    mass = np.where(rng.random((37, 50)) < 0.7, rng.random((37, 50)), 0.0)
+    field = spark.createDataFrame([(0, y, x, float(mass[y, x])) for y in range(37) for x in range(50)], "field_id int, y long, x long, mass double")
+    boxes = [1, 2, 3, 4, 6, 10, 12]
+    assert multifractal._parents(boxes) == {1: 1, 2: 1, 3: 1, 4: 2, 6: 3, 10: 2, 12: 6}
+    got = {(r["box"], r["q"]): r["log_z"] for r in multifractal.moments(field, boxes, [-1.0, 2.0, float("nan")]).collect()}
+    for b in boxes:
+        m = mass[: 37 // b * b, : 50 // b * b].reshape(37 // b, b, 50 // b, b).sum(axis=(1, 3)).ravel()
+        p = m[m > 0] / m.sum()
+        for q in (-1.0, 2.0):
+            assert math.isclose(got[b, q], math.log((p**q).sum()), rel_tol=1e-9)
+    assert len(got) == 2 * len(boxes)
+    assert {r["box"] for r in multifractal.moments(field, None, [2.0]).collect()} == {2, 4, 8, 16}
+    assert multifractal.spectrum(field).count() == 65
+
+
+def test_default_boxes():
+    assert [multifractal.default_boxes(n) for n in (0, 3, 4, 8, 16, 17, 31, 64)] == [[], [], [2], [2, 4], [2, 4, 8], [2, 4, 8], [2, 4, 8], [2, 4, 8, 16, 32]]
+
+
+@pytest.mark.parametrize("bad", [-1.0, float("nan"), float("inf"), None])
+def test_odd_masses_are_refused(spark, bad):
+    field = spark.createDataFrame([(0, i // 16, i % 16, 1.0 if i else bad) for i in range(256)], "field_id int, y long, x long, mass double")
+    with pytest.raises(Exception, match="finite and not negative"):
+        multifractal.moments(field, [1, 2], [2.0]).collect()
+
+
 def test_run_lengths_and_censoring(spark):
     mask = spark.createDataFrame([("0", t, b) for t, b in enumerate([True, True, False, True, False, True, True, True])], "series_id string, t long, laminar boolean")
     assert sorted(r["length"] for r in intermittency.run_lengths(mask).collect()) == [1, 2, 3]
