@@ -86,7 +86,7 @@ def load_signal(spark: SparkSession, document: dict[str, Any], folder: Path) ->
     if "path" in given:
         path = (folder / str(given["path"])).resolve()
         if not path.exists():
-            raise WorkflowError(f"input file does not exist: {path}")
+            raise WorkflowError(f"there is no file {path}")
         try:
             return src.from_numpy(spark, str(path), given.get("npz_key")), {"kind": "file", "path": str(path), "npz_key": given.get("npz_key")}
         except (ValueError, OSError) as e:
@@ -96,7 +96,7 @@ def load_signal(spark: SparkSession, document: dict[str, Any], folder: Path) ->
         raise WorkflowError("only the logistic signal can be generated")
     n = int(made.get("n", 0))
     if n < 1:
-        raise WorkflowError("generated.n must be a positive integer")
+        raise WorkflowError("generated.n has to be 1 or more")
     x0 = float(made["x0"]) if "x0" in made else float(np.random.default_rng(int(made.get("seed", 0))).uniform(0.05, 0.95))
     params = spark.range(1).select(F.col("id").alias("param_id"), F.lit(float(made.get("a", 1.99))).alias("a"), F.lit(x0).alias("x0"))
     walk = simulate.trajectories(params, "logistic", n, record_first=True)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phasespark.sources.numpy_files import NumpyFiles
 from phasespark.sources.tables import table
 
 
@@ -34,23 +34,11 @@ def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_numpy(spark: SparkSession, path: str, npz_key: str | None = None, series_id: str = "0") -> DataFrame:
-    """A 1-D array of a .npy or .npz file. An archive of one array needs no key. ValueError for anything else."""
-    loaded = np.load(path, allow_pickle=False)
-    if hasattr(loaded, "files"):
-        if npz_key is None and len(loaded.files) != 1:
-            raise ValueError("npz_key is needed: the archive has several arrays")
-        key = npz_key or loaded.files[0]
-        if key not in loaded.files:
-            raise ValueError(f"the archive has no array {key}")
-        loaded = loaded[key]
-    x = np.asarray(loaded, dtype=np.float64)
-    if x.ndim != 1 or not len(x) or not np.isfinite(x).all():
-        raise ValueError("a non-empty, finite, one-dimensional array is needed")
-    rows = spark.range(len(x)).withColumnRenamed("id", "t")
-    values = spark.sparkContext.broadcast(x)
-
-    def fill(batches):
-        for pdf in batches:
-            yield pdf.assign(series_id=series_id, x=values.value[pdf["t"].to_numpy()])[["series_id", "t", "x"]]
-
-    return rows.mapInPandas(fill, "series_id string, t long, x double")
+    """A 1-D array of numbers of a .npy or .npz file, read by the tasks in byte ranges. An archive of one array needs no key.
+
+    ValueError at once for other arrays and files; values that are not finite fail when they are read.
+    """
+    options = {"path": path, "seriesId": series_id} | ({"key": npz_key} if npz_key is not None else {})
+    NumpyFiles(options).reader(None)  # the header is checked here, where errors keep their kind
+    spark.dataSource.register(NumpyFiles)
+    return spark.read.format("numpy").options(**options).load()
