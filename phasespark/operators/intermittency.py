@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasespark.operators.embedding import SPAN, consecutive, in_block, in_time_blocks, lagged
 from phasespark.operators.fourier import arrays
@@ -419,44 +420,136 @@ def return_map(signals: DataFrame, lag: int = 1) -> DataFrame:
     return lagged(signals, [0, lag]).toDF("series_id", "t", "x", "y")
 
 
-def spaced_extrema(signals: DataFrame, kind: str = "max", prominence: float | None = None, distance: int | None = None) -> DataFrame:
-    """(series_id, t, x, prominence) of local extrema that stand ``distance`` apart at least, higher ones first and later ones among equals,
-    and then those that rise by ``prominence`` over the higher of the two lowest points towards a higher sample on either side.
+def spaced(peaks: DataFrame, distance: int, span: int = SPAN) -> DataFrame:
+    """The rows of ``peaks`` (series_id, t, v) that stay when the highest, of equal ones the latest, removes those less than ``distance`` away,
+    and so on with the rest.
+
+    In rounds: what no undecided peak near it tops stays, and what is near a peak that stays goes. A round is a window over time blocks; there
+    are as many as peaks in the longest rising row of near peaks.
+    """
+    near = in_block().rangeBetween(1 - distance, distance - 1)
+    open_, kept = settled(peaks.select("series_id", "t", "v")), None
+    while not open_.isEmpty():
+        rows = in_time_blocks(open_, before=2 * distance, after=2 * distance, span=span)
+        rows = rows.withColumn("_top", F.max(F.struct("v", "t")).over(near)["t"] == F.col("t"))
+        rows = settled(rows.withColumn("_near", F.max("_top").over(near)).filter("_own").select("series_id", "t", "v", "_top", "_near"))
+        stay = rows.filter("_top").select("series_id", "t", "v")
+        kept = stay if kept is None else kept.unionByName(stay)
+        open_ = rows.filter("not _near").select("series_id", "t", "v")
+    return open_ if kept is None else kept
+
+
+def _reach_left(v: np.ndarray, at: np.ndarray, low: np.ndarray | None = None, tops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of ``at``: the last one before it with a higher value than ``tops`` there (-1: none), and the least of ``low`` between.
+
+    All places at once: ranges of halving length are skipped while nothing in them is higher.
+    """
+    low, tops = (v if low is None else low), (v[at] if tops is None else tops)
+    highs, lows = [v], [low]
+    while 2 << (len(highs) - 1) <= len(v):
+        half = 1 << (len(highs) - 1)
+        highs.append(np.maximum(highs[-1][:-half], highs[-1][half:]))
+        lows.append(np.minimum(lows[-1][:-half], lows[-1][half:]))
+    place, least = at.copy(), np.full(len(at), np.inf)
+    for level in range(len(highs) - 1, -1, -1):
+        for _ in range(2):  # the longest ranges may be skipped twice
+            start = place - (1 << level)
+            ok = start >= 0
+            ok[ok] = highs[level][start[ok]] <= tops[ok]
+            least[ok] = np.minimum(least[ok], lows[level][start[ok]])
+            place = np.where(ok, start, place)
+    return place - 1, least
+
+
+def _records(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seen from the end: the values higher than all after them, and the least after each."""
+    back = v[::-1]
+    before = np.r_[-np.inf, np.maximum.accumulate(back)[:-1]]
+    at = np.flatnonzero(back > before)
+    return back[at], np.r_[np.inf, np.minimum.accumulate(back)[:-1]][at]
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in values])], pa.int32()), pa.array(np.concatenate(values) if values else [], pa.float64()))
 
-    A series has to fit a task: heights all along it decide on an extremum.
+
+#: What is known of a peak within its block.
+PEAK = ("at", "v", "left", "right", "left_open", "right_open")
+
+
+def prominences(signals: DataFrame, peaks: DataFrame, span: int = SPAN) -> DataFrame:
+    """(series_id, t, v, prominence) for ``peaks`` (series_id, t, v) of signals (series_id, t, v): the rise over the higher of the two lowest
+    points between a peak and the next higher sample on either side, or the end of the series.
+
+    A time block is one array and gives a summary: its range, and from either end the values that top all before them with the least before
+    each. A peak whose higher sample lies beyond its block looks for the block by the ranges alone, and for the place by that block's summary.
     """
+    cells = signals.select("series_id", "t", "v").join(peaks.select("series_id", "t", F.lit(True).alias("_peak")), ["series_id", "t"], "left")
+    blocks = cells.groupBy("series_id", F.floor(F.col("t") / span).alias("block")).agg(F.sort_array(F.collect_list(F.struct("t", "v", F.col("_peak").isNotNull().alias("p")))).alias("b"))
+    blocks = blocks.select("series_id", "block", F.col("b.v").alias("v"), F.col("b.t")[0].alias("first"), F.expr("transform(filter(sequence(0, size(b) - 1), i -> b[i].p), i -> double(i))").alias("at"))
+
+    def summary(batches):
+        for batch in batches:
+            values, places = arrays(batch.column("v")), arrays(batch.column("at"))
+            found = {c: [] for c in PEAK}
+            ends = {c: [] for c in ("lv", "ll", "rv", "rl")}
+            for v, at in zip(values, places, strict=True):
+                at = at.astype(np.int64)
+                before, left = _reach_left(v, at)
+                after, right = _reach_left(v[::-1], len(v) - 1 - at)
+                for c, x in zip(found, (at, v[at], np.minimum(left, v[at]), np.minimum(right, v[at]), before < 0, after < 0), strict=True):
+                    found[c].append(x.astype(np.float64))
+                for c, x in zip(ends, (*_records(v), *_records(v[::-1])), strict=True):
+                    ends[c].append(x)
+            high, low = ([float(f(v)) for v in values] for f in (np.max, np.min))
+            columns = [batch.column("series_id"), batch.column("block"), batch.column("first"), pa.array(high, pa.float64()), pa.array(low, pa.float64()), *map(_lists, found.values()), *map(_lists, ends.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=["series_id", "block", "first", "high", "low", *found, *ends])
+
+    kind = signals.schema["series_id"].dataType.simpleString()
+    lists = ", ".join(f"{c} array<double>" for c in (*PEAK, "lv", "ll", "rv", "rl"))
+    # seen from its right end a block is met by peaks after it (lv, ll), from its left end by those before it (rv, rl)
+    found = settled(blocks.mapInArrow(summary, f"series_id {kind}, block long, first long, high double, low double, {lists}"))
+    rows = found.select("series_id", "block", "first", F.inline(F.arrays_zip(*PEAK))).toDF("series_id", "block", "first", *PEAK)
+    rows = rows.withColumn("t", (F.col("first") + F.col("at")).cast("long"))
+    chain = found.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("block", "high", "low"))).alias("c"))
+    chain = chain.select("series_id", F.col("c.block").alias("blocks"), F.col("c.high").alias("highs"), F.col("c.low").alias("lows"))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def beyond(block: pa.Array, tops: pa.Array, blocks: pa.Array, highs: pa.Array, lows: pa.Array, backward: pa.Array) -> pa.Array:
+        """The block with a higher sample (-1: none) and the least of those between."""
+        out = []
+        for b, top, every, high, low, back in zip(block.to_pylist(), np.asarray(tops), arrays(blocks), arrays(highs), arrays(lows), backward.to_pylist(), strict=True):
+            at = int(np.searchsorted(every, b))
+            if back:
+                at, high, low = len(every) - 1 - at, high[::-1], low[::-1]
+            place, least = _reach_left(high, np.array([at]), low, np.array([top]))
+            place = int(place[0])
+            out += [float(every[len(every) - 1 - place if back else place]) if place >= 0 else -1.0, float(least[0])]
+        return pa.ListArray.from_arrays(pa.array(range(0, len(out) + 1, 2), pa.int32()), pa.array(out, pa.float64()))
+
+    for side, back, tops, lows in (("left", False, "lv", "ll"), ("right", True, "rv", "rl")):
+        asked = rows.filter(F.col(f"{side}_open") > 0).select("series_id", "block", "t", "v").join(chain, "series_id")
+        asked = asked.select("series_id", "t", "v", beyond("block", "v", "blocks", "highs", "lows", F.lit(back)).alias("_b"))
+        asked = asked.select("series_id", "t", "v", F.col("_b")[0].cast("long").alias("block"), F.col("_b")[1].alias("_between"))
+        ends = found.select("series_id", "block", F.arrays_zip(F.col(tops).alias("top"), F.col(lows).alias("low")).alias("_r"))
+        asked = asked.join(ends, ["series_id", "block"], "left")
+        inside = F.get(F.filter("_r", lambda r: r["top"] > F.col("v")), F.lit(0))["low"]
+        further = asked.select("series_id", "t", F.least("_between", F.coalesce(inside, F.lit(float("inf")))).alias("_further"))
+        rows = rows.join(further, ["series_id", "t"], "left").withColumn(side, F.least(side, F.coalesce("_further", F.lit(float("inf"))))).drop("_further")
+    return rows.select("series_id", "t", "v", (F.col("v") - F.greatest("left", "right")).alias("prominence"))
+
+
+def spaced_extrema(signals: DataFrame, kind: str = "max", prominence: float | None = None, distance: int | None = None, span: int = SPAN) -> DataFrame:
+    """(series_id, t, x, prominence) of local extrema that stand ``distance`` apart at least, higher ones first and later ones among equals,
+    and then those that rise by ``prominence`` over the higher of the two lowest points towards a higher sample on either side."""
     if distance is not None and distance < 1 or prominence is not None and prominence < 0:
         raise ValueError("distance must be at least 1, prominence not negative")
-    peaks = extrema(signals, kind).select("series_id", "t", F.lit(True).alias("peak"))
-    rows = signals.join(peaks, ["series_id", "t"], "left")
     sign = 1.0 if kind == "max" else -1.0
-
-    def valleys(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """For wanted places: the lowest value since the last higher one. Places that a later one reaches over leave the stack with theirs."""
-        out, stack = np.zeros(len(x)), []
-        for i, v in enumerate(x.tolist()):
-            low = v
-            while stack and stack[-1][0] <= v:
-                low = min(low, stack.pop()[1])
-            stack.append((v, low))
-            out[i] = low
-        return out[wanted]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x, t, at = sign * pdf["x"].to_numpy(), pdf["t"].to_numpy(), np.flatnonzero(pdf["peak"].notna().to_numpy())
-        if distance is not None:
-            keep = np.ones(len(at), bool)
-            for i in np.argsort(x[at], kind="stable")[::-1]:
-                if keep[i]:
-                    near = slice(np.searchsorted(t[at], t[at[i]] - distance, "right"), np.searchsorted(t[at], t[at[i]] + distance, "left"))
-                    keep[near] = np.arange(len(at))[near] == i
-            at = at[keep]
-        rise = x[at] - np.maximum(valleys(x, at), valleys(x[::-1], len(x) - 1 - at))
-        keep = rise >= (prominence or 0.0)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "t": t[at][keep], "x": sign * x[at][keep], "prominence": rise[keep]})
-
-    return rows.groupBy("series_id").applyInPandas(one, "series_id string, t long, x double, prominence double")
+    peaks = extrema(signals, kind, span).select("series_id", "t", (sign * F.col("x")).alias("v"))
+    if distance is not None and distance > 1:
+        peaks = spaced(peaks, distance, span)
+    rows = prominences(signals.select("series_id", "t", (sign * F.col("x")).alias("v")), peaks, span)
+    return rows.filter(F.col("prominence") >= (prominence or 0.0)).select("series_id", "t", (sign * F.col("v") + 0.0).alias("x"), "prominence")
 
 
 def extrema_return_map(signals: DataFrame, kind: str = "max", prominence: float | None = None, distance: int | None = None) -> DataFrame:
