@@ -157,6 +157,8 @@ def zero_one(signals: DataFrame, c_values: list[float], n_cut: int) -> DataFrame
     Displacements follow from unbiased autocovariances at lags 0..n_cut-1, correlated with 1..n_cut; a flat one gives 0. Running sums and
     the later values of a point come from windows over (series, c): nothing is joined.
     """
+    if not c_values or int(n_cut) != n_cut or n_cut < 2:
+        raise ValueError("an angle and a whole number of at least 2 lags are needed")
     by = Window.partitionBy("series_id", "c").orderBy("t")
     whole = Window.partitionBy("series_id", "c")
     s = signals.withColumn("c", F.explode(F.array(*map(F.lit, c_values))))

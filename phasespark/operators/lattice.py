@@ -84,10 +84,9 @@ def gcm_step(states: DataFrame, a: float, eps: float) -> DataFrame:
 
 def spatial_autocorrelation(states: DataFrame, max_lag: int) -> DataFrame:
     """(run_id, lag, c): autocorrelation along a ring, averaged over sites and times, over its value at lag 0."""
-    ring = Window.partitionBy("run_id", "t")
-    mean = F.avg("x").over(Window.partitionBy("run_id"))
+    mean = states.groupBy("run_id").agg(F.avg("x").alias("mean"))
     whole = F.array_sort(F.collect_list(F.struct("site", "c")))
-    rows = states.select("run_id", "t", "site", (F.col("x") - mean).alias("c")).groupBy("run_id", "t").agg(F.transform(whole, lambda p: p["c"]).alias("v"))
+    rows = states.join(mean, "run_id").select("run_id", "t", "site", (F.col("x") - F.col("mean")).alias("c")).groupBy("run_id", "t").agg(F.transform(whole, lambda p: p["c"]).alias("v"))
     pairs = rows.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).select(
         "run_id", "lag", F.posexplode("v").alias("i", "a"), F.col("v")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import factorial, log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasespark.operators.embedding import embed
@@ -30,6 +30,25 @@ def patterns(signals: DataFrame, d: int = 5, tau: int = 1) -> DataFrame:
     return points.select("series_id", "t", code.cast("int").alias("lehmer"))
 
 
+def order_of(lehmer: Column, d: int) -> Column:
+    """The places of a window's values in ascending order, from its Lehmer code; null for what is no code of d values.
+
+    Each digit counts among the places that are left.
+    """
+    if not 2 <= d <= 12:
+        raise ValueError("d lies from 2 to 12")
+    weights = F.array(*(F.lit(factorial(d - 1 - r)) for r in range(d)))
+    none, all_ = F.array().cast("array<int>"), F.array(*map(F.lit, range(d)))
+
+    def step(acc: Column, r: Column) -> Column:
+        digit = F.pmod(F.floor(lehmer / F.get(weights, r)), F.lit(d) - r).cast("int")
+        one = F.get(acc["left"], digit)
+        return F.struct(F.filter(acc["left"], lambda p: p != one).alias("left"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), F.struct(all_.alias("left"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(lehmer.between(0, factorial(d) - 1), out)
+
+
 def distribution(signals: DataFrame, d: int = 5, tau: int = 1) -> DataFrame:
     """(series_id, lehmer, n, p)."""
     counts = patterns(signals, d, tau).groupBy("series_id", "lehmer").agg(F.count("*").alias("n"))

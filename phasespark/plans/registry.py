@@ -162,6 +162,12 @@ def ordinal_patterns(spark, sf_dir):
     return ordinal.patterns(src.events_by_user(spark, sf_dir), 3)
 
 
+@query(f"{lehmer_sql(4)} SELECT series_id, t, list_transform(s, lambda e: e.i) AS places FROM srt")
+def ordinal_orders(spark, sf_dir):
+    found = ordinal.patterns(src.events_by_user(spark, sf_dir), 4)
+    return found.select("series_id", "t", ordinal.order_of(F.col("lehmer"), 4).alias("places"))
+
+
 @query(f"{lehmer_sql(4)} SELECT series_id, lehmer, n, round(p, 6) p FROM prob")
 def ordinal_distribution(spark, sf_dir):
     return rounded(ordinal.distribution(src.events_by_user(spark, sf_dir), 4))
@@ -476,6 +482,20 @@ def power_law_fit(spark, sf_dir):
     return rounded(intermittency.fit_power_law(account_values(spark, sf_dir)))
 
 
+@query(f"""{PLAW.replace("SELECT s_nationkey % 3 run_id, s_acctbal AS value FROM supplier WHERE s_acctbal > 0", "SELECT o_orderpriority run_id, o_totalprice AS value FROM orders WHERE o_totalprice > 0")}
+ SELECT run_id, x_min, round(alpha, 6) alpha, round(ks, 6) ks, CAST(n_tail AS BIGINT) n_tail FROM ft""")
+def power_law_fit_orders(spark, sf_dir):
+    prices = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("run_id"), F.col("o_totalprice").alias("value"))
+    return rounded(intermittency.fit_power_law(prices))
+
+
+@query(f"""{PERIOD}, {PLAW.replace("SELECT s_nationkey % 3 run_id, s_acctbal AS value FROM supplier WHERE s_acctbal > 0", "SELECT series_id run_id, abs(x) AS value FROM msk WHERE NOT laminar AND x <> 0")}
+ SELECT run_id, x_min, round(alpha, 6) alpha, round(ks, 6) ks, CAST(n_tail AS BIGINT) n_tail FROM ft""")
+def burst_amplitude_fit(spark, sf_dir):
+    signals = src.events_by_user(spark, sf_dir)
+    return rounded(intermittency.fit_power_law(intermittency.burst_amplitudes(signals, period_mask(spark, sf_dir))))
+
+
 @query(f"""{PLAW}, tt AS (SELECT o.run_id, value, x_min, alpha, avg(value - x_min) OVER (PARTITION BY o.run_id) sc FROM o JOIN ft ON ft.run_id = o.run_id AND value >= x_min),
  lr AS (SELECT run_id, (ln((alpha - 1) / x_min) - alpha * ln(value / x_min)) - (-ln(sc) - (value - x_min) / sc) r FROM tt) SELECT run_id, round(sum(r) / (sqrt(count(*)) * stddev_samp(r)), 5) z FROM lr GROUP BY 1""")
 def power_law_vs_exponential(spark, sf_dir):
@@ -611,7 +631,8 @@ def ring(spark, sf_dir) -> DataFrame:
 RING = "st AS (SELECT 0 run_id, vec_id t, CAST(i AS INT) site, CAST(embedding[i + 1] AS DOUBLE) x FROM embeddings, range(0, 64) r(i))"
 
 
-@query(f"{RING}, f AS (SELECT *, 1.0 - 1.7 * x * x f FROM st) SELECT a.run_id, a.t + 1 t, a.site, round(a.f + 0.2 * (l.f + r.f - 2 * a.f), 6) + 0.0 x FROM f a JOIN f l ON l.t = a.t AND l.site = (a.site + 63) % 64 JOIN f r ON r.t = a.t AND r.site = (a.site + 1) % 64")
+@query("""f AS (SELECT vec_id, i, 1.0 - 1.7 * pow(CAST(embedding[i + 1] AS DOUBLE), 2) f, 1.0 - 1.7 * pow(CAST(embedding[(i + 63) % 64 + 1] AS DOUBLE), 2) l,
+ 1.0 - 1.7 * pow(CAST(embedding[(i + 1) % 64 + 1] AS DOUBLE), 2) r FROM embeddings, range(0, 64) r(i)) SELECT 0 run_id, vec_id + 1 t, CAST(i AS INT) site, round(f + 0.2 * (l + r - 2 * f), 6) + 0.0 x FROM f""")
 def cml_step(spark, sf_dir):
     f = lambda x: lattice.model_c(x, 1.7)
     return rounded(lattice.cml_step(ring(spark, sf_dir), f, f, 0.4))
@@ -627,7 +648,7 @@ def spatial_autocorrelation(spark, sf_dir):
     return rounded(lattice.spatial_autocorrelation(ring(spark, sf_dir), 5))
 
 
-@query(f"{RING} SELECT a.run_id, a.t, a.site, abs(a.x - b.x) > 0.1 burst FROM st a JOIN st b ON b.t = a.t AND b.site = (a.site + 1) % 64")
+@query("SELECT 0 run_id, vec_id t, CAST(i AS INT) site, abs(CAST(embedding[i + 1] AS DOUBLE) - CAST(embedding[(i + 1) % 64 + 1] AS DOUBLE)) > 0.1 burst FROM embeddings, range(0, 64) r(i)")
 def burst_mask(spark, sf_dir):
     return lattice.burst_mask(ring(spark, sf_dir), 0.1)
 

@@ -106,6 +106,23 @@ def test_boxes_of_any_sizes_by_a_pyramid(spark):
     assert multifractal.spectrum(field).count() == 65
 
 
+def test_orders_from_codes(spark):
+    from itertools import permutations
+
+    from phasespark.streaming.ordinal import lehmer
+
+    for d in (2, 3, 5):
+        rows = [(lehmer(np.argsort(o)), list(o)) for o in permutations(range(d))]
+        df = spark.createDataFrame(rows + [(-1, None), (math.factorial(d), None), (None, None)], "code int, want array<int>")
+        assert all(r["got"] == r["want"] for r in df.select("want", ordinal.order_of(F.col("code"), d).alias("got")).collect())
+
+
+@pytest.mark.parametrize(("angles", "lags"), [([], 5), ([1.0], 1), ([1.0], 2.5)])
+def test_zero_one_refuses_odd_parameters(spark, angles, lags):
+    with pytest.raises(ValueError, match="at least 2"):
+        chaos.zero_one(signal(spark, range(20)), angles, lags)
+
+
 def test_default_boxes():
     assert [multifractal.default_boxes(n) for n in (0, 3, 4, 8, 16, 17, 31, 64)] == [[], [], [2], [2, 4], [2, 4, 8], [2, 4, 8], [2, 4, 8], [2, 4, 8, 16, 32]]
 
