@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from phasespark.operators.embedding import embed, lagged
 from phasespark.operators.tiles import BLOCK, Tile, each, tiles
+from phasespark.sources.shared import settled
 
 
 def tolerance(signals: DataFrame, share: float, r: float | None) -> DataFrame:
@@ -17,7 +18,8 @@ def tolerance(signals: DataFrame, share: float, r: float | None) -> DataFrame:
 
 
 def _matches(points: DataFrame, r_of: DataFrame, m: int, block: int) -> DataFrame:
-    """(series_id, a, b): pairs of templates strictly within r over m + 1 and over m samples. Pairs out of r are mostly never met."""
+    """(series_id, a, b): pairs of templates strictly within r over m + 1 and over m samples, for series (series_id, n, r). Pairs out of r are
+    mostly never met."""
 
     def kernel(tile: Tile) -> dict[str, np.ndarray]:
         r = tile.limits["r"]
@@ -27,7 +29,8 @@ def _matches(points: DataFrame, r_of: DataFrame, m: int, block: int) -> DataFram
         short &= tile.distances("chebyshev", m) < r
         return {"a": [np.count_nonzero(short & (tile.gaps(m) < r))], "b": [np.count_nonzero(short)]}
 
-    found = each(tiles(points, r_of.select("series_id", "r"), "r", block), kernel, "a long, b long")
+    longest = r_of.agg(F.max("n")).first()[0] or 0
+    found = each(tiles(points, r_of.select("series_id", "r"), "r", block, longest), kernel, "a long, b long")
     return found.groupBy("series_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
@@ -43,7 +46,7 @@ def sample_entropy(signals: DataFrame, m: int = 2, r: float | None = None, share
     """
     if m < 1:
         raise ValueError("m must be at least 1")
-    r_of, points = tolerance(signals, share, r), embed(signals, m + 1, 1)
+    r_of, points = settled(tolerance(signals, share, r)), embed(signals, m + 1, 1)
     return r_of.join(_matches(points, r_of, m, block), "series_id", "left").select("series_id", _entropy(m).alias("entropy"))
 
 
@@ -107,5 +110,6 @@ def multiscale_entropy(signals: DataFrame, scales: list[int] | None = None, m: i
     ids = keyed.select("key", "series_id", "scale").distinct().join(r_of.select("series_id", "r"), "series_id")
     coarse_n = keyed.groupBy("key").agg(F.count("*").alias("n"))
     points = embed(keyed.select(F.col("key").alias("series_id"), F.col("k").alias("t"), "x"), m + 1, 1)
-    hits = _matches(points, ids.select(F.col("key").alias("series_id"), "r"), m, BLOCK).withColumnRenamed("series_id", "key")
-    return ids.join(coarse_n, "key").join(hits, "key", "left").select("series_id", "scale", _entropy(m).alias("entropy"))
+    ids = settled(ids.join(coarse_n, "key"))
+    hits = _matches(points, ids.select(F.col("key").alias("series_id"), "n", "r"), m, BLOCK).withColumnRenamed("series_id", "key")
+    return ids.join(hits, "key", "left").select("series_id", "scale", _entropy(m).alias("entropy"))

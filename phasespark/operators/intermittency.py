@@ -151,7 +151,7 @@ def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
 
     Each value is a candidate. A block of candidates first meets some ``KNOTS`` values of its run, the coarse ones before the others: that
     bounds their distances from below and above, and those whose least is over the least greatest of their run go. Only the few left meet
-    the whole tail, block by block.
+    the whole tail, block by block; where all values of a run were met already, none does.
     """
     kind = blocks.schema["run_id"].dataType.simpleString()
     sizes = blocks.groupBy("run_id").agg(F.sum(F.size("own")).alias("m"))
@@ -159,11 +159,12 @@ def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
     some = F.filter("own", lambda x, i: (i % F.col("step") == 0) | (i == F.size("own") - 1))
     knots = blocks.join(sizes, "run_id").withColumn("step", step.cast("int")).select("run_id", F.inline(some))
     knots = knots.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("value", (F.col("n") - F.col("c")).alias("above")))).alias("knots"))
+    knots = knots.join(sizes, "run_id").select("run_id", "knots", (F.size("knots") == F.col("m")).alias("whole"))
     dealt = blocks.join(knots, "run_id").repartition("run_id", "block")
 
     def bound(batches):
         for batch in batches:
-            row, found = [], []
+            row, found, whole = [], [], batch.column("whole").to_pylist()
             for i, ((value, n, s), (at, above)) in enumerate(zip(_structs(batch.column("own"), "value", "n", "s"), _structs(batch.column("knots"), "value", "above"), strict=True)):
                 mean = s / n
                 ok = (n >= min_tail) & (mean - np.log(value) > 1e-12)
@@ -178,11 +179,19 @@ def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
                     for part in np.array_split(keep, max(1, len(keep) * len(some) >> 20)):
                         lower[part], upper[part] = _bounds(low[part], n[part], alpha[part], at[some], above[some], discrete)
                     keep = keep[lower[keep] <= upper[keep].min()]
+                if whole[i]:  # all values of the run were knots: distances are exact, and the first of the least is the block's
+                    keep = keep[[int(lower[keep].argmin())]]
+                    upper[keep] = lower[keep]
                 row.append(i)
-                found.append((low[keep], n[keep], alpha[keep], lower[keep], upper[keep]))
-            yield _kept(batch.column("run_id"), row, found, ["x_min", "n_tail", "alpha", "lower", "upper"], [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])
-
-    bounded = settled(dealt.select("run_id", "own", "knots").mapInArrow(bound, f"run_id {kind}, x_min double, n_tail long, alpha double, lower double, upper double"))
+                found.append((low[keep], n[keep], alpha[keep], lower[keep], upper[keep], np.full(len(keep), whole[i])))
+            yield _kept(batch.column("run_id"), row, found, ["x_min", "n_tail", "alpha", "lower", "upper", "exact"], [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()])
+
+    bounded = settled(dealt.select("run_id", "own", "knots", "whole").mapInArrow(bound, f"run_id {kind}, x_min double, n_tail long, alpha double, lower double, upper double, exact boolean"))
+    done = bounded.filter("exact").select("run_id", "x_min", "n_tail", "alpha", F.col("lower").alias("ks"))
+    nearest = lambda ks: ks.groupBy("run_id").agg(F.min_by(F.struct("x_min", "alpha", "ks", "n_tail"), F.struct("ks", "x_min")).alias("b")).select("run_id", "b.x_min", "b.alpha", "b.ks", "b.n_tail")
+    bounded = bounded.filter("not exact")
+    if bounded.isEmpty():
+        return nearest(done)
     most = bounded.groupBy("run_id").agg(F.min("upper").alias("most"))
     left = bounded.join(most, "run_id").filter("lower <= most")
     left = left.withColumn("part", F.floor(F.row_number().over(Window.partitionBy("run_id").orderBy("x_min")) / 1024))
@@ -200,8 +209,7 @@ def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
 
     ks = met.select("run_id", "left", "own").mapInArrow(exact, f"run_id {kind}, x_min double, n_tail long, alpha double, ks double")
     ks = ks.groupBy("run_id", "x_min", "n_tail", "alpha").agg(F.max("ks").alias("ks"))
-    best = ks.groupBy("run_id").agg(F.min_by(F.struct("x_min", "alpha", "ks", "n_tail"), F.struct("ks", "x_min")).alias("b"))
-    return best.select("run_id", "b.x_min", "b.alpha", "b.ks", "b.n_tail")
+    return nearest(ks.unionByName(done))
 
 
 def fit_power_law(observations: DataFrame, min_tail: int = 10, discrete: bool = False) -> DataFrame:

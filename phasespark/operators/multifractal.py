@@ -27,16 +27,19 @@ def default_exponents() -> list[float]:
     return [k / 4 for k in range(-32, 33)]
 
 
-def _parents(boxes: list[int]) -> dict[int, int]:
-    """For each box size the largest smaller one that divides it; 1 stands for the cells themselves."""
-    return {b: max((a for a in boxes if a < b and b % a == 0), default=1) for b in boxes}
+def _finest(boxes: list[int]) -> dict[int, list[int]]:
+    """The box sizes by the finest over 1 that divides them."""
+    out: dict[int, list[int]] = {}
+    for b in boxes:
+        out.setdefault(min((a for a in boxes if 1 < a <= b and b % a == 0), default=1), []).append(b)
+    return out
 
 
 def moments(field: DataFrame, box_sizes: list[int] | None = None, q_values: list[float] | None = None) -> DataFrame:
     """(field_id, box, q, ln_scale, log_z, alpha_num, f_num): log moments of box masses, incomplete edge boxes and empty boxes left out.
 
-    A pyramid: masses of coarse boxes are summed from those of the largest finer ones that divide them, so that cells are read for the
-    finest only. Without ``box_sizes`` each field takes the powers of two from 2 to half its shorter side; without ``q_values`` those from
+    Masses of coarse boxes are summed from those of the finest ones that divide them, so that cells are read and moved for those only.
+    Without ``box_sizes`` each field takes the powers of two from 2 to half its shorter side; without ``q_values`` those from
     -8 to 8 by quarters. Masses that are negative or not finite are an error.
     """
     shape = field.groupBy("field_id").agg((F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"))
@@ -46,16 +49,18 @@ def moments(field: DataFrame, box_sizes: list[int] | None = None, q_values: list
     qs = default_exponents() if q_values is None else sorted({float(q) for q in q_values if math.isfinite(q)})
     if len(boxes) < 2 or not qs:
         raise ValueError("two box sizes and an exponent are needed")
-    levels = {1: checked(field).join(shape, "field_id").select("field_id", "ny", "nx", F.col("y").alias("by"), F.col("x").alias("bx"), F.col("mass").alias("m"))}
+    cells = checked(field).join(shape, "field_id").select("field_id", "ny", "nx", F.col("y").alias("by"), F.col("x").alias("bx"), F.col("mass").alias("m"))
+    place = lambda size: (F.floor(F.col("by") / size), F.floor(F.col("bx") / size))
     mass = None
-    for b, finer in _parents(boxes).items():
-        by, bx = F.floor(F.col("by") / (b // finer)), F.floor(F.col("bx") / (b // finer))
-        whole = ((by + 1) * b <= F.col("ny")) & ((bx + 1) * b <= F.col("nx"))
-        level = levels[finer].filter(whole).groupBy("field_id", "ny", "nx", by.alias("by"), bx.alias("bx")).agg(F.sum("m").alias("m")).filter("m > 0")
-        if b > 1:
-            levels[b] = level
-        kept = (level.filter(2 * F.lit(b) <= side) if own else level).select("field_id", F.lit(b).alias("box"), "m")
-        mass = kept if mass is None else mass.unionByName(kept)
+    for finest, group in _finest(boxes).items():
+        by, bx = place(F.lit(finest))
+        fine = cells.groupBy("field_id", "ny", "nx", by.alias("by"), bx.alias("bx")).agg(F.sum("m").alias("m")).filter("m > 0")
+        coarse = fine.withColumn("box", F.explode(F.array(*map(F.lit, group))))
+        by, bx = place(F.col("box") / finest)
+        whole = ((by + 1) * F.col("box") <= F.col("ny")) & ((bx + 1) * F.col("box") <= F.col("nx"))
+        whole = whole & (2 * F.col("box") <= side) if own else whole
+        part = coarse.filter(whole).groupBy("field_id", "box", by.alias("by"), bx.alias("bx")).agg(F.sum("m").alias("m"))
+        mass = part if mass is None else mass.unionByName(part)
     used = mass.groupBy("field_id", "box").agg(F.sum("m").alias("used"))
     p = mass.join(used, ["field_id", "box"]).select("field_id", "box", F.log(F.col("m") / F.col("used")).alias("lp"))
     terms = p.withColumn("q", F.explode(F.array(*map(F.lit, qs))))

@@ -33,6 +33,7 @@ def thresholds(points: DataFrame, percentile: float = 5.0, metric: str = "euclid
     _check(None, percentile, 0)
     check_metric(metric)
     share = percentile / 100.0
+    points = settled(points.select("series_id", "t", *dimensions(points)))  # read again by each pass
     sides = [F.max(c) - F.min(c) for c in dimensions(points)]
     wide = sum(sides[1:], sides[0]) * 1.000001
     state = points.groupBy("series_id").agg(F.count("*").alias("n"), (wide * wide if metric == "sqeuclidean" else wide).alias("hi")).filter("n > 1 and hi > 0")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,33 +72,33 @@ def _near_pairs(blocks: DataFrame, columns: list[str], carried: list[str], block
     return _named(found.withColumn("_b", F.when(~own | (F.col("_xa") < F.col("_xb")), F.col("_b"))), columns, carried)
 
 
-def tiles(points: DataFrame, limits: DataFrame | None = None, reach: str | None = None, block: int = BLOCK) -> DataFrame:
+def tiles(points: DataFrame, limits: DataFrame | None = None, reach: str | None = None, block: int = BLOCK, longest: int | None = None) -> DataFrame:
     """Tiles (series_id, a_t, a_p0.., b_t, b_p0.., columns of ``limits``) of points (series_id, t, p0..); ``b`` is null where a block meets itself.
 
     Every pair of points of a series stands in exactly one tile, or with ``reach`` at least every pair that is not farther apart than that
     in any coordinate: ``reach`` names a column of ``limits`` (series_id, ...). Series without a row in ``limits`` are left out. Cells are
     only used for series of over ``block`` points that are over four reaches wide; others are cheaper whole.
 
-    Points are packed into blocks by one shuffle; what follows moves a row a block.
+    Points are packed into blocks by one shuffle; what follows moves a row a block. What is known of a whole series (its last block, its
+    range) comes from a window over its blocks.
     """
     columns = dimensions(points)
     carried = [] if limits is None else [c for c in limits.columns if c != "series_id"]
     blocks = _packed(points.select("series_id", "t", *columns).withColumn("_x", F.floor(F.col("t") / block)), ["_x"], columns)
-    if reach is None:
-        stats = blocks.groupBy("series_id").agg(F.max("_x").alias("_last"))
-        blocks = blocks.join(stats if limits is None else stats.join(limits, "series_id"), "series_id")
+    series = Window.partitionBy("series_id")
+    blocks = blocks.withColumn("_last", F.max("_x").over(series))
+    if limits is not None:
+        blocks = blocks.join(limits, "series_id")
+    if reach is None or longest is not None and longest <= block:
         return _all_pairs(blocks, columns, carried)
-    axes = range(len(columns[:2]))
-    ends = blocks.select("series_id", "_x", F.size("_own.t").alias("_k"), *(f(f"_own.p{j}").alias(f"_{n}{j}") for n, f in (("lo", F.array_min), ("hi", F.array_max)) for j in axes))
-    ends = ends.groupBy("series_id").agg(F.max("_x").alias("_last"), F.sum("_k").alias("_n"), *(F.min(f"_lo{j}").alias(f"_lo{j}") for j in axes), *(F.max(f"_hi{j}").alias(f"_hi{j}") for j in axes))
-    r = F.col(reach)
-    far = F.greatest(*(F.greatest(-F.col(f"_lo{j}"), F.col(f"_hi{j}")) for j in axes), F.lit(0.0))
-    wide = F.greatest(*(F.col(f"_hi{j}") - F.col(f"_lo{j}") for j in axes), F.lit(0.0))
-    cut = (F.col("_n") > block) & (r > 0) & (r < float("inf")) & (far < r * FARTHEST) & (wide > 4 * r)
-    stats = ends.join(limits, "series_id").select("series_id", "_last", F.coalesce(cut, F.lit(False)).alias("_cut"), *carried)
-    blocks = blocks.join(stats, "series_id")
-    near = _near_pairs(blocks.filter("_cut"), columns, carried, block, reach)
-    return _all_pairs(blocks.filter(~F.col("_cut")), columns, carried).unionByName(near)
+    axes, r = columns[:2], F.col(reach)
+    low, high = ([f(g(f"_own.{c}")).over(series) for c in axes] for f, g in ((F.min, F.array_min), (F.max, F.array_max)))
+    far = F.greatest(*(F.greatest(-a, b) for a, b in zip(low, high, strict=True)), F.lit(0.0))
+    wide = F.greatest(*(b - a for a, b in zip(low, high, strict=True)), F.lit(0.0))
+    blocks = blocks.withColumns({"_n": F.sum(F.size("_own.t")).over(series), "_far": far, "_wide": wide})
+    cut = (F.col("_n") > block) & (r > 0) & (r < float("inf")) & (F.col("_far") < r * FARTHEST) & (F.col("_wide") > 4 * r)
+    blocks = blocks.withColumn("_cut", F.coalesce(cut, F.lit(False)))
+    return _all_pairs(blocks.filter(~F.col("_cut")), columns, carried).unionByName(_near_pairs(blocks.filter("_cut"), columns, carried, block, reach))
 
 
 def met(tile_rows: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def test_boxes_of_any_sizes_by_a_pyramid(spark):
     mass = np.where(rng.random((37, 50)) < 0.7, rng.random((37, 50)), 0.0)
     field = spark.createDataFrame([(0, y, x, float(mass[y, x])) for y in range(37) for x in range(50)], "field_id int, y long, x long, mass double")
     boxes = [1, 2, 3, 4, 6, 10, 12]
-    assert multifractal._parents(boxes) == {1: 1, 2: 1, 3: 1, 4: 2, 6: 3, 10: 2, 12: 6}
+    assert multifractal._finest(boxes) == {1: [1], 2: [2, 4, 6, 10, 12], 3: [3]}
     got = {(r["box"], r["q"]): r["log_z"] for r in multifractal.moments(field, boxes, [-1.0, 2.0, float("nan")]).collect()}
     for b in boxes:
         m = mass[: 37 // b * b, : 50 // b * b].reshape(37 // b, b, 50 // b, b).sum(axis=(1, 3)).ravel()
