@@ -6,8 +6,10 @@ boundary. Over whole fingerprints most would lie near a boundary at every level
 each: of b blocks one differs in no more than radius // b bits, and with more blocks than the radius there is one without any
 difference. Then no boundary is in reach, and every fingerprint goes to one shard a block, however many there are. Inside a shard, those
 that agree on the block are compared, by the same kind of tree down to runs that are compared whole. Of the links found, a shard
-returns a spanning forest, never all pairs; the forests are joined by distributed connected components. With ``min_jaccard`` such groups
-are candidates only, and a pair in one links if the exact similarity of its shingle sets allows it.
+returns a spanning forest, never all pairs; the forests are joined by distributed connected components.
+
+With ``min_jaccard`` the likeness asked is so low that fingerprints lie at distances where no tree prunes. There candidates meet by the
+shingles of their prefixes, rare ones first, fingerprints filter them, and a pair links if the exact similarity of its sets allows it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +31,7 @@ from phasespark.llm.components import components
 
 CODE = T.StructType([T.StructField("words", T.ArrayType(T.LongType())), T.StructField("n_shingles", T.LongType())])
 SET_CODE = T.StructType([*CODE.fields, T.StructField("digest", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-#: Pairs whose smaller set has so many shingles at most become candidates by a shared shingle, whatever their fingerprints.
+#: Pairs whose smaller set has so many shingles at most are candidates whatever their fingerprints.
 SHORT = 12
 
 
@@ -90,26 +93,44 @@ def coded(text: Column, shingle_words: int = 4, words: int = 1, repeats: bool =
     return code(text)
 
 
-def coded_sets(text: Column, shingle_words: int, words: int, min_jaccard: float) -> Column:
-    """As ``coded`` without repeats, with a digest of the set of shingles, and for short texts the prefix of the sorted set.
+def coded_sets(text: Column, shingle_words: int, words: int, min_jaccard: float, common: Broadcast) -> Column:
+    """As ``coded`` without repeats, with a digest of the set of shingles and the set's prefix, rare shingles first.
 
-    Of n shingles the prefix has n - ceil(min_jaccard n) + 1: sets that are similar enough share a shingle of both prefixes.
+    Of n shingles the prefix has n - ceil(min_jaccard n) + 1: sets that are similar enough share a shingle of both prefixes, in whatever
+    order, if it is the same for all sets. ``common`` holds the (sorted hashes, counts) of ``common_shingles``.
     """
     share = Fraction(str(min_jaccard))
 
     @F.arrow_udf(SET_CODE)
     def code(texts: pa.Array) -> pa.Array:
-        out = []
+        votes, sizes, digests, prefixes = [], [], [], [np.zeros(0, np.uint64)]
         for t in texts:
             h = np.unique(shingles(t.as_py(), shingle_words))
-            short = h[: len(h) + 1 - math.ceil(share * len(h))] if 0 < len(h) <= SHORT / share else h[:0]
-            out.append({"words": voted(h, words), "n_shingles": len(h), "digest": digest_of(h), "prefix": short.view(np.int64).tolist()})
-        kinds = [("words", pa.list_(pa.int64())), ("n_shingles", pa.int64()), ("digest", pa.int64()), ("prefix", pa.list_(pa.int64()))]
-        return pa.array(out, pa.struct(kinds))
+            votes.extend(voted(h, words))
+            sizes.append(len(h))
+            digests.append(digest_of(h))
+            prefixes.append(rare_first(h, *common.value)[: len(h) + 1 - math.ceil(share * len(h))] if len(h) else h)
+        ends = np.cumsum([len(x) for x in prefixes], dtype=np.int32)
+        columns = [
+            pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * words, pa.array(votes, pa.int64())),
+            pa.array(sizes, pa.int64()),
+            pa.array(digests, pa.int64()),
+            pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes).view(np.int64))),
+        ]
+        return pa.StructArray.from_arrays(columns, names=SET_CODE.names)
 
     return code(text)
 
 
+def rare_first(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sorted hashes with the common ones at the end, by their counts."""
+    if not len(common):
+        return h
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    found = common[at] == h
+    return np.r_[h[~found], h[found][np.argsort(counts[at[found]], kind="stable")]]
+
+
 def digest_of(h: np.ndarray) -> int:
     """A 64-bit sum that tells sets of shingle hashes apart."""
     return int(_mixed(h, 99).sum(dtype=np.uint64).astype(np.int64)) if len(h) else 0
@@ -350,43 +371,135 @@ def near_links(
     return held.groupBy("part", "shard", "lo", "hi").applyInArrow(join, "a long, b long")
 
 
-def short_links(codes: DataFrame) -> DataFrame:
-    """(a, b): each short code with the smallest id that has a shingle of its prefix. A star a shingle, never all pairs."""
-    held = codes.select("id", F.explode("prefix").alias("h"))
-    least = held.groupBy("h").agg(F.min("id").alias("least"))
-    return held.join(least, "h").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+def common_shingles(docs: DataFrame, shingle_words: int, *, rate: int = 64, least: int = 32, most: int = 2_000_000) -> DataFrame:
+    """(h, n): shingles of at least ``least`` texts among one in ``rate`` rows (key, text), and in how many.
 
+    The rows are those whose key has a hash divisible by ``rate``, so that the work grows with the table and a shingle of some
+    rate x least rows is found wherever it stands. The list only orders prefixes and cuts large groups: links don't depend on it, nor on
+    the ``most`` frequent ones being all that is kept.
+    """
 
-def exact_links(codes: np.ndarray, sets: list[np.ndarray], guest: np.ndarray, cross: bool, wide_limit: int, min_jaccard: float) -> np.ndarray:
-    """The group of each position, after all pairs that hold exactly have been joined; of ``cross``, only those of a guest and another.
+    def sets(batches):
+        for batch in batches:
+            h = [np.unique(shingles(t.as_py(), shingle_words)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))], names=["h"])
 
-    Pairs that are in one group already need no check. Others are checked if their fingerprints or their shortness make them candidates.
+    drawn = docs.filter("key is not null").filter(F.pmod(F.xxhash64(F.lit("drawn"), "key"), F.lit(rate)) == 0).select("text")
+    counted = drawn.mapInArrow(sets, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return materialise(counted.orderBy(F.desc("n"), "h").limit(most), "common")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges a - b but the smallest of its component, and that smallest."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        least = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        root = root[root]
+    while (root != root[root]).any():
+        root = root[root]
+    apart = root != np.arange(len(nodes))
+    return nodes[apart], nodes[root[apart]]
+
+
+def candidate_pairs(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, guest: np.ndarray, cross: bool, limit: int, min_jaccard: float, short_run: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the candidates among rows that share a hash: sizes and fingerprints allow the similarity.
+
+    Runs of up to ``short_run`` rows are compared at all distances at once, longer ones by ``linked``, which leaves out pairs already joined.
+    """
+    share = Fraction(str(min_jaccard))
+    order = np.lexsort((sizes, h))
+    h, ids, sizes, codes, guest = h[order], ids[order], sizes[order], codes[order], guest[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    runs = np.diff(np.r_[starts, len(h)])
+    large = (runs > 1) if cross else (runs > short_run)
+    small = np.repeat(~large, runs)
+    a, b = [ids[:0]], [ids[:0]]
+    for d in range(1, 1 if cross else short_run):
+        i = np.flatnonzero((h[d:] == h[:-d]) & small[:-d])
+        if not len(i):
+            break
+        i = i[sizes[i] * share.denominator >= sizes[i + d] * share.numerator]
+        i = i[(np.bitwise_count(codes[i] ^ codes[i + d]).sum(axis=1, dtype=np.int64) <= limit) | (sizes[i] <= SHORT)]
+        a.append(ids[i])
+        b.append(ids[i + d])
+    for start, n in zip(starts[large].tolist(), runs[large].tolist(), strict=True):
+        at = slice(start, start + n)
+        group = linked(sizes[at], codes[at], None, guest[at], cross, limit, min_jaccard)
+        smallest = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, ids[at])
+        a.append(ids[at])
+        b.append(smallest[group])
+    return forest(np.concatenate(a), np.concatenate(b))
+
+
+def prefix_links(codes: DataFrame, common: DataFrame, limit: int, min_jaccard: float, *, rate: int = 64, slice_rows: int = 200_000, most_rows: int = 131_072) -> DataFrame:
+    """A forest (a, b) of candidates: codes (id, words, n_shingles, prefix) that share a shingle of their prefixes.
+
+    Rows meet by shingle, many shingles to a slice. A shingle of over ``most_rows`` rows, by its count in ``common``, has slices of its
+    own: its rows are cut into pieces, and a task takes a pair of pieces. Two words of the fingerprints, if there are as many, filter.
+    """
+    n = codes.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    slices = max(64, -(-n // slice_rows))
+    heavy = common.select("h", F.ceil(F.col("n") * (2 * rate) / most_rows).cast("int").alias("pieces")).filter("pieces > 2")
+    held = codes.select("id", "n_shingles", F.slice("words", 1, 2).alias("words"), F.explode("prefix").alias("h"))
+    held = held.join(side(heavy), "h", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    held = held.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    held = held.withColumn("lo", F.least("piece", "other")).withColumn("hi", F.greatest("piece", "other"))
+    own = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("h"), F.lit(slices))).otherwise(F.col("h"))
+    held = held.select(own.alias("slice"), (F.col("pieces") > 1).alias("large"), "lo", "hi", (F.col("piece") > F.col("lo")).alias("guest"), "h", "id", "words", "n_shingles")
+
+    def meet(part: pa.Table) -> pa.Table:
+        h, ids, sizes = (np.asarray(part.column(c).combine_chunks()) for c in ("h", "id", "n_shingles"))
+        words = np.asarray(part.column("words").combine_chunks().flatten()).view(np.uint64).reshape(len(ids), -1)
+        guest = np.asarray(part.column("guest").combine_chunks().cast(pa.int8())).astype(bool)
+        a, b = candidate_pairs(h, ids, sizes, words, guest, part.column("lo")[0] != part.column("hi")[0], limit, min_jaccard)
+        return pa.table({"a": a, "b": b})
+
+    return held.groupBy("slice", "large", "lo", "hi").applyInArrow(meet, "a long, b long")
+
+
+def linked(size: np.ndarray, codes: np.ndarray, sets: list[np.ndarray] | None, guest: np.ndarray, cross: bool, limit: int, min_jaccard: float) -> np.ndarray:
+    """The group of each position by all pairs that hold; of ``cross``, only those of a guest and another.
+
+    A group grows from a first member by comparing each of its members with all that are in no group yet, so that copies of copies cost
+    little. A pair holds if sizes and fingerprints (or shortness) allow it and, with ``sets``, their exact similarity.
     """
     share = Fraction(str(min_jaccard))
     p, q = share.numerator, share.denominator
-    size = np.array([len(x) for x in sets], dtype=np.int64)
     order = np.argsort(size, kind="stable")
-    group = np.arange(len(sets))
-    right = order[guest[order]] if cross else order
-    right_size = size[right]
-    for k, i in enumerate(order if not cross else order[~guest[order]]):
-        lo = np.searchsorted(right_size, -(-size[i] * p // q), "left") if cross else k + 1
-        j = right[lo : np.searchsorted(right_size, size[i] * q // p, "right")]
-        j = j[group[j] != group[i]]
-        if not len(j):
-            continue
-        d = np.bitwise_count(codes[j] ^ codes[i]).sum(axis=1, dtype=np.int64)
-        j = j[(d <= wide_limit) | (np.minimum(size[j], size[i]) <= SHORT)]
-        if not len(j) or not size[i]:
-            continue
-        flat = np.concatenate([sets[x] for x in j])
-        at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
-        shared = np.add.reduceat(sets[i][at] == flat, np.r_[0, np.cumsum(size[j])[:-1]], dtype=np.int64)
-        j = j[shared * (p + q) >= p * (size[i] + size[j])]
-        if len(j):
-            joined = np.unique(np.r_[group[i], group[j]])
-            group[np.isin(group, joined)] = joined[0]
-    return group
+    size, codes, guest = size[order], codes[order], guest[order]
+    left = [np.flatnonzero(~guest), np.flatnonzero(guest)] if cross else [np.arange(len(size))]
+    group = np.arange(len(size))
+    while len(left[0]) and len(left[-1]):
+        first, left[0] = int(left[0][0]), left[0][1:]
+        todo = [(first, 0)]
+        while todo:
+            i, own = todo.pop()
+            other = 1 - own if cross else 0
+            ends = np.searchsorted(size, -(-size[i] * p // q), "left"), np.searchsorted(size, size[i] * q // p, "right")
+            lo, hi = np.searchsorted(left[other], ends)
+            j = left[other][lo:hi]
+            if not len(j) or not size[i]:
+                continue
+            hold = (np.bitwise_count(codes[j] ^ codes[i]).sum(axis=1, dtype=np.int64) <= limit) | (np.minimum(size[j], size[i]) <= SHORT)
+            if sets is not None and hold.any():
+                near = np.flatnonzero(hold)
+                mine, flat, n = sets[order[i]], np.concatenate([sets[order[x]] for x in j[near]]), size[j[near]]
+                at = np.minimum(np.searchsorted(mine, flat), size[i] - 1)
+                shared = np.add.reduceat(mine[at] == flat, np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64)
+                hold[near] = shared * (p + q) >= p * (size[i] + n)
+            if hold.any():
+                found = j[hold]
+                group[found] = first
+                todo.extend((x, other) for x in found.tolist())
+                left[other] = np.r_[left[other][:lo], j[~hold], left[other][hi:]]
+    out = np.empty_like(group)
+    out[order] = group
+    return out
 
 
 def verified_links(docs: DataFrame, candidates: DataFrame, shingle_words: int, wide_limit: int, min_jaccard: float, tile_shingles: int) -> DataFrame:
@@ -426,7 +539,8 @@ def verified_links(docs: DataFrame, candidates: DataFrame, shingle_words: int, w
         order = np.argsort(roots, kind="stable")
         a, b = [ids[:0]], [ids[:0]]
         for at in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
-            group = exact_links(codes[at], [flat[ends[k - 1] if k else 0 : ends[k]] for k in at], guest[at], cross, wide_limit, min_jaccard)
+            sets = [flat[ends[k - 1] if k else 0 : ends[k]] for k in at]
+            group = linked(np.array([len(x) for x in sets], dtype=np.int64), codes[at], sets, guest[at], cross, wide_limit, min_jaccard)
             smallest = np.full(len(at), np.iinfo(np.int64).max)
             np.minimum.at(smallest, group, ids[at])
             root = smallest[group]
@@ -452,6 +566,7 @@ def near_duplicates(
     blocks: int | None = None,
     shard_codes: int = 16384,
     min_jaccard: float = 0.0,
+    near_limit: int = 128,
     tile_shingles: int = 2_000_000,
 ) -> DataFrame:
     """One row (key, words, n_shingles, component_id) per row of ``docs``.
@@ -461,14 +576,15 @@ def near_duplicates(
     the row's own included. Null and empty texts share the zero fingerprint. Rows with a null key keep their fingerprint and take the
     component of the other rows that have it, if any; repeated rows stay. Keys are integers. An empty table gives no rows.
 
-    With ``min_jaccard`` (sets of shingles, so without ``repeats``) the links by fingerprints, and those of short texts that share a
-    shingle, only make candidates: a pair links if the exact Jaccard similarity of its sets is ``min_jaccard`` or more.
+    With ``min_jaccard`` (sets of shingles, so without ``repeats``) texts that share a shingle of their prefixes are candidates if the
+    first two words of their fingerprints differ in ``near_limit`` bits at most and all in ``wide_limit``, or if they are short. A pair
+    links if the exact Jaccard similarity of its sets is ``min_jaccard`` or more.
     """
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} must be of an integer type")
     shape = {"wide_limit": wide_limit, "min_ratio": min_ratio, "blocks": blocks, "shard_codes": shard_codes}
     if min_jaccard:
-        return _verified_duplicates(docs, key, text, shingle_words, radius, words, min_jaccard, tile_shingles, shape)
+        return _verified_duplicates(docs, key, text, shingle_words, words, wide_limit, near_limit, min_jaccard, tile_shingles)
     rows = docs.select(F.col(key).alias("key"), coded(F.col(text), shingle_words, words, repeats).alias("code"))
     rows = materialise(rows.select("key", "code.words", "code.n_shingles"), "codes")
     same = ["words"] if not min_ratio else ["words", "n_shingles"]
@@ -483,25 +599,29 @@ def near_duplicates(
     return rows.join(classes, same, "left").select(F.col("key").alias(key), "words", "n_shingles", "component_id")
 
 
-def _verified_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int, radius: int, words: int, min_jaccard: float, tile_shingles: int, shape: dict) -> DataFrame:
+def _verified_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int, words: int, wide_limit: int, near_limit: int, min_jaccard: float, tile_shingles: int) -> DataFrame:
     """``near_duplicates`` with ``min_jaccard``: rows are alike as they have the same set of shingles, not the same fingerprint."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = docs.select("key", coded_sets(F.col("text"), shingle_words, words, min_jaccard).alias("code"))
+    common = common_shingles(docs, shingle_words)
+    listed = common.toArrow()  # ``most`` rows of two longs at most
+    h, n = (np.asarray(listed.column(c).combine_chunks()) for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast((h.view(np.uint64)[order], n[order]))
+    rows = docs.select("key", coded_sets(F.col("text"), shingle_words, words, min_jaccard, shared).alias("code"))
     rows = materialise(rows.select("key", "code.*"), "codes")
     same = ["words", "n_shingles", "digest"]
     codes = materialise(rows.filter("key is not null").groupBy(*same).agg(F.min("key").alias("id"), F.first("prefix").alias("prefix")), "distinct")
-    near = near_links(codes, radius, **shape)
-    near = materialise(components(near.unionByName(short_links(codes))), "candidates")
+    near = materialise(components(prefix_links(codes, common, near_limit, min_jaccard)), "candidates")
     candidates = materialise(codes.join(near, codes["id"] == near["node"]).select("id", "root", *same), "candidates")
-    found = components(verified_links(docs, candidates, shingle_words, shape["wide_limit"], min_jaccard, tile_shingles))
+    found = components(verified_links(docs, candidates, shingle_words, wide_limit, min_jaccard, tile_shingles))
     classes = codes.join(found, codes["id"] == found["node"], "left").select(*same, F.coalesce("root", "id").alias("component_id"))
     return rows.join(classes, same, "left").select(F.col("key").alias(key), "words", "n_shingles", "component_id")
 
 
 #: Exact similarity of five-word shingles of 0.8 or more. Sets of likeness J differ in a share p of the bits with
-#: cos(pi p) = 2 J / (1 + J): 0.152 at 0.8, with a deviation of 8 in 512 bits and 2.9 in 64; the limits for candidates stand over seven and
-#: four deviations above. Sets of up to SHORT shingles, where p is up to 0.19, don't depend on them.
-SIMILAR = {"shingle_words": 5, "words": 8, "repeats": False, "wide_limit": 140, "radius": 22, "min_ratio": 0.76, "blocks": 1, "shard_codes": 262_144, "min_jaccard": 0.8}
+#: cos(pi p) = 2 J / (1 + J): 0.152 at 0.8, with a deviation of 8 in 512 bits and 4.1 in 128; the limits for candidates stand seven and
+#: six deviations above. Sets of up to SHORT shingles, where p is up to 0.19, don't depend on them.
+SIMILAR = {"shingle_words": 5, "words": 8, "repeats": False, "wide_limit": 140, "near_limit": 44, "min_jaccard": 0.8}
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:

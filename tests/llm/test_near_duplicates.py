@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from phasespark.llm import simhash
@@ -67,3 +68,44 @@ def test_four_of_five_shingles_are_caught_and_three_of_four_are_not(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(r["doc_id"] for r in simhash.deduplicate(df).collect())
     assert got == [i for i in range(len(texts)) if i % 4 != 1]
+
+
+def test_order_of_shingles_and_pieces_of_hot_ones_change_no_link(spark, monkeypatch):
+    """A passage in every text is common, so it goes to the end of the prefixes, and its rows are cut into pieces."""
+    rng = random.Random(7)
+    passage = " ".join(rng.choices([f"p{i}" for i in range(50)], k=14))
+    texts = [f"{t} {passage}" for t in copies(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shingles, links = simhash.common_shingles, simhash.prefix_links
+    counted = []
+
+    def common(docs, words):
+        counted.append(shingles(docs, words, rate=2, least=30))
+        return counted[-1]
+
+    monkeypatch.setattr(simhash, "common_shingles", common)
+    monkeypatch.setattr(simhash, "prefix_links", lambda codes, found, *a: links(codes, found, *a, rate=2, slice_rows=500, most_rows=120))
+    got = sorted(r["doc_id"] for r in simhash.deduplicate(df).collect())
+    assert counted[0].count() >= 10
+    assert got == kept_by_all_pairs(texts)
+
+
+def test_groups_of_a_run_match_all_pairs():
+    rng = np.random.default_rng(4)
+    for cross in (False, True):
+        sizes = rng.integers(1, 60, 300)
+        codes = rng.integers(0, 4, (300, 2)).astype(np.uint64)
+        guest = rng.random(300) < 0.5 if cross else np.zeros(300, bool)
+        group = np.arange(300)
+        for i in range(300):
+            for j in range(i):
+                alike = np.bitwise_count(codes[i] ^ codes[j]).sum() <= 1 or min(sizes[i], sizes[j]) <= simhash.SHORT
+                if alike and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]) and (not cross or guest[i] != guest[j]):
+                    a, b = sorted((group[i], group[j]))
+                    group[group == b] = a
+        found = simhash.linked(sizes, codes, None, guest, cross, 1, 0.8)
+        assert all((found[i] == found[j]) == (group[i] == group[j]) for i in range(300) for j in range(i))
+        a, b = simhash.candidate_pairs(np.zeros(300, np.int64), np.arange(300), sizes, codes, guest, cross, 1, 0.8)
+        roots = np.arange(300)
+        roots[a] = b
+        assert (roots == group).all()
