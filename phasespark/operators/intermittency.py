@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 
 from phasespark.operators.embedding import SPAN, consecutive, in_block, in_time_blocks, lagged
 from phasespark.operators.fourier import arrays
+from phasespark.operators.percentiles import percentile_of
 from phasespark.sources.shared import settled
 
 
 def positive_percentile(values: DataFrame, column: str, percentile: float) -> DataFrame:
     """(series_id, eps): the exact percentile of the positive values."""
-    return values.filter(F.col(column) > 0).groupBy("series_id").agg(F.percentile(column, percentile / 100.0).alias("eps"))
+    return percentile_of(values.filter(F.col(column) > 0), column, percentile, "eps")
 
 
 def laminar_by_period(signals: DataFrame, period: int, percentile: float = 5.0, span: int = SPAN) -> DataFrame:
@@ -573,7 +574,7 @@ def tangent_channel(points: DataFrame, percentile: float = 10.0, min_points: int
     Near means within the percentile of |y - x|, or among the ``min_points`` nearest where that gives fewer.
     """
     gap = points.withColumn("gap", F.abs(F.col("y") - F.col("x")))
-    limit = gap.groupBy("series_id").agg(F.percentile("gap", percentile / 100.0).alias("limit"))
+    limit = percentile_of(gap, "gap", percentile, "limit")
     ranked = gap.join(limit, "series_id").withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy("gap", "k")))
     kept = ranked.filter((F.col("gap") <= F.col("limit")) | (F.col("r") <= min_points))
     return kept.groupBy("series_id").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
