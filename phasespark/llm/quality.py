@@ -1,10 +1,10 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams.
 
-The model is fitted on a bounded sample of trusted documents. N-grams are packed into longs, so counts, continuation counts and context
-sums are plain aggregations and joins on keys. The finished tables are bounded by the sample; they are broadcast, cut into shards by key,
-and each batch of documents counts its n-grams and joins the distinct ones with the shards in the worker. A document passes if its
-perplexity, and that of its worst few characters, lie under a quantile of the trusted documents of its language: a strange word in a long
-fluent text shows only in the latter.
+The model is fitted on the whole texts of one half of all trusted documents, the quantiles are taken over the other half. N-grams are packed
+into longs, so counts, continuation counts and context sums are plain aggregations and joins on keys. The finished tables, of the distinct
+n-grams, are broadcast, cut into shards by key, and each batch of documents counts its n-grams and joins the distinct ones with the shards in
+the worker. A document passes if its perplexity, and that of its worst few characters, lie under a quantile of the trusted documents of its
+language: a strange word in a long fluent text shows only in the latter.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasespark.llm.common import materialise
+from phasespark.llm.common import in_fold, materialise, side
 
 BITS = 12
 BEGIN, OTHER, FIRST = 0, 1, 2  #: symbols: padding before a text, rare characters, then the alphabet
@@ -177,33 +177,25 @@ def classify(
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    sample_docs: int = 1000,
-    sample_chars: int = 4096,
     quantile: float = 0.99,
     **parameters,
 ) -> DataFrame:
     """One row (key, lang, perplexity, threshold, worst, worst_threshold, keep) per row of ``docs``. ``trusted``: keys of trusted rows, in
     a column of that name.
 
-    The model is fitted on the ``sample_docs`` trusted rows with the smallest hashes, half of all trusted rows at most, and of a longer
-    one on a run of ``sample_chars`` characters at a hashed place: bounds of a classifier's sample. Thresholds are quantiles of all other
-    trusted rows, as the model knows its own too well. Scores cover all rows. Null languages are a language of their own; a language
-    without trusted rows takes the quantiles of all; without any, everything is kept. Null and empty texts have no perplexity and aren't
-    kept.
+    The model is fitted on the whole texts of the trusted rows whose crc32(key as text) is even. Thresholds are quantiles of all other trusted
+    rows, as the model knows its own too well; if a half is empty, all trusted rows are in both. Scores cover all rows. Null languages are
+    a language of their own; a language without trusted rows takes the quantiles of all; without any, everything is kept. Null and empty
+    texts have no perplexity and aren't kept.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     good = trusted.select(F.col(key).alias("key")).filter("key is not null").distinct()
-    n = good.count()
-    h = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-    sample_docs = min(sample_docs, max(1, n // 2))
-    near = good.filter(h <= int(min(1.0, 4 * sample_docs / max(1, n)) * (1 << 40))).orderBy(h, "key").limit(sample_docs)
-    near = materialise(near, "trained")
-    sample = rows.join(F.broadcast(near), "key", "left_semi").filter("text is not null")
-    start = F.pmod(F.xxhash64(F.lit("place"), "key"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
-    sample = materialise(sample.select(F.substring("text", start, F.lit(sample_chars)).alias("text")), "sample")
+    learnt = in_fold(F.col("key"), 2, 0)
+    halves = good.filter(learnt), good.filter(~learnt)
+    fitted, other = (good, good) if any(half.isEmpty() for half in halves) else halves
+    sample = materialise(rows.join(side(fitted), "key", "left_semi").filter("text is not null").select("text"), "trusted")
     model = train(sample, **parameters)
     scored = materialise(perplexities(rows, model), "scored")
-    other = good.join(F.broadcast(near), "key", "left_anti") if n > 1 else good
     known = scored.join(other.withColumnRenamed("key", "good"), F.col("key") == F.col("good")).filter("perplexity is not null")
     columns = {"perplexity": "threshold", "worst": "worst_threshold"}
     cut = lambda c: F.percentile_approx(c, quantile, 100_000)

@@ -286,6 +286,19 @@ def test_perplexity_matches_a_plain_model(spark):
         assert math.isclose(row["worst"], math.exp(-min(sum(w) / len(w) for w in windows)), rel_tol=1e-9)
 
 
+def test_quality_learns_from_whole_texts_of_all_trusted_rows(spark):
+    rng = random.Random(11)
+    rows = [(k, "".join(rng.choices("abcdef gh", k=rng.randint(20, 9000) if k < 40 else 20)), "en") for k in range(2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = docs.filter("crc32(cast(doc_id as string)) % 2 = 0").select("text")
+    model = quality.train(learnt, order=3)
+    want = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs.select("doc_id", "text"), model).collect()}
+    got = quality.classify(docs, docs.select("doc_id"), order=3).collect()
+    assert all(math.isclose(r["perplexity"], want[r["doc_id"]], rel_tol=1e-9) for r in got)
+    others = sorted(want[r["doc_id"]] for r in docs.filter("crc32(cast(doc_id as string)) % 2 <> 0").select("doc_id").collect())
+    assert {r["threshold"] for r in got} == {others[math.ceil(0.99 * len(others)) - 1]}
+
+
 def test_quality_edges(spark, edge, empty):
     trusted = spark.createDataFrame([(5,), (8,), (8,), (None,)], "doc_id long")
     got = quality.classify(edge, trusted, order=3).collect()
