@@ -1,18 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are the words of at least ``min_count`` training tokens, the text's end among them, and one class per hashed ending for all others.
-Contexts are runs of up to ``depth`` such words with at least ``min_count`` training tokens after them; so symbols and contexts grow with
-the corpus. A context stays in the tree if its next-symbol distribution diverges from that of its longest suffix in the tree; distributions are smoothed
+Contexts are runs of up to ``depth`` such words with at least ``min_count`` training tokens after them, in a corpus of any size; so symbols
+and contexts grow with it. A context stays in the tree if its next-symbol distribution diverges from that of its longest suffix in the tree; distributions are smoothed
 by that suffix's. A token is scored at the longest context that stayed, and a word of a class by its share of the class.
 
 The tree is never in one place. Texts are packed into batches of token numbers once. For the words, and then for the contexts of each
 length, every batch sends its distinct entries with their training counts to shards of the hash space, packed; a shard adds them up, tests
-the contexts and answers each batch. A context of many tokens is dealt over several shards by the next symbol.
+the contexts and answers each batch. A context of many tokens is dealt over several shards by the next symbol; their parts of its divergence
+are added up before it is tested.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,9 +183,10 @@ class Stream:
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
         return Level(at, place[which], context[order], following[order], count[order], total[order], self.p[first][order], cut)
 
-    def take(self, level: Level, answer: np.ndarray) -> None:
-        """Go one symbol deeper with the answers to a level: twice the count of a pair, and 1 if its context stays."""
-        n, stays, m = answer >> 1, (answer & 1).astype(bool), self.parameters.smoothing
+    def take(self, level: Level, answer: np.ndarray, gone: np.ndarray) -> None:
+        """Go one symbol deeper with the answers to a level: twice the count of a pair, and 1 if its context stays. ``gone``: contexts of
+        several shards that don't."""
+        n, stays, m = answer >> 1, (answer & 1).astype(bool) & ~np.isin(level.context, gone), self.parameters.smoothing
         p = np.where(stays, (n + m * level.suffix) / (level.total + m), level.suffix)
         self.p[level.at] = p[level.which]
         seen = np.zeros(len(self.symbol), np.int64)  # of a pair: the tokens after the context that it makes
@@ -199,11 +200,12 @@ class Stream:
         self.context = mixed(self.context * STEP + older + U(self.d))
 
 
-def judged(context: np.ndarray, following: np.ndarray, count: np.ndarray, total: np.ndarray, suffix: np.ndarray, parameters: Parameters) -> np.ndarray:
-    """The answers to all offers of a shard: twice the sum of a pair's counts, and 1 if its context stays.
+def judged(context: np.ndarray, following: np.ndarray, count: np.ndarray, total: np.ndarray, suffix: np.ndarray, parameters: Parameters) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The answers to all offers of a shard: twice the sum of a pair's counts, and 1 if its context stays; and the parts of contexts that lie
+    in several shards: the context, this shard's terms of the divergence, the suffix's share of what was seen here, the tokens.
 
     A context stays if its smoothed distribution diverges by ``min_divergence`` nats (Kullback-Leibler) from the suffix's. What was never
-    seen keeps the suffix's proportions. A context over ``hot_context`` tokens, which lies in several shards, stays without a test.
+    seen keeps the suffix's proportions. A context of ``hot_context`` tokens, which lies in several shards, is tested when its parts are together (``fails``).
     """
     order = np.lexsort((following, context))
     c, f = context[order], following[order]
@@ -217,13 +219,19 @@ def judged(context: np.ndarray, following: np.ndarray, count: np.ndarray, total:
     seen = n > 0
     own = np.cumsum(new_context[first]) - 1
     term = np.bincount(own, weights=np.where(seen, p * np.log(p / q), 0.0))
-    left = np.maximum(1.0 - np.bincount(own, weights=np.where(seen, q, 0.0)), 0.0)
+    share = np.bincount(own, weights=np.where(seen, q, 0.0))
     at = np.flatnonzero(new_context[first])
-    rest = m / (t[at] + m)
-    stays = (term + rest * left * np.log(rest) >= parameters.min_divergence) | (t[at] >= parameters.hot_context)
+    hot = t[at] >= parameters.hot_context
+    stays = hot | ~fails(term, share, t[at], parameters)
     answer = np.empty(len(order), np.int64)
     answer[order] = (2 * n + stays[own])[np.cumsum(new) - 1]
-    return answer
+    return answer, [c[first][at][hot], term[hot], share[hot], t[at][hot]]
+
+
+def fails(term: np.ndarray, share: np.ndarray, total: np.ndarray, parameters: Parameters) -> np.ndarray:
+    """Whether contexts diverge too little, from the terms of the symbols seen after them and the suffix's share of these."""
+    rest = parameters.smoothing / (total + parameters.smoothing)
+    return term + rest * np.maximum(1.0 - share, 0.0) * np.log(rest) < parameters.min_divergence
 
 
 def _rows(batch: pa.RecordBatch, *names: str):
@@ -238,6 +246,8 @@ def _frame(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
 
 OFFER = [("shard", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())]
 OFFER_SQL = "shard long, batch long, blob binary"
+HOT = pa.list_(pa.struct([("context", pa.int64()), ("term", pa.float64()), ("share", pa.float64()), ("total", pa.int64())]))
+HOT_SQL = "array<struct<context: long, term: double, share: double, total: long>>"
 BATCH = ["batch", "head", "words", "body"]
 FINAL = ["key", "n_tokens", "n_known", "base_score", "score"]
 
@@ -262,7 +272,6 @@ def score(
     *,
     depth: int = 3,
     min_count: int = 64,
-    min_growth: float = 0.0004,
     min_divergence: float = 0.02,
     smoothing: float = 20.0,
     classes: int = 64,
@@ -272,15 +281,12 @@ def score(
 ) -> DataFrame:
     """One row (key, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``, learning from the rows where ``train`` holds.
 
-    The least count is ``min_count``, or ``min_growth`` times the training tokens to the power 3/4 if that is more: the number of contexts
-    grows with the corpus, up to the power 1/4, and what is exchanged stays nearly in proportion to it.
-
     Null text is empty: its end is its only token. Repeated rows each count and are scored. Keys are integers or null. Without training
     rows, all words are equally unseen. Extra columns are dropped; an empty table gives no rows.
     """
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} must be of an integer type")
-    packed_kinds = [("batch", pa.int64()), ("size", pa.int64()), ("learnt", pa.int64()), ("head", pa.binary()), ("words", pa.binary()), ("body", pa.binary())]
+    packed_kinds = [("batch", pa.int64()), ("size", pa.int64()), ("head", pa.binary()), ("words", pa.binary()), ("body", pa.binary())]
 
     def pack(batches):
         from pyspark import TaskContext
@@ -288,9 +294,7 @@ def score(
         number, keys, trained, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
 
         def row():
-            parts = Batch.pack(keys, trained, texts, classes)
-            _, _, own, lengths = unpacked(parts[0], 4)
-            return _frame([(number, size, int((own * lengths).sum()), *parts)], packed_kinds)
+            return _frame([(number, size, *Batch.pack(keys, trained, texts, classes))], packed_kinds)
 
         for batch in batches:
             for k, t, x in _rows(batch, "key", "train", "text"):
@@ -306,11 +310,10 @@ def score(
             yield row()
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
-    batches_ = bucketed(source.mapInArrow(pack, "batch long, size long, learnt long, head binary, words binary, body binary"), "batch", "batches")
-    total, learnt = batches_.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("learnt"), F.lit(0))).first()
+    batches_ = bucketed(source.mapInArrow(pack, "batch long, size long, head binary, words binary, body binary"), "batch", "batches")
+    total = batches_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, total // shard_bytes)
-    least = max(min_count, math.ceil(min_growth * learnt**0.75))
-    parameters = Parameters(depth, least, min_divergence, smoothing, hot_context)
+    parameters = Parameters(depth, min_count, min_divergence, smoothing, hot_context)
 
     def offer_words(batches):
         for batch in batches:
@@ -326,11 +329,11 @@ def score(
         h, count, kinds = (np.concatenate([p[i] for p in parts]) for i in range(3))
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         n = np.bincount(which, weights=count).astype(np.int64)
-        rare, kind = (n > 0) & (n < least), kinds[first]
+        rare, kind = (n > 0) & (n < min_count), kinds[first]
         sums = [int(n.sum()), int((n > 0).sum())]
         sums += np.bincount(kind[rare], weights=n[rare], minlength=classes).astype(np.int64).tolist() + np.bincount(kind[rare], minlength=classes).tolist()
         own = shard.column("shard")[0].as_py()
-        number = np.where(n >= least, (np.cumsum(n >= least) - 1) * shards + own, 0)
+        number = np.where(n >= min_count, (np.cumsum(n >= min_count) - 1) * shards + own, 0)
         ends = np.cumsum([len(p[0]) for p in parts])
         mine = [which[e - len(p[0]) : e] for e, p in zip(ends.tolist(), parts, strict=True)]
         blobs = [packed(n[at], number[at]) for at in mine]
@@ -345,15 +348,17 @@ def score(
     root = Root(int(of[0]), int(of[1]), of[2 : 2 + classes], of[2 + classes :])
     told = batches_.select(*BATCH).join(_gathered(answers, "told0"), "batch")
 
+    gone: list[np.ndarray] = []  # of each depth: contexts of several shards that don't stay
+
     def stream(row: tuple) -> Stream:
         """A batch after all answers so far."""
         _, head, words, body, *answered = row
         b = Batch.unpack(head, words, body)
         cut = np.searchsorted(sharded(b.words, shards), np.arange(shards + 1))
         s = Stream(b, *_placed(answered[0], cut, 2), root, parameters)
-        for answer in answered[1:]:
+        for answer, out in zip(answered[1:], gone, strict=True):
             level = s.level(shards)
-            s.take(level, _placed(answer, level.cut)[0])
+            s.take(level, _placed(answer, level.cut)[0], out)
         return s
 
     def offer_pairs(names: list[str]):
@@ -373,15 +378,27 @@ def score(
     def judge(shard: pa.Table) -> pa.Table:
         numbers, parts = shard.column("batch").to_pylist(), [unpacked(x, 5) for x in shard.column("blob").to_pylist()]
         context, following, count, total, suffix = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        answer = judged(context, following, count, total, np.exp2(suffix / -1024), parameters)
+        answer, hot = judged(context, following, count, total, np.exp2(suffix / -1024), parameters)
         own, ends = shard.column("shard")[0].as_py(), np.cumsum([len(p[0]) for p in parts])
-        rows = [(own, number, packed(answer[e - len(p[0]) : e])) for number, e, p in zip(numbers, ends.tolist(), parts, strict=True)]
-        return pa.Table.from_batches([_frame(rows, OFFER)])
+        rows = [(own, number, packed(answer[e - len(p[0]) : e]), None) for number, e, p in zip(numbers, ends.tolist(), parts, strict=True)]
+        if len(hot[0]):
+            rows.append((own, -1, None, [dict(zip(("context", "term", "share", "total"), r, strict=True)) for r in zip(*(x.tolist() for x in (hot[0].astype(np.int64), *hot[1:])), strict=True)]))
+        return pa.Table.from_batches([_frame(rows, [*OFFER, ("hot", HOT)])])
+
+    def untied(answers: DataFrame) -> np.ndarray:
+        """The contexts of several shards that fail the test: a context has ``hot_context`` tokens, so they are few."""
+        parts = answers.filter("batch < 0").select("shard", F.inline("hot"))
+        parts = parts.groupBy("context", "total").agg(F.sort_array(F.collect_list(F.struct("shard", "term", "share"))).alias("p"))
+        whole = lambda c: F.aggregate(f"p.{c}", F.lit(0.0), lambda a, x: a + x).alias(c)
+        found = parts.select("context", whole("term"), whole("share"), "total").toArrow()
+        context, term, share, total = (np.asarray(found.column(c).combine_chunks()) for c in ("context", "term", "share", "total"))
+        return context[fails(term, share, total, parameters)].view(U)
 
     names = ["told0"]
     for d in range(1, depth + 1):
         offered = told.mapInArrow(offer_pairs(list(names)), OFFER_SQL)
-        answers = materialise(offered.groupBy("shard").applyInArrow(judge, OFFER_SQL), f"contexts{d}")
+        answers = materialise(offered.groupBy("shard").applyInArrow(judge, OFFER_SQL + ", hot " + HOT_SQL), f"contexts{d}")
+        gone.append(untied(answers))
         told = told.join(_gathered(answers, f"told{d}"), "batch", "left")
         names.append(f"told{d}")
 

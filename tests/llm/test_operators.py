@@ -509,6 +509,17 @@ def test_suffix_tree_matches_a_plain_one(spark):
         assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
 
 
+def test_suffix_tree_does_not_depend_on_size_limits(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "a", "b", "c", "d"]) if rng.random() < 0.9 else "a b c" for _ in range(60)) for _ in range(80)]
+    how = {"depth": 2, "min_count": 12, "min_divergence": 0.05, "smoothing": 3.0, "classes": 4}
+    want, _ = plain_suffix_tree(texts, [True] * 80, **how)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    # contexts over 100 tokens lie in several shards; those that don't diverge must go all the same
+    got = {r["doc_id"]: r["score"] for r in suffixtree.score(df, F.lit(True), **how, hot_context=100, batch_bytes=500, shard_bytes=900).collect()}
+    assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
+
+
 def test_suffix_tree_base_and_score(spark, docs, texts):
     got = {r["doc_id"]: r for r in suffixtree.score_documents(docs.select("doc_id", "text")).collect()}
     words = {i: [*t.encode().lower().split(), b"\n"] for i, t in texts.items()}
