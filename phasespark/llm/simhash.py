@@ -8,8 +8,9 @@ difference. Then no boundary is in reach, and every fingerprint goes to one shar
 that agree on the block are compared, by the same kind of tree down to runs that are compared whole. Of the links found, a shard
 returns a spanning forest, never all pairs; the forests are joined by distributed connected components.
 
-With ``min_jaccard`` the likeness asked is so low that fingerprints lie at distances where no tree prunes. There candidates meet by the
-shingles of their prefixes, rare ones first, fingerprints filter them, and a pair links if the exact similarity of its sets allows it.
+With ``min_jaccard`` the likeness asked is so low that some fingerprints lie at distances where no tree prunes. There the trees give the
+candidates within the radius; the others meet by the shingles of their prefixes, rare ones first, and fingerprints filter them. Of both, a
+pair links if the exact similarity of its sets allows it.
 """
 
 from __future__ import annotations
@@ -576,15 +577,15 @@ def near_duplicates(
     the row's own included. Null and empty texts share the zero fingerprint. Rows with a null key keep their fingerprint and take the
     component of the other rows that have it, if any; repeated rows stay. Keys are integers. An empty table gives no rows.
 
-    With ``min_jaccard`` (sets of shingles, so without ``repeats``) texts that share a shingle of their prefixes are candidates if the
-    first two words of their fingerprints differ in ``near_limit`` bits at most and all in ``wide_limit``, or if they are short. A pair
-    links if the exact Jaccard similarity of its sets is ``min_jaccard`` or more.
+    With ``min_jaccard`` (sets of shingles, so without ``repeats``) texts within ``radius`` are candidates, and beyond it those that share a
+    shingle of their prefixes if the first two words of their fingerprints differ in ``near_limit`` bits at most and all in
+    ``wide_limit``, or if they are short. A pair links if the exact Jaccard similarity of its sets is ``min_jaccard`` or more.
     """
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} must be of an integer type")
     shape = {"wide_limit": wide_limit, "min_ratio": min_ratio, "blocks": blocks, "shard_codes": shard_codes}
     if min_jaccard:
-        return _verified_duplicates(docs, key, text, shingle_words, words, wide_limit, near_limit, min_jaccard, tile_shingles)
+        return _verified_duplicates(docs, key, text, shingle_words, words, radius, shape, near_limit, min_jaccard, tile_shingles)
     rows = docs.select(F.col(key).alias("key"), coded(F.col(text), shingle_words, words, repeats).alias("code"))
     rows = materialise(rows.select("key", "code.words", "code.n_shingles"), "codes")
     same = ["words"] if not min_ratio else ["words", "n_shingles"]
@@ -599,7 +600,7 @@ def near_duplicates(
     return rows.join(classes, same, "left").select(F.col("key").alias(key), "words", "n_shingles", "component_id")
 
 
-def _verified_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int, words: int, wide_limit: int, near_limit: int, min_jaccard: float, tile_shingles: int) -> DataFrame:
+def _verified_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int, words: int, radius: int, shape: dict, near_limit: int, min_jaccard: float, tile_shingles: int) -> DataFrame:
     """``near_duplicates`` with ``min_jaccard``: rows are alike as they have the same set of shingles, not the same fingerprint."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     common = common_shingles(docs, shingle_words)
@@ -611,9 +612,12 @@ def _verified_duplicates(docs: DataFrame, key: str, text: str, shingle_words: in
     rows = materialise(rows.select("key", "code.*"), "codes")
     same = ["words", "n_shingles", "digest"]
     codes = materialise(rows.filter("key is not null").groupBy(*same).agg(F.min("key").alias("id"), F.first("prefix").alias("prefix")), "distinct")
-    near = materialise(components(prefix_links(codes, common, near_limit, min_jaccard)), "candidates")
+    two_words = codes.select("id", F.slice("words", 1, 2).alias("words"), "n_shingles")
+    by_trees = near_links(two_words, radius, **(shape | {"wide_limit": near_limit, "min_ratio": 0.0}))
+    by_prefixes = prefix_links(codes, common, near_limit, min_jaccard)
+    near = materialise(components(by_trees.unionByName(by_prefixes)), "candidates")
     candidates = materialise(codes.join(near, codes["id"] == near["node"]).select("id", "root", *same), "candidates")
-    found = components(verified_links(docs, candidates, shingle_words, wide_limit, min_jaccard, tile_shingles))
+    found = components(verified_links(docs, candidates, shingle_words, shape["wide_limit"], min_jaccard, tile_shingles))
     classes = codes.join(found, codes["id"] == found["node"], "left").select(*same, F.coalesce("root", "id").alias("component_id"))
     return rows.join(classes, same, "left").select(F.col("key").alias(key), "words", "n_shingles", "component_id")
 

@@ -109,3 +109,16 @@ def test_groups_of_a_run_match_all_pairs():
         roots = np.arange(300)
         roots[a] = b
         assert (roots == group).all()
+
+
+def test_trees_give_candidates_by_themselves(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(900)] for _ in range(20)]
+    texts += [[*t[:450], "changed", *t[451:]] for t in texts]  # few bits apart
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "prefix_links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    codes = [simhash.simhash(" ".join(t), 5, repeats=False)[0][0] for t in texts]
+    near = [i for i in range(20) if ((codes[i] ^ codes[i + 20]) & (1 << 64) - 1).bit_count() <= 4]
+    assert len(near) > 10
+    got = {r["doc_id"] for r in simhash.deduplicate(df).collect()}
+    assert got == set(range(40)) - {i + 20 for i in near}
