@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from phasespark.sources.numpy_files import NumpyFiles
 from phasespark.sources.tables import table
 
+#: Samples of a task, about. Without a number of tasks Spark goes by compressed bytes, and a task sorts millions of samples in one stage.
+SAMPLES = 100_000
+
 
 def as_signals(df: DataFrame, series: Column | None, order: list[Column], value: Column) -> DataFrame:
-    """Rows numbered from 0 within each series; null and non-finite values are dropped. No series column: one series, '0'."""
+    """Rows numbered from 0 within each series; null and non-finite values are dropped. No series column: one series, '0'.
+
+    Series are dealt to as many tasks as their rows need (``SAMPLES`` each), so that a task's memory doesn't grow with the table.
+    """
     kept = df.select((series if series is not None else F.lit("0")).cast("string").alias("series_id"), *(o.alias(f"_o{i}") for i, o in enumerate(order)), value.cast("double").alias("x"))
     kept = kept.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+    if series is not None:
+        kept = kept.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SAMPLES)), "series_id")
     by = Window.partitionBy("series_id").orderBy(*(f"_o{i}" for i in range(len(order))))
     return kept.select("series_id", (F.row_number().over(by) - 1).cast("long").alias("t"), "x")
 
