@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import factorial, log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasespark.operators.embedding import embed
@@ -52,8 +52,8 @@ def order_of(lehmer: Column, d: int) -> Column:
 def distribution(signals: DataFrame, d: int = 5, tau: int = 1) -> DataFrame:
     """(series_id, lehmer, n, p)."""
     counts = patterns(signals, d, tau).groupBy("series_id", "lehmer").agg(F.count("*").alias("n"))
-    total = counts.groupBy("series_id").agg(F.sum("n").alias("total"))
-    return counts.join(total, "series_id").select("series_id", "lehmer", "n", (F.col("n") / F.col("total")).alias("p"))
+    total = F.sum("n").over(Window.partitionBy("series_id"))  # a join would make every pattern twice in one task
+    return counts.select("series_id", "lehmer", "n", (F.col("n") / total).alias("p"))
 
 
 def permutation_entropy(signals: DataFrame, d: int = 5, tau: int = 1, normalise: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from phasespark.operators import ordinal
 from phasespark.sources import signals
 
 
@@ -11,3 +12,11 @@ def test_series_are_dealt_by_their_rows(spark, monkeypatch):
     found = signals.as_signals(rows, F.col("s"), [F.col("id")], F.col("x"))
     assert found.rdd.getNumPartitions() == 40
     assert sorted((r["series_id"], r["t"], r["x"]) for r in found.collect()) == sorted((str(s), t, float(s + 50 * t)) for s in range(50) for t in range(8))
+
+
+def test_patterns_are_made_once(spark, capsys):
+    rows = spark.range(40).select(F.lit("a").alias("series_id"), F.col("id").alias("t"), (F.col("id") * 7 % 11).cast("double").alias("x"))
+    found = ordinal.distribution(rows, 3)
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+    assert sum(r["p"] for r in found.collect()) == 1
