@@ -93,8 +93,10 @@ def binned_distribution(values: DataFrame, value: str, key: str = "series_id", m
     return rows.select(key, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), (F.coalesce("c", F.lit(0)) / F.col("n")).alias("mass"))
 
 
-#: Distinct values of a block, and knots of a run, about.
+#: Distinct values of a block, and values of a run up to which all are knots.
 VALUES, KNOTS = 4096, 4096
+#: Distances that lie this near to each other are all looked at exactly.
+NEAR = 1e-12
 
 
 def _value_blocks(observations: DataFrame) -> DataFrame:
@@ -149,36 +151,68 @@ def _kept(run: pa.Array, row: list[int], found: list[tuple], names: list[str], k
 def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
     """(run_id, x_min, alpha, ks, n_tail) from ``_value_blocks``.
 
-    Each value is a candidate. A block of candidates first meets some ``KNOTS`` values of its run, the coarse ones before the others: that
-    bounds their distances from below and above, and those whose least is over the least greatest of their run go. Only the few left meet
-    the whole tail, block by block; where all values of a run were met already, none does.
+    Each value is a candidate. Of a run of over ``KNOTS`` values the knots lie the closer the higher they are, so that every tail has about as
+    many of them, and a candidate's distance at them bounds its own. Some candidates of each block give a bound for the whole run first; the
+    others meet few knots, then more, while they are under it. Only those left meet the whole tail, block by block, the most likely one before
+    the others. Where all values of a run are knots, none has to.
     """
     kind = blocks.schema["run_id"].dataType.simpleString()
     sizes = blocks.groupBy("run_id").agg(F.sum(F.size("own")).alias("m"))
-    step = F.greatest(F.floor(F.col("m") / KNOTS), F.lit(1))
-    some = F.filter("own", lambda x, i: (i % F.col("step") == 0) | (i == F.size("own") - 1))
-    knots = blocks.join(sizes, "run_id").withColumn("step", step.cast("int")).select("run_id", F.inline(some))
+    rank = lambda i: F.col("block") * VALUES + F.size("own") - i  # noqa: E731  of a value, from the highest
+    step = lambda i: F.when(F.col("m") <= KNOTS, 1).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(rank(i) * 16.0 / KNOTS, F.lit(1.0)))))).cast("long")
+    some = F.filter("own", lambda x, i: rank(i) % step(i) == 0)
+    knots = blocks.join(sizes, "run_id").select("run_id", F.inline(some))
     knots = knots.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("value", (F.col("n") - F.col("c")).alias("above")))).alias("knots"))
     knots = knots.join(sizes, "run_id").select("run_id", "knots", (F.size("knots") == F.col("m")).alias("whole"))
-    dealt = blocks.join(knots, "run_id").repartition("run_id", "block")
+    dealt = blocks.join(knots, "run_id")
+
+    def candidates(value: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+        mean = s / n
+        ok = (n >= min_tail) & (mean - np.log(value) > 1e-12)
+        return value[ok], n[ok], mean[ok]
+
+    def exponents(mean: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return discrete_alphas(mean, low) if discrete else 1 + 1 / (mean - np.log(low))
+
+    def bounds(low, n, alpha, at, above, stride: int) -> tuple[np.ndarray, np.ndarray]:
+        some = np.unique(np.r_[np.arange(0, len(at), stride), len(at) - 1])
+        parts = [_bounds(low[p], n[p], alpha[p], at[some], above[some], discrete) for p in np.array_split(np.arange(len(low)), max(1, len(low) * len(some) >> 20))]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+    def promise(batches):
+        """The least of the greatest distances of a few candidates of each block."""
+        for batch in batches:
+            row, found = [], []
+            for i, ((value, n, s), (at, above)) in enumerate(zip(_structs(batch.column("own"), "value", "n", "s"), _structs(batch.column("knots"), "value", "above"), strict=True)):
+                low, n, mean = (x[::64] for x in candidates(value, n, s))
+                if len(low):
+                    alpha = exponents(mean, low)
+                    best = np.argsort(bounds(low, n, alpha, at, above, 16)[0])[:2]
+                    row.append(i)
+                    found.append((bounds(low[best], n[best], alpha[best], at, above, 1)[1].min(keepdims=True),))
+            yield _kept(batch.column("run_id"), row, found, ["most"], [pa.float64()])
+
+    spread = dealt.filter("not whole").repartition("run_id", "block")
+    most = settled(spread.select("run_id", "own", "knots").mapInArrow(promise, f"run_id {kind}, most double").groupBy("run_id").agg(F.min("most").alias("most")))
+    dealt = dealt.join(most, "run_id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf")))).repartition("run_id", "block")
 
     def bound(batches):
         for batch in batches:
-            row, found, whole = [], [], batch.column("whole").to_pylist()
+            row, found, whole, most = [], [], batch.column("whole").to_pylist(), batch.column("most").to_pylist()
             for i, ((value, n, s), (at, above)) in enumerate(zip(_structs(batch.column("own"), "value", "n", "s"), _structs(batch.column("knots"), "value", "above"), strict=True)):
-                mean = s / n
-                ok = (n >= min_tail) & (mean - np.log(value) > 1e-12)
-                low, n, mean = value[ok], n[ok], mean[ok]
+                low, n, mean = candidates(value, n, s)
                 if not len(low):
                     continue
-                alpha = discrete_alphas(mean, low) if discrete else 1 + 1 / (mean - np.log(low))
+                alpha = exponents(mean, low)
                 lower, upper = np.zeros(len(low)), np.full(len(low), np.inf)
                 keep = np.arange(len(low))
-                for stride in (64, 1):
-                    some = np.unique(np.r_[np.arange(0, len(at), stride), len(at) - 1])
-                    for part in np.array_split(keep, max(1, len(keep) * len(some) >> 20)):
-                        lower[part], upper[part] = _bounds(low[part], n[part], alpha[part], at[some], above[some], discrete)
-                    keep = keep[lower[keep] <= upper[keep].min()]
+                for stride in (64, 16, 4, 1):
+                    lower[keep], upper[keep] = bounds(low[keep], n[keep], alpha[keep], at, above, stride)
+                    keep = keep[lower[keep] <= min(upper[keep].min(), most[i]) + NEAR]
+                    if not len(keep):
+                        break
+                if not len(keep):
+                    continue
                 if whole[i]:  # all values of the run were knots: distances are exact, and the first of the least is the block's
                     keep = keep[[int(lower[keep].argmin())]]
                     upper[keep] = lower[keep]
@@ -186,18 +220,12 @@ def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
                 found.append((low[keep], n[keep], alpha[keep], lower[keep], upper[keep], np.full(len(keep), whole[i])))
             yield _kept(batch.column("run_id"), row, found, ["x_min", "n_tail", "alpha", "lower", "upper", "exact"], [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()])
 
-    bounded = settled(dealt.select("run_id", "own", "knots", "whole").mapInArrow(bound, f"run_id {kind}, x_min double, n_tail long, alpha double, lower double, upper double, exact boolean"))
+    bounded = settled(dealt.select("run_id", "own", "knots", "whole", "most").mapInArrow(bound, f"run_id {kind}, x_min double, n_tail long, alpha double, lower double, upper double, exact boolean"))
     done = bounded.filter("exact").select("run_id", "x_min", "n_tail", "alpha", F.col("lower").alias("ks"))
     nearest = lambda ks: ks.groupBy("run_id").agg(F.min_by(F.struct("x_min", "alpha", "ks", "n_tail"), F.struct("ks", "x_min")).alias("b")).select("run_id", "b.x_min", "b.alpha", "b.ks", "b.n_tail")
     bounded = bounded.filter("not exact")
     if bounded.isEmpty():
         return nearest(done)
-    most = bounded.groupBy("run_id").agg(F.min("upper").alias("most"))
-    left = bounded.join(most, "run_id").filter("lower <= most")
-    left = left.withColumn("part", F.floor(F.row_number().over(Window.partitionBy("run_id").orderBy("x_min")) / 1024))
-    left = left.groupBy("run_id", "part").agg(F.collect_list(F.struct("x_min", "n_tail", "alpha")).alias("left"), F.min("x_min").alias("low"))
-    met = left.join(blocks.withColumn("high", F.element_at("own.value", -1)), "run_id").filter("high >= low").repartition("run_id", "part", "block")
-
     def exact(batches):
         for batch in batches:
             row, found = [], []
@@ -207,9 +235,18 @@ def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
                 found.append((low, n, alpha, ks))
             yield _kept(batch.column("run_id"), row, found, ["x_min", "n_tail", "alpha", "ks"], [pa.float64(), pa.int64(), pa.float64(), pa.float64()])
 
-    ks = met.select("run_id", "left", "own").mapInArrow(exact, f"run_id {kind}, x_min double, n_tail long, alpha double, ks double")
-    ks = ks.groupBy("run_id", "x_min", "n_tail", "alpha").agg(F.max("ks").alias("ks"))
-    return nearest(ks.unionByName(done))
+    def measured(left: DataFrame) -> DataFrame:
+        """Candidates with their distances over the whole tail."""
+        left = left.withColumn("part", F.floor(F.row_number().over(Window.partitionBy("run_id").orderBy("x_min")) / 1024))
+        left = left.groupBy("run_id", "part").agg(F.collect_list(F.struct("x_min", "n_tail", "alpha")).alias("left"), F.min("x_min").alias("low"))
+        met = left.join(blocks.withColumn("high", F.element_at("own.value", -1)), "run_id").filter("high >= low").repartition("run_id", "part", "block")
+        ks = met.select("run_id", "left", "own").mapInArrow(exact, f"run_id {kind}, x_min double, n_tail long, alpha double, ks double")
+        return ks.groupBy("run_id", "x_min", "n_tail", "alpha").agg(F.max("ks").alias("ks"))
+
+    likely = bounded.groupBy("run_id").agg(F.min_by(F.struct("x_min", "n_tail", "alpha"), F.struct("lower", "x_min")).alias("b")).select("run_id", "b.*")
+    most = settled(measured(likely).select("run_id", F.col("ks").alias("most")))
+    left = bounded.join(most, "run_id").filter(F.col("lower") <= F.col("most") + NEAR)
+    return nearest(measured(left.select("run_id", "x_min", "n_tail", "alpha")).unionByName(done))
 
 
 def fit_power_law(observations: DataFrame, min_tail: int = 10, discrete: bool = False) -> DataFrame:
@@ -218,7 +255,7 @@ def fit_power_law(observations: DataFrame, min_tail: int = 10, discrete: bool =
 
     ``observations``: (run_id, value). Candidates without log spread are skipped; ties take the smallest x_min. See ``_fit_blocks``.
     """
-    return _fit_blocks(_value_blocks(observations), min_tail, discrete)
+    return _fit_blocks(settled(_value_blocks(observations)), min_tail, discrete)
 
 
 def fit_exponential(observations: DataFrame, x_min: float | None = None) -> DataFrame:

@@ -102,3 +102,22 @@ def test_resamples_keep_the_number_of_values(spark, monkeypatch):
     fit = intermittency.fit_power_law(df, 10).select("run_id", "x_min", "alpha", "n_tail")
     rows = intermittency._resamples(blocks, fit, 5, 0, False).groupBy("boot").sum("c").collect()
     assert {r["boot"]: r["sum(c)"] for r in rows} == {b: 300 for b in range(1, 6)}
+
+
+def test_few_candidates_meet_their_whole_tail(spark, monkeypatch):
+    monkeypatch.setattr(intermittency, "VALUES", 512)
+    monkeypatch.setattr(intermittency, "KNOTS", 512)
+    kept, left = intermittency.settled, []
+
+    def counted(df):
+        out = kept(df)
+        if "lower" in out.columns:
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(intermittency, "settled", counted)
+    x = np.random.default_rng(3).uniform(1, 5e5, 12_000)  # like prices: no power law fits, the best one is of a short tail
+    r = intermittency.fit_power_law(runs(spark, {1: x})).first()
+    want = plain_fit(x, 10, False)
+    assert (r["x_min"], r["n_tail"]) == (want[0], want[3])
+    assert left and sum(left) < 300
