@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,17 @@ def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
     def exponents(mean: np.ndarray, low: np.ndarray) -> np.ndarray:
         return discrete_alphas(mean, low) if discrete else 1 + 1 / (mean - np.log(low))
 
+    def together(own: list[tuple]) -> Iterator[np.ndarray]:
+        """The exponents of the candidates of many short runs at once."""
+        first, size = 0, 0
+        for i, (low, _, _) in enumerate(own):
+            size += len(low)
+            if size >= 1 << 14 or i == len(own) - 1:
+                part = own[first : i + 1]
+                alpha = exponents(np.concatenate([mean for _, _, mean in part]), np.concatenate([low for low, _, _ in part]))
+                yield from np.split(alpha, np.cumsum([len(low) for low, _, _ in part])[:-1])
+                first, size = i + 1, 0
+
     def bounds(low, n, alpha, at, above, stride: int) -> tuple[np.ndarray, np.ndarray]:
         some = np.unique(np.r_[np.arange(0, len(at), stride), len(at) - 1])
         parts = [_bounds(low[p], n[p], alpha[p], at[some], above[some], discrete) for p in np.array_split(np.arange(len(low)), max(1, len(low) * len(some) >> 20))]
@@ -194,19 +206,20 @@ def _fit_blocks(blocks: DataFrame, min_tail: int, discrete: bool) -> DataFrame:
 
     spread = dealt.filter("not whole").repartition("run_id", "block")
     most = settled(spread.select("run_id", "own", "knots").mapInArrow(promise, f"run_id {kind}, most double").groupBy("run_id").agg(F.min("most").alias("most")))
-    dealt = dealt.join(most, "run_id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf")))).repartition("run_id", "block")
+    dealt = dealt.join(most, "run_id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
+    # many short runs are few bytes but much work: their number of tasks is given
+    dealt = dealt.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run_id", "block")
 
     def bound(batches):
         for batch in batches:
             row, found, whole, most = [], [], batch.column("whole").to_pylist(), batch.column("most").to_pylist()
-            for i, ((value, n, s), (at, above)) in enumerate(zip(_structs(batch.column("own"), "value", "n", "s"), _structs(batch.column("knots"), "value", "above"), strict=True)):
-                low, n, mean = candidates(value, n, s)
+            own = [candidates(*b) for b in _structs(batch.column("own"), "value", "n", "s")]
+            for i, ((low, n, _), alpha, (at, above)) in enumerate(zip(own, together(own), _structs(batch.column("knots"), "value", "above"), strict=True)):
                 if not len(low):
                     continue
-                alpha = exponents(mean, low)
                 lower, upper = np.zeros(len(low)), np.full(len(low), np.inf)
                 keep = np.arange(len(low))
-                for stride in (64, 16, 4, 1):
+                for stride in (64, 16, 4, 1) if len(at) > 64 else (1,):
                     lower[keep], upper[keep] = bounds(low[keep], n[keep], alpha[keep], at, above, stride)
                     keep = keep[lower[keep] <= min(upper[keep].min(), most[i]) + NEAR]
                     if not len(keep):

@@ -121,3 +121,22 @@ def test_few_candidates_meet_their_whole_tail(spark, monkeypatch):
     want = plain_fit(x, 10, False)
     assert (r["x_min"], r["n_tail"]) == (want[0], want[3])
     assert left and sum(left) < 300
+
+
+def test_many_short_runs_are_spread_over_tasks(spark, monkeypatch):
+    kept, tasks = intermittency.settled, []
+
+    def counted(df):
+        if "lower" in df.columns:
+            tasks.append(df.rdd.getNumPartitions())
+        return kept(df)
+
+    monkeypatch.setattr(intermittency, "settled", counted)
+    own = {k: np.floor(drawn(k, 12) * 4) for k in range(40)}
+    got = {r["run_id"]: r for r in intermittency.fit_power_law(runs(spark, own), 3, True).collect()}
+    want = {k: plain_fit(v, 3, True) for k, v in own.items()}
+    assert set(got) == {k for k, v in want.items() if v}
+    for k, r in got.items():
+        assert (r["x_min"], r["n_tail"]) == (want[k][0], want[k][3])
+        assert (r["alpha"], r["ks"]) == pytest.approx(want[k][1:3], rel=1e-6)
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
