@@ -42,13 +42,22 @@ def laminar_by_variance(signals: DataFrame, window: int, percentile: float = 5.0
 
 
 def laminar_by_recurrence(points: DataFrame, v_min: int = 2, **parameters) -> DataFrame:
-    """(series_id, t, laminar): samples within a vertical line of at least ``v_min``."""
-    from phasespark.operators.recurrence import recurrences, vertical_lines
-
-    lines = vertical_lines(recurrences(points, **parameters), points, v_min)
+    """(series_id, t, laminar): samples within a vertical line of at least ``v_min``. Series within one block are marked in one tile."""
+    from phasespark.operators.recurrence import BLOCK, by_length, recurrences, short_columns, vertical_lines
+
+    def mark(t: np.ndarray, first: np.ndarray, length: np.ndarray) -> dict[str, np.ndarray]:
+        first, length = first[length >= v_min], length[length >= v_min]
+        inside = np.bincount(first, minlength=len(t) + 1) - np.bincount(first + length, minlength=len(t) + 1)
+        return {"t": t, "laminar": np.cumsum(inside)[:-1] > 0}
+
+    short, long = by_length(points, parameters.get("block", BLOCK))
+    found = short_columns(short, mark, "t long, laminar boolean", **parameters)
+    if long.isEmpty():
+        return found
+    lines = vertical_lines(recurrences(long, **parameters), long, v_min)
     inside = lines.select("series_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("t")).distinct()
-    marked = points.select("series_id", "t").join(inside.withColumn("laminar", F.lit(True)), ["series_id", "t"], "left")
-    return marked.select("series_id", "t", F.coalesce("laminar", F.lit(False)).alias("laminar"))
+    marked = long.select("series_id", "t").join(inside.withColumn("laminar", F.lit(True)), ["series_id", "t"], "left")
+    return found.unionByName(marked.select("series_id", "t", F.coalesce("laminar", F.lit(False)).alias("laminar")))
 
 
 def run_lengths(mask: DataFrame, laminar: bool = True, drop_final_censored: bool = False) -> DataFrame:

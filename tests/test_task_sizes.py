@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from phasespark.operators import ordinal, recurrence
+from phasespark.operators import intermittency, ordinal, recurrence
 from phasespark.sources import signals
 
 
@@ -32,3 +32,12 @@ def test_short_series_send_no_counts(spark, monkeypatch):
     assert passes == ["n long, a double, b double"]
     assert short == eps(8) and len(short) == 20
     assert any("bin" in schema for schema in passes)
+
+
+def test_short_series_send_no_pairs(spark, monkeypatch):
+    rows = [(str(s), t, float((t * 37 + s * 11) % 23)) for s in range(3) for t in range(1 + 7 * s) if t % 9 != 4]  # with gaps in t, one series alone
+    points = spark.createDataFrame(rows, "series_id string, t long, p0 double")
+    found = lambda block: [sorted(map(tuple, f(points, v_min, percentile=30, theiler=theiler, block=block).collect())) for f in (recurrence.laminar_lengths, intermittency.laminar_by_recurrence) for v_min, theiler in ((1, 2), (2, 0))]
+    by_tiles = found(8)
+    monkeypatch.setattr(recurrence, "recurrences", lambda *_, **__: 1 / 0)
+    assert found(64) == by_tiles
