@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from phasespark.llm import bpe, decontaminate, langid, pii, quality, queries, simhash, suffixes, suffixtree, warc, winnow
+from phasespark.llm.blobs import packed
 from phasespark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -534,6 +535,26 @@ def test_suffix_tree_base_and_score(spark, docs, texts):
     assert sum(got[i]["score"] for i in outside) > sum(got[i]["base_score"] for i in outside)
 
 
+def test_suffix_tree_sends_few_bytes(spark):
+    rng = np.random.default_rng(2)
+    steps = np.arange(2000, 500, -1)
+    root = suffixtree.Root(10**7, 10**5, np.full(4, 90), np.full(4, 9), steps, np.arange(len(steps)) * 30)
+    symbol = lambda n: np.sort((rng.zipf(1.3, n) - 1) % 45000 + 4).astype(np.uint64)
+    context, following = np.repeat(symbol(9000), 5), symbol(45000)
+    order = np.lexsort((following[rng.permutation(45000)], context))
+    pairs = np.unique(np.stack([context, following[order]]), axis=1)
+    count = np.minimum(rng.zipf(2.5, pairs.shape[1]), 200)
+    total = suffixtree.STEPS[root.step(pairs[0].astype(np.int64))]
+    level = suffixtree.Level(None, None, pairs[0], pairs[1], count, total, root.probability(pairs[1].astype(np.int64)), np.array([0, pairs.shape[1]]))
+    for known in (root, None):
+        blob = suffixtree.offered_pairs(level, slice(None), known)
+        got = suffixtree.taken_pairs(blob, known)
+        assert all((a == b.astype(np.int64)).all() for a, b in zip(got, (*pairs, count, total), strict=False))
+        if known:
+            before = len(packed(*pairs.astype(np.int64), count, total, suffixtree.coded(level.suffix)))
+            assert len(got) == 4 and len(blob) < 0.7 * before
+
+
 def test_suffix_tree_edges(edge, empty):
     got = suffixtree.score_documents(edge).collect()
     assert len(got) == len(EDGES) + 2 and {r["n_tokens"] for r in got if r["doc_id"] in (0, 1, 2)} == {1}
