@@ -5,8 +5,8 @@ Contexts are runs of up to ``depth`` such words with at least ``min_count`` trai
 and contexts grow with it. A context stays in the tree if its next-symbol distribution diverges from that of its longest suffix in the tree; distributions are smoothed
 by that suffix's. A token is scored at the longest context that stayed, and a word of a class by its share of the class.
 
-The tree is never in one place. Texts are packed into batches of token numbers once, a few of which share a list of their words. For the
-words, and then for the contexts of each length, every list or batch sends its distinct entries with their training counts to shards of the hash space, packed; a shard adds them up, tests
+The tree is never in one place. Texts are packed into batches of token numbers once. For the words, and then for the contexts of each
+length, every batch sends its distinct entries with their training counts to shards of the hash space, packed; a shard adds them up, tests
 the contexts and answers each batch. A context of many tokens is dealt over several shards by the next symbol; their parts of its divergence
 are added up before it is tested.
 
@@ -84,37 +84,9 @@ def sharded(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U(32)).astype(np.int64) * shards) >> 32
 
 
-class Group:
-    """Batches that are packed together and share one list of words."""
-
-    def __init__(self, classes: int):
-        self.classes = classes
-        self.index: dict[bytes, int] = {}
-        self.batches: list[tuple[bytes, np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: list, trained: list[bool], texts: list[str | None]) -> None:
-        lengths, flat, index = [], [], self.index
-        for text in texts:
-            own = tokens(text)
-            lengths.append(len(own))
-            flat += [index.setdefault(w, len(index)) for w in own]
-        head = packed(np.array([0 if k is None else k for k in keys]), np.array([k is not None for k in keys]), np.array(trained), np.array(lengths))
-        self.batches.append((head, np.array(flat, dtype=np.int32), np.repeat(trained, lengths)))
-
-    def packed(self) -> tuple[bytes, bytes, list[tuple[bytes, bytes]]]:
-        """The words, their training tokens and a head and a body for each batch."""
-        h = np.array([hashed(w, self.classes) for w in self.index], dtype=U)
-        order = np.argsort(h, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
-        count = sum(np.bincount(flat, weights=trained, minlength=len(order)) for _, flat, trained in self.batches)
-        bodies = [(head, zstandard.ZstdCompressor(level=3).compress(place[flat].tobytes())) for head, flat, _ in self.batches]
-        return packed(h[order]), packed_groups((count[order],)), bodies
-
-
 @dataclass
 class Batch:
-    """Texts as numbers of the words of their group. Words are in the order of their hashes, which also is that of their shards."""
+    """Texts as numbers of their words. Words are in the order of their hashes, which also is that of their shards."""
 
     keys: np.ndarray
     known_key: np.ndarray
@@ -124,6 +96,22 @@ class Batch:
     kinds: np.ndarray
     tokens: np.ndarray
 
+    @staticmethod
+    def pack(keys: list, trained: list[bool], texts: list[str | None], classes: int) -> tuple[bytes, bytes, bytes]:
+        index: dict[bytes, int] = {}
+        lengths, flat = [], []
+        for text in texts:
+            own = tokens(text)
+            lengths.append(len(own))
+            flat += [index.setdefault(w, len(index)) for w in own]
+        h = np.array([hashed(w, classes) for w in index], dtype=U)
+        order = np.argsort(h, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        head = packed(np.array([0 if k is None else k for k in keys]), np.array([k is not None for k in keys]), np.array(trained), np.array(lengths))
+        body = zstandard.ZstdCompressor(level=3).compress(place[np.array(flat, dtype=np.int32)].tobytes())
+        return head, packed(h[order]), body
+
     @classmethod
     def unpack(cls, head: bytes, words: bytes, body: bytes, classes: int) -> Batch:
         keys, known_key, trained, lengths = unpacked(head, 4)
@@ -167,16 +155,12 @@ class Root:
             return np.zeros(len(count), np.int64)
         return len(self.class_count) + self.starts[np.searchsorted(-self.steps, -step_of(count)).clip(max=len(self.steps) - 1)] + place
 
-    def step(self, symbol: np.ndarray) -> np.ndarray:
-        """Of frequent words."""
-        return self.steps[(np.searchsorted(self.starts, symbol - len(self.class_count), "right") - 1).clip(min=0)]
-
     def probability(self, symbol: np.ndarray) -> np.ndarray:
         """Close enough to test a context."""
         n = len(self.class_count)
         if not len(self.steps):
             return self.class_mass[symbol] / self.mass
-        step = self.step(symbol)
+        step = self.steps[(np.searchsorted(self.starts, symbol - n, "right") - 1).clip(min=0)]
         count = (STEPS[step] + STEPS[step + 1] - 1) / 2
         return np.where(symbol < n, self.class_mass[np.minimum(symbol, n - 1)], count + 0.5) / self.mass
 
@@ -212,8 +196,7 @@ class Stream:
         self.b, self.root, self.parameters = b, root, parameters
         self.word_count = counts
         frequent = counts >= parameters.min_count
-        symbol = b.kinds.astype(U)
-        symbol[frequent] = root.symbols(counts[frequent], places[frequent])
+        symbol = np.where(frequent, root.symbols(counts, places), b.kinds).astype(U)
         mass = np.where(frequent, counts + 0.5, root.class_mass[b.kinds])
         self.frequent = frequent[b.tokens]
         self.symbol = symbol[b.tokens]
@@ -258,27 +241,23 @@ class Stream:
         self.context = as_context[last]
 
 
-def offered_pairs(level: Level, part: slice, root: Root | None) -> bytes:
-    """Each context once, with its tokens and how many symbols follow; of these the steps from one to the next. With ``root``, contexts are
-    words: what their numbers tell of their tokens and of the suffix isn't sent."""
+def offered_pairs(level: Level, part: slice, with_suffix: bool) -> bytes:
+    """Each context once, with its tokens and how many symbols follow; of these the steps from one to the next."""
     context, following, total = level.context[part].astype(np.int64), level.following[part].astype(np.int64), level.total[part]
     first = np.flatnonzero(np.diff(context, prepend=-1))
     step = np.diff(following, prepend=0)
     step[first] = following[first]
-    least = STEPS[root.step(context[first])] if root else 0
-    contexts = np.diff(context[first], prepend=0), np.diff(first, append=len(context)), total[first] - least
-    return packed_groups(contexts, (step, level.count[part], *([] if root else [coded(level.suffix[part])])))
+    contexts = np.diff(context[first], prepend=0), np.diff(first, append=len(context)), total[first]
+    return packed_groups(contexts, (step, level.count[part], *([coded(level.suffix[part])] if with_suffix else [])))
 
 
-def taken_pairs(blob: bytes, root: Root | None) -> tuple[np.ndarray, ...]:
-    """context, following, count, total and without ``root`` the coded suffix of what ``offered_pairs`` packed."""
-    (context, runs, total), (step, count, *suffix) = unpacked_groups(blob, 3, 2 if root else 3)
-    context = np.cumsum(context)
-    total = total + STEPS[root.step(context)] if root else total
+def taken_pairs(blob: bytes, with_suffix: bool) -> tuple[np.ndarray, ...]:
+    """context, following, count, total and perhaps the coded suffix of what ``offered_pairs`` packed."""
+    (context, runs, total), (step, count, *suffix) = unpacked_groups(blob, 3, 2 + with_suffix)
     first = np.cumsum(runs) - runs
     sums = np.cumsum(step)
     following = sums - np.repeat(sums[first] - step[first], runs)
-    return np.repeat(context, runs), following, count, np.repeat(total, runs), *suffix
+    return np.repeat(np.cumsum(context), runs), following, count, np.repeat(total, runs), *suffix
 
 
 def judged(context: np.ndarray, following: np.ndarray, count: np.ndarray, total: np.ndarray, suffix: np.ndarray, parameters: Parameters, classes: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -307,7 +286,7 @@ def judged(context: np.ndarray, following: np.ndarray, count: np.ndarray, total:
     stays = hot | ~fails(term, share, t[at], parameters)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
-    contexts = np.cumsum(next_contexts(f[first], n, parameters, classes))
+    contexts = np.cumsum((n >= parameters.min_count) & (f[first] >= classes))  # a class is no context
     return [n[place], stays[own][place], contexts[place]], [c[first][at][hot], term[hot], share[hot], t[at][hot]]
 
 
@@ -332,52 +311,25 @@ OFFER_SQL = "shard long, batch long, blob binary"
 SUMS = pa.list_(pa.struct([("i", pa.int64()), ("v", pa.int64())]))
 HOT = pa.list_(pa.struct([("context", pa.int64()), ("term", pa.float64()), ("share", pa.float64()), ("total", pa.int64())]))
 HOT_SQL = "array<struct<context: long, term: double, share: double, total: long>>"
-BATCH = ["group", "words", "parts"]
-#: A batch's number is its group's with this many bits more.
-BATCH_BITS = 8
+BATCH = ["batch", "head", "words", "body"]
 FINAL = ["key", "n_tokens", "n_known", "base_score", "score"]
 
 
 def _gathered(answers: DataFrame, name: str) -> DataFrame:
-    """One row a group: what the shards, one entry each and batch at most, answer."""
-    found = answers.filter("batch >= 0").groupBy(F.shiftright("batch", BATCH_BITS).alias("group"))
-    return bucketed(found.agg(F.collect_list(F.struct("shard", "batch", "blob")).alias(name)), "group", name)
-
+    """One row a batch: what the shards, one entry each at most, answer."""
+    return bucketed(answers.filter("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "blob")).alias(name)), "batch", name)
 
-def _told_words(told, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of words and the places of the frequent ones, among those of all shards."""
-    count, place = np.zeros(cut[-1], np.int64), np.zeros(cut[-1], np.int64)
-    for entry in told:
-        part = slice(cut[entry["shard"]], cut[entry["shard"] + 1])
-        (count[part], own), = unpacked_groups(entry["blob"], 2)
-        place[part] = own * (len(cut) - 1) + entry["shard"]
-    return count, place
 
-
-def answered_pairs(context: np.ndarray, following: np.ndarray, count: np.ndarray, n: np.ndarray, stays: np.ndarray, number: np.ndarray, parameters: Parameters, classes: int) -> bytes:
-    """Of each pair its count beyond the batch's own, of each context whether it stays, and the steps between the numbers of the next length's contexts."""
-    first, further = np.flatnonzero(np.diff(context, prepend=-1)), next_contexts(following, n, parameters, classes)
-    return packed_groups((n - count,), (stays[first],), (np.diff(number[further], prepend=0),))
-
-
-def next_contexts(following: np.ndarray, n: np.ndarray, parameters: Parameters, classes: int) -> np.ndarray:
-    """Which pairs have tokens enough after them; a class is no context."""
-    return (n >= parameters.min_count) & (following >= classes)
-
-
-def _told_pairs(told, batch: int, level: Level, parameters: Parameters, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch's pairs the count, whether the context stays, and the number as a context among those of all shards."""
-    shards = len(level.cut) - 1
-    n, stays, number = (np.zeros(level.cut[-1], np.int64) for _ in range(3))
+def _placed(told, cut: np.ndarray, columns: int) -> np.ndarray:
+    """The answers in the order of what was offered. The last column counts within a shard and becomes a number among those of all shards."""
+    out, shards = np.zeros((columns, cut[-1]), np.int64), len(cut) - 1
     for entry in told or []:
-        if entry["batch"] != batch:
-            continue
-        part = slice(level.cut[entry["shard"]], level.cut[entry["shard"] + 1])
-        (others,), (own,), (steps,) = unpacked_groups(entry["blob"], 1, 1, 1)
-        n[part] = others + level.count[part]
-        stays[part] = own[np.cumsum(np.diff(level.context[part].astype(np.int64), prepend=-1) != 0) - 1]
-        number[part][next_contexts(level.following[part], n[part], parameters, classes)] = np.cumsum(steps) * shards + entry["shard"]
-    return n, stays, number
+        own = out[:, cut[entry["shard"]] : cut[entry["shard"] + 1]]
+        own[:] = unpacked_groups(entry["blob"], columns)[0]
+        if columns == 3:  # of pairs: sent by differences
+            own[-1] = np.cumsum(own[-1])
+        own[-1] = own[-1] * shards + entry["shard"]
+    return out
 
 
 def score(
@@ -393,7 +345,6 @@ def score(
     classes: int = 64,
     hot_context: int = 1 << 20,
     batch_bytes: int = 4 << 20,
-    group_batches: int = 1,
     shard_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row (key, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``, learning from the rows where ``train`` holds.
@@ -403,50 +354,42 @@ def score(
     """
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} must be of an integer type")
-    parts_kind = pa.list_(pa.struct([("head", pa.binary()), ("body", pa.binary())]))
-    packed_kinds = [("group", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("parts", parts_kind)]
+    packed_kinds = [("batch", pa.int64()), ("size", pa.int64()), ("head", pa.binary()), ("words", pa.binary()), ("body", pa.binary())]
 
     def pack(batches):
         from pyspark import TaskContext
 
-        number, keys, trained, texts, size, sizes, group = TaskContext.get().partitionId() << 24, [], [], [], 0, 0, Group(classes)
+        number, keys, trained, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
 
         def row():
-            words, counts, parts = group.packed()
-            return _frame([(number, sizes, words, counts, [{"head": head, "body": body} for head, body in parts])], packed_kinds)
+            return _frame([(number, size, *Batch.pack(keys, trained, texts, classes))], packed_kinds)
 
         for batch in batches:
             for k, t, x in _rows(batch, "key", "train", "text"):
                 raw = len(x or "")
                 if texts and (size + raw > batch_bytes or len(texts) >= 65536):
-                    group.add(keys, trained, texts)
-                    keys, trained, texts, size = [], [], [], 0
-                    if len(group.batches) >= group_batches or len(group.index) >= 3 << 18:
-                        yield row()
-                        number, sizes, group = number + 1, 0, Group(classes)
+                    yield row()
+                    number, keys, trained, texts, size = number + 1, [], [], [], 0
                 keys.append(k)
                 trained.append(bool(t))
                 texts.append(x)
                 size += raw
-                sizes += raw
         if texts:
-            group.add(keys, trained, texts)
-        if group.batches:
             yield row()
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
-    batches_ = bucketed(source.mapInArrow(pack, "group long, size long, words binary, counts binary, parts array<struct<head: binary, body: binary>>"), "group", "batches")
+    batches_ = bucketed(source.mapInArrow(pack, "batch long, size long, head binary, words binary, body binary"), "batch", "batches")
     total = batches_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, total // shard_bytes)
-    word_shards = max(1, shards // 4)  # lists of words are shared, so fewer entries than pairs
     parameters = Parameters(depth, min_count, min_divergence, smoothing, hot_context)
 
     def offer_words(batches):
         for batch in batches:
-            for number, words, counts in _rows(batch, "group", "words", "counts"):
-                h, ((count,),) = unpacked(words, 1)[0], unpacked_groups(counts, 1)
-                cut = np.searchsorted(sharded(h.view(U), word_shards), np.arange(word_shards + 1))
-                rows = [(s, number << BATCH_BITS, packed(h[cut[s] : cut[s + 1]], count[cut[s] : cut[s + 1]])) for s in np.flatnonzero(np.diff(cut)).tolist()]
+            for number, head, words, body in _rows(batch, *BATCH):
+                b = Batch.unpack(head, words, body, classes)
+                count = np.bincount(b.tokens, weights=b.in_training(), minlength=len(b.words)).astype(np.int64)
+                cut = np.searchsorted(sharded(b.words, shards), np.arange(shards + 1))
+                rows = [(s, number, packed(b.words[cut[s] : cut[s + 1]], count[cut[s] : cut[s + 1]])) for s in np.flatnonzero(np.diff(cut)).tolist()]
                 yield _frame(rows, OFFER)
 
     def add_words(shard: pa.Table) -> pa.Table:
@@ -468,62 +411,55 @@ def score(
         rows = [(own, number, blob, None) for number, blob in zip(numbers, blobs, strict=True)] + [(own, -1, None, [{"i": i, "v": v} for i, v in sums])]
         return pa.Table.from_batches([_frame(rows, [*OFFER, ("sums", SUMS)])])
 
-    offered = batches_.select("group", "words", "counts").mapInArrow(offer_words, OFFER_SQL)
+    offered = batches_.select(*BATCH).mapInArrow(offer_words, OFFER_SQL)
     answers = materialise(offered.groupBy("shard").applyInArrow(add_words, OFFER_SQL + ", sums array<struct<i: long, v: long>>"), "words")
     sums = answers.filter("batch < 0").select(F.inline("sums")).groupBy("i").agg(F.sum("v").alias("v"), F.max("v").alias("most")).collect()
     one = dict((r["i"], r["v"]) for r in sums)  # two, two a class, then one for each of STEPS that has words, however many these are
     of = np.array([one.get(i, 0) for i in range(2 + 2 * classes)], dtype=np.int64)
-    most = dict((r["i"] - len(of), r["most"] * word_shards) for r in sums if r["i"] >= len(of))
+    most = dict((r["i"] - len(of), r["most"] * shards) for r in sums if r["i"] >= len(of))
     steps = np.array(sorted(most, reverse=True), dtype=np.int64)
     starts = np.cumsum([0, *(most[i] for i in steps.tolist())])[:-1].astype(np.int64)
     root = Root(int(of[0]), int(of[1]), of[2 : 2 + classes], of[2 + classes :], steps, starts)
-    told = batches_.select(*BATCH).join(_gathered(answers, "told0"), "group")
+    told = batches_.select(*BATCH).join(_gathered(answers, "told0"), "batch")
 
     gone: list[np.ndarray] = []  # of each depth: contexts of several shards that don't stay
 
-    def stream(number: int, words: bytes, part: dict, answered: list) -> Stream:
+    def stream(row: tuple) -> Stream:
         """A batch after all answers so far."""
-        b = Batch.unpack(part["head"], words, part["body"], classes)
-        cut = np.searchsorted(sharded(b.words, word_shards), np.arange(word_shards + 1))
-        s = Stream(b, *_told_words(answered[0], cut), root, parameters)
+        _, head, words, body, *answered = row
+        b = Batch.unpack(head, words, body, classes)
+        cut = np.searchsorted(sharded(b.words, shards), np.arange(shards + 1))
+        s = Stream(b, *_placed(answered[0], cut, 2), root, parameters)
         for answer, out in zip(answered[1:], gone, strict=True):
             level = s.level(shards)
-            s.take(level, *_told_pairs(answer, number, level, parameters, classes), out)
+            s.take(level, *_placed(answer, level.cut, 3), out)
         return s
 
-    def streams(batches, names: list[str]):
-        """All batches with their numbers; none is kept while the next is made."""
-        for batch in batches:
-            for group, words, parts, *answered in _rows(batch, *BATCH, *names):
-                for i, part in enumerate(parts):
-                    number = group << BATCH_BITS | i
-                    yield number, stream(number, words, part, answered)
-
     def offer_pairs(names: list[str]):
         def offer(batches):
-            for number, s in streams(batches, names):
-                level = s.level(shards)
-                rows = []
-                for shard in np.flatnonzero(np.diff(level.cut)).tolist():
-                    part = slice(level.cut[shard], level.cut[shard + 1])
-                    rows.append((shard, number, offered_pairs(level, part, root if len(names) == 1 else None)))
-                del s, level
-                if rows:
-                    yield _frame(rows, OFFER)
+            for batch in batches:
+                for row in _rows(batch, *BATCH, *names):
+                    level = stream(row).level(shards)
+                    rows = []
+                    for s in np.flatnonzero(np.diff(level.cut)).tolist():
+                        part = slice(level.cut[s], level.cut[s + 1])
+                        rows.append((s, row[0], offered_pairs(level, part, len(names) > 1)))
+                    if rows:
+                        yield _frame(rows, OFFER)
 
         return offer
 
-    def judge(root: Root | None):
-        """``root``: for contexts of one word, whose suffix it is."""
+    def judge(with_suffix: bool):
+        """``with_suffix``: whether the suffix's probabilities were sent; those of the root are known."""
 
         def judged_shard(shard: pa.Table) -> pa.Table:
-            numbers, parts = shard.column("batch").to_pylist(), [taken_pairs(x, root) for x in shard.column("blob").to_pylist()]
+            numbers, parts = shard.column("batch").to_pylist(), [taken_pairs(x, with_suffix) for x in shard.column("blob").to_pylist()]
             context, following, count, total, *suffix = (np.concatenate(c) for c in zip(*parts, strict=True))
-            suffix = root.probability(following) if root else np.exp2(suffix[0] / -1024)
+            suffix = np.exp2(suffix[0] / -1024) if with_suffix else root.probability(following)
             answer, hot = judged(context, following, count, total, suffix, parameters, classes)
             own, ends = shard.column("shard")[0].as_py(), np.cumsum([len(p[0]) for p in parts])
-            blobs = [answered_pairs(p[0], p[1], p[2], *(c[e - len(p[0]) : e] for c in answer), parameters, classes) for e, p in zip(ends.tolist(), parts, strict=True)]
-            rows = [(own, number, blob, None) for number, blob in zip(numbers, blobs, strict=True)]
+            mine = [[c[e - len(p[0]) : e] for c in answer] for e, p in zip(ends.tolist(), parts, strict=True)]
+            rows = [(own, number, packed_groups((n, stays, np.diff(place, prepend=0))), None) for number, (n, stays, place) in zip(numbers, mine, strict=True)]
             if len(hot[0]):
                 rows.append((own, -1, None, [dict(zip(("context", "term", "share", "total"), r, strict=True)) for r in zip(*(x.tolist() for x in (hot[0].astype(np.int64), *hot[1:])), strict=True)]))
             return pa.Table.from_batches([_frame(rows, [*OFFER, ("hot", HOT)])])
@@ -542,21 +478,21 @@ def score(
     names = ["told0"]
     for d in range(1, depth + 1):
         offered = told.mapInArrow(offer_pairs(list(names)), OFFER_SQL)
-        answers = materialise(offered.groupBy("shard").applyInArrow(judge(root if d == 1 else None), OFFER_SQL + ", hot " + HOT_SQL), f"contexts{d}")
+        answers = materialise(offered.groupBy("shard").applyInArrow(judge(d > 1), OFFER_SQL + ", hot " + HOT_SQL), f"contexts{d}")
         gone.append(untied(answers))
-        told = told.join(_gathered(answers, f"told{d}"), "group", "left")
+        told = told.join(_gathered(answers, f"told{d}"), "batch", "left")
         names.append(f"told{d}")
 
     def finish(batches):
-        for _, s in streams(batches, names):
-            b, count = s.b, s.word_count[s.b.tokens]
-            base = np.log10((count + 0.5) / (root.n_tokens + 0.5 * (root.n_distinct + 1)))
-            share = np.where(s.frequent, 0.0, np.log10((count + 0.5) / root.class_mass[b.kinds[b.tokens]]))
-            whole = lambda x, at=np.cumsum(b.lengths) - b.lengths: np.add.reduceat(x, at)  # noqa: E731  every text has its end at least
-            columns = [b.lengths, whole((count > 0).astype(np.int64)), whole(base), whole(np.log10(s.p) + share)]
-            scored = pa.RecordBatch.from_arrays([pa.array(b.keys, mask=~b.known_key), *map(pa.array, columns)], names=FINAL)
-            del s, b, count, base, share, whole, columns
-            yield scored
+        for batch in batches:
+            for row in _rows(batch, *BATCH, *names):
+                s = stream(row)
+                b, count = s.b, s.word_count[s.b.tokens]
+                base = np.log10((count + 0.5) / (root.n_tokens + 0.5 * (root.n_distinct + 1)))
+                share = np.where(s.frequent, 0.0, np.log10((count + 0.5) / root.class_mass[b.kinds[b.tokens]]))
+                whole = lambda x, at=np.cumsum(b.lengths) - b.lengths: np.add.reduceat(x, at)  # noqa: E731  every text has its end at least
+                columns = [b.lengths, whole((count > 0).astype(np.int64)), whole(base), whole(np.log10(s.p) + share)]
+                yield pa.RecordBatch.from_arrays([pa.array(b.keys, mask=~b.known_key), *map(pa.array, columns)], names=FINAL)
 
     out = told.mapInArrow(finish, "key long, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(root.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
