@@ -186,9 +186,9 @@ def complexity_entropy(spark, sf_dir):
     return rounded(ordinal.complexity_entropy(src.events_by_user(spark, sf_dir), 3))
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM (WITH {lehmer_sql(d)} SELECT series_id, {d} d, round(-sum(p * ln(p)) / ln({f}), 6) + 0.0 entropy FROM prob GROUP BY 1)" for d, f in ((3, 6), (4, 24), (5, 120))))
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {lehmer_sql(d)} SELECT series_id, {d} d, round(-sum(p * ln(p)) / ln({f}), 6) + 0.0 entropy FROM prob GROUP BY 1)" for d, f in ((3, 6), (4, 24), (5, 120), (6, 720), (7, 5040))))
 def permutation_entropy_sweep(spark, sf_dir):
-    return rounded(ordinal.entropy_sweep(src.events_by_user(spark, sf_dir), (3, 4, 5)))
+    return rounded(ordinal.entropy_sweep(src.events_by_user(spark, sf_dir)))
 
 
 SAMPEN = """CASE WHEN a IS NULL THEN 'Infinity'::DOUBLE WHEN b = 0 THEN 'NaN'::DOUBLE WHEN a = 0 THEN 'Infinity'::DOUBLE ELSE round(-ln(a / b), 6) + 0.0 END"""
